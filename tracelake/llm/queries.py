@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ogg, packing, token_counts
+from . import bpe, ogg, packing, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -46,6 +46,10 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, most=2)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), limit=4096)
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_ogg_media": op7_ogg_media,
+        "op9_simhash": op9_simhash,
         "op10_token_counts": op10_token_counts,
     }
 
