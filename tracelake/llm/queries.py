@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ogg, packing, simhash, token_counts
+from . import bpe, ogg, packing, quality, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(slim, capacity=1024)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.assess(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_quality_rules": op4_quality_rules,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_ogg_media": op7_ogg_media,
         "op9_simhash": op9_simhash,
