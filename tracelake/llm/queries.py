@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ogg, packing, quality, simhash, substring_bytes, token_counts
+from . import bpe, ogg, packing, quality, simhash, substring_bytes, substring_words, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -56,6 +56,10 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_words.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, most=2)
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_ogg_media": op7_ogg_media,
+        "op8_recompression_dedup": op8_recompression_dedup,
         "op9_simhash": op9_simhash,
         "op10_token_counts": op10_token_counts,
     }
