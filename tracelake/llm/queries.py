@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, ogg, packing, quality, simhash, substring_bytes, substring_words, token_counts
+from . import bpe, langid, lm, ogg, packing, quality, simhash, substring_bytes, substring_words, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,11 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(documents(spark, sf_dir))
+    return langid.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
     slim = pieces.select("doc_id", "piece", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
@@ -75,6 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": op1_lm_score,
+        "op2_language_id": op2_language_id,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_rules": op4_quality_rules,
         "op5_suffix_dedup": op5_suffix_dedup,
