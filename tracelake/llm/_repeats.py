@@ -184,7 +184,9 @@ def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[last]
 
 
-def with_twins(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, twin, text): rows that share an id but not a text have (nearly always) different twin numbers."""
+def with_twins(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, twin, text, c0, c1, ...): rows that share an id but not a text have (nearly always) different twin
+    numbers; the columns of ``carry`` follow under neutral names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("twin"), text.alias("text"))
+    twin = F.pmod(F.xxhash64(text), F.lit(65536)).cast("int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), twin.alias("twin"), text.alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])

@@ -155,3 +155,101 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: st
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(F.col(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+#: Sampled fingerprints of a text, and shingles in each: a pair of similarity 0.8 shares none of them one time in 200.
+SAMPLES, SAMPLED = 8, 3
+_SALTS = T.mix(np.arange(1, SAMPLES + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def shingle_sets(buf: np.ndarray, off: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The distinct hashes of each row's word shingles (A-Z lower-cased); fewer words are one shingle, none are none."""
+    low = T.LOWER[buf]
+    start, end, row = T.words(low, off)
+    prefix = T.Prefix(T.word_hashes(low, start, end))
+    edge = np.searchsorted(row, np.arange(len(off)))
+    out = []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        first = np.arange(a, max(b - shingle + 1, min(a + 1, b)))
+        out.append(np.unique(T.mix(prefix.of(first, np.minimum(first + shingle, b)))))
+    return out
+
+
+def sampled_fingerprints(shingles: np.ndarray) -> list[int]:
+    """Fingerprints of SAMPLES consistent samples: of the SAMPLED shingles with the least salted hashes, bit by bit
+    what more than half of them have."""
+    if not len(shingles):
+        return [0] * SAMPLES
+    out = []
+    for salt in _SALTS:
+        h = T.mix(shingles ^ salt)
+        least = np.sort(np.partition(h, SAMPLED - 1)[:SAMPLED]) if len(h) > SAMPLED else np.resize(np.sort(h), SAMPLED)
+        a, b, c = least
+        out.append(int((a & b) | (a & c) | (b & c)))
+    return out
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_key, keep_id, keep_key) of every row: the rows of a class of copies and near copies name the same row to
+    keep, the one with the least id. text_key is the MD5 of the text.
+
+    Two texts are near copies if the Jaccard similarity of their sets of word shingles, computed exactly, is at least
+    ``similarity``; classes are closed under that. Pairs to compare come from whole fingerprints within two bits, by the
+    grid, and from equal fingerprints of consistent samples: similarity 0.8 puts whole fingerprints about ten bits
+    apart, further than a popcount bound can tell from chance. Copies are one node. A crowded sample is compared with
+    its least and its greatest member, not in all pairs.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = T.column(batch, "text")
+            whole, parts = [], []
+            for i, j in T.slices(off):
+                rows = off[i : j + 1] - off[i]
+                raw, at = buf[off[i] : off[j]].tobytes(), rows.tolist()
+                whole += [fingerprint(raw[a:b], shingle) for a, b in zip(at, at[1:])]
+                parts += [sampled_fingerprints(s) for s in shingle_sets(buf[off[i] : off[j]], rows, shingle)]
+            fps = pa.array(np.array(parts, dtype=np.uint64).view(np.int64).reshape(-1, SAMPLES).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(whole, np.uint64).view(np.int64)), fps], ["id", "text_key", "fp", "fps"])
+
+    rows = cut(base.mapInArrow(sketch, "id long, text_key string, fp long, fps array<long>"))
+    texts = rows.groupBy("text_key").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("fps").alias("fps"))
+    texts = cut(texts)
+    member = texts.select("text_key", F.posexplode("fps").alias("sample", "fp"))
+    ends = member.groupBy("sample", "fp").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low < high")
+    near = member.join(ends, ["sample", "fp"])
+    by_fp = texts.groupBy("fp").agg(F.min("text_key").alias("low"))
+    whole = links(by_fp.select("fp"), 2)
+    grid = whole.join(by_fp.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
+    pairs = (
+        near.select("text_key", F.col("low").alias("other"))
+        .union(near.select("text_key", F.col("high").alias("other")))
+        .union(texts.join(by_fp, "fp").select("text_key", F.col("low").alias("other")))
+        .union(grid.select("x", "y"))
+        .filter("text_key <> other")
+        .select(F.least("text_key", "other").alias("a"), F.greatest("text_key", "other").alias("b"))
+        .distinct()
+    )
+    pairs = cut(pairs)
+    needed = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(texts.select("text_key", "id"), "text_key")
+    body = base.withColumnRenamed("id", "own").join(needed, "text_key").filter(F.col("own").eqNullSafe(F.col("id"))).select("text_key", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_sets(*T.column(batch, c), shingle) for c in ("left", "right")]
+            close = []
+            for x, y in zip(*sets):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                close.append(both >= similarity * (len(x) + len(y) - both))
+            mask = pa.array(close, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(mask)
+
+    left = body.select(F.col("text_key").alias("a"), F.col("text").alias("left"))
+    right = body.select(F.col("text_key").alias("b"), F.col("text").alias("right"))
+    edges = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a string, b string")
+    roots = components(edges).withColumnRenamed("node", "text_key")
+    rooted = cut(texts.join(roots, "text_key", "left").select("text_key", "id", F.coalesce("root", "text_key").alias("root")))
+    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("keep"))
+    classes = rooted.join(keep, "root").select("text_key", F.col("keep.id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"))
+    return rows.select("id", "text_key").join(classes, "text_key")

@@ -129,16 +129,15 @@ def repeated(key: np.ndarray, doc: np.ndarray, count: np.ndarray, contents: byte
     return np.array(which, dtype=np.int64), where, where + WINDOW
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, twin, kept, n_words, n_removed) of every row; kept is the other words, joined by one space. twin tells
-    rows with the same id and different texts apart: pmod(xxhash64(text), 65536)."""
-    source = with_twins(docs, id_col, text_col)
-    spans = repeated_spans(source, regions, cut_out, repeated)
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, text, kept, n_words, n_removed, *carry) of every row; kept is the other words, joined by one space."""
+    source = with_twins(docs, id_col, text_col, carry)
+    spans = repeated_spans(source.select("doc_id", "twin", "text"), regions, cut_out, repeated)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = T.column(batch, "text")
-            listed = batch.column(3)
+            listed = batch.column(2)
             kept, total, removed = [], [], []
             for r in range(batch.num_rows):
                 words = buf[off[r] : off[r + 1]].tobytes().split()
@@ -148,9 +147,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b" ".join([w for p, q in zip(edges[::2], edges[1::2]) for w in words[p:q]]).decode())
                 total.append(len(words))
                 removed.append(int((b - a).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [id_col, "twin", "kept", "n_words", "n_removed"]
-            )
-
-    joined = source.join(spans, ["doc_id", "twin"], "left").select("doc_id", "twin", "text", "spans")
-    return joined.mapInArrow(apply, f"`{id_col}` long, twin int, kept string, n_words long, n_removed long")
+            found = [pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, *batch.columns[3:]], names)
+
+    extra = [f"c{k}" for k in range(len(carry))]
+    names = [id_col, "text", "kept", "n_words", "n_removed", *carry]
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    joined = source.join(spans, ["doc_id", "twin"], "left").select("doc_id", "text", "spans", *extra)
+    return joined.mapInArrow(apply, f"`{id_col}` long, text string, kept string, n_words long, n_removed long{kinds}")
