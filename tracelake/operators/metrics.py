@@ -11,7 +11,7 @@ from ..functions.quantiles import continuous, floor_index
 
 def series_stats(points: DataFrame, keys: list[str]) -> DataFrame:
     """Count, range, mean, median, deviation and floor-index percentiles of each series."""
-    stats = points.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 4).alias("mean"), F.round(continuous(F.col("value"), 0.5), 4).alias("median"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 4).alias("stdev"))
+    stats = points.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 8).alias("mean"), F.round(continuous(F.col("value"), 0.5), 8).alias("median"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 4).alias("stdev"))
     return stats.join(floor_index(points.select(*keys, "value"), keys, "value", {"p90": 0.9, "p95": 0.95, "p99": 0.99}), keys)
 
 
@@ -93,7 +93,7 @@ def gauge_latest(points: DataFrame, keys: list[str], order: tuple[str, ...] = ("
 
 def range_query_step(points: DataFrame, keys: list[str], step_seconds: int = 60) -> DataFrame:
     """Gauges on a grid of steps: mean, greatest, last."""
-    return points.groupBy(*keys, _bucket("ts", step_seconds).alias("step")).agg(F.round(F.avg("value"), 4).alias("avg"), F.max("value").alias("max"), F.max_by("value", F.struct("ts", "value")).alias("last"), F.count("*").alias("n"))
+    return points.groupBy(*keys, _bucket("ts", step_seconds).alias("step")).agg(F.round(F.avg("value"), 8).alias("avg"), F.max("value").alias("max"), F.max_by("value", F.struct("ts", "value")).alias("last"), F.count("*").alias("n"))
 
 
 def slo_status(slos: DataFrame) -> DataFrame:
