@@ -31,8 +31,9 @@ WINDOW = 50
 _SHARD = "shard int, blob binary"
 _FOUND = "doc_id long, twin int, key long, span long"
 
-#: rows (document of the chunk), first window, windows, anchor hash, region hash of all regions of a chunk.
-Regions = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+#: rows (document of the chunk), first window, windows, anchor hash, region hash, and units from the first window to the
+#: anchor, of all regions of a chunk.
+Regions = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 
 
 def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -72,7 +73,7 @@ def _send(source: DataFrame, regions: Regions, n: int) -> DataFrame:
             twins = batch.column(1).to_numpy()
             buf, off = T.column(batch, "text")
             for i, j in T.slices(off):
-                row, first, count, anchor, content = regions(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                row, first, count, anchor, content, lead = regions(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 if not len(row):
                     continue
                 doc, twin = ids[i + row], twins[i + row]
@@ -89,7 +90,7 @@ def _send(source: DataFrame, regions: Regions, n: int) -> DataFrame:
                 at = at[np.argsort(doc[at], kind="stable")]
                 yield _deal(
                     (anchor[at] % np.uint64(n)).astype(np.int64), anchor=(anchor[at] >> np.uint64(32)).astype(np.uint32), content=content[at],
-                    doc_d=doc[at], twin=twin[at].astype(np.uint16), first_d=first[at], count=count[at].astype(np.uint32),
+                    doc_d=doc[at], twin=twin[at].astype(np.uint16), first_d=first[at], count=count[at].astype(np.uint16), lead=lead[at].astype(np.uint8),
                 )
 
     return source.mapInArrow(run, _SHARD)
@@ -101,9 +102,9 @@ def _meet(table: pa.Table) -> pa.Table:
     out = [_found(*[np.concatenate([p[k] for p in parts if "span_d" in p]) for k in ("doc_d", "twin", "span_d")])] if any("span_d" in p for p in parts) else []
     parts = [p for p in parts if "anchor" in p]
     if parts:
-        anchor, content, doc, twin, first, count = (np.concatenate([p[k] for p in parts]) for k in ("anchor", "content", "doc_d", "twin", "first_d", "count"))
+        anchor, content, doc, twin, first, count, lead = (np.concatenate([p[k] for p in parts]) for k in ("anchor", "content", "doc_d", "twin", "first_d", "count", "lead"))
         order = np.lexsort((doc, content, anchor))
-        anchor, content, doc, twin, first, count = (x[order] for x in (anchor, content, doc, twin, first, count))
+        anchor, content, doc, twin, first, count, lead = (x[order] for x in (anchor, content, doc, twin, first, count.astype(np.int64), lead))
         group = _runs(anchor, content)
         least = doc[np.flatnonzero(np.diff(group, prepend=-1))][group]
         whole = doc > least
@@ -114,25 +115,25 @@ def _meet(table: pa.Table) -> pa.Table:
         np.maximum.at(high, same, least)
         unsure = ~whole & (low < high)[same]
         shard = int(table.column("shard")[0].as_py())
-        out.append(_found(doc[unsure], twin[unsure], _spans(first[unsure], count[unsure]), anchor[unsure].astype(np.int64) | (shard << 32)))
+        out.append(_found(doc[unsure], twin[unsure], _spans(first[unsure], (lead[unsure].astype(np.int64) << 16) | count[unsure]), anchor[unsure].astype(np.int64) | (shard << 32)))
     return pa.concat_tables(out)
 
 
 def _compare(table: pa.Table, repeated: Callable) -> pa.Table:
     """One shard of open regions: spans of the windows that a smaller document has too."""
     parts = [T.unpack(b.as_py()) for b in table.column("blob")]
-    key, doc, twin, first, count = (np.concatenate([p[k] for p in parts]) for k in ("key", "doc_d", "twin", "first_d", "count"))
+    key, doc, twin, first, count, lead = (np.concatenate([p[k] for p in parts]) for k in ("key", "doc_d", "twin", "first_d", "count", "lead"))
     body = [x.as_py() for x in table.column("body")]
     size = [np.diff(p["end_d"], prepend=0) for p in parts]
-    which, a, b = repeated(key, doc, count, b"".join(body), np.concatenate(size))
+    which, a, b = repeated(key, doc, count.astype(np.int64), lead.astype(np.int64), b"".join(body), np.concatenate(size))
     return _found(doc[which], twin[which], _spans(first[which] + a, first[which] + b))
 
 
 def repeated_spans(docs: DataFrame, regions: Regions, cut_out: Callable, repeated: Callable) -> DataFrame:
     """(doc_id, twin, spans) of the documents with repeats. docs: doc_id long, twin int, text.
 
-    cut_out(text bytes, [(first, windows)]) gives the contents of regions; repeated(key, doc, count, contents,
-    sizes) gives the regions' numbers and, in units from each region's first, the spans that repeat.
+    cut_out(text bytes, first, windows) gives the contents of regions; repeated(key, doc, count, lead, contents, sizes)
+    gives the regions' numbers and, in units from each region's first, the spans that repeat.
     """
     n = shards(docs.sparkSession)
     source = docs.filter("doc_id is not null")
@@ -147,24 +148,24 @@ def repeated_spans(docs: DataFrame, regions: Regions, cut_out: Callable, repeate
             values, edge = asks.flatten(), asks.offsets.to_numpy()
             edge = edge - edge[0]
             keys, spans = values.field("key").to_numpy(), values.field("span").to_numpy()
-            key, doc, twin, first, count, size, body = [], [], [], [], [], [], []
+            key, doc, twin, first, count, lead, size, body = [], [], [], [], [], [], [], []
             for r in range(batch.num_rows):
                 a, b = edge[r], edge[r + 1]
-                where, many = spans[a:b] >> 32, spans[a:b] & 0xFFFFFFFF
+                where, many = spans[a:b] >> 32, spans[a:b] & 0xFFFF
                 got = cut_out(buf[off[r] : off[r + 1]], where, many)
-                key.append(keys[a:b]), first.append(where), count.append(many)
+                key.append(keys[a:b]), first.append(where), count.append(many), lead.append((spans[a:b] >> 16) & 0xFFFF)
                 doc.append(np.full(b - a, ids[r])), twin.append(np.full(b - a, twins[r]))
                 size.append(np.array([len(x) for x in got], dtype=np.int64))
                 body += got
             if not body:
                 continue
-            key, doc, twin, first, count, size = (np.concatenate(x) for x in (key, doc, twin, first, count, size))
+            key, doc, twin, first, count, lead, size = (np.concatenate(x) for x in (key, doc, twin, first, count, lead, size))
             shard = (T.mix(key.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
                 o = order[a:b]
-                blob = T.pack(key=key[o], doc_d=doc[o], twin=twin[o].astype(np.uint16), first_d=first[o], count=count[o].astype(np.uint32), end_d=np.cumsum(size[o]))
+                blob = T.pack(key=key[o], doc_d=doc[o], twin=twin[o].astype(np.uint16), first_d=first[o], count=count[o].astype(np.uint16), lead=lead[o].astype(np.uint8), end_d=np.cumsum(size[o]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(shard[o[0]])], pa.int32()), pa.array([blob], pa.binary()), pa.array([b"".join([body[k] for k in o])], pa.binary())], ["shard", "blob", "body"]
                 )

@@ -95,7 +95,7 @@ def regions(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(head, len(at)))
     first = at[head]
     content = T.mix(prefix.of(first, first + count + WINDOW - 1) ^ T.mix((count * 64 + place[head] - first).astype(np.uint64)))
-    return row[first], first - first_word[row[first]], count, key[head], content
+    return row[first], first - first_word[row[first]], count, key[head], content, place[head] - first
 
 
 def cut_out(text: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[bytes]:
@@ -103,7 +103,7 @@ def cut_out(text: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[byte
     return [b" ".join(words[a : a + n + WINDOW - 1]) for a, n in zip(first.tolist(), count.tolist())]
 
 
-def repeated(key: np.ndarray, doc: np.ndarray, count: np.ndarray, contents: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(key: np.ndarray, doc: np.ndarray, count: np.ndarray, lead: np.ndarray, contents: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(region, first word, end) of the windows of open regions that a smaller document with the same anchor has."""
     stop = np.cumsum(size).tolist()
     begin = [0, *stop[:-1]]
