@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, ogg, packing, quality, simhash, substring_bytes, substring_words, token_counts
+from . import bpe, langid, lm, ogg, oracle, packing, quality, simhash, substring_bytes, substring_words, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_suffix_dedup": oracle.BYTE_REPEATS, "op8_recompression_dedup": oracle.WORD_REPEATS}
