@@ -9,10 +9,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracelake.queries import fleet, plans, signals, traces
+from tracelake.queries import documents, fleet, plans, signals, traces
 
 SF = "/root/testdata/sf0.001"
-ALL = fleet.QUERIES | traces.QUERIES | signals.QUERIES | plans.QUERIES
+ALL = fleet.QUERIES | traces.QUERIES | signals.QUERIES | documents.QUERIES | plans.QUERIES
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 
 
