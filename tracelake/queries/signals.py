@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -15,11 +15,17 @@ from ..sources import adapters as A
 from ..sources import readers as R
 from . import sql as Q
 
-_SVC = F.col("resource.attributes")["service.name"]
-_BODY = F.col("body.string_value")
 END = "2024-01-31"
 
 
+def _svc() -> Column:
+    return F.col("resource.attributes")["service.name"]
+
+
+def _body() -> Column:
+    return F.col("body.string_value")
+
+
 def _events(f):
     return lambda spark, d: f(A.spans_from_events(spark, d))
 
@@ -177,11 +183,11 @@ QUERIES = {
         Q.with_logs("SELECT timestamp AS event_time, body AS message, service, CAST(NULL AS VARCHAR) AS version FROM logs WHERE severity = 'ERROR' AND timestamp >= TIMESTAMP '2024-01-24'"),
     ),
     "log_signature_patterns": (
-        _logs(lambda l: L.log_signature_patterns(l, _BODY)),
+        _logs(lambda l: L.log_signature_patterns(l, _body())),
         Q.with_logs(f"SELECT {_mask_sql('body', L.SIGNATURE_MASKS)} AS pattern_signature, count(*) AS occurrence_count, min(body) AS sample_log, array_to_string(list_sort(list(DISTINCT severity)), ',') AS severities, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM logs GROUP BY 1 ORDER BY occurrence_count DESC, pattern_signature LIMIT 100"),
     ),
     "mask_variables": (
-        _logs(lambda l: L.mask_variables(l.select("insert_id", _BODY.alias("message"))).select("insert_id", "masked")),
+        _logs(lambda l: L.mask_variables(l.select("insert_id", _body().alias("message"))).select("insert_id", "masked")),
         Q.with_logs(f"SELECT insert_id, {_mask_sql('body', L.VARIABLE_MASKS)} AS masked FROM logs"),
     ),
     "template_patterns": (
@@ -260,7 +266,7 @@ QUERIES = {
         Q.with_events(f"{_SLO}, i AS (SELECT service AS service_name, CAST(start_time AS DATE) AS day, count(*) * 10.0::DOUBLE AS duration_minutes FROM s WHERE is_error GROUP BY 1, 2), j AS (SELECT *, coalesce(rolling_days, 30) * 1440 * (1 - goal) AS b FROM i JOIN slo USING (service_name)) SELECT service_name, day, duration_minutes, round(b, 4) AS budget_minutes, round(duration_minutes / b * 100, 2) AS budget_used_pct, CASE WHEN duration_minutes / b * 100 >= 50 THEN 'CRITICAL' WHEN duration_minutes / b * 100 >= 20 THEN 'HIGH' WHEN duration_minutes / b * 100 >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS impact FROM j"),
     ),
     "logs_for_traces_direct_and_nearby": (
-        _both(lambda s, l: X.logs_for_traces_direct_and_nearby(s, l, _SVC, 3600)),
+        _both(lambda s, l: X.logs_for_traces_direct_and_nearby(s, l, _svc(), 3600)),
         Q.with_events_and_logs(
             "n AS (SELECT s.trace_id, l.insert_id, l.timestamp, l.severity, row_number() OVER (PARTITION BY s.trace_id ORDER BY l.timestamp, l.insert_id) AS k FROM s JOIN logs l ON l.service = s.service AND l.timestamp BETWEEN s.start_time - INTERVAL 1 HOUR AND s.end_time + INTERVAL 1 HOUR WHERE l.severity IN ('ERROR', 'WARN') AND (l.trace_id IS NULL OR l.trace_id <> s.trace_id)) "
             "SELECT s.trace_id, insert_id, timestamp, severity, 'direct' AS correlation FROM s JOIN logs l ON l.trace_id = s.trace_id UNION ALL SELECT trace_id, insert_id, timestamp, severity, 'nearby' FROM n WHERE k <= 20"
@@ -275,7 +281,7 @@ QUERIES = {
         Q.with_events(f"{_P} SELECT s.trace_id, service_name, metric_type, count(*) AS points, round(avg(value), 4) AS avg_value, min(value) AS min_value, max(value) AS max_value FROM s JOIN p ON p.service_name = s.service AND p.ts BETWEEN s.start_time - INTERVAL 30 MINUTE AND s.end_time + INTERVAL 30 MINUTE WHERE s.is_error GROUP BY 1, 2, 3"),
     ),
     "cross_signal_timeline": (
-        _both(lambda s, l: X.cross_signal_timeline(s, l, _SVC, 1800)),
+        _both(lambda s, l: X.cross_signal_timeline(s, l, _svc(), 1800)),
         Q.with_events_and_logs(
             "n AS (SELECT s.trace_id, l.*, row_number() OVER (PARTITION BY s.trace_id ORDER BY l.timestamp, l.insert_id) AS k, s.start_time FROM s JOIN (SELECT insert_id, timestamp, severity, service, trace_id AS lt, body FROM logs) l ON l.service = s.service AND l.timestamp BETWEEN s.start_time - INTERVAL 30 MINUTE AND s.end_time + INTERVAL 30 MINUTE WHERE l.severity IN ('ERROR', 'WARN') AND (l.lt IS NULL OR l.lt <> s.trace_id)), "
             "u AS (SELECT trace_id, 'SPAN' AS event_type, start_time AS event_time, service AS service_name, span_id AS event_id, name AS description, round(ms, 3) AS duration_ms, CAST(NULL AS VARCHAR) AS severity, start_time AS a FROM s UNION ALL SELECT s.trace_id, 'LOG_DIRECT', l.timestamp, l.service, insert_id, body, NULL, severity, s.start_time FROM s JOIN logs l ON l.trace_id = s.trace_id UNION ALL SELECT trace_id, 'LOG_TEMPORAL', timestamp, service, insert_id, body, NULL, severity, start_time FROM n WHERE k <= 50) "
@@ -283,7 +289,7 @@ QUERIES = {
         ),
     ),
     "signal_correlation_strength": (
-        _both(lambda s, l: X.signal_correlation_strength(s, l, _SVC)),
+        _both(lambda s, l: X.signal_correlation_strength(s, l, _svc())),
         Q.with_events_and_logs("a AS (SELECT service AS service_name, count(*) AS span_count, count(DISTINCT trace_id) AS t FROM s GROUP BY 1), b AS (SELECT service AS service_name, count(*) AS log_count, count(trace_id) AS w, count(DISTINCT trace_id) AS x FROM logs GROUP BY 1), c AS (SELECT service_name, span_count, log_count, least(100.0::DOUBLE, w / log_count * 100) AS p, least(100.0::DOUBLE, x / t * 100) AS q FROM a FULL JOIN b USING (service_name)) SELECT service_name, span_count, log_count, round(p, 1) AS log_trace_pct, round(q, 1) AS trace_log_pct, 0.0::DOUBLE AS log_span_pct, round(0.4::DOUBLE * p + 0.4::DOUBLE * q + 10, 1) AS score, CASE WHEN 0.4::DOUBLE * p + 0.4::DOUBLE * q + 10 < 50 THEN 'LOW' WHEN 0.4::DOUBLE * p + 0.4::DOUBLE * q + 10 < 80 THEN 'MEDIUM' ELSE 'GOOD' END AS status FROM c"),
     ),
     "trace_to_pods": (
@@ -308,7 +314,7 @@ QUERIES = {
         f"WITH {_P}, h AS (SELECT metric_type, shard, ts, event_id, floor(value / 20) AS v, floor(value / 20) - lag(floor(value / 20)) OVER (PARTITION BY metric_type, shard ORDER BY ts, event_id) AS step FROM p) SELECT metric_type, shard, count(*) FILTER (step > 0) AS scale_ups, count(*) FILTER (step < 0) AS scale_downs, min(v) AS min_replicas, max(v) AS max_replicas, arg_max(v, (ts, event_id)) AS current_replicas, count(*) FILTER (step <> 0) > 20 AS is_thrashing, arg_max(v, (ts, event_id)) = max(v) AS at_max FROM h GROUP BY 1, 2",
     ),
     "oom_events": (
-        _logs(lambda l: K.oom_events(l, _BODY, "event error")),
+        _logs(lambda l: K.oom_events(l, _body(), "event error")),
         Q.with_logs("SELECT 'shop' AS namespace, 'web-' || (user_id % 10) || '-a1-' || (event_id % 7) AS pod, 'web' AS container, count(*) AS events, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM logs WHERE contains(body, 'event error') GROUP BY 1, 2, 3"),
     ),
     "memory_risks": (
