@@ -32,9 +32,10 @@ def walk(spans: DataFrame, start: DataFrame, carry: Callable[[str, str], list[Co
     """Rows for every span that the start spans reach, with depth and carried columns.
 
     first: the carried columns of a start span; carry(up, down): those of a child, from its parent's row (alias up) and its
-    own (alias down). Each level is checkpointed, so the plan does not grow with the depth.
+    own (alias down). The spans are worked out once; each level is checkpointed, so the plan does not grow with the depth.
     """
     cols = ["trace_id", "span_id"]
+    spans = cut(spans.filter("parent_span_id is not null"))
     level = cut(start.select(*cols, F.lit(0).alias("depth"), *first))
     out = level
     for _ in range(max_depth):
