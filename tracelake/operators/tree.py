@@ -32,7 +32,7 @@ def walk(spans: DataFrame, start: DataFrame, carry: Callable[[str, str], list[Co
     """Rows for every span that the start spans reach, with depth and carried columns.
 
     first: the carried columns of a start span; carry(up, down): those of a child, from its parent's row (alias up) and its
-    own (alias down). The spans are worked out once; each level is checkpointed, so the plan does not grow with the depth.
+    own (alias down). The spans are worked out once; each level is written out, so the plan does not grow with the depth.
     """
     cols = ["trace_id", "span_id"]
     spans = cut(spans.filter("parent_span_id is not null"))
@@ -170,7 +170,7 @@ def causal_analysis(spans: DataFrame, pairs: DataFrame, limit: int = 10) -> Data
     name, weighted by depth, critical path and self time."""
     df = slim(spans)
     base = pairs.join(df, F.col("baseline_trace_id") == F.col("trace_id")).groupBy("baseline_trace_id", "target_trace_id", "name").agg(F.avg("ms").alias("baseline_ms"))
-    mine = spans.join(pairs.select(F.col("target_trace_id").alias("trace_id")).distinct(), "trace_id", "left_semi")
+    mine = cut(spans.join(pairs.select(F.col("target_trace_id").alias("trace_id")).distinct(), "trace_id", "left_semi").drop("events", "links"))
     path = critical_path_blocking(mine).select("trace_id", F.explode("critical_path").alias("p")).select("trace_id", F.col("p.span_id").alias("span_id"), F.col("p.self_ms").alias("self_ms"))
     target = slim(mine).join(depths(mine), ["trace_id", "span_id"], "left").join(path, ["trace_id", "span_id"], "left")
     j = target.join(base, (F.col("trace_id") == F.col("target_trace_id")) & (target["name"] == base["name"])).drop(base["name"])
