@@ -98,7 +98,7 @@ def trend_changes(spans: DataFrame, as_of: str, hours: float, metric: str = "p95
     change = F.try_divide(F.col("value") - old, old) * 100
     size_of = F.abs(change)
     return out.select(
-        *keys, "bucket", "sample_count", "value", F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 2).alias("moving_avg"), F.round(F.col("value") - old, 2).alias("delta"),
+        *keys, "bucket", "sample_count", "value", F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("moving_avg"), F.round(F.col("value") - old, 2).alias("delta"),
         F.round(change, 1).alias("pct_change"), F.when(size_of >= 20, "SIGNIFICANT").when(size_of >= 10, "MODERATE").otherwise("STABLE").alias("change_class"),
     )
 

@@ -75,7 +75,7 @@ QUERIES = {
         Q.with_events(
             "g AS (SELECT date_trunc('hour', start_time) AS bucket, count(*) AS sample_count, round(quantile_disc(ms, 0.95), 2) AS value FROM s WHERE start_time >= TIMESTAMP '2023-12-31' GROUP BY 1 HAVING count(*) >= 10), "
             "h AS (SELECT *, avg(value) OVER (ORDER BY bucket ROWS 2 PRECEDING) AS a, lag(value) OVER (ORDER BY bucket) AS o FROM g) "
-            "SELECT bucket, sample_count, value, round(a, 2) AS moving_avg, round(value - o, 2) AS delta, round((value - o) / o * 100, 1) AS pct_change, CASE WHEN abs((value - o) / o * 100) >= 20 THEN 'SIGNIFICANT' WHEN abs((value - o) / o * 100) >= 10 THEN 'MODERATE' ELSE 'STABLE' END AS change_class FROM h"
+            "SELECT bucket, sample_count, value, round(a, 6) AS moving_avg, round(value - o, 2) AS delta, round((value - o) / o * 100, 1) AS pct_change, CASE WHEN abs((value - o) / o * 100) >= 20 THEN 'SIGNIFICANT' WHEN abs((value - o) / o * 100) >= 10 THEN 'MODERATE' ELSE 'STABLE' END AS change_class FROM h"
         ),
     ),
     "trend_changes_error_rate_4h": (
@@ -83,7 +83,7 @@ QUERIES = {
         Q.with_events(
             "g AS (SELECT time_bucket(INTERVAL 4 HOUR, start_time, TIMESTAMP '1970-01-01') AS bucket, count(*) AS sample_count, round(count(*) FILTER (is_error) / count(*) * 100, 2) AS value FROM s WHERE start_time >= TIMESTAMP '2023-12-31' GROUP BY 1 HAVING count(*) >= 10), "
             "h AS (SELECT *, avg(value) OVER (ORDER BY bucket ROWS 2 PRECEDING) AS a, lag(value) OVER (ORDER BY bucket) AS o FROM g), k AS (SELECT *, CASE WHEN o <> 0 THEN (value - o) / o * 100 END AS c FROM h) "
-            "SELECT bucket, sample_count, value, round(a, 2) AS moving_avg, round(value - o, 2) AS delta, round(c, 1) AS pct_change, CASE WHEN abs(c) >= 20 THEN 'SIGNIFICANT' WHEN abs(c) >= 10 THEN 'MODERATE' ELSE 'STABLE' END AS change_class FROM k"
+            "SELECT bucket, sample_count, value, round(a, 6) AS moving_avg, round(value - o, 2) AS delta, round(c, 1) AS pct_change, CASE WHEN abs(c) >= 20 THEN 'SIGNIFICANT' WHEN abs(c) >= 10 THEN 'MODERATE' ELSE 'STABLE' END AS change_class FROM k"
         ),
     ),
     "span_events": (
