@@ -32,6 +32,8 @@ BUCKETS, TEXTS_A_LANGUAGE, LANGUAGES = 1 << 14, 2_000, 32
 SMOOTHING = 5.0
 #: Trigrams overlap; a text counts as so much less evidence, and as this many trigrams at most.
 OVERLAP, MOST = 3.0, 600.0
+#: Hosts up to which their table is broadcast (some hundred bytes each); beyond, it is joined by shuffling.
+BROADCAST_HOSTS = 10_000
 #: Posterior from which a language counts as certain.
 CERTAIN = 0.5
 
@@ -174,7 +176,13 @@ def identify(rows: DataFrame, model: TextModel, text_col: str, declared: Column,
         smooth = "transform(mass, (m, i) -> (m + {s}D * up[i]) / (aggregate(mass, 0D, (a, b) -> a + b) + {s}D))".format(s=SMOOTHING)
         priors = level.withColumn("prior", F.expr(smooth)).select(*names[:i], "mass", "up", "prior")
     own = f"transform(mass, (m, i) -> (greatest(m - p[i], 0D) + {SMOOTHING}D * up[i]) / (greatest(aggregate(mass, 0D, (a, b) -> a + b) - 1D, 0D) + {SMOOTHING}D))"
-    joined = found.join(priors.select(*names, "mass", "up"), names).withColumn("_prior", F.expr(own)) if names else found.withColumn("_prior", parent)
+    if names:
+        hosts = cut(priors.select(*names, "mass", "up"))
+        # a host with a large share of the rows stays where its rows are while the table of hosts is small
+        hosts = F.broadcast(hosts) if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else hosts
+        joined = found.join(hosts, names).withColumn("_prior", F.expr(own))
+    else:
+        joined = found.withColumn("_prior", parent)
     says = F.create_map(*[x for d, v in declares.items() for x in (F.lit(d), F.array(*[F.lit(y) for y in v]))]) if declares else F.lit(None)
     joined = joined.withColumn("_says", says[F.col("_said")] if declares else F.array(*[F.lit(0.0)] * k))
     joined = joined.withColumn("_sum", F.expr("transform(ll, (x, i) -> x + _says[i] + ln(greatest(_prior[i], 1e-9D)))")).withColumn("_post", _softmax("_sum"))
