@@ -135,8 +135,8 @@ def repeated_spans(docs: DataFrame, regions: Regions, cut_out: Callable, repeate
     cut_out(text bytes, first, windows) gives the contents of regions; repeated(key, doc, count, lead, contents, sizes)
     gives the regions' numbers and, in units from each region's first, the spans that repeat.
     """
-    n = shards(docs.sparkSession)
     source = docs.filter("doc_id is not null")
+    n = shards(docs.sparkSession, source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     found = cut(_send(source, regions, n).groupBy("shard").applyInArrow(_meet, _FOUND))
     asked = found.filter("key is not null").groupBy("doc_id", "twin").agg(F.collect_list(F.struct("key", "span")).alias("asked"))
 

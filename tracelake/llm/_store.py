@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of text whose keyed records one shard holds.
+SHARD_BYTES = 64 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where it is unset (one machine, as in tests), a temporary folder."""
@@ -27,6 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shards(spark: SparkSession) -> int:
-    """Groups to deal keyed work into: as many as the session's shuffle partitions, which follow the input's size."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def shards(spark: SparkSession, n_bytes: int) -> int:
+    """Groups to deal keyed work over ``n_bytes`` of text into: at least as many as the session's shuffle partitions, and
+    so many that each holds what SHARD_BYTES of text give, whatever that setting is. One task works on one at a time."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-n_bytes // SHARD_BYTES))

@@ -97,11 +97,12 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         pa.array([T.pack(code=code.astype(np.uint32))], pa.binary()),
                         pa.array([int(learn.sum())], pa.int64()),
                         pa.array([int((learn & (fold[i:j] != TUNE)).sum())], pa.int64()),
+                        pa.array([int(off[j] - off[i])], pa.int64()),
                     ],
-                    ["block", "rows", "words", "codes", "docs", "docs_fit"],
+                    ["block", "rows", "words", "codes", "docs", "docs_fit", "bytes"],
                 )
 
-    return source.mapInArrow(run, "block long, rows binary, words binary, codes binary, docs long, docs_fit long")
+    return source.mapInArrow(run, "block long, rows binary, words binary, codes binary, docs long, docs_fit long, bytes long")
 
 
 def _ask(blocks: DataFrame, n: int) -> DataFrame:
@@ -233,9 +234,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10."""
     spark = docs.sparkSession
     blocks = cut(_read(docs, id_col, text_col))
-    learned = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("docs_fit"), F.lit(0))).first()
+    *learned, n_bytes = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("docs", "docs_fit", "bytes")]).first()
     answers = cut(
-        _ask(blocks, shards(spark)).groupBy("shard").applyInArrow(_answer, "block long, shard int, words binary, pairs binary, n long, v long, n_fit long, v_fit long")
+        _ask(blocks, shards(spark, n_bytes)).groupBy("shard").applyInArrow(_answer, "block long, shard int, words binary, pairs binary, n long, v long, n_fit long, v_fit long")
     )
     total, distinct, total_fit, _ = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v"), F.sum("n_fit"), F.sum("v_fit")).first())
     joined = cut(

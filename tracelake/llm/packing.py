@@ -135,7 +135,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, partitions: int | None = None)
     )
     todo = pieces.filter(F.col("length") < capacity)
     deal = [F.pmod(F.xxhash64(*names.values()), F.lit(1 << 30)).cast("int").alias("key"), "*"]
-    count = partitions or max(1, min(shards(spark), todo.count() // 2000))
+    n = 0 if partitions else todo.count()
+    count = partitions or max(1, min(max(shards(spark, 0), n // PIECES_A_PARTITION), n // 2000))
     done, before = [full], 1
     for turn in range(ROUNDS + 1):
         last, few = turn == ROUNDS or count == 1, count
