@@ -1,31 +1,41 @@
 """Token counts without ids.
 
 A text is a bag of pre-tokens (white-space marks and the characters after them, which no piece of the model
-crosses). Each task counts the pieces of each distinct pre-token once, joins those counts to the pre-token
-frequencies of its documents and sums; ids are not kept. The join stays inside the task: joining over the
-cluster would shuffle a row for every pre-token of every document, several times the input.
+crosses). Texts are read in blocks, each kept as its distinct pre-tokens and the frequencies of these in every
+document. Shards of the hash range meet the pre-tokens of all blocks, count the pieces of each distinct one once,
+and answer in the order asked; answers join their block's frequencies and are summed for each document. A frequent
+pre-token is one entry a block, so no shard grows with its frequency.
 
 Null and empty texts have no tokens. Repeated rows each give a row; further columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
 from . import _tokens as K
+from ._store import cut, shards
+
+#: Bytes of text in a block (a longer text is a block of its own).
+BLOCK = 16 << 20
+#: Pre-tokens that go to the model in one call.
+CALL = 20_000
 
 _loaded: dict = {}
 
 
-def _units(model_path: str) -> K.Units:
-    """Counts of units by a SentencePiece model that puts a space before each text it is given: so one space of a
-    unit that begins with one is left to the model."""
+def _pieces(model_path: str) -> Callable[[list[bytes]], np.ndarray]:
+    """Counts of pieces by a SentencePiece model that puts a space before each text it is given: so one space of a
+    pre-token that begins with one is left to the model."""
     if model_path not in _loaded:
         import sentencepiece
 
@@ -33,10 +43,14 @@ def _units(model_path: str) -> K.Units:
         mark = model.piece_to_id("▁")
         alone = 1 if not model.is_unknown(mark) else len(model.encode("  ")) - 1
 
-        def encode(units: list[bytes]) -> list[int]:
-            return [len(ids) if u else alone for u, ids in zip(units, model.encode([u.decode() for u in units], num_threads=1))]
+        def count(units: list[bytes]) -> np.ndarray:
+            out = np.zeros(len(units), dtype=np.uint32)
+            for k in range(0, len(units), CALL):
+                part = units[k : k + CALL]
+                out[k : k + CALL] = [len(ids) if u else alone for u, ids in zip(part, model.encode([u.decode() for u in part], num_threads=1))]
+            return out
 
-        _loaded[model_path] = K.Units(encode)
+        _loaded[model_path] = count
     return _loaded[model_path]
 
 
@@ -53,21 +67,92 @@ def pre_token_frequencies(buf: np.ndarray, off: np.ndarray) -> tuple[list[bytes]
     return units, pair // len(units), pair % len(units), times
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, n_tokens, over_limit) of every row, as the model's own library counts whole texts."""
-    source = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+def _pack_units(units: list[bytes]) -> list[pa.Array]:
+    sizes = T.pack(size=np.fromiter(map(len, units), np.uint32, len(units)))
+    return [pa.array([sizes], pa.binary()), pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(units))], pa.binary())]
+
+
+def _unpack_units(sizes: bytes, body: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    end = np.cumsum(T.unpack(sizes)["size"], dtype=np.int64).tolist()
+    return [raw[a:b] for a, b in zip([0, *end], end)]
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row a block: ids and bytes of its documents, its distinct pre-tokens by hash, and their frequencies."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _units(model_path)
         for batch in batches:
             buf, off = T.column(batch, "text")
-            total = np.zeros(len(off) - 1, dtype=np.int64)
-            for i, j in T.slices(off):
-                distinct, row, which, times = pre_token_frequencies(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                if distinct:
-                    pieces = np.array(units.of(distinct), dtype=np.int64)
-                    np.add.at(total, row + i, times * pieces[which])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(total), pa.array(total > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
-
-    return source.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+            for i, j in T.slices(off, BLOCK):
+                units, row, which, times = pre_token_frequencies(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                place = np.fromiter(map(crc32, units), np.uint32, len(units))
+                order = np.argsort(place, kind="stable")
+                rank = np.empty(len(order), dtype=np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                ids = batch.column(0).slice(i, j - i)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids),
+                        pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), pa.array(np.diff(off[i : j + 1]))),
+                        *_pack_units([units[k] for k in order.tolist()]),
+                        pa.array([T.pack(place_d=place[order])], pa.binary()),
+                        pa.array([T.pack(row_d=row, which=rank[which], times=times.astype(np.uint32))], pa.binary()),
+                    ],
+                    ["block", "ids", "sizes", "unit_sizes", "units", "places", "frequencies"],
+                )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return source.mapInArrow(run, f"block long, ids array<{kind}>, sizes array<bigint>, unit_sizes binary, units binary, places binary, frequencies binary")
+
+
+def _ask(blocks: DataFrame, n: int) -> DataFrame:
+    """Each block's distinct pre-tokens, dealt to n shards of the hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, sizes, body, places = (batch.column(c)[k].as_py() for c in range(4))
+                units = _unpack_units(sizes, body)
+                edge = np.searchsorted(T.unpack(places)["place_d"].astype(np.uint64) * np.uint64(n) >> np.uint64(32), np.arange(n + 1).astype(np.uint64)).tolist()
+                for s, (a, b) in enumerate(zip(edge, edge[1:])):
+                    if a < b:
+                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block], pa.int64()), *_pack_units(units[a:b])], ["shard", "block", "unit_sizes", "units"])
+
+    return blocks.select("block", "unit_sizes", "units", "places").mapInArrow(run, "shard int, block long, unit_sizes binary, units binary")
+
+
+def _answer(model_path: str) -> Callable[[pa.Table], pa.Table]:
+    """One shard: the pieces of each distinct pre-token of all blocks, counted once, in the order each block asked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = [_unpack_units(a.as_py(), b.as_py()) for a, b in zip(table.column("unit_sizes"), table.column("units"))]
+        number: dict[bytes, int] = {}
+        which = [np.array([number.setdefault(u, len(number)) for u in units], dtype=np.int64) for units in asked]
+        pieces = _pieces(model_path)(list(number))
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "pieces": pa.array([T.pack(n=pieces[w]) for w in which], pa.binary())})
+
+    return run
+
+
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_bytes, n_tokens, over_limit) of every row, as the model's own library counts whole texts."""
+    blocks = cut(_read(docs, id_col, text_col))
+    n_bytes = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    answers = _ask(blocks, shards(docs.sparkSession, n_bytes)).groupBy("shard").applyInArrow(_answer(model_path), "block long, shard int, pieces binary")
+
+    def join(block: pa.Table, answer: pa.Table) -> pa.Table:
+        ids, sizes = (block.column(c).combine_chunks().flatten() for c in ("ids", "sizes"))
+        f = T.unpack(block.column("frequencies")[0].as_py())
+        order = np.argsort(answer.column("shard").to_numpy()).tolist()
+        pieces = np.concatenate([np.zeros(0, np.int64), *[T.unpack(answer.column("pieces")[k].as_py())["n"] for k in order]])
+        if len(f["which"]) and len(pieces) != int(f["which"].max()) + 1:
+            raise RuntimeError("a block's answers are incomplete")
+        total = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(total, f["row_d"], f["times"] * pieces[f["which"]].astype(np.int64))
+        return pa.table({id_col: ids, "n_bytes": sizes, "n_tokens": pa.array(total), "over_limit": pa.array(total > limit)})
+
+    joined = blocks.select("block", "ids", "sizes", "frequencies").groupBy("block").cogroup(answers.groupBy("block"))
+    return joined.applyInArrow(join, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
