@@ -89,23 +89,26 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 units, row, which, times = pre_token_frequencies(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 place = np.fromiter(map(crc32, units), np.uint32, len(units))
                 order = np.argsort(place, kind="stable")
-                rank = np.empty(len(order), dtype=np.uint32)
-                rank[order] = np.arange(len(order), dtype=np.uint32)
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = np.arange(len(order))
+                key = row * len(units) + rank[which]  # small steps once sorted
+                by_key = np.argsort(key)
                 ids = batch.column(0).slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([uuid.uuid4().int >> 65], pa.int64()),
                         pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids),
                         pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), pa.array(np.diff(off[i : j + 1]))),
+                        pa.array([len(units)], pa.int64()),
                         *_pack_units([units[k] for k in order.tolist()]),
                         pa.array([T.pack(place_d=place[order])], pa.binary()),
-                        pa.array([T.pack(row_d=row, which=rank[which], times=times.astype(np.uint32))], pa.binary()),
+                        pa.array([T.pack(key_d=key[by_key], times=times[by_key].astype(np.uint32))], pa.binary()),
                     ],
-                    ["block", "ids", "sizes", "unit_sizes", "units", "places", "frequencies"],
+                    ["block", "ids", "sizes", "n_units", "unit_sizes", "units", "places", "frequencies"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"block long, ids array<{kind}>, sizes array<bigint>, unit_sizes binary, units binary, places binary, frequencies binary")
+    return source.mapInArrow(run, f"block long, ids array<{kind}>, sizes array<bigint>, n_units long, unit_sizes binary, units binary, places binary, frequencies binary")
 
 
 def _ask(blocks: DataFrame, n: int) -> DataFrame:
@@ -148,11 +151,12 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
         f = T.unpack(block.column("frequencies")[0].as_py())
         order = np.argsort(answer.column("shard").to_numpy()).tolist()
         pieces = np.concatenate([np.zeros(0, np.int64), *[T.unpack(answer.column("pieces")[k].as_py())["n"] for k in order]])
-        if len(f["which"]) and len(pieces) != int(f["which"].max()) + 1:
+        if len(pieces) != block.column("n_units")[0].as_py():
             raise RuntimeError("a block's answers are incomplete")
+        row, which = np.divmod(f["key_d"], max(1, len(pieces)))
         total = np.zeros(len(ids), dtype=np.int64)
-        np.add.at(total, f["row_d"], f["times"] * pieces[f["which"]].astype(np.int64))
+        np.add.at(total, row, f["times"] * pieces[which])
         return pa.table({id_col: ids, "n_bytes": sizes, "n_tokens": pa.array(total), "over_limit": pa.array(total > limit)})
 
-    joined = blocks.select("block", "ids", "sizes", "frequencies").groupBy("block").cogroup(answers.groupBy("block"))
+    joined = blocks.select("block", "ids", "sizes", "n_units", "frequencies").groupBy("block").cogroup(answers.groupBy("block"))
     return joined.applyInArrow(join, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
