@@ -478,6 +478,22 @@ def test_near_copies_by_jaccard(spark):
     assert wrong == 0
 
 
+def test_near_copies_around_one_original(spark):
+    """Variants that are near copies of the original, and hardly ever of each other, are one class."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    original = [word() for _ in range(300)]
+    rows = [(0, " ".join(original))]
+    for k in range(1, 301):
+        edited = list(original)
+        for place in range(r.randint(2, 9), 300, 60):
+            edited[place] = word()
+        rows.append((k, " ".join(edited)))
+    rows += [(k, " ".join(word() for _ in range(300))) for k in range(301, 321)]
+    got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {g["id"]: g["keep_id"] for g in got} == {k: k if k > 300 else 0 for k, _ in rows}
+
+
 # ---------------------------------------------------------------- token counts
 
 

@@ -188,37 +188,124 @@ def sampled_fingerprints(shingles: np.ndarray) -> list[int]:
     return out
 
 
+#: Rows, about, whose shingles tell which are common; common shingles held at most; rows of a sample with a common one.
+#: These order the shingles and so decide only how many pairs are compared, not which are found.
+ORDER_ROWS, COMMON, COMMON_FROM = 20_000, 50_000, 4
+#: Pairs for each row of a shared shingle up to which all are compared at once, without rounds of central texts first.
+PAIRS_A_ROW = 4
+
+
+def common_shingles(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that many of some rows of ``base`` (id, text_key, text) have, by hash."""
+    n = base.count()
+    some = base.filter(F.pmod(F.xxhash64("id", "text_key"), F.lit(1_000_000)) < 1_000_000 * ORDER_ROWS / max(1, n)).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = T.column(batch, "text")
+            for i, j in T.slices(off):
+                sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
+                values, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count)], ["h", "n"])
+
+    top = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r[1] for r in top], dtype=np.int64)[order]
+
+
+def prefix_of(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a sorted set, rarest first (hashes settle ties): so many that any set at least as similar
+    as ``similarity`` has one of them in its own prefix."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    at = np.minimum(np.searchsorted(common[0], shingles), max(0, len(common[0]) - 1))
+    count = np.where(common[0][at] == shingles, common[1][at], 0) if len(common[0]) else np.zeros(n, np.int64)
+    return shingles[np.lexsort((shingles, count))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.xxhash64(F.coalesce("root", "text_key")))
+
+
+def shared_shingles(rows: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(text_key, n, place, shingle) of the prefix shingles that texts of different classes have."""
+    one = rows.select("id", "text_key", "prefix").join(texts.select("text_key", F.col("id").alias("low")), "text_key").filter(F.col("id").eqNullSafe(F.col("low")))
+    # a hash stands for the text while most shingles go; texts of equal hashes would both come back
+    slim = cut(_rooted(one, roots).select(F.xxhash64("text_key").alias("no"), "root", "prefix"))
+    mixed = slim.select("root", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("shingle")
+    kept = slim.select("no", F.posexplode("prefix").alias("place", "shingle")).join(cut(mixed), "shingle").distinct()
+    return kept.join(texts.select(F.xxhash64("text_key").alias("no"), "text_key", "n"), "no").select("text_key", "n", "place", "shingle")
+
+
+def crossing(live: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
+    """``live`` where a shingle still has texts of different classes, with root; its rows; its pairs across classes."""
+    each = _rooted(live.select("text_key", "n", "place", "shingle"), roots)
+    groups = each.groupBy("shingle", "root").count().groupBy("shingle").agg(F.sum("count").alias("size"), F.sum(F.col("count") * F.col("count")).alias("inner"))
+    groups = groups.withColumn("across", (F.col("size") * F.col("size") - F.col("inner")) / 2).filter("across > 0")
+    now = cut(each.join(groups.select("shingle", "size", "across"), "shingle"))
+    n = now.select(F.count("*"), F.coalesce(F.sum(F.col("across") / F.col("size")), F.lit(0.0))).first()
+    return now, n[0], int(round(n[1]))
+
+
+def central_pairs(live: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each text with the most central text of each of its shared shingles, where their classes differ."""
+    score = live.groupBy("text_key").agg(F.sum("size").alias("score"))
+    scored = live.join(score, "text_key")
+    best = scored.groupBy("shingle").agg(F.max(F.struct("score", "text_key", "n", "root")).alias("c"))
+    met = live.join(best, "shingle").filter("root <> c.root and least(n, c.n) >= {t}D * greatest(n, c.n) - 1e-9D".format(t=similarity))
+    return met.select(F.least("text_key", "c.text_key").alias("a"), F.greatest("text_key", "c.text_key").alias("b")).distinct()
+
+
+def allowed_pairs(live: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts of different classes that their lengths and the places of a shared shingle allow to be
+    near copies: it can be their first one in common only if enough others follow it in both."""
+    x, y = live.alias("x"), live.alias("y")
+    need = f"ceil({similarity / (1 + similarity)!r}D * (x.n + y.n) - 1e-9D)"
+    rule = f"x.text_key < y.text_key and x.root <> y.root and x.place + {need} <= x.n and y.place + {need} <= y.n"
+    return x.join(y, F.expr(f"x.shingle = y.shingle and {rule}")).select(F.col("x.text_key").alias("a"), F.col("y.text_key").alias("b")).distinct()
+
+
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, keep_id, keep_key) of every row: the rows of a class of copies and near copies name the same row to
     keep, the one with the least id. text_key is the MD5 of the text.
 
     Two texts are near copies if the Jaccard similarity of their sets of word shingles, computed exactly, is at least
-    ``similarity``; classes are closed under that. Pairs to compare come from whole fingerprints within two bits, by the
-    grid, and from equal fingerprints of consistent samples: similarity 0.8 puts whole fingerprints about ten bits
-    apart, further than a popcount bound can tell from chance. Copies are one node. A crowded sample is compared with
-    its least and its greatest member, not in all pairs.
+    ``similarity``; classes are closed under that. Copies are one node. Most classes come from cheap pairs: whole
+    fingerprints within two bits, by the grid, and the ends of each set of equal fingerprints of consistent samples.
+    The rest comes from a prefix filter: near copies share one of their rarest shingles, so texts of different classes
+    that share one are compared, first with the text of each such group that shares most (which takes up a class around
+    one original without comparing its members in pairs), then all pairs that lengths and places still allow.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
+    common = common_shingles(base, shingle)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = T.column(batch, "text")
-            whole, parts = [], []
+            whole, parts, size, same, prefix = [], [], [], [], []
             for i, j in T.slices(off):
                 rows = off[i : j + 1] - off[i]
                 raw, at = buf[off[i] : off[j]].tobytes(), rows.tolist()
                 whole += [fingerprint(raw[a:b], shingle) for a, b in zip(at, at[1:])]
-                parts += [sampled_fingerprints(s) for s in shingle_sets(buf[off[i] : off[j]], rows, shingle)]
+                for s in shingle_sets(buf[off[i] : off[j]], rows, shingle):
+                    parts.append(sampled_fingerprints(s))
+                    size.append(len(s))
+                    same.append(int(np.bitwise_xor.reduce(T.mix(s))) if len(s) else 0)
+                    prefix.append(prefix_of(s, similarity, common).view(np.int64))
+            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
             fps = pa.array(np.array(parts, dtype=np.uint64).view(np.int64).reshape(-1, SAMPLES).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(whole, np.uint64).view(np.int64)), fps], ["id", "text_key", "fp", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(whole, np.uint64).view(np.int64)), fps, pa.array(size, pa.int64()), pa.array(np.array(same, np.uint64).view(np.int64)), rare], ["id", "text_key", "fp", "fps", "n", "whole", "prefix"])
 
-    rows = cut(base.mapInArrow(sketch, "id long, text_key string, fp long, fps array<long>"))
-    texts = rows.groupBy("text_key").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("fps").alias("fps"))
+    rows = cut(base.mapInArrow(sketch, "id long, text_key string, fp long, fps array<long>, n long, whole long, prefix array<long>"))
+    texts = rows.groupBy("text_key").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("whole").alias("whole"))
     texts = cut(texts)
     member = texts.select("text_key", F.posexplode("fps").alias("sample", "fp"))
     ends = member.groupBy("sample", "fp").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low < high")
     near = member.join(ends, ["sample", "fp"])
+    by_set = texts.groupBy("n", "whole").agg(F.min("text_key").alias("low"))
     by_fp = texts.groupBy("fp").agg(F.min("text_key").alias("low"))
     whole = links(by_fp.select("fp"), 2)
     grid = whole.join(by_fp.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
@@ -226,15 +313,12 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
         near.select("text_key", F.col("low").alias("other"))
         .union(near.select("text_key", F.col("high").alias("other")))
         .union(texts.join(by_fp, "fp").select("text_key", F.col("low").alias("other")))
+        .union(texts.join(by_set, ["n", "whole"]).select("text_key", F.col("low").alias("other")))
         .union(grid.select("x", "y"))
         .filter("text_key <> other")
         .select(F.least("text_key", "other").alias("a"), F.greatest("text_key", "other").alias("b"))
         .distinct()
     )
-    pairs = cut(pairs)
-    needed = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(texts.select("text_key", "id"), "text_key")
-    body = base.withColumnRenamed("id", "own").join(needed, "text_key").filter(F.col("own").eqNullSafe(F.col("id"))).select("text_key", "text")
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_sets(*T.column(batch, c), shingle) for c in ("left", "right")]
@@ -245,10 +329,27 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
             mask = pa.array(close, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(mask)
 
-    left = body.select(F.col("text_key").alias("a"), F.col("text").alias("left"))
-    right = body.select(F.col("text_key").alias("b"), F.col("text").alias("right"))
-    edges = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a string, b string")
-    roots = components(edges).withColumnRenamed("node", "text_key")
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        needed = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(texts.select("text_key", "id"), "text_key")
+        body = base.withColumnRenamed("id", "own").join(needed, "text_key").filter(F.col("own").eqNullSafe(F.col("id"))).select("text_key", "text")
+        left = body.select(F.col("text_key").alias("a"), F.col("text").alias("left"))
+        right = body.select(F.col("text_key").alias("b"), F.col("text").alias("right"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a string, b string")
+
+    roots = cut(components(verified(pairs)))
+    live = cut(shared_shingles(rows, texts, roots))
+    least_pairs = None
+    while True:
+        live, n_rows, n_pairs = crossing(live, roots)
+        last = n_pairs <= PAIRS_A_ROW * n_rows or (least_pairs is not None and n_pairs > 0.75 * least_pairs)
+        if n_pairs:
+            edges = verified(allowed_pairs(live, similarity) if last else central_pairs(live, similarity))
+            roots = cut(components(edges.union(roots.select("node", "root"))))
+        if last:
+            break
+        least_pairs = n_pairs
+    roots = roots.withColumnRenamed("node", "text_key")
     rooted = cut(texts.join(roots, "text_key", "left").select("text_key", "id", F.coalesce("root", "text_key").alias("root")))
     keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("keep"))
     classes = rooted.join(keep, "root").select("text_key", F.col("keep.id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"))
