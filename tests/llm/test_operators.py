@@ -167,6 +167,20 @@ def test_host_prior_settles_a_short_text(spark):
     assert got[50]["language"] == got[0]["language"]
 
 
+def test_all_labels_are_fitted(spark):
+    """More labels than fit a fixed number, the rarest too, and spelling variants as one."""
+    r = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    letters = {f"l{chr(97 + k // 26)}{chr(97 + k % 26)}": r.sample(alphabet, 6) for k in range(40)}
+    make = lambda lang: " ".join("".join(r.choice(letters[lang]) for _ in range(5)) for _ in range(60))
+    rows = [(k, make(lang), spelt) for k, (lang, spelt) in enumerate((lang, lang if n != 1 else f"{lang.upper()}_XX") for at, lang in enumerate(letters) for n in range(12 if at < 39 else 3))]
+    model = langid.fit(spark.createDataFrame([*rows, (9999, "abc", " "), (9998, "abc", None)], "doc_id long, text string, lang string"))
+    assert model.languages == tuple(sorted(letters))
+    pages = spark.createDataFrame([(k, "http://x.com/", make(lang)) for k, lang in enumerate(letters)], "page_id long, url string, html string")
+    got = {g["page_id"]: g["text_language"] for g in langid.identify_pages(pages, model).collect()}
+    assert sum(got[k] == lang for k, lang in enumerate(letters)) >= 38 and got[39] == list(letters)[39]
+
+
 # ---------------------------------------------------------------- packing
 
 

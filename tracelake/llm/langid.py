@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._store import cut
 
-#: Hash buckets of trigrams; labelled texts of a language that the model is fitted on, about; languages at most.
-BUCKETS, TEXTS_A_LANGUAGE, LANGUAGES = 1 << 14, 2_000, 32
+#: Hash buckets of trigrams; labelled texts of a language that the model is fitted on, about.
+BUCKETS, TEXTS_A_LANGUAGE = 1 << 14, 2_000
 #: Weight of a parent level in a prior, in pages.
 SMOOTHING = 5.0
 #: Trigrams overlap; a text counts as so much less evidence, and as this many trigrams at most.
@@ -68,31 +68,35 @@ class TextModel:
         return sums * (np.minimum(1.0, MOST / np.maximum(n, 1)) / OVERLAP)[:, None], n
 
 
+def primary(label: Column) -> Column:
+    """A label's or declaration's language: en of EN, en-US and en_GB; null where it is blank."""
+    first = F.lower(F.trim(F.substring_index(F.translate(label.cast("string"), "_", "-"), "-", 1)))
+    return F.when(first != "", first)
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> TextModel:
-    """The trigram model of the most frequent LANGUAGES labels, from about TEXTS_A_LANGUAGE texts of each (those whose
-    hashed id is small); labels with fewer texts give all they have."""
-    sizes = docs.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
-    languages = tuple(sorted(str(r[0]) for r in sizes))
+    """The trigram model of all labels, from about TEXTS_A_LANGUAGE texts of each (those whose hashed id is small);
+    labels with fewer texts give all they have. It takes 128 KB a language."""
+    labelled = docs.select(primary(F.col(lang_col)).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("lang is not null")
+    sizes = labelled.groupBy("lang").count().collect()
+    languages = tuple(sorted(r[0] for r in sizes))
     if not languages:
         return TextModel((), np.zeros((0, BUCKETS)))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(str(r[0])), F.lit(TEXTS_A_LANGUAGE / max(1, r[1])))])
-    lang = F.col(lang_col).cast("string")
-    chosen = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < 1_000_000 * share[lang]).select(lang.alias("lang"), F.col(text_col).alias("text"))
+    number = {x: k for k, x in enumerate(languages)}
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(TEXTS_A_LANGUAGE / max(1, r[1])))])
+    chosen = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
         for batch in batches:
-            which = np.array([languages.index(x) if x in languages else -1 for x in batch.column(0).to_pylist()], dtype=np.int64)
+            which = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
             buf, off = T.column(batch, "text")
             for i, j in T.slices(off):
                 row, bucket = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                own = which[i + row]
-                total += np.bincount(own[own >= 0] * BUCKETS + bucket[own >= 0], minlength=total.size).reshape(total.shape)
-        k, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], ["k", "b", "n"])
+                cell, n = np.unique(which[i + row] * BUCKETS + bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell // BUCKETS), pa.array(cell % BUCKETS), pa.array(n)], ["k", "b", "n"])
 
     counts = np.full((len(languages), BUCKETS), 0.5)
-    for k, b, n in chosen.mapInArrow(run, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n")).collect():  # LANGUAGES x BUCKETS at most
+    for k, b, n in chosen.mapInArrow(run, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n")).toLocalIterator():  # BUCKETS a language at most
         counts[k, b] += n
     return TextModel(languages, np.log(counts / counts.sum(1, keepdims=True)))
 
@@ -153,9 +157,9 @@ def identify(rows: DataFrame, model: TextModel, text_col: str, declared: Column,
         return slim.drop("_declared", text_col, *names).select("*", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), F.lit(True).alias("rejected"))
     found = cut(_likelihoods(slim, model, text_col, is_html).withColumn("p", _softmax("ll")))
     known = F.array(*[F.lit(x) for x in model.languages])
-    said = F.when(F.array_contains(known, F.substring_index(F.lower("_declared"), "-", 1)), F.substring_index(F.lower("_declared"), "-", 1)).when(F.col("_declared") == "", F.lit("")).otherwise(F.lit("?"))
+    said = F.when(F.array_contains(known, primary(F.col("_declared"))), primary(F.col("_declared"))).when(F.col("_declared") == "", F.lit("")).otherwise(F.lit("?"))
     found = found.withColumn("_said", said)
-    # how a language declares itself: LANGUAGES + 2 rows of sums
+    # how a language declares itself: two rows of sums more than languages
     table = {r[0]: r[1] for r in found.groupBy("_said").agg(*_sums(model)).collect()}
     mass = np.array([[v + (0.9 if d == lang else 0.1) for v, lang in zip(m, model.languages)] for d, m in table.items()]) if table else np.ones((1, k))
     declares = {d: np.log(m / mass.sum(0)).tolist() for d, m in zip(table, mass)}
