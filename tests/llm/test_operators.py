@@ -181,6 +181,29 @@ def test_all_labels_are_fitted(spark):
     assert sum(got[k] == lang for k, lang in enumerate(letters)) >= 38 and got[39] == list(letters)[39]
 
 
+def test_texts_in_no_known_language_are_rejected(spark):
+    """Foreign and encoded texts, whatever they declare and wherever they stand; clean texts next to them stay."""
+    r = random.Random(6)
+    known = {
+        "en": "the people of this town have always known that water comes from the hills and goes to the sea when it rains in spring they work there with their children and think about what will happen",
+        "es": "la gente de este pueblo siempre ha sabido que el agua viene de las montañas y va al mar cuando llueve en primavera trabajan con sus hijos y piensan en lo que puede pasar después",
+    }
+    make = lambda lang: " ".join(r.choice(known[lang].split()) for _ in range(60))
+    labelled = spark.createDataFrame([(k, make(l), l) for k in range(300) for l in known], "doc_id long, text string, lang string")
+    foreign = [
+        "люди этого города всегда знали что вода приходит с холмов и уходит в море когда весной идут дожди они работают там со своими детьми",
+        "这个城镇的人们一直知道水来自山丘流向大海春天下雨的时候他们和孩子们一起在那里工作并且思考将来会发生什么事情",
+        "ludzie z tego miasta zawsze wiedzieli że woda płynie ze wzgórz i wpada do morza gdy wiosną pada deszcz pracują tam ze swoimi dziećmi",
+        "tämän kaupungin ihmiset ovat aina tienneet että vesi tulee kukkuloilta ja menee mereen kun keväällä sataa he työskentelevät siellä lastensa kanssa",
+        "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400)),
+    ]
+    rows = [(k, make("es" if k % 2 else "en"), "es" if k % 2 else "en") for k in range(40)] + [(100 + k, x, "es") for k, x in enumerate(foreign)]
+    pages = spark.createDataFrame([(k, "http://a.b.es/", f'<html lang="{lang}"><body><p>{x}</p></body></html>') for k, x, lang in rows], "page_id long, url string, html string")
+    got = langid.identify_pages(pages, langid.fit(labelled)).collect()
+    assert {g["page_id"] for g in got if g["rejected"]} == {100 + k for k in range(len(foreign))}
+    assert all(g["language"] == ("es" if g["page_id"] % 2 else "en") for g in got if g["page_id"] < 100)
+
+
 # ---------------------------------------------------------------- packing
 
 

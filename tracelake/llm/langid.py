@@ -4,7 +4,9 @@ A text's likelihood under each language comes from byte-trigram counts of labell
 often pages of that language declare what this one declares, and a prior of its host, smoothed towards its
 domain, that towards its address suffix, and that towards all pages. Declarations and priors are grouped sums of
 the pages' text-only posteriors (a page's own share is taken out of its prior again), so the corpus is only ever
-aggregated. A row is rejected when its best language is not certain enough or its text has no letters.
+aggregated. Against the languages stands 'none of these', under which all trigrams are equally likely and which
+declarations and hosts neither help nor harm. A row is rejected when its best language is not certain enough, with
+'none of these' counted in, or its text has no letters.
 
 Null and empty texts have flat likelihoods and are rejected. Null or unknown declarations count as one further
 value, null hosts as one host. Repeated rows each give a row. Input columns keep their names only where asked for.
@@ -14,6 +16,7 @@ Empty input gives an empty result; without labelled texts there are no languages
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +37,8 @@ SMOOTHING = 5.0
 OVERLAP, MOST = 3.0, 600.0
 #: Hosts up to which their table is broadcast (some hundred bytes each); beyond, it is joined by shuffling.
 BROADCAST_HOSTS = 10_000
-#: Posterior from which a language counts as certain.
-CERTAIN = 0.5
+#: Posterior from which a language counts as certain; prior of a text in none of the languages.
+CERTAIN, NONE_PRIOR = 0.5, 0.01
 
 #: Letters (ASCII ones in lower case) and all bytes of other scripts; everything else is a gap.
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -61,10 +64,11 @@ class TextModel:
     log_p: np.ndarray
 
     def likelihoods(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log likelihood of each row under each language, trigrams of each row)."""
+        """(log likelihood of each row under each language and, last, under none of them; trigrams of each row)."""
         row, bucket = _grams(buf, off)
         n = np.bincount(row, minlength=len(off) - 1)
         sums = np.stack([np.bincount(row, self.log_p[k][bucket], len(off) - 1) for k in range(len(self.languages))], 1) if self.languages else np.zeros((len(off) - 1, 0))
+        sums = np.concatenate([sums, -np.log(BUCKETS) * n[:, None]], 1)
         return sums * (np.minimum(1.0, MOST / np.maximum(n, 1)) / OVERLAP)[:, None], n
 
 
@@ -102,10 +106,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
 
 def _likelihoods(rows: DataFrame, model: TextModel, text_col: str, is_html: bool) -> DataFrame:
-    """rows with ll (array of log likelihoods) and grams in place of ``text_col``."""
+    """rows with ll (log likelihoods of the languages and of none, with its prior), p (the languages' posteriors, which
+    leave out the share of none) and grams in place of ``text_col``."""
     kept = [c for c in rows.columns if c != text_col]
     source = rows.select(*kept, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", ll array<double>, grams long"
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", ll array<double>, p array<double>, grams long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,13 +119,16 @@ def _likelihoods(rows: DataFrame, model: TextModel, text_col: str, is_html: bool
                 buf, off = T.column(pa.RecordBatch.from_arrays([shown], ["_text"]), "_text")
             else:
                 buf, off = T.column(batch, "_text")
-            ll, grams = [], [np.zeros(0, np.int64)]
+            ll, p, grams = [], [], [np.zeros(0, np.int64)]
             for i, j in T.slices(off):
                 a, n = model.likelihoods(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                a[:, -1] += math.log(NONE_PRIOR)
+                e = np.exp(a - a.max(1, keepdims=True))
                 ll += a.tolist()
+                p += (e / e.sum(1, keepdims=True))[:, :-1].tolist()
                 grams.append(n)
-            more = [pa.array(ll, pa.list_(pa.float64())), pa.array(np.concatenate(grams))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*kept, "ll", "grams"])
+            more = [pa.array(ll, pa.list_(pa.float64())), pa.array(p, pa.list_(pa.float64())), pa.array(np.concatenate(grams))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*kept, "ll", "p", "grams"])
 
     return source.mapInArrow(run, schema)
 
@@ -134,12 +142,6 @@ def visible_text(page: str) -> str:
     return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
 
 
-def _softmax(array: str) -> Column:
-    top = f"array_max({array})"
-    e = f"transform({array}, x -> exp(x - {top}))"
-    return F.expr(f"transform({e}, y -> y / aggregate({e}, 0D, (a, b) -> a + b))")
-
-
 def _sums(model: TextModel) -> list[Column]:
     return [F.array(*[F.coalesce(F.sum(F.col("p")[k]), F.lit(0.0)) for k in range(len(model.languages))]).alias("mass")]
 
@@ -155,14 +157,14 @@ def identify(rows: DataFrame, model: TextModel, text_col: str, declared: Column,
     slim = rows.select("*", F.coalesce(declared.cast("string"), F.lit("")).alias("_declared"), *[F.coalesce(x.cast("string"), F.lit("")).alias(n) for x, n in zip(levels, names)])
     if not k:
         return slim.drop("_declared", text_col, *names).select("*", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), F.lit(True).alias("rejected"))
-    found = cut(_likelihoods(slim, model, text_col, is_html).withColumn("p", _softmax("ll")))
+    found = cut(_likelihoods(slim, model, text_col, is_html))
     known = F.array(*[F.lit(x) for x in model.languages])
     said = F.when(F.array_contains(known, primary(F.col("_declared"))), primary(F.col("_declared"))).when(F.col("_declared") == "", F.lit("")).otherwise(F.lit("?"))
     found = found.withColumn("_said", said)
     # how a language declares itself: two rows of sums more than languages
     table = {r[0]: r[1] for r in found.groupBy("_said").agg(*_sums(model)).collect()}
     mass = np.array([[v + (0.9 if d == lang else 0.1) for v, lang in zip(m, model.languages)] for d, m in table.items()]) if table else np.ones((1, k))
-    declares = {d: np.log(m / mass.sum(0)).tolist() for d, m in zip(table, mass)}
+    declares = {d: [*np.log(m / mass.sum(0)).tolist(), math.log(m.sum() / mass.sum())] for d, m in zip(table, mass)}
     total = [float(sum(m[i] for m in table.values())) for i in range(k)]
     top = [(t + 1.0) / (sum(total) + k) for t in total]
     # priors, coarse to fine; each level's sums come from the next finer level's
@@ -179,7 +181,7 @@ def identify(rows: DataFrame, model: TextModel, text_col: str, declared: Column,
             level = level.join(priors.select(*names[: i - 1], F.col("prior").alias("up")), names[: i - 1])
         smooth = "transform(mass, (m, i) -> (m + {s}D * up[i]) / (aggregate(mass, 0D, (a, b) -> a + b) + {s}D))".format(s=SMOOTHING)
         priors = level.withColumn("prior", F.expr(smooth)).select(*names[:i], "mass", "up", "prior")
-    own = f"transform(mass, (m, i) -> (greatest(m - p[i], 0D) + {SMOOTHING}D * up[i]) / (greatest(aggregate(mass, 0D, (a, b) -> a + b) - 1D, 0D) + {SMOOTHING}D))"
+    own = f"transform(mass, (m, i) -> (greatest(m - p[i], 0D) + {SMOOTHING}D * up[i]) / (greatest(aggregate(mass, 0D, (a, b) -> a + b) - aggregate(p, 0D, (a, b) -> a + b), 0D) + {SMOOTHING}D))"
     if names:
         hosts = cut(priors.select(*names, "mass", "up"))
         # a host with a large share of the rows stays where its rows are while the table of hosts is small
@@ -188,12 +190,14 @@ def identify(rows: DataFrame, model: TextModel, text_col: str, declared: Column,
     else:
         joined = found.withColumn("_prior", parent)
     says = F.create_map(*[x for d, v in declares.items() for x in (F.lit(d), F.array(*[F.lit(y) for y in v]))]) if declares else F.lit(None)
-    joined = joined.withColumn("_says", says[F.col("_said")] if declares else F.array(*[F.lit(0.0)] * k))
-    joined = joined.withColumn("_sum", F.expr("transform(ll, (x, i) -> x + _says[i] + ln(greatest(_prior[i], 1e-9D)))")).withColumn("_post", _softmax("_sum"))
-    joined = joined.withColumn("confidence", F.array_max("_post"))
-    best = lambda a: known[(F.array_position(F.col(a), F.array_max(a)) - 1).cast("int")]
+    joined = joined.withColumn("_says", says[F.col("_said")] if declares else F.array(*[F.lit(0.0)] * (k + 1)))
+    fused = f"transform(ll, (x, i) -> x + _says[i] + if(i < {k}, ln(greatest(_prior[i], 1e-9D)), 0D))"
+    # transform over one value gives it a name, so that it is worked out once
+    best = f"transform(array(array_max(slice(s, 1, {k}))), m -> struct(array_position(s, m) as at, 1D / aggregate(s, 0D, (a, x) -> a + exp(x - m)) as confidence))[0]"
+    joined = joined.withColumn("_best", F.expr(f"transform(array({fused}), s -> {best})[0]")).withColumn("confidence", F.col("_best.confidence"))
+    by_text = F.expr(f"array_position(ll, array_max(slice(ll, 1, {k})))")
     kept = [c for c in rows.columns if c != text_col]
-    return joined.select(*kept, best("_post").alias("language"), "confidence", best("p").alias("text_language"), ((F.col("confidence") < CERTAIN) | (F.col("grams") == 0)).alias("rejected"))
+    return joined.select(*kept, known[(F.col("_best.at") - 1).cast("int")].alias("language"), "confidence", known[(by_text - 1).cast("int")].alias("text_language"), ((F.col("confidence") < CERTAIN) | (F.col("grams") == 0)).alias("rejected"))
 
 
 def host_of(url: Column) -> Column:
