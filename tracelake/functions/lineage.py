@@ -5,19 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the session's spark.checkpoint.dir and read again; where that is unset (one
-    machine) to a temporary folder. Lost executors cost nothing that was written, and readers prune columns."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where that is unset, a temporary folder, but only with a local master: on a
+    cluster each executor would write to a disk of its own."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read again. Lost executors cost nothing that was written,
+    and readers prune columns. The folder's owner clears it (spark.cleaner.referenceTracking.cleanCheckpoints does not)."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..operators import logs as L
 from ..plans import pipelines as P
 from ..sources import adapters as A
@@ -23,8 +23,7 @@ from .traces import customer_pairs
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """The events file as a stream, run to its end; the table that the query leaves."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    top = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     body = F.concat(F.lit("event "), "event_type", F.lit(" user "), "user_id", F.lit(" props "), "props")
     rows = events.select(F.col("ts").alias("timestamp"), body.alias("body"), F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO").alias("severity_text"))
@@ -41,8 +40,6 @@ def _log_periods(spark: SparkSession, d: str) -> DataFrame:
     return P.log_pattern_pipeline(logs.filter(F.col("timestamp") < edge), logs.filter(F.col("timestamp") >= edge), resource="resource_id")
 
 
-
-
 _METRICS = FLEET["aggregate_metrics"][1]
 _EXAMPLES = TRACES["example_traces"][1]
 _MASKED = "body"
