@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.lineage import cut
 
-#: Levels after which a walk stops: guards against parent cycles in bad data.
-MAX_DEPTH = 100
+#: Level from which a walk looks for repeated span ids, without which it cannot run in a circle.
+LOOK_FROM = 8
 #: A child that ends this many milliseconds before its parent blocks it by half.
 EARLY_END_MS = 5
 
@@ -28,29 +28,41 @@ def roots_and_orphans(spans: DataFrame) -> DataFrame:
     return spans.join(ids, ["trace_id", "parent_span_id"], "left").filter(F.col("parent_span_id").isNull() | F.col("known").isNull()).drop("known")
 
 
-def walk(spans: DataFrame, start: DataFrame, carry: Callable[[str, str], list[Column]], first: list[Column], max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Rows for every span that the start spans reach, with depth and carried columns.
+def walk(spans: DataFrame, start: DataFrame, carry: Callable[[str, str], list[Column]], first: list[Column]) -> DataFrame:
+    """Rows for every span that the start spans reach, with depth and carried columns, however deep.
 
     first: the carried columns of a start span; carry(up, down): those of a child, from its parent's row (alias up) and its
     own (alias down). The spans are worked out once; each level is written out, so the plan does not grow with the depth.
+    A tree cannot run in a circle. Where a trace repeats a span id, spans that a level has reached are not reached again.
     """
     cols = ["trace_id", "span_id"]
     spans = cut(spans.filter("parent_span_id is not null"))
     level = cut(start.select(*cols, F.lit(0).alias("depth"), *first))
-    out = level
-    for _ in range(max_depth):
+    levels, repeats = [level], None
+    while not level.isEmpty():
+        if repeats is None and len(levels) > LOOK_FROM:
+            repeats = not spans.groupBy(*cols).count().filter("count > 1").union(spans.join(start.select(*cols), cols).select(*cols, F.lit(2))).isEmpty()
+            if repeats:  # from the start again
+                level, levels = levels[0], levels[:1]
         up, down = level.alias("up"), spans.alias("down")
         on = (F.col("up.trace_id") == F.col("down.trace_id")) & (F.col("up.span_id") == F.col("down.parent_span_id"))
-        level = cut(up.join(down, on).select("down.trace_id", "down.span_id", (F.col("up.depth") + 1).alias("depth"), *carry("up", "down")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
+        met = up.join(down, on).select("down.trace_id", "down.span_id", (F.col("up.depth") + 1).alias("depth"), *carry("up", "down"))
+        if repeats:
+            reached = levels[0].select(*cols)
+            for x in levels[1:]:
+                reached = reached.union(x.select(*cols))
+            met = met.join(reached.distinct(), cols, "left_anti")
+        level = cut(met)
+        levels.append(level)
+    out = levels[0]
+    for x in levels[1:-1]:
+        out = out.unionByName(x)
     return out
 
 
 def depths(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, depth), roots and orphans at depth 0."""
-    narrow = spans.select("trace_id", "span_id", "parent_span_id")
+    narrow = cut(spans.select("trace_id", "span_id", "parent_span_id"))
     return walk(narrow, roots_and_orphans(narrow), lambda up, down: [], [])
 
 
@@ -70,9 +82,9 @@ def _self_by_sum(df: DataFrame) -> DataFrame:
 def critical_path_longest_child(spans: DataFrame) -> DataFrame:
     """From each trace's longest root on, always the longest child: one row for each step, with its self time (duration
     less its children's) and its share of the path."""
-    df = _self_by_sum(slim(spans))
+    df = _self_by_sum(cut(slim(spans)))
     best = Window.partitionBy("trace_id", "parent_span_id").orderBy(F.desc("ms"), "start_ms", "span_id")
-    chosen = df.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+    chosen = cut(df.withColumn("rank", F.row_number().over(best)).filter("rank = 1"))
     roots = chosen.filter("parent_span_id is null")
     step = lambda p: F.struct(*[F.col(f"{p}{c}") for c in ("name", "service_name", "ms", "self_ms", "is_error")])
     found = walk(chosen.filter("parent_span_id is not null"), roots, lambda up, down: [step(f"{down}.").alias("step")], [step("").alias("step")])
