@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.groups import beside, distinct_count, samples
 from ..functions.quantiles import continuous, quantile
 
 #: Upper bounds of the latency histogram, in milliseconds.
@@ -115,7 +116,8 @@ def exception_patterns(spans: DataFrame, group_by: str = "exception_type", limit
     """Exception events by exception_type or service_name."""
     df = spans.select("trace_id", C.service().alias("service_name"), F.explode("events").alias("e")).filter("e.name = 'exception'")
     df = df.select("trace_id", "service_name", F.col("e.attributes")["exception.type"].alias("exception_type"), F.col("e.attributes")["exception.message"].alias("message"))
-    out = df.groupBy(group_by).agg(F.count("*").alias("exception_count"), F.countDistinct("trace_id").alias("affected_traces"), F.countDistinct("service_name").alias("affected_services"), C.sample("message").alias("sample_messages"))
+    out = df.groupBy(group_by).agg(F.count("*").alias("exception_count"), F.countDistinct("trace_id").alias("affected_traces"), F.countDistinct("service_name").alias("affected_services"))
+    out = beside(out, [group_by], samples(df, [group_by], "message", "sample_messages"), otherwise={"sample_messages": ""})
     return out.orderBy(F.desc("exception_count"), group_by).limit(limit)
 
 
@@ -137,7 +139,9 @@ def link_patterns(spans: DataFrame) -> DataFrame:
 def instrumentation_libraries(spans: DataFrame) -> DataFrame:
     scope = [F.col(f"instrumentation_scope.{k}").alias(f"library_{k}") for k in ("name", "version", "schema_url")]
     df = spans.select("trace_id", C.service().alias("service_name"), *scope)
-    out = df.groupBy("library_name", "library_version", "library_schema_url").agg(F.count("*").alias("span_count"), F.countDistinct("service_name").alias("service_count"), F.countDistinct("trace_id").alias("trace_count"), C.sample("service_name").alias("sample_services"))
+    keys = ["library_name", "library_version", "library_schema_url"]
+    out = df.groupBy(*keys).agg(F.count("*").alias("span_count"), F.countDistinct("service_name").alias("service_count"), F.countDistinct("trace_id").alias("trace_count"))
+    out = beside(out, keys, samples(df, keys, "service_name", "sample_services"), otherwise={"sample_services": ""})
     return out.orderBy(F.desc("span_count"), "library_name")
 
 
@@ -155,7 +159,9 @@ def database_operations(spans: DataFrame, db_system: str | None = None, exact: b
     df = C.kind_filter(spans, C.CLIENT)
     df = df if db_system is None else df.filter(C.attr("db.system") == db_system)
     df = df.select(C.attr("db.system").alias("db_system"), C.attr("db.name").alias("db_name"), C.attr("db.operation").alias("db_operation"), C.attr("db.statement").alias("statement"), C.ms().alias("ms"))
-    out = df.groupBy("db_system", "db_name", "db_operation").agg(F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_ms"), C.sample("statement", 3).alias("sample_statements"), F.min("statement").alias("any_statement"))
+    keys = ["db_system", "db_name", "db_operation"]
+    out = df.groupBy(*keys).agg(F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_ms"), F.min("statement").alias("any_statement"))
+    out = beside(out, keys, samples(df, keys, "statement", "sample_statements", 3), otherwise={"sample_statements": ""})
     return out.orderBy(F.desc("call_count"), "db_system", "db_name", "db_operation")
 
 
@@ -171,11 +177,15 @@ def bottleneck_services(spans: DataFrame, min_traces: int = 10, limit: int = 20,
     totals = df.groupBy("trace_id").agg(F.sum(F.when(F.col("parent_span_id").isNull(), F.col("ms"))).alias("trace_ms"), F.count("*").alias("n")).filter("n >= 2")
     parents = df.filter("parent_span_id is not null").select("trace_id", F.col("parent_span_id").alias("span_id"), F.lit(1).alias("has_child")).distinct()
     flagged = df.join(totals.select("trace_id", "trace_ms"), "trace_id").join(parents, ["trace_id", "span_id"], "left").withColumn("share", F.try_divide(F.col("ms"), F.col("trace_ms")) * 100)
-    out = flagged.groupBy("service_name", "operation_name").agg(
-        F.countDistinct("trace_id").alias("trace_count"), F.round(F.avg("share"), 2).alias("avg_contribution_pct"), F.round(quantile(F.col("share"), 0.95, exact), 2).alias("p95_contribution_pct"),
+    keys = ["service_name", "operation_name"]
+    # traces are counted apart: next to a distinct count every percentile would keep a sketch for each trace
+    in_traces = distinct_count(df.join(totals.select("trace_id"), "trace_id", "left_semi"), keys, "trace_id", "trace_count")
+    out = flagged.groupBy(*keys).agg(
+        F.round(F.avg("share"), 2).alias("avg_contribution_pct"), F.round(quantile(F.col("share"), 0.95, exact), 2).alias("p95_contribution_pct"),
         F.round(F.avg("ms"), 2).alias("avg_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_ms"), F.count_if(F.col("has_child").isNull()).alias("leaf_count"),
         F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct"),
     )
+    out = beside(out, keys, in_traces)
     score = 0.4 * F.col("avg_contribution_pct") + 0.3 * F.col("p95_contribution_pct") / 100 + 0.3 * F.col("trace_count") / min_traces
     return out.filter(F.col("trace_count") >= min_traces).withColumn("bottleneck_score", F.round(score, 2)).orderBy(F.desc("bottleneck_score"), "service_name", "operation_name").limit(limit)
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.groups import beside, distinct_count, samples
+from ..functions.lineage import cut
 from ..functions.quantiles import quantile
 
 
@@ -15,10 +17,12 @@ def dependency_edges(spans: DataFrame, min_calls: int = 1, include_external: boo
     calls = calls.filter("source_service is not null and target_service is not null and target_service <> source_service")
     if not include_external:
         calls = calls.filter(~F.col("call_type").isin("DATABASE", "HTTP"))
-    edges = calls.groupBy("source_service", "target_service", "call_type").agg(
-        F.count("*").alias("call_count"), F.countDistinct("trace_id").alias("trace_count"), F.round(F.avg("ms"), 2).alias("avg_latency_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_latency_ms"),
-        F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct"), C.sample("name").alias("sample_operations"),
+    keys = ["source_service", "target_service", "call_type"]
+    edges = calls.groupBy(*keys).agg(
+        F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_latency_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_latency_ms"),
+        F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct"),
     ).filter(F.col("call_count") >= min_calls)
+    edges = beside(edges, keys, distinct_count(calls, keys, "trace_id", "trace_count"), samples(calls, keys, "name", "sample_operations"), otherwise={"trace_count": 0, "sample_operations": ""})
     weight = F.round(F.col("call_count") / F.sum("call_count").over(Window.partitionBy("source_service")) * 100, 2)
     rate, share = F.col("error_rate_pct"), F.col("dependency_weight_pct")
     return edges.withColumn("dependency_weight_pct", weight).select(
@@ -65,7 +69,7 @@ def _reach(pairs: DataFrame, start: DataFrame, depth: int, forward: bool) -> Dat
 
 def upstream_downstream(spans: DataFrame, service: str, depth: int = 3) -> DataFrame:
     """Paths of up to ``depth`` calls into and out of a service."""
-    pairs = service_pairs(spans).persist()
+    pairs = cut(service_pairs(spans))
     start = spans.sparkSession.createDataFrame([(service,)], "origin string")
     parts = []
     for forward, direction, kind in ((False, "UPSTREAM", "CALLER"), (True, "DOWNSTREAM", "DEPENDENCY")):
@@ -76,7 +80,7 @@ def upstream_downstream(spans: DataFrame, service: str, depth: int = 3) -> DataF
 
 def circular_dependencies(spans: DataFrame, max_length: int = 4) -> DataFrame:
     """Each directed cycle of two to max_length services once, written from its smallest service on."""
-    pairs = service_pairs(spans).select("source", "target").persist()
+    pairs = cut(service_pairs(spans).select("source", "target"))
     level = pairs.filter("target > source").select(F.col("source").alias("first"), F.col("target").alias("last"), F.array("source", "target").alias("path"))
     out = None
     for n in range(2, max_length + 1):
@@ -94,10 +98,13 @@ def hidden_dependencies(spans: DataFrame, min_calls: int = 1, exact: bool = Fals
         "name", C.ms().alias("ms"), C.is_error().alias("is_error"),
     )
     kind = F.col("dependency_type")
-    out = df.groupBy("source_service", "target_identifier", "dependency_type", "db_system", "db_name", "http_host", "queue_name").agg(
-        F.count("*").alias("call_count"), F.countDistinct("name").alias("unique_operations"), F.round(F.avg("ms"), 2).alias("avg_latency_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_latency_ms"),
-        F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct"), C.sample("name").alias("sample_operations"),
+    keys = ["source_service", "target_identifier", "dependency_type", "db_system", "db_name", "http_host", "queue_name"]
+    out = df.groupBy(*keys).agg(
+        F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_latency_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_latency_ms"),
+        F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct"),
     ).filter(F.col("call_count") >= min_calls)
+    names = df.groupBy(*keys, "name").agg(F.count("*").alias("n"))
+    out = beside(out, keys, distinct_count(names, keys, "name", "unique_operations"), samples(names, keys, "name", "sample_operations"), otherwise={"unique_operations": 0, "sample_operations": ""})
     details = F.when(kind == "DATABASE", F.concat("db_system", F.lit("/"), F.coalesce("db_name", F.lit("unknown")))).when(kind.like("%EXTERNAL"), F.col("http_host")).when(kind == "MESSAGE_QUEUE", F.col("queue_name")).otherwise(F.col("target_identifier"))
     urgent = kind.like("%EXTERNAL%") | ((kind == "DATABASE") & F.col("db_name").isNull()) | (F.col("error_rate_pct") > 5)
     return out.withColumn("target_details", details).withColumn("documentation_priority", F.when(urgent, "HIGH").when(F.col("call_count") > 1000, "MEDIUM").otherwise("LOW"))
@@ -105,7 +112,7 @@ def hidden_dependencies(spans: DataFrame, min_calls: int = 1, exact: bool = Fals
 
 def blast_radius(spans: DataFrame, depth: int = 3) -> DataFrame:
     """For each service, how many services reach it within ``depth`` calls, from how far, and over how many direct calls."""
-    pairs = service_pairs(spans).persist()
+    pairs = cut(service_pairs(spans))
     start = pairs.select(F.col("target").alias("origin")).distinct()
     reached = _reach(pairs, start, depth, forward=False)
     direct = F.coalesce(F.sum(F.when(F.col("depth") == 1, F.col("calls"))), F.lit(0))
