@@ -10,8 +10,8 @@ INTERNAL, SERVER, CLIENT, PRODUCER, CONSUMER = 1, 2, 3, 4, 5
 
 SPAN_KINDS = {1: "INTERNAL", 2: "SERVER", 3: "CLIENT", 4: "PRODUCER", 5: "CONSUMER"}
 STATUS_NAMES = {0: "UNSET", 1: "OK", 2: "ERROR"}
-#: Severities in rising order.
-SEVERITIES = ["DEFAULT", "DEBUG", "INFO", "NOTICE", "WARN", "WARNING", "ERROR", "CRITICAL", "ALERT", "EMERGENCY", "FATAL"]
+#: Severities in rising order; those of one line have the same rank. The suffixes 2 to 4 do not change the rank.
+SEVERITIES = [("DEFAULT",), ("TRACE",), ("DEBUG",), ("INFO",), ("NOTICE",), ("WARN", "WARNING"), ("ERROR",), ("CRITICAL",), ("ALERT",), ("EMERGENCY", "FATAL")]
 #: Label values that say there was no error.
 NOT_ERRORS = ["false", "0", "none", "ok", ""]
 
@@ -50,13 +50,14 @@ def error_rate(digits: int = 2) -> Column:
 
 
 def time_window(df: DataFrame, hours: float, as_of: str, column: str = "start_time", until_hours: float = 0) -> DataFrame:
-    """Rows from ``hours`` to ``until_hours`` before ``as_of`` (start included, end not, unless it is as_of itself)."""
+    """Rows from ``hours`` to ``until_hours`` before ``as_of`` (start included, end not, unless it is as_of itself); none
+    after ``as_of``."""
     at = F.lit(as_of).cast("timestamp_ntz")
     start = at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600).cast("decimal(18,6)"))
     df = df.filter(F.col(column) >= start)
     if until_hours:
-        df = df.filter(F.col(column) < at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(until_hours * 3600).cast("decimal(18,6)")))
-    return df
+        return df.filter(F.col(column) < at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(until_hours * 3600).cast("decimal(18,6)")))
+    return df.filter(F.col(column) <= at)
 
 
 def root_spans(df: DataFrame) -> DataFrame:
@@ -150,7 +151,9 @@ def dependency_type() -> Column:
 
 
 def severity_rank(col: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.upper(col))
+    """1 for DEFAULT and so on; 0 for a severity that is not known."""
+    ranks = F.create_map(*[F.lit(x) for k, names in enumerate(SEVERITIES) for n in names for x in (n, k + 1)])
+    return F.coalesce(F.try_element_at(ranks, F.regexp_replace(F.upper(col), "[2-4]$", "")), F.lit(0))
 
 
 def trace_predicates(df: DataFrame, terms: list[tuple[str, Column]]) -> DataFrame:
@@ -166,7 +169,3 @@ def trace_predicates(df: DataFrame, terms: list[tuple[str, Column]]) -> DataFram
         met = met.filter(F.col(f"t{k}") == 1)
     return df.join(met.select("trace_id"), "trace_id", "left_semi")
 
-
-def sample(col: str, n: int = 5) -> Column:
-    """At most n different values, in order, as one text."""
-    return F.array_join(F.slice(F.array_sort(F.collect_set(col)), 1, n), ",")

@@ -89,7 +89,7 @@ def _from_json_payload(json: Column) -> Column:
             hint = hint | F.contains(F.lower(e["k"]), F.lit(word))
         s = s + F.when(hint, 5).otherwise(0)
         for sign in MESSAGE_SIGNS:
-            s = s + F.when(e["v"].rlike(sign), 3).otherwise(0)
+            s = s + F.when(e["v"].rlike(f"(?i){sign}"), 3).otherwise(0)
         s = s - F.when(F.lower(e["k"]).isin("id", "timestamp", "time", "level", "severity"), 10).otherwise(0)
         return s - F.when(e["v"].rlike(r"(?i)^[a-f0-9-]{32,}$"), 5).otherwise(0)
 

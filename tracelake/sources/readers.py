@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import severity_rank, SEVERITIES
+from ..functions.columns import severity_rank
 from ..schema import LOG_ENTRY_SCHEMA, SPAN_SCHEMA, TRACE_DOCUMENT_SCHEMA
 
 
@@ -42,7 +42,7 @@ def list_log_entries(logs: DataFrame, min_severity: str | None = None, resource_
     """Log rows that meet all the given conditions, newest first."""
     df = logs
     if min_severity:
-        df = df.filter(severity_rank(F.col("severity_text")) >= SEVERITIES.index(min_severity.upper()) + 1)
+        df = df.filter(severity_rank(F.col("severity_text")) >= severity_rank(F.lit(min_severity)))
     if resource_type:
         df = df.filter(F.col("resource.type") == resource_type)
     if contains:
