@@ -114,3 +114,37 @@ def counters_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("event_type", "day").orderBy("ts", "event_id")
     t = _table(spark, sf_dir, "events").withColumn("day", day)
     return t.select(F.col("event_type").alias("metric_type"), F.create_map(F.lit("job"), F.lit("events")).alias("metric_labels"), "ts", F.row_number().over(w).cast("double").alias("value"), "event_id")
+
+
+def spans_from_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight events in a row as a trace with what goes wrong in practice: labels of errors, pools, statements and sizes, words
+    of timeouts and retries, a long tail, orphans, spans without id or end, and ends before starts."""
+    e = _table(spark, sf_dir, "events").withColumn("r", F.col("event_id") % 8).withColumn("g", F.expr("event_id div 8"))
+    n, r, kind, user = F.col("event_id"), F.col("r"), F.col("event_type"), F.col("user_id")
+    failed, pool = kind == "error", (n % 9 == 0) & (r > 0)
+    name = (
+        F.when(r == 0, F.concat(F.lit("visit "), kind)).when(n % 9 == 0, "acquire connection").when(n % 9 == 1, "retry payment")
+        .when(n % 9 == 2, "call deadline exceeded").when(n % 9 == 3, "timed out step").otherwise(F.concat(F.lit("step "), kind))
+    )
+    nano = F.when(n % 127 == 4, None).when(n % 113 == 3, -1_000_000).otherwise(F.round(F.col("value") * F.when(n % 40 == 0, 30).otherwise(1) * 1_000_000).cast("long"))
+    labels = _map(
+        app=F.when(n % 5 == 0, F.concat(F.lit("app-"), user % 3)),
+        http_method=F.when(r == 0, "GET"), http_target=F.when(r == 0, F.concat(F.lit("/"), kind)), http_status__code=F.when(r == 0, F.when(F.col("g") % 3 == 0, "200").when(F.col("g") % 3 == 1, "404").otherwise("503")),
+        http_request__content__length=F.when(r == 0, n % 1000), http_response__content__length=F.when(r == 0, user * 10),
+        db_system=F.when(r.isin(1, 4), "mysql"), db_name=F.when(r.isin(1, 4), F.concat(F.lit("db"), user % 3)), db_operation=F.when(r.isin(1, 4), "SELECT"), db_statement=F.when(r.isin(1, 4), F.concat(F.lit("SELECT "), kind, F.lit(" "), n % 6)),
+        grpc_status=F.when(r == 2, F.when(n % 3 < 2, "OK").otherwise("UNAVAILABLE")), response_code=F.when(r == 3, F.when(user % 2 == 0, "500").otherwise("200")), error=F.when(r == 5, F.when(failed, "true").otherwise("false")),
+        exception_kind=F.when((r == 6) & (n % 7 == 0), "NullPointer"), note=F.when((r == 7) & (n % 5 == 0), "context deadline passed"),
+        pool_size=F.when(pool & (n % 2 == 0), "10"), db_pool__size=F.when(pool & (n % 2 == 1), "20"), pool_active=F.when(pool, n % 10), db_waiting__requests=F.when(pool, n % 4),
+    )
+    start = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(g as int), cast(r * 10 as decimal(18,6)) / 1000)")
+    exception = F.struct(F.lit("exception").alias("name"), F.col("start_time").alias("time"), _map(exception_type=F.concat(F.lit("Err"), n % 4), exception_message=F.concat(F.lit("user "), user), exception_stacktrace=F.concat(F.lit("at line "), n % 13)).alias("attributes"))
+    span = e.withColumn("start_time", start).select(
+        F.concat(F.lit("s"), "g").alias("trace_id"), F.when(n % 131 != 7, F.concat(F.lit("e"), n)).alias("span_id"),
+        F.when(r == 0, None).when(n % 97 == 5, "gone").when(r % 3 == 1, F.concat(F.lit("e"), F.col("g") * 8)).otherwise(F.concat(F.lit("e"), n - 1)).alias("parent_span_id"),
+        name.alias("name"), F.when(r == 0, 2).otherwise(3).alias("kind"), "start_time", nano.alias("duration_nano"),
+        F.struct(F.when(failed, 2).otherwise(1).alias("code"), F.lit(None).cast("string").alias("message")).alias("status"), F.map_filter(labels, lambda _, v: v.isNotNull()).alias("attributes"),
+        F.struct(_map(service_name=F.when(n % 5 != 0, F.concat(F.lit("svc-"), user % 10))).alias("attributes")).alias("resource"),
+        F.when(failed, F.array(exception)).otherwise(F.array().cast(_NO_EVENTS)).alias("events"), F.array().cast(_NO_LINKS).alias("links"),
+        F.struct(F.lit("sessions").alias("name"), F.lit("1").alias("version"), F.lit(None).cast("string").alias("schema_url")).alias("instrumentation_scope"),
+    )
+    return span.withColumn("end_time", _end("start_time", "duration_nano"))
