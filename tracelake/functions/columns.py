@@ -113,6 +113,12 @@ def error_by_text() -> Column:
     return F.coalesce(F.exists(F.map_entries("attributes"), lambda e: F.lower(F.concat_ws(" ", e["key"], e["value"])).contains("error")), F.lit(False))
 
 
+def error_by_status() -> Column:
+    """An HTTP status that starts with 4 or 5."""
+    status = F.coalesce(attr("/http/status_code"), attr("http.status_code"), F.lit(""))
+    return status.startswith("4") | status.startswith("5")
+
+
 def span_service_name() -> Column:
     return F.coalesce(service(), attr("service.name"), attr("/service.name"), attr("g.co/service.name"), attr("service"), attr("app"), F.lit("unknown"))
 

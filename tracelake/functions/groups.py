@@ -33,3 +33,8 @@ def beside(groups: DataFrame, keys: list[str], *facts: DataFrame, otherwise: dic
             on = on & groups[c].eqNullSafe(renamed[f"_{k}_{c}"])
         groups = groups.join(renamed, on, "left").drop(*[f"_{k}_{c}" for c in keys])
     return groups.fillna(otherwise) if otherwise else groups
+
+
+def small(table: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A dimension table with the hint to broadcast it, if it has at most ``rows`` rows; else as it is."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.quantiles import quantile
 
 #: Log severities that count as trouble.
 TROUBLE = ["ERROR", "ERROR2", "ERROR3", "ERROR4", "FATAL", "WARN", "WARNING", "CRITICAL"]
@@ -46,10 +47,14 @@ def logs_for_traces_direct_and_nearby(spans: DataFrame, logs: DataFrame, log_ser
 
 
 def trace_context(spans: DataFrame) -> DataFrame:
-    """Per trace: its time, services, spans, errors and five slowest spans."""
-    slow = F.slice(F.sort_array(F.collect_list(F.struct((-C.ms()).alias("x"), "span_id"))), 1, 5)
-    g = spans.groupBy("trace_id").agg(F.min("start_time").alias("started"), F.max("end_time").alias("ended"), F.array_join(F.array_sort(F.collect_set(C.service())), ",").alias("services"), F.count("*").alias("span_count"), F.count_if(C.is_error()).alias("error_count"), slow.alias("slow"))
-    return g.select("trace_id", "started", "ended", F.round(C.epoch_ms(F.col("ended")) - C.epoch_ms(F.col("started")), 3).alias("total_ms"), "services", "span_count", "error_count", F.array_join(F.transform("slow", lambda s: s["span_id"]), ",").alias("slowest_span_ids"))
+    """Per trace: its time, services, hosts, spans, errors and five slowest spans."""
+    df = spans.select("trace_id", "span_id", "start_time", "end_time", C.service().alias("service_name"), F.col("resource.attributes")["host.name"].alias("host_name"), C.ms().alias("ms"), C.is_error().alias("bad"))
+    # names of services and hosts in a trace are few; its spans are ranked instead of gathered
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    g = df.groupBy("trace_id").agg(F.min("start_time").alias("started"), F.max("end_time").alias("ended"), names("service_name").alias("services"), names("host_name").alias("hosts"), F.count("*").alias("span_count"), F.count_if("bad").alias("error_count"))
+    k = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("ms"), "span_id"))
+    slow = df.select("trace_id", "span_id", k.alias("k")).filter("k <= 5").groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "span_id"))), lambda s: s["span_id"]), ",").alias("slowest_span_ids"))
+    return g.join(slow, "trace_id").select("trace_id", "started", "ended", F.round(C.epoch_ms(F.col("ended")) - C.epoch_ms(F.col("started")), 3).alias("total_ms"), "services", "hosts", "span_count", "error_count", "slowest_span_ids")
 
 
 def metrics_during_trace(spans: DataFrame, points: DataFrame, point_service: Column, buffer_seconds: float = 60) -> DataFrame:
@@ -61,6 +66,26 @@ def metrics_during_trace(spans: DataFrame, points: DataFrame, point_service: Col
     return j.groupBy("trace_id", "service_name", "metric_type").agg(F.count("*").alias("points"), F.round(F.avg("value"), 4).alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
 
 
+def metric_kind(metric: Column) -> Column:
+    """histogram (of durations or latencies), counter (a total) or gauge, by the metric's name."""
+    return F.when(metric.contains("duration") | metric.contains("latency"), "histogram").when(metric.contains("total"), "counter").otherwise("gauge")
+
+
+def metric_kinds_during_trace(spans: DataFrame, points: DataFrame, point_service: Column, buffer_seconds: float = 60, series: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
+    """Per trace, service and metric over the service's part of the trace and a buffer: the 95th percentile of a histogram's
+    points, the increase a second of a counter (a fall is a restart), the mean of a gauge. series: further columns of
+    ``points`` that tell counters of one service and metric apart."""
+    parts = spans.groupBy("trace_id", C.service().alias("service_name")).agg(F.min("start_time").alias("a"), F.max("end_time").alias("b"))
+    ranges = parts.select("trace_id", "service_name", _shift(F.col("a"), -buffer_seconds).alias("from"), _shift(F.col("b"), buffer_seconds).alias("to"))
+    slim = points.select(point_service.alias("service_name"), "metric_type", "ts", "value", metric_kind(F.col("metric_type")).alias("kind"), *series)
+    old = F.lag("value").over(Window.partitionBy("service_name", "metric_type", *series).orderBy("ts"))
+    slim = slim.withColumn("grown", F.when(old.isNull(), 0.0).when(F.col("value") < old, F.col("value")).otherwise(F.col("value") - old))
+    j = range_join(slim, "ts", ranges, "from", "to", ["service_name"], max(1, int(2 * buffer_seconds)))
+    g = j.groupBy("trace_id", "service_name", "metric_type", "kind").agg(F.count("*").alias("points"), quantile(F.col("value"), 0.95, exact).alias("p95"), F.avg("value").alias("mean"), F.sum("grown").alias("grown"), F.max(_seconds(F.col("to")) - _seconds(F.col("from"))).alias("seconds"))
+    value = F.when(F.col("kind") == "histogram", F.col("p95")).when(F.col("kind") == "counter", F.col("grown") / F.col("seconds")).otherwise(F.col("mean"))
+    return g.select("trace_id", "service_name", "metric_type", "kind", "points", F.round(value, 6).alias("value"))
+
+
 def cross_signal_timeline(spans: DataFrame, logs: DataFrame, log_service: Column, buffer_seconds: float = 5, per_trace: int = 50) -> DataFrame:
     """Per trace, in one order of time: its spans, its logs, and troubled logs of its services around it."""
     own = spans.select("trace_id", F.lit("SPAN").alias("event_type"), F.col("start_time").alias("event_time"), C.service().alias("service_name"), F.col("span_id").alias("event_id"), F.col("name").alias("description"), F.round(C.ms(), 3).alias("duration_ms"), F.lit(None).cast("string").alias("severity"))
@@ -96,6 +121,11 @@ def trace_to_pods(logs: DataFrame) -> DataFrame:
     return df.select("trace_id", at["namespace_name"].alias("namespace"), at["pod_name"].alias("pod"), at["container_name"].alias("container"), at["cluster_name"].alias("cluster")).distinct()
 
 
+def trace_services(spans: DataFrame) -> DataFrame:
+    """(trace_id, service): what stands before the first slash of its spans' names."""
+    return spans.filter(F.contains("name", F.lit("/"))).select("trace_id", F.substring_index("name", "/", 1).alias("service")).filter("service <> ''").distinct()
+
+
 def change_correlation(starts: DataFrame, changes: DataFrame, minutes: float = 30) -> DataFrame:
     """Per (service_name, anomaly_start) the latest change (ts, change_id, method) of that service in the minutes before."""
     ranges = starts.select("service_name", "anomaly_start", _shift(F.col("anomaly_start"), -60 * minutes).alias("from"))

@@ -53,6 +53,10 @@ LOW_RISK = ["scale up", "increase replicas", "add instances", "increase memory",
 HIGH_RISK = ["delete", "remove", "disable", "migration", "schema change", "database migration", "breaking change"]
 
 
+#: Incidents that patterns may be held against.
+MOST_INCIDENTS = 20_000
+
+
 def masked(text: Column, masks: list[tuple[str, str]]) -> Column:
     for pattern, name in masks:
         text = F.regexp_replace(text, pattern, name)
@@ -108,10 +112,11 @@ def _from_proto_payload(json: Column) -> Column:
 
 
 def extract_log_message(entries: DataFrame) -> DataFrame:
-    """Log entries (textPayload, jsonPayload, protoPayload) with their message."""
-    text = F.when(F.trim("textPayload") != "", F.trim("textPayload"))
+    """Log entries with their message: of the text payload, even a blank one; else of the JSON, else of the protocol
+    payload; else of a column payload, message or text, taken as JSON if it is an object."""
     json = F.when(F.col("jsonPayload").isNotNull(), _from_json_payload(F.col("jsonPayload")))
-    return entries.withColumn("message", F.coalesce(text, json, _from_proto_payload(F.col("protoPayload")), F.lit("")))
+    other = [F.when(F.try_parse_json(c).isNotNull() & F.col(c).rlike(r"^\s*\{"), _from_json_payload(F.col(c))).otherwise(F.trim(c)) for c in ("payload", "message", "text") if c in entries.columns]
+    return entries.withColumn("message", F.coalesce(F.trim("textPayload"), json, _from_proto_payload(F.col("protoPayload")), *other, F.lit("")))
 
 
 def template_patterns(logs: DataFrame, message: str = "message", severity: str = "severity", resource: str | None = None, lead: int = 2, similarity: float = 0.4, min_count: int = 1) -> DataFrame:
@@ -152,6 +157,18 @@ def severity_score() -> Column:
     return _severity_count("ERROR") * 10 + _severity_count("CRITICAL") * 20 + _severity_count("WARNING") * 5
 
 
+def top_patterns(patterns: DataFrame, by: str = "count", limit: int = 50) -> DataFrame:
+    """The first patterns by count, by severity (score), or by the latest message (recent)."""
+    order = {"count": F.col("count"), "severity": severity_score(), "recent": F.col("last_seen")}[by]
+    return patterns.orderBy(order.desc_nulls_last(), F.desc("count"), "pattern_id").limit(limit)
+
+
+def compression_ratio(patterns: DataFrame) -> DataFrame:
+    """One row: messages, patterns, and messages a pattern."""
+    g = patterns.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_logs"), F.count("*").alias("total_patterns"))
+    return g.withColumn("compression_ratio", F.round(F.col("total_logs") / F.greatest(F.col("total_patterns"), F.lit(1)), 2))
+
+
 def compare_log_patterns(before: DataFrame, after: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Patterns of two periods as new, disappeared, increased, decreased or stable, by their share of all messages."""
     total = lambda df: df.agg(F.greatest(F.sum("count"), F.lit(1)).alias("total"))
@@ -191,13 +208,26 @@ def classify_findings(logs: DataFrame, text: str = "message", rules: list[tuple[
     return logs.withColumn("_h", F.array_sort(F.array_distinct(hits))).filter(F.size("_h") > 0).withColumn("categories", F.array_join(F.transform("_h", lambda h: h["category"]), ",")).withColumn("severity_class", F.col("_h")[0]["severity"]).drop("_h")
 
 
-def similar_incidents(patterns: DataFrame, incidents: DataFrame, since: str | None = None) -> DataFrame:
-    """(pattern, incident) by mutual substring of pattern texts; patterns without any, by a word of theirs in a title or
-    root cause. incidents: incident_id, pattern, title, root_cause, service, date; a small dimension table."""
+def suggest_remediation(findings: DataFrame, actions: DataFrame, key: str) -> DataFrame:
+    """(key, rank, category, action, risk, effort, quick_win): what to do about each row's categories (as
+    ``classify_findings`` joins them), least risk and then least effort first. actions: category, action, risk, effort."""
+    order = lambda c: F.coalesce(F.array_position(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col(c)) - 1, F.lit(1))
+    each = findings.select(key, F.explode(F.split("categories", ",")).alias("category")).distinct().join(actions, "category")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(order("risk"), order("effort"), "category", "action"))
+    return each.select(key, rank.alias("rank"), "category", "action", "risk", "effort", ((F.col("risk") == "low") & (F.col("effort") == "low")).alias("quick_win"))
+
+
+def similar_incidents(patterns: DataFrame, incidents: DataFrame, since: str | None = None, service: str | None = None) -> DataFrame:
+    """(pattern, incident) by mutual substring of pattern texts, of services whose name holds ``service``; patterns without
+    any, by a word of theirs in a title or root cause. incidents: incident_id, pattern, title, root_cause, service, date;
+    each is held against every pattern, so there must not be more than MOST_INCIDENTS of them."""
     inc = incidents if since is None else incidents.filter(F.col("date") >= since)
+    if inc.limit(MOST_INCIDENTS + 1).count() > MOST_INCIDENTS:
+        raise ValueError(f"more than {MOST_INCIDENTS} incidents")
+    of_service = F.lit(True) if service is None else F.contains(F.lower("service"), F.lit(service.lower()))
     text, known = F.lower("template"), F.lower("pattern")
     p = patterns.select("pattern_id", "template")
-    direct = p.join(F.broadcast(inc), F.contains(text, known) | F.contains(known, text)).select("pattern_id", "incident_id", "title", F.lit("pattern").alias("match"))
+    direct = p.join(F.broadcast(inc.filter(of_service)), F.contains(text, known) | F.contains(known, text)).select("pattern_id", "incident_id", "title", F.lit("pattern").alias("match"))
     words = p.join(direct.select("pattern_id").distinct(), "pattern_id", "left_anti").select("pattern_id", F.explode(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))).alias("word"))
     loose = words.join(F.broadcast(inc), F.contains(F.lower("title"), F.col("word")) | F.contains(F.lower("root_cause"), F.col("word"))).select("pattern_id", "incident_id", "title", F.lit("word").alias("match")).distinct()
     return direct.unionByName(loose)

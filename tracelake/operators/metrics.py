@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.groups import small
 from ..functions.quantiles import continuous, floor_index
 
 
@@ -42,7 +43,7 @@ def _overall(*grades: str) -> Column:
 def golden_signals(points: DataFrame, signals: DataFrame, service: Column) -> DataFrame:
     """Latency (ms), traffic, errors (%) and saturation (%) of each service from metric points. signals: a small table
     (signal, metric_type, rank); of a signal's metric types the first that has data for the service counts."""
-    df = points.select(service.alias("service_name"), "metric_type", "value").join(F.broadcast(signals), "metric_type")
+    df = points.select(service.alias("service_name"), "metric_type", "value").join(small(signals), "metric_type")
     per = df.groupBy("service_name", "signal", "rank").agg(F.avg("value").alias("value"))
     first = per.groupBy("service_name", "signal").agg(F.min_by("value", "rank").alias("value"))
     wide = first.groupBy("service_name").pivot("signal", ["latency", "traffic", "errors", "saturation"]).agg(F.first("value"))
@@ -91,6 +92,12 @@ def gauge_latest(points: DataFrame, keys: list[str], order: tuple[str, ...] = ("
     return points.groupBy(*keys).agg(F.max_by("value", F.struct(*order)).alias("latest"), F.max("ts").alias("at"))
 
 
+def gauge_over_window(points: DataFrame, keys: list[str], as_of: str, minutes: float) -> DataFrame:
+    """Mean, range and number of the points of the last minutes before (and at) as_of."""
+    g = C.time_window(points, minutes / 60, as_of, "ts").groupBy(*keys)
+    return g.agg(F.round(F.avg("value"), 8).alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"))
+
+
 def range_query_step(points: DataFrame, keys: list[str], step_seconds: int = 60) -> DataFrame:
     """Gauges on a grid of steps: mean, greatest, last."""
     return points.groupBy(*keys, _bucket("ts", step_seconds).alias("step")).agg(F.round(F.avg("value"), 8).alias("avg"), F.max("value").alias("max"), F.max_by("value", F.struct("ts", "value")).alias("last"), F.count("*").alias("n"))
@@ -103,7 +110,7 @@ def slo_status(slos: DataFrame) -> DataFrame:
 
 def slo_compliance(spans: DataFrame, slos: DataFrame, as_of: str) -> DataFrame:
     """Good share of a service's spans over its objective's rolling period. slos: service_name, goal, rolling_days; small."""
-    df = spans.select(C.service().alias("service_name"), "start_time", C.is_error().alias("bad")).join(F.broadcast(slos), "service_name")
+    df = spans.select(C.service().alias("service_name"), "start_time", C.is_error().alias("bad")).join(small(slos), "service_name")
     at = F.lit(as_of).cast("timestamp_ntz")
     inside = (F.col("start_time") <= at) & (F.col("start_time") >= at - F.make_dt_interval(F.coalesce("rolling_days", F.lit(30))))
     g = df.filter(inside).groupBy("service_name", "goal").agg(F.count("*").alias("total"), F.count_if(~F.col("bad")).alias("good"))
@@ -128,7 +135,7 @@ def predict_slo_violation(burn: DataFrame, keys: list[str], horizon_hours: float
 
 def incident_slo_impact(incidents: DataFrame, slos: DataFrame) -> DataFrame:
     """How much of an objective's budget an incident took. incidents: service_name, duration_minutes; slos: small."""
-    j = incidents.join(F.broadcast(slos), "service_name")
+    j = incidents.join(small(slos), "service_name")
     budget = F.coalesce("rolling_days", F.lit(30)) * 1440 * (1 - F.col("goal"))
     used = F.try_divide(F.col("duration_minutes"), budget) * 100
     return j.withColumn("budget_minutes", F.round(budget, 4)).withColumn("budget_used_pct", F.round(used, 2)).withColumn("impact", F.when(used >= 50, "CRITICAL").when(used >= 20, "HIGH").when(used >= 5, "MEDIUM").otherwise("LOW"))

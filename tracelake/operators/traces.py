@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.quantiles import continuous, floor_index
+from ..functions.quantiles import continuous, floor_index, quantile
 from .tree import depths, slim
 
 # Words in span names and labels that speak of retries, timeouts and connection pools.
@@ -80,10 +80,18 @@ def validate_trace(spans: DataFrame, max_spans: int = 1000, max_ms: float = 300_
 
 
 def summarize_trace(spans: DataFrame, top: int = 5) -> DataFrame:
-    """Per trace: spans, duration, errors and the slowest spans."""
-    slow = F.slice(F.sort_array(F.collect_list(F.struct((-C.ms()).alias("x"), "span_id", "name"))), 1, top)
-    out = spans.groupBy("trace_id").agg(F.count("*").alias("span_count"), F.round(F.max(C.epoch_ms(F.col("end_time"))) - F.min(C.epoch_ms(F.col("start_time"))), 3).alias("duration_ms"), F.count_if(C.is_error() | C.error_by_text()).alias("error_count"), slow.alias("slow"))
-    return out.select("trace_id", "span_count", "duration_ms", "error_count", F.array_join(F.transform("slow", lambda s: s["name"]), ",").alias("slowest_spans"))
+    """Per trace: spans, duration, errors, the spans of the first errors and the slowest spans. A trace's spans are ranked
+    by a window that keeps ``top`` of them, so a large trace is not gathered."""
+    df = spans.select("trace_id", "span_id", "name", C.ms().alias("ms"), C.epoch_ms(F.col("start_time")).alias("a"), C.epoch_ms(F.col("end_time")).alias("b"), (C.is_error() | C.error_by_text()).alias("bad"))
+    whole = df.groupBy("trace_id").agg(F.count("*").alias("span_count"), F.round(F.max("b") - F.min("a"), 3).alias("duration_ms"), F.count_if("bad").alias("error_count"))
+
+    def first(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+        kept = rows.withColumn("k", F.row_number().over(Window.partitionBy("trace_id").orderBy(*order))).filter(F.col("k") <= top)
+        return kept.groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda s: s["name"]), ",").alias(name))
+
+    slow = first(df, [F.desc("ms"), F.col("span_id")], "slowest_spans")
+    bad = first(df.filter("bad"), [F.col("a"), F.col("span_id")], "error_spans")
+    return whole.join(slow, "trace_id", "left").join(bad, "trace_id", "left").select("trace_id", "span_count", "duration_ms", "error_count", F.coalesce("error_spans", F.lit("")).alias("error_spans"), F.coalesce("slowest_spans", F.lit("")).alias("slowest_spans"))
 
 
 def latency_statistics(spans: DataFrame, by: str = "name") -> DataFrame:
@@ -183,8 +191,8 @@ def connection_pool_issues(spans: DataFrame, threshold_ms: float = 100, words: l
     return out.withColumn("total_wait_ms", F.round(total, 2)).withColumn("pool_exhaustion", F.col("total_wait_ms") >= 3 * threshold_ms)
 
 
-def all_patterns(spans: DataFrame, pool_words: list[str] = POOL_WORDS) -> DataFrame:
-    """Per trace with findings: how many of each kind, and its health."""
+def all_patterns(spans: DataFrame, pool_words: list[str] = POOL_WORDS, with_healthy: bool = True) -> DataFrame:
+    """Per trace: how many findings of each kind, and its health; those without findings only ``with_healthy``."""
     from .tree import cascading_timeout
 
     parts = [
@@ -193,7 +201,8 @@ def all_patterns(spans: DataFrame, pool_words: list[str] = POOL_WORDS) -> DataFr
         connection_pool_issues(spans, words=pool_words).select("trace_id", F.lit("connection_pool_issue").alias("kind"), F.when(F.col("pool_exhaustion"), 3).when(F.col("severity") == "high", 2).otherwise(1).alias("rank")),
     ]
     g = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("trace_id").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("retry_storm", "cascading_timeout", "connection_pool_issue")], F.max("rank").alias("rank"))
-    return g.withColumn("health", F.when(F.col("rank") == 3, "critical").when(F.col("rank") == 2, "degraded").otherwise("warning")).drop("rank")
+    g = g.withColumn("health", F.when(F.col("rank") == 3, "critical").when(F.col("rank") == 2, "degraded").otherwise("warning")).drop("rank")
+    return spans.select("trace_id").distinct().join(g, "trace_id", "left").fillna(0).fillna("healthy", "health") if with_healthy else g
 
 
 def trace_patterns(spans: DataFrame, top: int = 5) -> DataFrame:
@@ -247,3 +256,13 @@ def example_traces(spans: DataFrame) -> DataFrame:
         "service_name", F.col("n").alias("traces"), F.col("a.trace_id").alias("anomaly_trace_id"), F.round("a.score", 3).alias("anomaly_score"), F.round("a.ms", 3).alias("anomaly_ms"),
         F.coalesce("mid_id", F.col("near.trace_id")).alias("baseline_trace_id"), F.round(F.coalesce("mid_ms", F.col("near.ms")), 3).alias("baseline_ms"),
     )
+
+
+def example_trace_report(spans: DataFrame, adequate: int = 20) -> DataFrame:
+    """example_traces with each service's statistics and whether its sample can be trusted."""
+    df = C.root_spans(spans).select(C.service().alias("service_name"), C.ms().alias("ms"), C.is_error().alias("bad")).filter("ms > 0")
+    stats = df.groupBy("service_name").agg(
+        F.count("*").alias("count"), F.round(quantile(F.col("ms"), 0.5), 2).alias("p50_ms"), F.round(F.avg("ms"), 2).alias("mean_ms"), F.round(F.coalesce(F.stddev_samp("ms"), F.lit(0.0)), 2).alias("stdev_ms"), F.count_if("bad").alias("error_traces")
+    )
+    j = example_traces(spans).join(stats, "service_name", "left")
+    return j.withColumns({"baseline_valid": F.col("baseline_trace_id").isNotNull(), "anomaly_valid": F.col("anomaly_trace_id").isNotNull(), "sample_adequate": F.coalesce(F.col("count") >= adequate, F.lit(False)), "latency_variance_detected": F.coalesce(F.col("stdev_ms") > 0, F.lit(False))})

@@ -107,23 +107,25 @@ def self_times(spans: DataFrame) -> DataFrame:
 
 def critical_path_blocking(spans: DataFrame) -> DataFrame:
     """Per root or orphan, the chain of descendants with the most blocking time: self times, halved for each step down to a
-    child that ends over 5 ms before its parent. Ties go to the shorter path, then the earlier start, then the id."""
+    child that ends over 5 ms before its parent; each step with its share of that. Ties go to the shorter path, then the earlier start, then the id."""
     df = cut(self_times(spans))
-    node = lambda p: F.struct(F.col(f"{p}span_id").alias("span_id"), F.col(f"{p}name").alias("name"), F.col(f"{p}self_ms").alias("self_ms"))
+    node = lambda p, weight: F.struct(F.col(f"{p}span_id").alias("span_id"), F.col(f"{p}name").alias("name"), F.col(f"{p}self_ms").alias("self_ms"), weight.alias("weight"))
 
     def carry(up: str, down: str) -> list[Column]:
         weight = F.col(f"{up}.weight") * F.when(F.col(f"{up}.end_ms") - F.col(f"{down}.end_ms") > EARLY_END_MS, 0.5).otherwise(1.0)
         return [
             F.col(f"{up}.root_id").alias("root_id"), F.col(f"{up}.root_ms").alias("root_ms"), F.col(f"{down}.end_ms").alias("end_ms"), F.col(f"{down}.start_ms").alias("start_ms"), weight.alias("weight"),
-            (F.col(f"{up}.blocking") + weight * F.col(f"{down}.self_ms")).alias("blocking"), F.concat(F.col(f"{up}.path"), F.array(node(f"{down}."))).alias("path"),
+            (F.col(f"{up}.blocking") + weight * F.col(f"{down}.self_ms")).alias("blocking"), F.concat(F.col(f"{up}.path"), F.array(node(f"{down}.", weight))).alias("path"),
         ]
 
-    first = [F.col("span_id").alias("root_id"), F.col("ms").alias("root_ms"), F.col("end_ms"), F.col("start_ms"), F.lit(1.0).alias("weight"), F.col("self_ms").alias("blocking"), F.array(node("")).alias("path")]
+    first = [F.col("span_id").alias("root_id"), F.col("ms").alias("root_ms"), F.col("end_ms"), F.col("start_ms"), F.lit(1.0).alias("weight"), F.col("self_ms").alias("blocking"), F.array(node("", F.lit(1.0))).alias("path")]
     reached = walk(df, roots_and_orphans(df), carry, first)
     best = reached.groupBy("trace_id", "root_id").agg(F.min(F.struct((-F.col("blocking")).alias("cost"), "depth", "start_ms", "span_id", "path", "root_ms", "blocking")).alias("b"))
     ratio = F.coalesce(F.try_divide(F.col("b.root_ms"), F.col("b.blocking")), F.lit(1.0))
+    share = lambda p: F.round(F.try_divide(p["self_ms"] * p["weight"], F.col("b.blocking")) * 100, 2)
+    steps = F.transform("b.path", lambda p: F.struct(p["span_id"].alias("span_id"), p["name"].alias("name"), p["self_ms"].alias("self_ms"), share(p).alias("contribution_pct")))
     return best.select(
-        "trace_id", F.col("root_id").alias("root_span_id"), F.col("b.path").alias("critical_path"), F.round("b.blocking", 8).alias("total_critical_ms"), F.round("b.root_ms", 8).alias("trace_duration_ms"),
+        "trace_id", F.col("root_id").alias("root_span_id"), steps.alias("critical_path"), F.round("b.blocking", 8).alias("total_critical_ms"), F.round("b.root_ms", 8).alias("trace_duration_ms"),
         F.round(ratio, 2).alias("parallelism_ratio"), F.when(ratio > 1, F.round((1 - 1 / ratio) * 100, 2)).otherwise(0.0).alias("parallelism_pct"),
     )
 

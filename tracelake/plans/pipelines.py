@@ -25,7 +25,7 @@ def triage_pipeline(spans: DataFrame, pairs: DataFrame) -> DataFrame:
     of_target = lambda df, finding, subject: pairs.join(df, F.col("target_trace_id") == F.col("trace_id")).select(*keys, F.lit(finding).alias("finding"), subject.cast("string").alias("subject"))
     errors = of_target(traces.extract_errors(spans), "error", F.col("span_id"))
     anomalies = of_target(traces.latency_anomalies(spans), "latency_anomaly", F.col("span_id"))
-    patterns = of_target(traces.all_patterns(spans), "pattern", F.col("health"))
+    patterns = of_target(traces.all_patterns(spans, with_healthy=False), "pattern", F.col("health"))
     return timing.unionByName(shape).unionByName(errors).unionByName(anomalies).unionByName(patterns)
 
 

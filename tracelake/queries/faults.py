@@ -108,7 +108,7 @@ QUERIES = {
     "connection_pool_waits": (_sessions(traces.connection_pool_issues), _sql(f"{_POOL} SELECT * FROM pool")),
     "cascading_timeout_by_words": (_sessions(_cascade), _sql(f"{_CHAIN} SELECT * FROM casc", recursive=True)),
     "all_patterns_by_words": (
-        _sessions(traces.all_patterns),
+        _sessions(lambda s: traces.all_patterns(s, with_healthy=False)),
         _sql(
             f"{_RETRY}, {_CHAIN}, {_POOL}, "
             "k AS (SELECT trace_id, 1 AS k, CASE impact WHEN 'high' THEN 2 ELSE 1 END AS rk FROM rs UNION ALL SELECT trace_id, 2, 3 FROM casc UNION ALL SELECT trace_id, 3, CASE WHEN pool_exhaustion THEN 3 WHEN severity = 'high' THEN 2 ELSE 1 END FROM pool) "

@@ -274,7 +274,7 @@ QUERIES = {
     ),
     "trace_context": (
         lambda spark, d: X.trace_context(A.spans_from_orders(spark, d)),
-        Q.with_orders("SELECT trace_id, min(start_time) AS started, max(end_time) AS ended, round(epoch_us(max(end_time))::DOUBLE / 1000 - epoch_us(min(start_time))::DOUBLE / 1000, 3) AS total_ms, array_to_string(list_sort(list(DISTINCT service)), ',') AS services, count(*) AS span_count, count(*) FILTER (is_error) AS error_count, array_to_string(list_slice(list(span_id ORDER BY ms DESC, span_id), 1, 5), ',') AS slowest_span_ids FROM s GROUP BY 1"),
+        Q.with_orders("SELECT trace_id, min(start_time) AS started, max(end_time) AS ended, round(epoch_us(max(end_time))::DOUBLE / 1000 - epoch_us(min(start_time))::DOUBLE / 1000, 3) AS total_ms, array_to_string(list_sort(list(DISTINCT service)), ',') AS services, '' AS hosts, count(*) AS span_count, count(*) FILTER (is_error) AS error_count, array_to_string(list_slice(list(span_id ORDER BY ms DESC, span_id), 1, 5), ',') AS slowest_span_ids FROM s GROUP BY 1"),
     ),
     "metrics_during_trace": (
         lambda spark, d: X.metrics_during_trace(A.spans_from_events(spark, d).filter(C.is_error()), A.metrics_from_events(spark, d), F.col("resource_labels")["service.name"], 1800),

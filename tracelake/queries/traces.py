@@ -116,7 +116,7 @@ QUERIES = {
     ),
     "summarize_trace": (
         _orders(O.summarize_trace),
-        Q.with_orders(f"SELECT trace_id, count(*) AS span_count, round({_TRACE_MS}, 3) AS duration_ms, count(*) FILTER (is_error) AS error_count, array_to_string(list_slice(list(name ORDER BY ms DESC, span_id), 1, 5), ',') AS slowest_spans FROM s GROUP BY 1"),
+        Q.with_orders(f"SELECT trace_id, count(*) AS span_count, round({_TRACE_MS}, 3) AS duration_ms, count(*) FILTER (is_error) AS error_count, coalesce(array_to_string(list_slice(list(name ORDER BY start_time, span_id) FILTER (is_error), 1, 5), ','), '') AS error_spans, array_to_string(list_slice(list(name ORDER BY ms DESC, span_id), 1, 5), ',') AS slowest_spans FROM s GROUP BY 1"),
     ),
     "latency_statistics": (_orders(O.latency_statistics), Q.with_orders(_stats_sql("key", "SELECT name AS key, ms FROM s"))),
     "latency_statistics_of_traces": (_orders(lambda s: O.latency_statistics(s, "trace")), Q.with_orders(_stats_sql("key", f"SELECT 'trace' AS key, {_TRACE_MS} AS ms FROM s GROUP BY trace_id"))),
@@ -171,7 +171,7 @@ QUERIES = {
     "cascading_timeout": (_orders(_cascade), Q.with_orders(f"{_CHAIN} SELECT * FROM casc").replace("WITH ", "WITH RECURSIVE ", 1)),
     "connection_pool_issues": (_orders(lambda s: O.connection_pool_issues(s, 100, _WORDS)), Q.with_orders(f"{_POOL} SELECT * FROM pool")),
     "all_patterns": (
-        _orders(lambda s: O.all_patterns(s, _WORDS)),
+        _orders(lambda s: O.all_patterns(s, _WORDS, with_healthy=False)),
         Q.with_orders(
             f"{_RETRY.replace('retry_count >= 2 AND sequential >= 2', 'retry_count >= 3 AND sequential >= 3')}, {_CHAIN.replace('ms >= 45', 'ms >= 1000')}, {_POOL}, "
             "u AS (SELECT trace_id, 1 AS k, CASE impact WHEN 'high' THEN 2 ELSE 1 END AS rk FROM rs UNION ALL SELECT trace_id, 2, 3 FROM casc UNION ALL SELECT trace_id, 3, CASE WHEN pool_exhaustion THEN 3 WHEN severity = 'high' THEN 2 ELSE 1 END FROM pool) "

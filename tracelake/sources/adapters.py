@@ -71,7 +71,7 @@ def spans_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("name"), F.lit(2).alias("kind"), F.col("ts").alias("start_time"), F.round(F.col("value") * 1_000_000).cast("long").alias("duration_nano"),
         F.struct(F.when(F.col("event_type") == "error", 2).otherwise(1).alias("code"), F.lit(None).cast("string").alias("message")).alias("status"),
         F.create_map().cast("map<string,string>").alias("attributes"),
-        F.struct(_map(service_name=F.concat(F.lit("svc-"), F.col("user_id") % 10)).alias("attributes")).alias("resource"),
+        F.struct(_map(service_name=F.concat(F.lit("svc-"), F.col("user_id") % 10), host_name=F.concat(F.lit("host-"), F.col("event_id") % 4)).alias("attributes")).alias("resource"),
         F.array().cast(_NO_EVENTS).alias("events"), F.array().cast(_NO_LINKS).alias("links"),
         F.struct(F.lit("events").alias("name"), F.lit("1").alias("version"), F.lit(None).cast("string").alias("schema_url")).alias("instrumentation_scope"),
     )

@@ -19,14 +19,17 @@ def _time(text: F.Column) -> F.Column:
 
 
 def trace_documents_to_spans(documents: DataFrame) -> DataFrame:
-    """Trace documents (trace_id, project_id, spans) as a row for each span; times that cannot be read are null."""
-    df = documents.select("trace_id", "project_id", F.explode("spans").alias("s"))
+    """Trace documents (trace_id, project_id, spans) as a row for each span with its trace's duration; times that cannot
+    be read are null."""
+    at = lambda name, pick: F.unix_micros(pick(F.transform("spans", lambda s: _time(s[name]))).cast("timestamp"))
+    whole = (at("end_time", F.array_max) - at("start_time", F.array_min)) / 1000
+    df = documents.select("trace_id", "project_id", whole.alias("trace_duration_ms"), F.explode("spans").alias("s"))
     start, end = _time(F.col("s.start_time")), _time(F.col("s.end_time"))
     nano = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) * 1000
     labels = F.coalesce(F.col("s.labels"), F.create_map().cast("map<string,string>"))
     return df.select(
         "trace_id", "project_id", F.col("s.span_id").alias("span_id"), F.nullif(F.col("s.parent_span_id"), F.lit("")).alias("parent_span_id"), F.col("s.name").alias("name"), F.lit(None).cast("int").alias("kind"),
-        start.alias("start_time"), end.alias("end_time"), nano.alias("duration_nano"), F.struct(F.lit(0).alias("code"), F.lit(None).cast("string").alias("message")).alias("status"), labels.alias("attributes"), F.struct(labels.alias("attributes")).alias("resource"),
+        start.alias("start_time"), end.alias("end_time"), nano.alias("duration_nano"), F.struct(F.lit(0).alias("code"), F.lit(None).cast("string").alias("message")).alias("status"), labels.alias("attributes"), F.struct(labels.alias("attributes")).alias("resource"), "trace_duration_ms",
     )
 
 
@@ -58,6 +61,13 @@ def list_log_entries(logs: DataFrame, min_severity: str | None = None, resource_
     return df.orderBy(F.desc("timestamp"), "insert_id").limit(limit)
 
 
+def entries_with_fields(entries: DataFrame, fields: dict[str, str], payload: str = "jsonPayload") -> DataFrame:
+    """Log entries whose JSON payload has the given values at the given paths ("user.id"), compared as text."""
+    for path, value in fields.items():
+        entries = entries.filter(F.get_json_object(payload, f"$.{path}") == value)
+    return entries
+
+
 def normalize_log_entries(entries: DataFrame, longest: int = 2000) -> DataFrame:
     """Log entries with one payload (cut at ``longest`` characters) and the bare trace id."""
     payload = F.coalesce("textPayload", "jsonPayload", "protoPayload")
@@ -81,6 +91,16 @@ def time_series_points(series: DataFrame) -> DataFrame:
     return df.select(F.col("metric.type").alias("metric_type"), F.col("metric.labels").alias("metric_labels"), F.col("resource.type").alias("resource_type"), F.col("resource.labels").alias("resource_labels"), _time(F.col("p.timestamp")).alias("ts"), F.col("p.value").cast("double").alias("value"))
 
 
+def select_points(points: DataFrame, metric_type: str | None = None, labels: dict[str, str] | None = None, resource_labels: dict[str, str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Points of a metric type, with the given labels, in a time range (both ends included)."""
+    df = points if metric_type is None else points.filter(F.col("metric_type") == metric_type)
+    for column, wanted in (("metric_labels", labels), ("resource_labels", resource_labels)):
+        for k, v in (wanted or {}).items():
+            df = df.filter(F.col(column)[k] == v)
+    df = df if start is None else df.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    return df if end is None else df.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+
+
 def slo_definitions(documents: DataFrame) -> DataFrame:
     """Objective documents (name, displayName, goal, rollingPeriod, serviceLevelIndicator) flattened."""
     sli = F.col("serviceLevelIndicator")
