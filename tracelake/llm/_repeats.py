@@ -4,15 +4,19 @@ Both substring operators work on windows of 50 units (bytes, words). Each window
 by a rule that looks at nothing but its content, so equal windows pick equal anchors at equal places.
 Neighbouring windows with the same anchor occurrence form a region. Then:
 
-1. Each task sends, to the shard of the anchor's hash, one small record a region: hash of the anchor, hash of
-   the region's whole content, document, place. Of equal regions of a task only the least document's goes out.
-2. A shard knows the least document of each region; the others are repeats as a whole. Only where regions with
-   the same anchor differ (at the ends of a repeat, mostly) single windows are still open; their contents are
-   asked for, once for the least document of each different region.
-3. Those contents meet by anchor and are compared exactly, window by window.
+1. Each task sends, to the shard of the anchor's hash, one small record a region: hashes of the anchor, of the
+   region's whole content and of the anchor with half of what a window has besides, to its left and to its right;
+   document and place. Of equal regions of a task only the least document's goes out.
+2. A shard knows the least document of each region; the others are repeats as a whole. Of the rest, windows with
+   at least half of their surplus left of the anchor can only repeat where another document has the same left half,
+   the others only where one has the same right half. Windows that pass stay open.
+3. The answers meet the texts by document. Open windows are compared exactly, first with the others of the same task;
+   what no smaller document of the task has goes on, by anchor, with its content, and is compared over all tasks.
 
 Hot passages are combined in the task that reads them before anything is shuffled, so a shard gets one record
-for each task and region. Spans go back by document and are cut out of the texts.
+for each task and region, and one content for each task and open window. Only where a hot passage ends does a shard get
+a record (some 15 bytes) of every document that has it. The texts are shuffled once; cutting the spans out uses the
+same shuffle.
 """
 
 from __future__ import annotations
@@ -25,14 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import cut, shards
+from ._store import shards
 
 WINDOW = 50
 _SHARD = "shard int, blob binary"
-_FOUND = "doc_id long, twin int, key long, span long"
+_FOUND = "at long, twin long, key long, span long"
+_SETTLED = "at long, twin long, span long"
+_BODIES = "shard int, blob binary, body binary"
 
-#: rows (document of the chunk), first window, windows, anchor hash, region hash, and units from the first window to the
-#: anchor, of all regions of a chunk.
+#: rows (document of the chunk), first window, windows, anchor hash, region hash, units from the first window to the
+#: anchor, hash of the anchor and what is left of it, of it and what is right of it (where a window holds that), and
+#: from how many units left of its anchor on a window counts as left, of all regions of a chunk.
 Regions = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 
 
@@ -46,7 +53,19 @@ def _batches(shard: list[int], blob: list[bytes]) -> pa.RecordBatch:
 
 def _found(doc: np.ndarray, twin: np.ndarray, span: np.ndarray, key: np.ndarray | None = None) -> pa.Table:
     keys = pa.nulls(len(doc), pa.int64()) if key is None else pa.array(key.astype(np.int64))
-    return pa.table({"doc_id": pa.array(doc.astype(np.int64)), "twin": pa.array(twin.astype(np.int32)), "key": keys, "span": pa.array(span)})
+    return pa.table({"at": pa.array(doc.astype(np.int64)), "twin": pa.array(twin.astype(np.int64)), "key": keys, "span": pa.array(span)})
+
+
+def _joined(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, twin, span) with the overlapping and touching spans of each row made one."""
+    order = np.lexsort((start, twin, doc))
+    doc, twin, start, end = doc[order], twin[order], start[order], end[order]
+    row = _runs(doc, twin) if len(doc) else doc
+    reach = np.maximum.accumulate(end + (row << 33)) - (row << 33) if len(doc) else end
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+    last = np.append(new[1:], True)[: len(new)]
+    return doc[new], twin[new], _spans(start[new], reach[last])
 
 
 def _deal(shard: np.ndarray, **arrays: np.ndarray) -> pa.RecordBatch:
@@ -73,7 +92,7 @@ def _send(source: DataFrame, regions: Regions, n: int) -> DataFrame:
             twins = batch.column(1).to_numpy()
             buf, off = T.column(batch, "text")
             for i, j in T.slices(off):
-                row, first, count, anchor, content, lead = regions(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                row, first, count, anchor, content, lead, left, right, half = regions(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 if not len(row):
                     continue
                 doc, twin = ids[i + row], twins[i + row]
@@ -84,96 +103,137 @@ def _send(source: DataFrame, regions: Regions, n: int) -> DataFrame:
                 own[order] = doc[order] == doc[order][head][group]
                 rest = ~own
                 if rest.any():  # known here: a smaller document of this task has the whole region
-                    span = _spans(first[rest], first[rest] + count[rest] + WINDOW - 1)
-                    yield _deal((T.mix(doc[rest].astype(np.uint64)) % np.uint64(n)).astype(np.int64), doc_d=doc[rest], twin=twin[rest].astype(np.uint16), span_d=span)
+                    d, t, span = _joined(doc[rest], twin[rest], first[rest], first[rest] + count[rest] + WINDOW - 1)
+                    yield _deal((T.mix(d.astype(np.uint64)) % np.uint64(n)).astype(np.int64), doc_d=d, twin=t, span_d=span)
                 at = np.flatnonzero(own)
                 at = at[np.argsort(doc[at], kind="stable")]
                 yield _deal(
                     (anchor[at] % np.uint64(n)).astype(np.int64), anchor=(anchor[at] >> np.uint64(32)).astype(np.uint32), content=content[at],
-                    doc_d=doc[at], twin=twin[at].astype(np.uint16), first_d=first[at], count=count[at].astype(np.uint16), lead=lead[at].astype(np.uint8),
+                    left=left[at].astype(np.uint16), right=right[at].astype(np.uint16), half=half[at].astype(np.uint8),
+                    doc_d=doc[at], twin=twin[at], first_d=first[at], count=count[at].astype(np.uint16), lead=lead[at].astype(np.uint8),
                 )
 
-    return source.mapInArrow(run, _SHARD)
+    return source.filter("doc_id is not null").select("doc_id", "twin", "text").mapInArrow(run, _SHARD)
+
+
+def _shared(doc: np.ndarray, among: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Which of the rows marked in ``among`` have their keys in common with a marked row of another document."""
+    out = np.zeros(len(doc), dtype=bool)
+    where = np.flatnonzero(among)
+    if len(where):
+        where = where[np.lexsort([k[where] for k in keys])]
+        group = _runs(*[k[where] for k in keys])
+        head = np.flatnonzero(np.diff(group, prepend=-1))
+        d = doc[where]
+        out[where] = (np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head))[group]
+    return out
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One shard: spans of whole repeats (key null), and the open regions of least documents (key: their anchor)."""
+    """One shard: spans of whole repeats (key null), and the open windows of least documents (key: their anchor)."""
     parts = [T.unpack(b.as_py()) for b in table.column("blob")]
     out = [_found(*[np.concatenate([p[k] for p in parts if "span_d" in p]) for k in ("doc_d", "twin", "span_d")])] if any("span_d" in p for p in parts) else []
     parts = [p for p in parts if "anchor" in p]
     if parts:
-        anchor, content, doc, twin, first, count, lead = (np.concatenate([p[k] for p in parts]) for k in ("anchor", "content", "doc_d", "twin", "first_d", "count", "lead"))
-        order = np.lexsort((doc, content, anchor))
-        anchor, content, doc, twin, first, count, lead = (x[order] for x in (anchor, content, doc, twin, first, count.astype(np.int64), lead))
+        names = ("anchor", "content", "left", "right", "half", "doc_d", "twin", "first_d", "count", "lead")
+        columns = [np.concatenate([p[k] for p in parts]) for k in names]
+        order = np.lexsort((columns[5], columns[1], columns[0]))
+        anchor, content, left, right, half, doc, twin, first, count, lead = (x[order] for x in columns)
+        half, count, lead = (x.astype(np.int64) for x in (half, count, lead))
         group = _runs(anchor, content)
-        least = doc[np.flatnonzero(np.diff(group, prepend=-1))][group]
-        whole = doc > least
+        whole = doc > doc[np.flatnonzero(np.diff(group, prepend=-1))][group]
         out.append(_found(doc[whole], twin[whole], _spans(first[whole], first[whole] + count[whole] + WINDOW - 1)))
-        same = _runs(anchor)
-        low, high = np.full(same[-1] + 1, np.iinfo(np.int64).max), np.full(same[-1] + 1, np.iinfo(np.int64).min)
-        np.minimum.at(low, same, least)
-        np.maximum.at(high, same, least)
-        unsure = ~whole & (low < high)[same]
+        by_left = _shared(doc, ~whole & (lead >= half), left, anchor)
+        by_right = _shared(doc, ~whole & (lead - count < half - 1), right, anchor)
+        turn = np.clip(lead - half + 1, 0, count)  # windows before this one are left
+        low, high = np.where(by_left, 0, turn), np.where(by_right, count, turn)
+        o = np.flatnonzero((by_left | by_right) & (low < high))
         shard = int(table.column("shard")[0].as_py())
-        out.append(_found(doc[unsure], twin[unsure], _spans(first[unsure], (lead[unsure].astype(np.int64) << 16) | count[unsure]), anchor[unsure].astype(np.int64) | (shard << 32)))
+        span = _spans(first[o] + low[o], ((lead[o] - low[o]) << 16) | (high[o] - low[o]))
+        out.append(_found(doc[o], twin[o], span, anchor[o].astype(np.int64) | (shard << 32)))
     return pa.concat_tables(out)
 
 
 def _compare(table: pa.Table, repeated: Callable) -> pa.Table:
-    """One shard of open regions: spans of the windows that a smaller document has too."""
+    """One shard: the spans that tasks settled, and those of its open windows that a smaller document has too."""
     parts = [T.unpack(b.as_py()) for b in table.column("blob")]
-    key, doc, twin, first, count, lead = (np.concatenate([p[k] for p in parts]) for k in ("key", "doc_d", "twin", "first_d", "count", "lead"))
-    body = [x.as_py() for x in table.column("body")]
-    size = [np.diff(p["end_d"], prepend=0) for p in parts]
-    which, a, b = repeated(key, doc, count.astype(np.int64), lead.astype(np.int64), b"".join(body), np.concatenate(size))
-    return _found(doc[which], twin[which], _spans(first[which] + a, first[which] + b))
+    done = [p for p in parts if "span_d" in p]
+    doc, twin, span = ([p[k] for p in done] for k in ("doc_d", "twin", "span_d"))
+    parts = [(p, x.as_py()) for p, x in zip(parts, table.column("body")) if "key" in p]
+    if parts:
+        key, d, t, first, count, lead = (np.concatenate([p[k] for p, _ in parts]) for k in ("key", "doc_d", "twin", "first_d", "count", "lead"))
+        size = np.concatenate([p["size"] for p, _ in parts]).astype(np.int64)
+        which, a, b = repeated(key, d, count.astype(np.int64), lead.astype(np.int64), b"".join([x for _, x in parts]), size)
+        for x, y in zip((doc, twin, span), _joined(d[which], t[which], first[which] + a, first[which] + b)):
+            x.append(y)
+    doc, twin, span = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (doc, twin, span))
+    return pa.table({"at": pa.array(doc), "twin": pa.array(twin), "span": pa.array(span)})
 
 
-def repeated_spans(docs: DataFrame, regions: Regions, cut_out: Callable, repeated: Callable) -> DataFrame:
-    """(doc_id, twin, spans) of the documents with repeats. docs: doc_id long, twin int, text.
+def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part: Callable, repeated: Callable) -> DataFrame:
+    """(at, twin, spans) of the rows of ``source`` (by with_twins) that have repeats.
 
-    cut_out(text bytes, first, windows) gives the contents of regions; repeated(key, doc, count, lead, contents, sizes)
-    gives the regions' numbers and, in units from each region's first, the spans that repeat.
+    cut_out(text bytes, first, windows) gives the contents of regions, part(content, first, windows) a content's part for
+    some of its windows; repeated(key, doc, count, lead, contents, sizes) gives the regions' numbers and, in units from
+    each region's first, the spans that repeat.
     """
-    source = docs.filter("doc_id is not null")
-    n = shards(docs.sparkSession, source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    found = cut(_send(source, regions, n).groupBy("shard").applyInArrow(_meet, _FOUND))
-    asked = found.filter("key is not null").groupBy("doc_id", "twin").agg(F.collect_list(F.struct("key", "span")).alias("asked"))
+    n = shards(source.sparkSession, source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    found = _send(source, regions, n).groupBy("shard").applyInArrow(_meet, _FOUND)
+    asked = found.groupBy("at", "twin").agg(F.collect_list(F.struct("key", "span")).alias("asked"))
+    def dealt(shard: np.ndarray, body: list[bytes] | None = None, **arrays: np.ndarray) -> pa.RecordBatch:
+        batch = _deal(shard, **arrays)
+        if body is None:
+            bodies = pa.nulls(batch.num_rows, pa.binary())
+        else:
+            order = np.argsort(shard, kind="stable")
+            edge = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order)).tolist()
+            bodies = pa.array([b"".join([body[k] for k in order[a:b].tolist()]) for a, b in zip(edge, edge[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns, bodies], ["shard", "blob", "body"])
+
+    def settled(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        doc, twin, span = _joined(doc, twin, start, end)
+        return dealt((T.mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int64), doc_d=doc, twin=twin, span_d=span)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, twins = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, twins = batch.column("at").to_numpy(), batch.column("twin").to_numpy()
             buf, off = T.column(batch, "text")
-            asks = batch.column(3)
+            asks = batch.column("asked")
             values, edge = asks.flatten(), asks.offsets.to_numpy()
-            edge = edge - edge[0]
-            keys, spans = values.field("key").to_numpy(), values.field("span").to_numpy()
-            key, doc, twin, first, count, lead, size, body = [], [], [], [], [], [], [], []
-            for r in range(batch.num_rows):
-                a, b = edge[r], edge[r + 1]
-                where, many = spans[a:b] >> 32, spans[a:b] & 0xFFFF
-                got = cut_out(buf[off[r] : off[r + 1]], where, many)
-                key.append(keys[a:b]), first.append(where), count.append(many), lead.append((spans[a:b] >> 16) & 0xFFFF)
-                doc.append(np.full(b - a, ids[r])), twin.append(np.full(b - a, twins[r]))
-                size.append(np.array([len(x) for x in got], dtype=np.int64))
-                body += got
-            if not body:
+            row = np.repeat(np.arange(batch.num_rows), np.diff(edge))
+            open_, key, span = values.field("key").is_valid().to_numpy(zero_copy_only=False), values.field("key").fill_null(0).to_numpy(), values.field("span").to_numpy()
+            whole = ~open_
+            yield settled(ids[row[whole]], twins[row[whole]], span[whole] >> 32, span[whole] & 0xFFFFFFFF)
+            row, key, span = row[open_], key[open_], span[open_]
+            if not len(row):
                 continue
-            key, doc, twin, first, count, lead, size = (np.concatenate(x) for x in (key, doc, twin, first, count, lead, size))
+            first, lead, count = span >> 32, (span >> 16) & 0xFFFF, span & 0xFFFF
+            body: list[bytes] = []
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            for r in np.unique(row).tolist():
+                a, b = edge[r], edge[r + 1]
+                body += cut_out(buf[off[r] : off[r + 1]], first[a:b], count[a:b])
+            size = np.fromiter(map(len, body), np.int64, len(body))
+            which, a, b = repeated(key, ids[row], count, lead, b"".join(body), size)
+            yield settled(ids[row[which]], twins[row[which]], first[which] + a, first[which] + b)
+            # the other windows go on, as runs
+            left = np.ones(int(count.sum()), dtype=bool)
+            left[(np.cumsum(count) - count)[which] + a] = False
+            region = np.repeat(np.arange(len(row)), count)
+            step = np.arange(len(region)) - np.repeat(np.cumsum(count) - count, count)
+            live = np.flatnonzero(left)
+            head = np.flatnonzero(np.concatenate(([True], (np.diff(live) != 1) | (np.diff(region[live]) != 0)))) if len(live) else live
+            many, region, step = np.diff(np.append(head, len(live))), region[live[head]], step[live[head]]
+            body = [body[k] if n == m else part(body[k], s, n) for k, s, n, m in zip(region.tolist(), step.tolist(), many.tolist(), count[region].tolist())]
+            key, doc, twin, first, lead = key[region], ids[row[region]], twins[row[region]], first[region] + step, lead[region] - step
+            size = np.fromiter(map(len, body), np.int64, len(body))
             shard = (T.mix(key.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-                o = order[a:b]
-                blob = T.pack(key=key[o], doc_d=doc[o], twin=twin[o].astype(np.uint16), first_d=first[o], count=count[o].astype(np.uint16), lead=lead[o].astype(np.uint8), end_d=np.cumsum(size[o]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(shard[o[0]])], pa.int32()), pa.array([blob], pa.binary()), pa.array([b"".join([body[k] for k in o])], pa.binary())], ["shard", "blob", "body"]
-                )
+            yield dealt(shard, body, key=key, doc_d=doc, twin=twin, first_d=first, count=many.astype(np.uint16), lead=lead.astype(np.uint8), size=size.astype(np.uint32))
 
-    contents = source.join(asked, ["doc_id", "twin"]).select("doc_id", "twin", "text", "asked").mapInArrow(fetch, _SHARD + ", body binary")
-    settled = contents.groupBy("shard").applyInArrow(lambda t: _compare(t, repeated), _FOUND)
-    spans = found.filter("key is null").unionByName(settled)
-    return spans.groupBy("doc_id", "twin").agg(F.collect_list("span").alias("spans"))
+    # all of source's columns, and no filter: cutting out takes the same shuffle
+    met = source.join(asked, ["at", "twin"]).select(*source.columns, "asked")
+    spans = met.mapInArrow(fetch, _BODIES).groupBy("shard").applyInArrow(lambda t: _compare(t, repeated), _SETTLED)
+    return spans.groupBy("at", "twin").agg(F.collect_list("span").alias("spans"))
 
 
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +246,8 @@ def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_twins(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, twin, text, c0, c1, ...): rows that share an id but not a text have (nearly always) different twin
-    numbers; the columns of ``carry`` follow under neutral names."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    twin = F.pmod(F.xxhash64(text), F.lit(65536)).cast("int")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), twin.alias("twin"), text.alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
+    """(at, twin, doc_id, text, c0, c1, ...): at, the id (0 for a null one), and twin, a 64-bit hash of the text, tell rows
+    apart unless both id and text are the same; the columns of ``carry`` follow under neutral names."""
+    doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    key = [F.coalesce(doc_id, F.lit(0).cast("long")).alias("at"), F.xxhash64(text, doc_id.isNull()).alias("twin")]
+    return docs.select(*key, doc_id.alias("doc_id"), text.alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])

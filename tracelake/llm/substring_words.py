@@ -74,7 +74,7 @@ def regions(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     prefix = T.Prefix(word)
     first_word = np.searchsorted(row, np.arange(len(off) - 1))
     chosen = np.full(len(at), -1, dtype=np.int64)
-    key, place = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
+    key, place, stop_at = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     symbols = recompress(word, row)
     for level in range(len(symbols) - 1, -1, -1):
         todo = np.flatnonzero(chosen < 0)
@@ -90,12 +90,15 @@ def regions(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         k, todo = k[held], todo[held]
         chosen[todo] = level * (n + 1) + k
         key[todo] = T.mix(prefix.of(start[k], end[k]) ^ T.mix(name[k] + np.uint64(level)))
-        place[todo] = start[k]
+        place[todo], stop_at[todo] = start[k], end[k]
     head = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else at
     count = np.diff(np.append(head, len(at)))
     first = at[head]
     content = T.mix(prefix.of(first, first + count + WINDOW - 1) ^ T.mix((count * 64 + place[head] - first).astype(np.uint64)))
-    return row[first], first - first_word[row[first]], count, key[head], content, place[head] - first
+    place, stop_at = place[head], stop_at[head]
+    half = (WINDOW - (stop_at - place)) // 2
+    sides = [T.mix(prefix.of(np.maximum(place - half, 0), stop_at)), T.mix(prefix.of(place, np.minimum(place + WINDOW - half, n)))]
+    return row[first], first - first_word[row[first]], count, key[head], content, place - first, *sides, half
 
 
 def cut_out(text: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[bytes]:
@@ -103,6 +106,10 @@ def cut_out(text: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[byte
     return [b" ".join(words[a : a + n + WINDOW - 1]) for a, n in zip(first.tolist(), count.tolist())]
 
 
+def part(content: bytes, first: int, count: int) -> bytes:
+    return b" ".join(content.split(b" ")[first : first + count + WINDOW - 1])
+
+
 def repeated(key: np.ndarray, doc: np.ndarray, count: np.ndarray, lead: np.ndarray, contents: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(region, first word, end) of the windows of open regions that a smaller document with the same anchor has."""
     stop = np.cumsum(size).tolist()
@@ -132,7 +139,7 @@ def repeated(key: np.ndarray, doc: np.ndarray, count: np.ndarray, lead: np.ndarr
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, text, kept, n_words, n_removed, *carry) of every row; kept is the other words, joined by one space."""
     source = with_twins(docs, id_col, text_col, carry)
-    spans = repeated_spans(source.select("doc_id", "twin", "text"), regions, cut_out, repeated)
+    spans = repeated_spans(source, regions, cut_out, part, repeated)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,5 +160,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = [f"c{k}" for k in range(len(carry))]
     names = [id_col, "text", "kept", "n_words", "n_removed", *carry]
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    joined = source.join(spans, ["doc_id", "twin"], "left").select("doc_id", "text", "spans", *extra)
+    joined = source.join(spans, ["at", "twin"], "left").select("doc_id", "text", "spans", *extra)
     return joined.mapInArrow(apply, f"`{id_col}` long, text string, kept string, n_words long, n_removed long{kinds}")
