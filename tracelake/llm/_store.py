@@ -12,12 +12,14 @@ SHARD_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (one machine, as in tests), a temporary folder."""
+    """The session's spark.checkpoint.dir; where it is unset, a temporary folder, but only with a local master, as in tests:
+    on a cluster each executor would write to a disk of its own."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 

@@ -9,8 +9,9 @@ declarations and hosts neither help nor harm. A row is rejected when its best la
 'none of these' counted in, or its text has no letters.
 
 Null and empty texts have flat likelihoods and are rejected. Null or unknown declarations count as one further
-value, null hosts as one host. Repeated rows each give a row. Input columns keep their names only where asked for.
-Empty input gives an empty result; without labelled texts there are no languages and every row is rejected.
+value, null hosts as one host. Repeated rows each give a row. Of equal posteriors the language first by name wins. Very
+long texts count as MOST trigrams at most. Input columns keep their names, but for those of RESULTS. Empty input gives
+an empty result; without labelled texts there are no languages and every row is rejected.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SMOOTHING = 5.0
 OVERLAP, MOST = 3.0, 600.0
 #: Hosts up to which their table is broadcast (some hundred bytes each); beyond, it is joined by shuffling.
 BROADCAST_HOSTS = 10_000
+#: Names of what is found; input columns of these names give way.
+RESULTS = ("language", "confidence", "text_language", "rejected")
 #: Posterior from which a language counts as certain; prior of a text in none of the languages.
 CERTAIN, NONE_PRIOR = 0.5, 0.01
 
@@ -106,11 +109,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
 
 def _likelihoods(rows: DataFrame, model: TextModel, text_col: str, is_html: bool) -> DataFrame:
-    """rows with ll (log likelihoods of the languages and of none, with its prior), p (the languages' posteriors, which
-    leave out the share of none) and grams in place of ``text_col``."""
+    """rows with _ll (log likelihoods of the languages and of none, with its prior), _p (the languages' posteriors, which
+    leave out the share of none) and _grams in place of ``text_col``."""
     kept = [c for c in rows.columns if c != text_col]
     source = rows.select(*kept, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", ll array<double>, p array<double>, grams long"
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", _ll array<double>, _p array<double>, _grams long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,22 +131,35 @@ def _likelihoods(rows: DataFrame, model: TextModel, text_col: str, is_html: bool
                 p += (e / e.sum(1, keepdims=True))[:, :-1].tolist()
                 grams.append(n)
             more = [pa.array(ll, pa.list_(pa.float64())), pa.array(p, pa.list_(pa.float64())), pa.array(np.concatenate(grams))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*kept, "ll", "p", "grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*kept, "_ll", "_p", "_grams"])
 
     return source.mapInArrow(run, schema)
 
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
+_OPEN = re.compile(r"<!--|<(script|style)\b", re.I)
+_CLOSE = {"": re.compile("-->"), "script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
 _TAG = re.compile(r"<[^>]*>")
 
 
 def visible_text(page: str) -> str:
-    """A page's text without comments, scripts, styles and tags."""
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    """A page's text without comments, scripts, styles and tags; what is opened and never closed stays. Takes time in
+    proportion to the page: no closing mark is looked for again where there was none."""
+    shown, at, last, missing = [], 0, 0, set()
+    while (m := _OPEN.search(page, at)) is not None:
+        kind, at = (m.group(1) or "").lower(), m.end()
+        end = None if kind in missing else _CLOSE[kind].search(page, at)
+        if end is None:
+            missing.add(kind)
+        else:
+            shown += [page[last : m.start()], " "]
+            at = last = end.end()
+    text = "".join([*shown, page[last:]])
+    whole = text.rfind(">") + 1
+    return html.unescape(_TAG.sub(" ", text[:whole]) + text[whole:])
 
 
 def _sums(model: TextModel) -> list[Column]:
-    return [F.array(*[F.coalesce(F.sum(F.col("p")[k]), F.lit(0.0)) for k in range(len(model.languages))]).alias("mass")]
+    return [F.array(*[F.coalesce(F.sum(F.col("_p")[k]), F.lit(0.0)) for k in range(len(model.languages))]).alias("_mass")]
 
 
 def identify(rows: DataFrame, model: TextModel, text_col: str, declared: Column, levels: list[Column], is_html: bool = False) -> DataFrame:
@@ -153,10 +169,11 @@ def identify(rows: DataFrame, model: TextModel, text_col: str, declared: Column,
     expressions over ``rows``, whose columns must not start with an underscore.
     """
     k = len(model.languages)
+    kept = [c for c in rows.columns if c != text_col and c not in RESULTS]
     names = [f"_l{i}" for i in range(len(levels))]
     slim = rows.select("*", F.coalesce(declared.cast("string"), F.lit("")).alias("_declared"), *[F.coalesce(x.cast("string"), F.lit("")).alias(n) for x, n in zip(levels, names)])
     if not k:
-        return slim.drop("_declared", text_col, *names).select("*", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), F.lit(True).alias("rejected"))
+        return slim.select(*kept, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), F.lit(True).alias("rejected"))
     found = cut(_likelihoods(slim, model, text_col, is_html))
     known = F.array(*[F.lit(x) for x in model.languages])
     said = F.when(F.array_contains(known, primary(F.col("_declared"))), primary(F.col("_declared"))).when(F.col("_declared") == "", F.lit("")).otherwise(F.lit("?"))
@@ -171,19 +188,19 @@ def identify(rows: DataFrame, model: TextModel, text_col: str, declared: Column,
     sums, finest = {}, found
     for i in range(len(names), 0, -1):
         at = names[:i]
-        finest = finest.groupBy(*at).agg(*(_sums(model) if i == len(names) else [F.array(*[F.sum(F.col("mass")[j]) for j in range(k)]).alias("mass")]))
+        finest = finest.groupBy(*at).agg(*(_sums(model) if i == len(names) else [F.array(*[F.sum(F.col("_mass")[j]) for j in range(k)]).alias("_mass")]))
         sums[i] = finest
     parent = F.array(*[F.lit(x) for x in top])
-    priors = sums[1].withColumn("up", parent) if names else None
+    priors = sums[1].withColumn("_up", parent) if names else None
     for i in range(1, len(names) + 1):
         level = sums[i] if i > 1 else priors
         if i > 1:
-            level = level.join(priors.select(*names[: i - 1], F.col("prior").alias("up")), names[: i - 1])
-        smooth = "transform(mass, (m, i) -> (m + {s}D * up[i]) / (aggregate(mass, 0D, (a, b) -> a + b) + {s}D))".format(s=SMOOTHING)
-        priors = level.withColumn("prior", F.expr(smooth)).select(*names[:i], "mass", "up", "prior")
-    own = f"transform(mass, (m, i) -> (greatest(m - p[i], 0D) + {SMOOTHING}D * up[i]) / (greatest(aggregate(mass, 0D, (a, b) -> a + b) - aggregate(p, 0D, (a, b) -> a + b), 0D) + {SMOOTHING}D))"
+            level = level.join(priors.select(*names[: i - 1], F.col("_prior").alias("_up")), names[: i - 1])
+        smooth = "transform(_mass, (m, i) -> (m + {s}D * _up[i]) / (aggregate(_mass, 0D, (a, b) -> a + b) + {s}D))".format(s=SMOOTHING)
+        priors = level.withColumn("_prior", F.expr(smooth)).select(*names[:i], "_mass", "_up", "_prior")
+    own = f"transform(_mass, (m, i) -> (greatest(m - _p[i], 0D) + {SMOOTHING}D * _up[i]) / (greatest(aggregate(_mass, 0D, (a, b) -> a + b) - aggregate(_p, 0D, (a, b) -> a + b), 0D) + {SMOOTHING}D))"
     if names:
-        hosts = cut(priors.select(*names, "mass", "up"))
+        hosts = cut(priors.select(*names, "_mass", "_up"))
         # a host with a large share of the rows stays where its rows are while the table of hosts is small
         hosts = F.broadcast(hosts) if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else hosts
         joined = found.join(hosts, names).withColumn("_prior", F.expr(own))
@@ -191,17 +208,17 @@ def identify(rows: DataFrame, model: TextModel, text_col: str, declared: Column,
         joined = found.withColumn("_prior", parent)
     says = F.create_map(*[x for d, v in declares.items() for x in (F.lit(d), F.array(*[F.lit(y) for y in v]))]) if declares else F.lit(None)
     joined = joined.withColumn("_says", says[F.col("_said")] if declares else F.array(*[F.lit(0.0)] * (k + 1)))
-    fused = f"transform(ll, (x, i) -> x + _says[i] + if(i < {k}, ln(greatest(_prior[i], 1e-9D)), 0D))"
+    fused = f"transform(_ll, (x, i) -> x + _says[i] + if(i < {k}, ln(greatest(_prior[i], 1e-9D)), 0D))"
     # transform over one value gives it a name, so that it is worked out once
     best = f"transform(array(array_max(slice(s, 1, {k}))), m -> struct(array_position(s, m) as at, 1D / aggregate(s, 0D, (a, x) -> a + exp(x - m)) as confidence))[0]"
-    joined = joined.withColumn("_best", F.expr(f"transform(array({fused}), s -> {best})[0]")).withColumn("confidence", F.col("_best.confidence"))
-    by_text = F.expr(f"array_position(ll, array_max(slice(ll, 1, {k})))")
-    kept = [c for c in rows.columns if c != text_col]
-    return joined.select(*kept, known[(F.col("_best.at") - 1).cast("int")].alias("language"), "confidence", known[(by_text - 1).cast("int")].alias("text_language"), ((F.col("confidence") < CERTAIN) | (F.col("grams") == 0)).alias("rejected"))
+    joined = joined.withColumn("_best", F.expr(f"transform(array({fused}), s -> {best})[0]"))
+    by_text = F.expr(f"array_position(_ll, array_max(slice(_ll, 1, {k})))")
+    return joined.select(*kept, known[(F.col("_best.at") - 1).cast("int")].alias("language"), F.col("_best.confidence").alias("confidence"), known[(by_text - 1).cast("int")].alias("text_language"), ((F.col("_best.confidence") < CERTAIN) | (F.col("_grams") == 0)).alias("rejected"))
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
+    """The host of an address, with or without a scheme."""
+    return F.lower(F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//)?(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
 def declared_in(page: Column) -> Column:

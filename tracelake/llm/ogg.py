@@ -5,7 +5,8 @@ samples, and a note about them); ``from_media`` verifies every page's checksum a
 streams apart, puts packets together from lacing values and reads times off granule positions.
 
 The payload of a text is its UTF-8 bytes and zero bytes up to a positive multiple of 64; null and empty
-texts give 64 zero bytes. Equal payloads give equal files. A damaged file raises ValueError.
+texts give 64 zero bytes. Equal payloads give equal files. A very long text is a file of many pages. A damaged file
+has a null payload and says what is wrong in ``error``; the other rows are not affected. An empty table gives one.
 """
 
 from __future__ import annotations
@@ -99,8 +100,8 @@ def read(media: bytes) -> dict[bytes, dict]:
         if granule >= 0:
             s["granules"].append(granule)
         at = end
-    if any(s["part"] or not s["ended"] for s in streams.values()):
-        raise ValueError("a stream stops in a packet or without its last page")
+    if any(s["part"] or not s["ended"] or not s["packets"] for s in streams.values()):
+        raise ValueError("a stream stops in a packet, without one or without its last page")
     return {s["packets"][0][:4]: s for s in streams.values()}
 
 
@@ -117,6 +118,17 @@ def features(stream: dict) -> str:
     return f"ms={stream['granules'][-1] * 1000 // rate} packets={len(stream['packets']) - 1} pages={stream['pages']} mean={mean} swing={swing}"
 
 
+def _row(media: bytes) -> tuple[bytes | None, int | None, str | None, str | None]:
+    """(payload, milliseconds, feature, error) of a file."""
+    try:
+        s = read(media)[b"PCM8"]
+        return b"".join(s["packets"][1:]), s["granules"][-1] * 1000 // RATE, features(s), None
+    except KeyError:
+        return None, None, None, "there is no stream of samples"
+    except (ValueError, IndexError, struct.error) as e:
+        return None, None, None, str(e)
+
+
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, media) of every row: its text's payload as an Ogg file."""
     source = docs.select(F.col(id_col), F.col(text_col).alias("text"))
@@ -134,20 +146,20 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def from_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """``stored`` with payload (read back), duration_ms and feature; a null file gives nulls."""
-    schema = StructType([*stored.schema, StructField("payload", BinaryType()), StructField("duration_ms", LongType()), StructField("feature", StringType())])
+    """``stored`` with payload (read back), duration_ms, feature and error. A null file gives nulls, a damaged one nulls and
+    the error."""
+    more = [StructField("payload", BinaryType()), StructField("duration_ms", LongType()), StructField("feature", StringType()), StructField("error", StringType())]
+    schema = StructType([*stored.schema, *more])
     at = stored.columns.index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payload, ms, feature = [], [], []
+            payload, ms, feature, error = [], [], [], []
             for media in batch.column(at):
-                m = media.as_py()
-                s = None if m is None else read(m)[b"PCM8"]
-                payload.append(None if s is None else b"".join(s["packets"][1:]))
-                ms.append(None if s is None else s["granules"][-1] * 1000 // RATE)
-                feature.append(None if s is None else features(s))
-            more = [pa.array(payload, pa.binary()), pa.array(ms, pa.int64()), pa.array(feature, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "payload", "duration_ms", "feature"])
+                row = (None, None, None, None) if media.as_py() is None else _row(media.as_py())
+                for column, value in zip((payload, ms, feature, error), row):
+                    column.append(value)
+            more = [pa.array(payload, pa.binary()), pa.array(ms, pa.int64()), pa.array(feature, pa.string()), pa.array(error, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "payload", "duration_ms", "feature", "error"])
 
     return stored.mapInArrow(run, schema)

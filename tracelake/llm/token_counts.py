@@ -6,7 +6,8 @@ document. Shards of the hash range meet the pre-tokens of all blocks, count the
 and answer in the order asked; answers join their block's frequencies and are summed for each document. A frequent
 pre-token is one entry a block, so no shard grows with its frequency.
 
-Null and empty texts have no tokens. Repeated rows each give a row; further columns are not looked at.
+Null and empty texts have no tokens. Repeated rows each give a row; further columns are not looked at. A very long text
+is a block of its own, cut where no piece can cross. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -120,9 +121,9 @@ def _ask(blocks: DataFrame, n: int) -> DataFrame:
                 block, sizes, body, places = (batch.column(c)[k].as_py() for c in range(4))
                 units = _unpack_units(sizes, body)
                 edge = np.searchsorted(T.unpack(places)["place_d"].astype(np.uint64) * np.uint64(n) >> np.uint64(32), np.arange(n + 1).astype(np.uint64)).tolist()
-                for s, (a, b) in enumerate(zip(edge, edge[1:])):
-                    if a < b:
-                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block], pa.int64()), *_pack_units(units[a:b])], ["shard", "block", "unit_sizes", "units"])
+                for s in np.flatnonzero(np.diff(edge)).tolist():
+                    a, b = edge[s], edge[s + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block], pa.int64()), *_pack_units(units[a:b])], ["shard", "block", "unit_sizes", "units"])
 
     return blocks.select("block", "unit_sizes", "units", "places").mapInArrow(run, "shard int, block long, unit_sizes binary, units binary")
 
