@@ -12,6 +12,8 @@ Neighbouring windows with the same anchor occurrence form a region. Then:
    the others only where one has the same right half. Windows that pass stay open.
 3. The answers meet the texts by document. Open windows are compared exactly, first with the others of the same task;
    what no smaller document of the task has goes on, by anchor, with its content, and is compared over all tasks.
+   With ``verify``, the contents of whole repeats go the same way and must equal a smaller document's, or the job ends
+   with an error: then two contents have the same hash.
 
 Hot passages are combined in the task that reads them before anything is shuffled, so a shard gets one record
 for each task and region, and one content for each task and open window. Only where a hot passage ends does a shard get
@@ -129,8 +131,13 @@ def _shared(doc: np.ndarray, among: np.ndarray, *keys: np.ndarray) -> np.ndarray
     return out
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """One shard: spans of whole repeats (key null), and the open windows of least documents (key: their anchor)."""
+#: Marks of a lead: the region is to be equal to that of a smaller document, or is the one that others are to equal.
+_MEMBER, _HEAD = 1 << 15, 1 << 14
+
+
+def _meet(table: pa.Table, verify: bool) -> pa.Table:
+    """One shard: spans of whole repeats (key null), and the open windows of least documents (key: their anchor). To verify,
+    whole repeats and the regions that they repeat are asked for as well."""
     parts = [T.unpack(b.as_py()) for b in table.column("blob")]
     out = [_found(*[np.concatenate([p[k] for p in parts if "span_d" in p]) for k in ("doc_d", "twin", "span_d")])] if any("span_d" in p for p in parts) else []
     parts = [p for p in parts if "anchor" in p]
@@ -142,18 +149,31 @@ def _meet(table: pa.Table) -> pa.Table:
         half, count, lead = (x.astype(np.int64) for x in (half, count, lead))
         group = _runs(anchor, content)
         whole = doc > doc[np.flatnonzero(np.diff(group, prepend=-1))][group]
-        out.append(_found(doc[whole], twin[whole], _spans(first[whole], first[whole] + count[whole] + WINDOW - 1)))
+        key = anchor.astype(np.int64) | (int(table.column("shard")[0].as_py()) << 32)
+        if verify:
+            c = np.flatnonzero(np.bincount(group, whole)[group] > 0)
+            out.append(_found(doc[c], twin[c], _spans(first[c], ((lead[c] | np.where(whole[c], _MEMBER, _HEAD)) << 16) | count[c]), key[c]))
+        else:
+            out.append(_found(doc[whole], twin[whole], _spans(first[whole], first[whole] + count[whole] + WINDOW - 1)))
         by_left = _shared(doc, ~whole & (lead >= half), left, anchor)
         by_right = _shared(doc, ~whole & (lead - count < half - 1), right, anchor)
         turn = np.clip(lead - half + 1, 0, count)  # windows before this one are left
         low, high = np.where(by_left, 0, turn), np.where(by_right, count, turn)
         o = np.flatnonzero((by_left | by_right) & (low < high))
-        shard = int(table.column("shard")[0].as_py())
         span = _spans(first[o] + low[o], ((lead[o] - low[o]) << 16) | (high[o] - low[o]))
-        out.append(_found(doc[o], twin[o], span, anchor[o].astype(np.int64) | (shard << 32)))
+        out.append(_found(doc[o], twin[o], span, key[o]))
     return pa.concat_tables(out)
 
 
+def _again(key: np.ndarray, doc: np.ndarray, lead: np.ndarray, body: list[bytes]) -> np.ndarray:
+    """Which regions have the content, at the same distance from the same anchor, of one in a smaller document."""
+    rows = list(zip(key.tolist(), lead.tolist(), body))
+    least: dict[tuple[int, int, bytes], int] = {}
+    for row, d in zip(rows, doc.tolist()):
+        least[row] = min(d, least.get(row, d))
+    return doc > np.fromiter((least[row] for row in rows), np.int64, len(rows))
+
+
 def _compare(table: pa.Table, repeated: Callable) -> pa.Table:
     """One shard: the spans that tasks settled, and those of its open windows that a smaller document has too."""
     parts = [T.unpack(b.as_py()) for b in table.column("blob")]
@@ -162,15 +182,27 @@ def _compare(table: pa.Table, repeated: Callable) -> pa.Table:
     parts = [(p, x.as_py()) for p, x in zip(parts, table.column("body")) if "key" in p]
     if parts:
         key, d, t, first, count, lead = (np.concatenate([p[k] for p, _ in parts]) for k in ("key", "doc_d", "twin", "first_d", "count", "lead"))
-        size = np.concatenate([p["size"] for p, _ in parts]).astype(np.int64)
-        which, a, b = repeated(key, d, count.astype(np.int64), lead.astype(np.int64), b"".join([x for _, x in parts]), size)
-        for x, y in zip((doc, twin, span), _joined(d[which], t[which], first[which] + a, first[which] + b)):
-            x.append(y)
+        size, kind = (np.concatenate([p[k] for p, _ in parts]).astype(np.int64) for k in ("size", "kind"))
+        count, lead, body, end = count.astype(np.int64), lead.astype(np.int64), b"".join([x for _, x in parts]), np.cumsum(size)
+        cut = lambda at: [body[a:b] for a, b in zip((end - size)[at].tolist(), end[at].tolist())]
+        c, o = np.flatnonzero(kind), np.flatnonzero(kind == 0)
+        again = _again(key[c], d[c], lead[c], cut(c))
+        if not again[kind[c] == _MEMBER].all():
+            raise RuntimeError("different contents have the same hash; run again with another seed")
+        w = c[again]
+        found = [(d[w], t[w], first[w], first[w] + count[w] + WINDOW - 1)]
+        if len(o):
+            which, a, b = repeated(key[o], d[o], count[o], lead[o], b"".join(cut(o)) if len(c) else body, size[o])
+            which = o[which]
+            found.append((d[which], t[which], first[which] + a, first[which] + b))
+        for f in found:
+            for x, y in zip((doc, twin, span), _joined(*f)):
+                x.append(y)
     doc, twin, span = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (doc, twin, span))
     return pa.table({"at": pa.array(doc), "twin": pa.array(twin), "span": pa.array(span)})
 
 
-def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part: Callable, repeated: Callable) -> DataFrame:
+def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part: Callable, repeated: Callable, verify: bool = False) -> DataFrame:
     """(at, twin, spans) of the rows of ``source`` (by with_twins) that have repeats.
 
     cut_out(text bytes, first, windows) gives the contents of regions, part(content, first, windows) a content's part for
@@ -178,7 +210,7 @@ def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part:
     each region's first, the spans that repeat.
     """
     n = shards(source.sparkSession, source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    found = _send(source, regions, n).groupBy("shard").applyInArrow(_meet, _FOUND)
+    found = _send(source, regions, n).groupBy("shard").applyInArrow(lambda t: _meet(t, verify), _FOUND)
     asked = found.groupBy("at", "twin").agg(F.collect_list(F.struct("key", "span")).alias("asked"))
     def dealt(shard: np.ndarray, body: list[bytes] | None = None, **arrays: np.ndarray) -> pa.RecordBatch:
         batch = _deal(shard, **arrays)
@@ -194,6 +226,11 @@ def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part:
         doc, twin, span = _joined(doc, twin, start, end)
         return dealt((T.mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int64), doc_d=doc, twin=twin, span_d=span)
 
+    def onward(key: np.ndarray, doc: np.ndarray, twin: np.ndarray, first: np.ndarray, count: np.ndarray, lead: np.ndarray, kind: np.ndarray, body: list[bytes]) -> pa.RecordBatch:
+        size = np.fromiter(map(len, body), np.int64, len(body))
+        numbers = {"count": count.astype(np.uint16), "lead": lead.astype(np.uint8), "kind": kind.astype(np.uint16), "size": size.astype(np.uint32)}
+        return dealt((T.mix(key.astype(np.uint64)) % np.uint64(n)).astype(np.int64), body, key=key, doc_d=doc, twin=twin, first_d=first, **numbers)
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, twins = batch.column("at").to_numpy(), batch.column("twin").to_numpy()
@@ -213,6 +250,17 @@ def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part:
             for r in np.unique(row).tolist():
                 a, b = edge[r], edge[r + 1]
                 body += cut_out(buf[off[r] : off[r + 1]], first[a:b], count[a:b])
+            kind, lead = lead & (_MEMBER | _HEAD), lead & ~(_MEMBER | _HEAD)
+            c = np.flatnonzero(kind)
+            if len(c):
+                again = _again(key[c], ids[row[c]], lead[c], [body[k] for k in c.tolist()])
+                w, c = c[again], c[~again]
+                yield settled(ids[row[w]], twins[row[w]], first[w], first[w] + count[w] + WINDOW - 1)
+                yield onward(key[c], ids[row[c]], twins[row[c]], first[c], count[c], lead[c], kind[c], [body[k] for k in c.tolist()])
+                o = np.flatnonzero(kind == 0)
+                row, key, first, lead, count, body = row[o], key[o], first[o], lead[o], count[o], [body[k] for k in o.tolist()]
+                if not len(o):
+                    continue
             size = np.fromiter(map(len, body), np.int64, len(body))
             which, a, b = repeated(key, ids[row], count, lead, b"".join(body), size)
             yield settled(ids[row[which]], twins[row[which]], first[which] + a, first[which] + b)
@@ -225,10 +273,7 @@ def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part:
             head = np.flatnonzero(np.concatenate(([True], (np.diff(live) != 1) | (np.diff(region[live]) != 0)))) if len(live) else live
             many, region, step = np.diff(np.append(head, len(live))), region[live[head]], step[live[head]]
             body = [body[k] if n == m else part(body[k], s, n) for k, s, n, m in zip(region.tolist(), step.tolist(), many.tolist(), count[region].tolist())]
-            key, doc, twin, first, lead = key[region], ids[row[region]], twins[row[region]], first[region] + step, lead[region] - step
-            size = np.fromiter(map(len, body), np.int64, len(body))
-            shard = (T.mix(key.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
-            yield dealt(shard, body, key=key, doc_d=doc, twin=twin, first_d=first, count=many.astype(np.uint16), lead=lead.astype(np.uint8), size=size.astype(np.uint32))
+            yield onward(key[region], ids[row[region]], twins[row[region]], first[region] + step, many, lead[region] - step, np.zeros(len(region), np.int64), body)
 
     # all of source's columns, and no filter: cutting out takes the same shuffle
     met = source.join(asked, ["at", "twin"]).select(*source.columns, "asked")

@@ -15,6 +15,7 @@ with a null id are left whole and remove nothing. Columns other than the named o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +65,10 @@ def recompress(name: np.ndarray, row: np.ndarray, levels: int = LEVELS) -> list[
     return out
 
 
-def regions(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+def regions(buf: np.ndarray, off: np.ndarray, seed: int = 0) -> tuple[np.ndarray, ...]:
     """Regions of windows with the same anchor symbol."""
     begin, stop, row = T.words(buf, off)
-    word = T.word_hashes(buf, begin, stop)
+    word = T.mix(T.word_hashes(buf, begin, stop) ^ np.uint64(seed))
     n = len(word)
     at = np.arange(max(0, n - WINDOW + 1))
     at = at[row[at] == row[at + WINDOW - 1]] if len(at) else at
@@ -136,10 +137,10 @@ def repeated(key: np.ndarray, doc: np.ndarray, count: np.ndarray, lead: np.ndarr
     return np.array(which, dtype=np.int64), where, where + WINDOW
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
     """(id_col, text, kept, n_words, n_removed, *carry) of every row; kept is the other words, joined by one space."""
     source = with_twins(docs, id_col, text_col, carry)
-    spans = repeated_spans(source, regions, cut_out, part, repeated)
+    spans = repeated_spans(source, partial(regions, seed=seed), cut_out, part, repeated, verify=True)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
