@@ -240,3 +240,82 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["window_start"], r["occurrence_count"], r["errors"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {(r["window_start"], r["occurrence_count"], r["errors"]) for r in stream_log_patterns(df, F.col("body")).collect()}
     assert got == {x for x in batch if x[0] < T0 + dt.timedelta(hours=3)} and len(batch) == 4
+
+
+def test_walks_go_as_deep_as_the_trace(make):
+    df = make(*[span("t", f"s{k}", f"s{k - 1}" if k else None, f"n{k}", k, 400 - k) for k in range(104)], span("u", "r", None, "r", 0, 1))
+    assert {r["trace_id"]: r["max_depth"] for r in tree.call_graph(df).collect()} == {"t": 103, "u": 0}
+
+
+def test_repeated_ids_do_not_run_in_circles(make):
+    df = make(span("t", "a", None, "root", 0, 9), span("t", "b", "a", "x", 0, 1), span("t", "a", "b", "again", 0, 1), span("t", "c", "a", "y", 0, 1))
+    got = sorted((r["span_id"], r["depth"]) for r in tree.depths(df).collect())
+    assert got == [("a", 0), ("b", 1), ("c", 1)]
+
+
+def test_synonymous_severities_have_one_rank(spark):
+    names = ["DEFAULT", "debug", "INFO2", "WARN", "WARNING", "ERROR", "ERROR3", "CRITICAL", "FATAL", "other", None]
+    got = [r["r"] for r in spark.createDataFrame([(n,) for n in names], "s string").select(C.severity_rank(F.col("s")).alias("r")).collect()]
+    assert got[3] == got[4] and got[5] == got[6] and got[0] < got[1] < got[2] < got[4] < got[5] < got[7] < got[8] and got[9] == got[10] == 0
+
+
+def test_windows_end_at_as_of(make):
+    df = make(*[span("t", f"s{k}", None, "n", k * 3_600_000, k * 3_600_000 + 1) for k in range(10)])
+    assert [r["span_id"] for r in C.time_window(df, 2, "2024-01-01 05:00:00").orderBy("span_id").collect()] == ["s3", "s4", "s5"]
+    assert [r["span_id"] for r in C.time_window(df, 2, "2024-01-01 05:00:00", until_hours=1).collect()] == ["s3"]
+
+
+def test_message_signs_count_in_any_case(spark):
+    rows = [('{"a": "error: the call did not end", "b": "just some words and more words"}',)]
+    entries = spark.createDataFrame(rows, "jsonPayload string").selectExpr("cast(null as string) textPayload", "jsonPayload", "cast(null as string) protoPayload")
+    assert logs.extract_log_message(entries).first()["message"] == "error: the call did not end"
+
+
+def test_messages_of_blank_texts_and_other_columns(spark):
+    rows = [("  ", '{"message": "no"}', None), (None, None, " plain "), (None, None, '{"msg": "inner words"}'), (None, None, None)]
+    entries = spark.createDataFrame(rows, "textPayload string, jsonPayload string, payload string").withColumn("protoPayload", F.lit(None).cast("string"))
+    assert [r["message"] for r in logs.extract_log_message(entries).collect()] == ["", "plain", "inner words", ""]
+
+
+def test_healthy_traces_are_listed(make):
+    df = make(span("a", "r", None, "r", 0, 1), span("b", "r", None, "acquire connection", 0, 600))
+    assert {r["trace_id"]: r["health"] for r in traces.all_patterns(df).collect()} == {"a": "healthy", "b": "critical"}
+
+
+def test_samples_are_the_least_values_of_each_group(spark):
+    from tracelake.functions.groups import beside, distinct_count, samples
+
+    df = spark.createDataFrame([(None, "b", "x"), (None, "a", "y"), ("k", None, "x"), ("k", "c", None), ("k", "c", "z"), ("m", None, None)], "g string, v string, w string")
+    out = beside(df.groupBy("g").count(), ["g"], samples(df, ["g"], "v", "s", 1), distinct_count(df, ["g"], "w", "n"), otherwise={"s": "", "n": 0})
+    assert {(r["g"], r["count"], r["s"], r["n"]) for r in out.collect()} == {(None, 2, "a", 2), ("k", 3, "c", 2), ("m", 1, "", 0)}
+
+
+def test_sketched_percentiles_are_close(spark):
+    """The default percentiles are off by a ten-thousandth of the ranks at most."""
+    from tracelake.functions.quantiles import quantile
+
+    n = 200_000
+    df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1000).alias("x"))
+    values = sorted(r["x"] for r in df.collect())
+    row = df.agg(*[quantile(F.col("x"), p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]).first()
+    for p in (0.5, 0.95, 0.99):
+        rank = sum(v <= row[f"p{int(p * 100)}"] for v in values)
+        assert abs(rank - p * n) <= 2 * n / 10_000 + 1
+
+
+def test_late_rows_are_dropped_behind_the_watermark(spark, tmp_path):
+    schema = "timestamp timestamp_ntz, body string, severity_text string"
+    batches = [[(0, "a"), (90, "b")], [(95, "c")], [(5, "late"), (300, "d")]]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame([(T0 + dt.timedelta(minutes=m), b, "INFO") for m, b in batch], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = stream_log_patterns(rows, F.col("body")).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["pattern_signature"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a", "b", "c"}
+
+
+def test_remedies_are_ordered_by_risk_and_effort(spark):
+    found = spark.createDataFrame([(1, "memory,storage")], "k int, categories string")
+    actions = spark.createDataFrame([("memory", "x", "high", "low"), ("memory", "y", "low", "high"), ("storage", "z", "low", "low"), ("cpu", "w", "low", "low")], "category string, action string, risk string, effort string")
+    assert [(r["action"], r["quick_win"]) for r in logs.suggest_remediation(found, actions, "k").orderBy("rank").collect()] == [("z", True), ("y", False), ("x", False)]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.lineage import cut
 
-#: Level from which a walk looks for repeated span ids, without which it cannot run in a circle.
+#: Level from which a walk looks for repeated span ids, without which it cannot run in a circle, and joins only the spans
+#: of traces that are so deep.
 LOOK_FROM = 8
 #: A child that ends this many milliseconds before its parent blocks it by half.
 EARLY_END_MS = 5
@@ -44,6 +45,8 @@ def walk(spans: DataFrame, start: DataFrame, carry: Callable[[str, str], list[Co
             repeats = not spans.groupBy(*cols).count().filter("count > 1").union(spans.join(start.select(*cols), cols).select(*cols, F.lit(2))).isEmpty()
             if repeats:  # from the start again
                 level, levels = levels[0], levels[:1]
+            else:
+                spans = cut(spans.join(level.select("trace_id").distinct(), "trace_id", "left_semi"))
         up, down = level.alias("up"), spans.alias("down")
         on = (F.col("up.trace_id") == F.col("down.trace_id")) & (F.col("up.span_id") == F.col("down.parent_span_id"))
         met = up.join(down, on).select("down.trace_id", "down.span_id", (F.col("up.depth") + 1).alias("depth"), *carry("up", "down"))
