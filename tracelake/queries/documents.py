@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..operators import cluster as K
 from ..operators import logs as L
 from ..sources import adapters as A
@@ -22,10 +25,18 @@ def trace_documents(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("trace_id").agg(F.collect_list(one).alias("spans")).withColumn("project_id", F.lit("p"))
 
 
+def _as_files(documents: DataFrame) -> str:
+    """The documents as JSON files in the shared folder: their path."""
+    path = f"{shared_folder(documents.sparkSession)}/documents-{uuid.uuid4().hex}"
+    documents.write.json(path)
+    return path
+
+
 def series_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each series and hour, as they are polled, so none grows with the history."""
     p = A.metrics_from_events(spark, d)
     point = F.struct(F.date_format("ts", _ISO).alias("timestamp"), "value")
-    g = p.groupBy("metric_type", F.col("metric_labels")["shard"].alias("shard")).agg(F.collect_list(point).alias("points"))
+    g = p.groupBy("metric_type", F.col("metric_labels")["shard"].alias("shard"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.collect_list(point).alias("points"))
     return g.select(F.struct(F.col("metric_type").alias("type"), F.create_map(F.lit("shard"), "shard").alias("labels")).alias("metric"), F.struct(F.lit("service").alias("type"), F.create_map(F.lit("k"), F.lit("v")).alias("labels")).alias("resource"), "points")
 
 
@@ -60,11 +71,11 @@ def cluster_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    return R.trace_documents_to_spans(trace_documents(spark, d)).select("trace_id", "span_id", "parent_span_id", "name", "start_time", (F.col("duration_nano") / 1000).cast("long").alias("duration_us"), F.col("attributes")["peer.service"].alias("peer"))
+    return R.read_trace_documents(spark, _as_files(trace_documents(spark, d))).select("trace_id", "span_id", "parent_span_id", "name", "start_time", (F.col("duration_nano") / 1000).cast("long").alias("duration_us"), F.col("attributes")["peer.service"].alias("peer"))
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return R.time_series_points(series_documents(spark, d)).select("metric_type", F.col("metric_labels")["shard"].alias("shard"), "ts", "value")
+    return R.read_time_series(spark, _as_files(series_documents(spark, d))).select("metric_type", F.col("metric_labels")["shard"].alias("shard"), "ts", "value")
 
 
 def _alerts(spark: SparkSession, d: str) -> DataFrame:

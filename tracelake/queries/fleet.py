@@ -32,12 +32,12 @@ QUERIES = {
         Q.with_orders(f"SELECT service AS service_name, {Q.COUNTS}, {Q.LATENCY}, round(avg(ms), 2) AS avg_ms, min(start_time) AS first_seen, max(start_time) AS last_seen FROM s WHERE parent_span_id IS NULL GROUP BY 1 ORDER BY error_rate_pct DESC, p99_ms DESC, service_name LIMIT 50"),
     ),
     "aggregate_metrics_by_operation": (
-        _events(lambda s: O.aggregate_metrics(s, EVENTS_END, 24 * 10, group_by="operation_name", min_duration_ms=5, exact=True)),
-        Q.with_events(f"SELECT name AS operation_name, {Q.COUNTS}, {Q.LATENCY}, round(avg(ms), 2) AS avg_ms, min(start_time) AS first_seen, max(start_time) AS last_seen FROM s WHERE start_time >= TIMESTAMP '2024-01-21' AND duration_nano >= 5000000 GROUP BY 1 ORDER BY error_rate_pct DESC, p99_ms DESC, operation_name LIMIT 50"),
+        _events(lambda s: O.aggregate_metrics(s, EVENTS_END, 24 * 31, group_by="operation_name", min_duration_ms=5, exact=True)),
+        Q.with_events(f"SELECT name AS operation_name, {Q.COUNTS}, {Q.LATENCY}, round(avg(ms), 2) AS avg_ms, min(start_time) AS first_seen, max(start_time) AS last_seen FROM s WHERE start_time >= TIMESTAMP '2023-12-31' AND duration_nano >= 5000000 GROUP BY 1 ORDER BY error_rate_pct DESC, p99_ms DESC, operation_name LIMIT 50"),
     ),
     "service_stats_all_spans": (
-        _orders(lambda s: O.service_stats_all_spans(s, "1995-01-01", "1998-12-31", exact=True)),
-        Q.with_orders(f"SELECT service AS service_name, count(*) AS span_count, round(avg(ms), 2) AS avg_ms, {Q.LATENCY}, count(*) FILTER (is_error) AS error_count FROM s WHERE start_time BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-12-31' GROUP BY 1"),
+        _orders(lambda s: O.service_stats_all_spans(s, "1990-01-01", ORDERS_END, exact=True)),
+        Q.with_orders(f"SELECT service AS service_name, count(*) AS span_count, round(avg(ms), 2) AS avg_ms, {Q.LATENCY}, count(*) FILTER (is_error) AS error_count FROM s WHERE start_time BETWEEN TIMESTAMP '1990-01-01' AND TIMESTAMP '2001-12-31' GROUP BY 1"),
     ),
     "baseline_traces_near_p50": (
         _orders(lambda s: O.baseline_traces_near_p50(s, "svc-1", 20)),

@@ -179,8 +179,8 @@ QUERIES = {
         Q.with_events_and_logs("SELECT insert_id, trace_id FROM logs WHERE trace_id IN (SELECT trace_id FROM s WHERE is_error)"),
     ),
     "read_error_events": (
-        _logs(lambda l: R.error_events(l, END, 24 * 60 * 7)),
-        Q.with_logs("SELECT timestamp AS event_time, body AS message, service, CAST(NULL AS VARCHAR) AS version FROM logs WHERE severity = 'ERROR' AND timestamp >= TIMESTAMP '2024-01-24'"),
+        _logs(lambda l: R.error_events(l, END, 24 * 60 * 31)),
+        Q.with_logs("SELECT timestamp AS event_time, body AS message, service, CAST(NULL AS VARCHAR) AS version FROM logs WHERE severity = 'ERROR' AND timestamp >= TIMESTAMP '2023-12-31'"),
     ),
     "log_signature_patterns": (
         _logs(lambda l: L.log_signature_patterns(l, _body())),

@@ -25,3 +25,7 @@ LOG_ENTRY_SCHEMA = """
 logName string, timestamp string, severity string, textPayload string, jsonPayload string, protoPayload string,
 resource struct<type:string,labels:map<string,string>>, trace string, insertId string
 """
+SERIES_SCHEMA = """
+metric struct<type:string,labels:map<string,string>>, resource struct<type:string,labels:map<string,string>>,
+points array<struct<timestamp:string,value:double>>
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import severity_rank
-from ..schema import LOG_ENTRY_SCHEMA, SPAN_SCHEMA, TRACE_DOCUMENT_SCHEMA
+from ..schema import LOG_ENTRY_SCHEMA, SERIES_SCHEMA, SPAN_SCHEMA, TRACE_DOCUMENT_SCHEMA
 
 
 def read_spans(spark: SparkSession, path: str | None = None, table: str | None = None) -> DataFrame:
@@ -91,6 +91,10 @@ def time_series_points(series: DataFrame) -> DataFrame:
     return df.select(F.col("metric.type").alias("metric_type"), F.col("metric.labels").alias("metric_labels"), F.col("resource.type").alias("resource_type"), F.col("resource.labels").alias("resource_labels"), _time(F.col("p.timestamp")).alias("ts"), F.col("p.value").cast("double").alias("value"))
 
 
+def read_time_series(spark: SparkSession, path: str) -> DataFrame:
+    return time_series_points(spark.read.schema(SERIES_SCHEMA).json(path))
+
+
 def select_points(points: DataFrame, metric_type: str | None = None, labels: dict[str, str] | None = None, resource_labels: dict[str, str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Points of a metric type, with the given labels, in a time range (both ends included)."""
     df = points if metric_type is None else points.filter(F.col("metric_type") == metric_type)
