@@ -1,10 +1,12 @@
-"""Percentiles: approximate for any size, exact discrete or continuous, and by floor index."""
+"""Percentiles: sketched, or exact by running counts that are spread over tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def quantile(col: Column, p: float, exact: bool = False, accuracy: int = 10_000) -> Column:
     """Discrete percentile. The approximate one keeps a bounded sketch a group; exact raises the sketch's accuracy to one
@@ -12,21 +14,41 @@ def quantile(col: Column, p: float, exact: bool = False, accuracy: int = 10_000)
     return F.percentile_approx(col, p, 2_000_000_000 if exact else accuracy)
 
 
-def continuous(col: Column, p: float) -> Column:
-    return F.percentile(col, p)
-
-
-def floor_index(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Per group the (floor(n * p) + 1)-th smallest value for each named p, the way sorted[int(n * p)] picks it.
+def running_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, _n, _upto, _all): each distinct value of a group with its rows, those up to it, and all of the group.
 
-    Values are counted first, so a group's rows are ranked as distinct values with their numbers, not one by one.
+    A group's values are dealt over tasks by range, so one with most of the rows is not sorted in a single task: every
+    range counts its own, and only the ranges' sums are put in order.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*keys).orderBy(value) if keys else Window.orderBy(value)
-    whole = Window.partitionBy(*keys)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(whole))
-    picks = []
-    for name, p in points.items():
-        index = F.least(F.floor(F.col("_all") * F.lit(p)), F.col("_all") - 1)
-        picks.append(F.min(F.when(F.col("_upto") > index, F.col(value))).alias(name))
-    return ranked.groupBy(*keys).agg(*picks)
+    dealt = cut(counted.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
+    each = Window.partitionBy(*keys)
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
+    before = F.sum("_sum").over(each.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_sum").over(each).alias("_all"))
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    own = dealt.withColumn("_inside", inside)
+    on = own["_range"] == starts["_range"]
+    for k in keys:
+        on = on & own[k].eqNullSafe(starts[k])
+    return own.join(starts, on).select(*[own[k] for k in keys], own[value], "_n", (F.col("_before") + F.col("_inside")).alias("_upto"), "_all")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, floors: dict[str, float] | None = None, continuous: dict[str, float] | None = None) -> DataFrame:
+    """Exact percentiles of each group. floors: the (floor(n * p) + 1)-th smallest value, the way sorted[int(n * p)] picks it;
+    continuous: interpolated between the two values next to p * (n - 1)."""
+    ranked = running_counts(df.select(*keys, value), keys, value)
+    pick = lambda index: F.min(F.when(F.col("_upto") > index, F.col(value)))
+    picks, out = [], []
+    for name, p in (floors or {}).items():
+        picks.append(pick(F.least(F.floor(F.col("_all") * F.lit(p)), F.col("_all") - 1)).alias(name))
+        out.append(F.col(name))
+    for name, p in (continuous or {}).items():
+        at = (F.col("_all") - 1) * F.lit(p)
+        picks += [pick(F.floor(at)).alias(f"_low_{name}"), pick(F.ceil(at)).alias(f"_high_{name}"), F.max(at - F.floor(at)).alias(f"_part_{name}")]
+        out.append((F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * F.col(f"_part_{name}")).alias(name))
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
+
+
+def floor_index(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    return percentiles(df, keys, value, floors=points)

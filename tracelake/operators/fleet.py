@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.groups import beside, distinct_count, samples
-from ..functions.quantiles import continuous, quantile
+from ..functions.quantiles import percentiles, quantile, running_counts
 
 #: Upper bounds of the latency histogram, in milliseconds.
 LATENCY_BOUNDS = [10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
@@ -39,14 +39,14 @@ def service_stats_all_spans(spans: DataFrame, start: str, end: str, exact: bool
 def baseline_traces_near_p50(spans: DataFrame, service: str, limit: int = 10) -> DataFrame:
     """Root spans of a service whose duration is nearest to its continuous median."""
     df = C.service_filter(C.root_spans(spans), service).select("trace_id", "span_id", C.ms().alias("duration_ms"))
-    middle = df.agg(continuous(F.col("duration_ms"), 0.5).alias("p50"))
+    middle = percentiles(df, [], "duration_ms", continuous={"p50": 0.5})
     return df.crossJoin(F.broadcast(middle)).select("trace_id", "duration_ms", F.abs(F.col("duration_ms") - F.col("p50")).alias("distance")).orderBy("distance", "trace_id").limit(limit).select("trace_id", "duration_ms")
 
 
 def anomaly_traces_p99_or_error(spans: DataFrame, service: str, limit: int = 10) -> DataFrame:
     """Root spans of a service at or over its continuous 99th percentile, or with an error; slowest first."""
     df = C.service_filter(C.root_spans(spans), service).select("trace_id", C.ms().alias("duration_ms"), C.is_error().alias("is_error"))
-    top = df.agg(continuous(F.col("duration_ms"), 0.99).alias("p99"))
+    top = percentiles(df, [], "duration_ms", continuous={"p99": 0.99})
     return df.crossJoin(F.broadcast(top)).filter((F.col("duration_ms") >= F.col("p99")) | F.col("is_error")).orderBy(F.desc("duration_ms"), "trace_id").limit(limit).select("trace_id", "duration_ms", "is_error")
 
 
@@ -214,10 +214,8 @@ def latency_exemplars_by_percentile(spans: DataFrame, threshold: float = 95, lim
 
     The rank is taken over the distinct durations of a service with their counts, not over its spans one by one."""
     df = C.kind_filter(C.root_spans(spans), C.SERVER).select("trace_id", C.service().alias("service_name"), C.ms().alias("ms"))
-    counts = df.groupBy("service_name", "ms").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("service_name")
-    below = F.coalesce(F.sum("n").over(w.orderBy("ms").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.select("service_name", "ms", F.coalesce(F.try_divide(below, F.sum("n").over(w) - 1), F.lit(0.0)).alias("rank")).filter(F.col("rank") * 100 >= threshold)
+    counts = running_counts(df, ["service_name"], "ms")
+    ranked = counts.select("service_name", "ms", F.coalesce(F.try_divide(F.col("_upto") - F.col("_n"), F.col("_all") - 1), F.lit(0.0)).alias("rank")).filter(F.col("rank") * 100 >= threshold)
     marks = df.groupBy("service_name").agg(F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("service_p95_ms"), F.round(quantile(F.col("ms"), 0.99, exact), 2).alias("service_p99_ms"))
     label = F.lit("+Inf")
     for b in reversed(LATENCY_BOUNDS):

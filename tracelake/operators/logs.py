@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.groups import beside, least_values
+from ..functions.lineage import cut
+
 # Names of message fields, in order of priority.
 MESSAGE_FIELDS = [
     "message", "msg", "log", "text", "body", "error", "error_message", "errorMessage", "description",
@@ -130,7 +133,9 @@ def template_patterns(logs: DataFrame, message: str = "message", severity: str =
     masked_text = masked(F.col(message), VARIABLE_MASKS)
     tag = F.col(resource) if resource else F.lit(None).cast("string")
     base = logs.select(masked_text.alias("m"), F.col(message).alias("raw"), F.col(severity).alias("severity"), "timestamp", tag.alias("resource"))
-    per = base.groupBy("m", "severity").agg(F.count("*").alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.min(F.substring("raw", 1, 200)).alias("sample"), F.slice(F.array_sort(F.collect_set("resource")), 1, 5).alias("resources"))
+    # from here on a row stands for all messages that look alike
+    each = cut(base.groupBy("m", "severity", "resource").agg(F.count("*").alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.min(F.substring("raw", 1, 200)).alias("sample")))
+    per = each.groupBy("m", "severity").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("sample").alias("sample"))
     tokens = F.filter(F.split("m", r"\s+"), lambda t: t != "")
     head = F.transform(F.slice(tokens, 1, lead), lambda t: F.when(t.rlike(r"\d"), "<*>").otherwise(t))
     keyed = per.withColumn("tokens", tokens).withColumn("key", F.concat_ws("\u0001", F.size("tokens"), head))
@@ -141,11 +146,13 @@ def template_patterns(logs: DataFrame, message: str = "message", severity: str =
     )
     template = F.when((F.col("same") >= similarity * F.col("size")), F.col("shape")).otherwise(F.array_join("tokens", " "))
     named = keyed.join(shape, "key", "left").withColumn("template", F.coalesce(template, F.lit("")))
-    sev = named.groupBy("template", "severity").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.slice(F.array_sort(F.collect_set("sample")), 1, 5).alias("samples"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("resources")))), 1, 5).alias("resources"))
-    out = sev.groupBy("template").agg(
-        F.sum("n").alias("count"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("severity_counts"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("samples")))), 1, 5).alias("sample_messages"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("resources")))), 1, 5).alias("resources"),
-    )
+    named = cut(named.select("m", "template", "severity", "n", "a", "b", "sample"))
+    sev = named.groupBy("template", "severity").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
+    out = sev.groupBy("template").agg(F.sum("n").alias("count"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("severity_counts"))
+    tags = each.filter("resource is not null").select("m", "resource").distinct().join(named.select("m", "template").distinct(), "m")
+    out = beside(out, ["template"], least_values(named, ["template"], "sample", 5, "sample_messages"), least_values(tags, ["template"], "resource", 5, "resources"))
+    none = F.array().cast("array<string>")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("sample_messages", "resources")})
     return out.filter(F.col("count") >= min_count).select(F.substring(F.md5(F.col("template").cast("binary")), 1, 8).alias("pattern_id"), "*")
 
 
