@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import langid, packing, quality, simhash, substring_words
@@ -51,9 +51,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = simhash.cut(simhash.similar_texts(docs, shingle=5, similarity=0.8))
     gone = rows.filter(~(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))))
     kept = _without(docs, gone.select(F.col("id").alias("doc_id"), "text_key").distinct())
-    stays = rows.count() - gone.count()
-    # whole rows that stand in the table more than once are all left over; one stays
-    return kept if stays == rows.select("keep_id", "keep_key").distinct().count() else kept.dropDuplicates(["doc_id", "text"])
+    # of whole rows that stand in the table more than once, the first by their other columns stays
+    again = rows.groupBy("id", "text_key").count().filter("count > 1").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    again = simhash.cut(again)
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (_key() == F.col("_key"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("lang", "source", "n_chars"))
+    once = kept.join(again, same).withColumn("_first", first).filter("_first = 1").select(*COLUMNS)
+    return kept.join(again, same, "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
