@@ -16,7 +16,8 @@ from ..sources import readers as R
 from . import documents as D
 from . import sql as Q
 from .faults import _SESSIONS
-from .signals import entries
+from .faults import QUERIES as FAULTS
+from .signals import _ALL_TEMPLATES, entries
 from .traces import _BLOCKING
 
 END = "2024-01-31"
@@ -132,14 +133,14 @@ QUERIES = {
     ),
     "all_patterns_with_healthy": (
         lambda spark, d: traces.all_patterns(A.spans_from_sessions(spark, d)).groupBy("health").agg(F.count("*").alias("traces"), F.sum("retry_storms").alias("retry_storms"), F.sum("cascading_timeouts").alias("cascading_timeouts")),
-        "",
+        f"SELECT coalesce(health, 'healthy') AS health, count(*) AS traces, CAST(coalesce(sum(retry_storms), 0) AS BIGINT) AS retry_storms, CAST(coalesce(sum(cascading_timeouts), 0) AS BIGINT) AS cascading_timeouts FROM (SELECT DISTINCT 's' || (event_id // 8) AS trace_id FROM events) LEFT JOIN ({FAULTS['all_patterns_by_words'][1]}) USING (trace_id) GROUP BY 1",
     ),
     "example_trace_report": (
         lambda spark, d: traces.example_trace_report(A.spans_from_orders(spark, d)).select("service_name", "count", "mean_ms", "stdev_ms", "error_traces", "sample_adequate", "latency_variance_detected", "baseline_valid"),
         Q.with_orders("SELECT service AS service_name, count(*) AS count, round(avg(ms), 2) AS mean_ms, round(coalesce(stddev_samp(ms), 0), 2) AS stdev_ms, count(*) FILTER (is_error) AS error_traces, count(*) >= 20 AS sample_adequate, coalesce(round(stddev_samp(ms), 2), 0) > 0 AS latency_variance_detected, true AS baseline_valid FROM s WHERE parent_span_id IS NULL AND ms > 0 GROUP BY 1"),
     ),
-    "top_patterns_by_severity": (lambda spark, d: logs.top_patterns(_talk_patterns(spark, d), "severity", 25).select("pattern_id", "count"), ""),
-    "compression_ratio": (lambda spark, d: logs.compression_ratio(_talk_patterns(spark, d)), ""),
+    "top_patterns_by_severity": (lambda spark, d: logs.top_patterns(_talk_patterns(spark, d), "severity", 25).select("pattern_id", "count"), Q.with_talk(f"{_ALL_TEMPLATES} SELECT pattern_id, count FROM ta ORDER BY errors * 10 + warnings * 5 DESC, count DESC, pattern_id LIMIT 25")),
+    "compression_ratio": (lambda spark, d: logs.compression_ratio(_talk_patterns(spark, d)), Q.with_talk(f"{_ALL_TEMPLATES} SELECT CAST(sum(count) AS BIGINT) AS total_logs, count(*) AS total_patterns, round(sum(count) / count(*), 2) AS compression_ratio FROM ta")),
     "suggest_remediation": (
         _remedies,
         "SELECT event_id, rank, category, action, risk, effort, risk = 'low' AND effort = 'low' AS quick_win FROM events JOIN (VALUES ('error', 1, 'memory', 'raise the limit', 'low', 'low'), ('error', 2, 'performance', 'add an index', 'low', 'medium'), ('error', 3, 'performance', 'cache', 'medium', 'low'), ('error', 4, 'memory', 'find the leak', 'medium', 'high'), ('view', 1, 'storage', 'grow the disk', 'low', 'low')) a(kind, rank, category, action, risk, effort) ON kind = event_type",
