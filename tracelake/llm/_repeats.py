@@ -70,12 +70,18 @@ def _joined(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarra
     return doc[new], twin[new], _spans(start[new], reach[last])
 
 
-def _deal(shard: np.ndarray, **arrays: np.ndarray) -> pa.RecordBatch:
-    """One packed record for each shard; order within a shard is kept."""
+def _deal(shard: np.ndarray, rows: tuple[np.ndarray, dict[str, np.ndarray]] | None = None, **arrays: np.ndarray) -> pa.RecordBatch:
+    """One packed record for each shard; order within a shard is kept. rows: the number of each entry's row, and columns of
+    the rows, of which a record holds those of its entries once."""
     order = np.argsort(shard, kind="stable")
     edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    ends = [*edge[1:].tolist(), len(order)]
-    blobs = [T.pack(**{k: v[order[a:b]] for k, v in arrays.items()}) for a, b in zip(edge.tolist(), ends)]
+    blobs = []
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)]):
+        o, more = order[a:b], {}
+        if rows is not None:
+            used, which = np.unique(rows[0][o], return_inverse=True)
+            more = {"who_d": which, **{k: v[used] for k, v in rows[1].items()}}
+        blobs.append(T.pack(**{k: v[o] for k, v in arrays.items()}, **more))
     return _batches(shard[order][edge].tolist(), blobs)
 
 
@@ -110,12 +116,12 @@ def _send(source: DataFrame, regions: Regions, n: int) -> DataFrame:
                 at = np.flatnonzero(own)
                 at = at[np.argsort(doc[at], kind="stable")]
                 yield _deal(
-                    (anchor[at] % np.uint64(n)).astype(np.int64), anchor=(anchor[at] >> np.uint64(32)).astype(np.uint32), content=content[at],
+                    (anchor[at] % np.uint64(n)).astype(np.int64), (i + row[at], {"doc_d": ids, "twin": twins}), anchor=(anchor[at] >> np.uint64(32)).astype(np.uint32), content=content[at],
                     left=left[at].astype(np.uint16), right=right[at].astype(np.uint16), half=half[at].astype(np.uint8),
-                    doc_d=doc[at], twin=twin[at], first_d=first[at], count=count[at].astype(np.uint16), lead=lead[at].astype(np.uint8),
+                    first_d=first[at], count=count[at].astype(np.uint16), lead=lead[at].astype(np.uint8),
                 )
 
-    return source.filter("doc_id is not null").select("doc_id", "twin", "text").mapInArrow(run, _SHARD)
+    return source.filter("doc_id is not null").select("doc_id", "twin", "text").mapInArrow(T.released(run), _SHARD)
 
 
 def _shared(doc: np.ndarray, among: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -140,7 +146,7 @@ def _meet(table: pa.Table, verify: bool) -> pa.Table:
     whole repeats and the regions that they repeat are asked for as well."""
     parts = [T.unpack(b.as_py()) for b in table.column("blob")]
     out = [_found(*[np.concatenate([p[k] for p in parts if "span_d" in p]) for k in ("doc_d", "twin", "span_d")])] if any("span_d" in p for p in parts) else []
-    parts = [p for p in parts if "anchor" in p]
+    parts = [p | {"doc_d": p["doc_d"][p["who_d"]], "twin": p["twin"][p["who_d"]]} for p in parts if "anchor" in p]
     if parts:
         names = ("anchor", "content", "left", "right", "half", "doc_d", "twin", "first_d", "count", "lead")
         columns = [np.concatenate([p[k] for p in parts]) for k in names]
@@ -277,7 +283,7 @@ def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part:
 
     # all of source's columns, and no filter: cutting out takes the same shuffle
     met = source.join(asked, ["at", "twin"]).select(*source.columns, "asked")
-    spans = met.mapInArrow(fetch, _BODIES).groupBy("shard").applyInArrow(lambda t: _compare(t, repeated), _SETTLED)
+    spans = met.mapInArrow(T.released(fetch), _BODIES).groupBy("shard").applyInArrow(lambda t: _compare(t, repeated), _SETTLED)
     return spans.groupBy("at", "twin").agg(F.collect_list("span").alias("spans"))
 
 

@@ -7,7 +7,8 @@ A null text counts as empty everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,21 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, after which a worker gives the memory it no longer needs back to the system: it may be kept, idle, beside
+    tasks that need none of Python."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another system's library
+            pass
+
+    return whole
+
+
 def slices(off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Row ranges [i, j) that together hold every row, each of at most ``limit`` bytes or of one row."""
     i, n = 0, len(off) - 1
@@ -147,27 +163,25 @@ class Prefix:
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Equally long integer arrays as one compressed value; arrays whose name ends in _d are kept as differences."""
+    """Integer arrays as one compressed value; arrays whose name ends in _d are kept as differences."""
     parts, head = [], []
     for name, a in arrays.items():
         if name.endswith("_d"):
             a = np.diff(a.astype(np.int64), prepend=0)
             a = a.astype(next(t for t in (np.int16, np.int32, np.int64) if not len(a) or (np.iinfo(t).min <= a.min() and a.max() <= np.iinfo(t).max)))
-        head.append(f"{name}:{a.dtype.str}")
+        head.append(f"{name}:{a.dtype.str}:{len(a)}")
         parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     top = ",".join(head).encode()
-    n = len(next(iter(arrays.values())))
-    return zstandard.ZstdCompressor(level=1).compress(b"%d;%d;" % (n, len(top)) + top + b"".join(parts))
+    return zstandard.ZstdCompressor(level=1).compress(b"%d;" % len(top) + top + b"".join(parts))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, size, rest = raw.split(b";", 2)
-    n, size = int(n), int(size)
-    at, out = len(raw) - len(rest) + size, {}
-    for field in rest[:size].decode().split(","):
-        name, _, kind = field.partition(":")
-        dtype = np.dtype(kind)
+    size, rest = raw.split(b";", 1)
+    at, out = len(raw) - len(rest) + int(size), {}
+    for field in rest[: int(size)].decode().split(","):
+        name, kind, n = field.split(":")
+        dtype, n = np.dtype(kind), int(n)
         a = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n).T
         a = np.ascontiguousarray(a).reshape(-1).view(dtype)
         at += n * dtype.itemsize

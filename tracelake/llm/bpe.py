@@ -73,7 +73,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                     columns.append(pa.array([codec.offsets(x).tolist() for x in ids], pa.list_(pa.list_(pa.int64()))))
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "decoded", "offsets"][: len(columns)])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary" + ", offsets array<array<bigint>>" * offsets)
+    return source.mapInArrow(T.released(run), f"`{id_col}` {kind}, ids binary, decoded binary" + ", offsets array<array<bigint>>" * offsets)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:

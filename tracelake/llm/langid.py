@@ -103,7 +103,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([pa.array(cell // BUCKETS), pa.array(cell % BUCKETS), pa.array(n)], ["k", "b", "n"])
 
     counts = np.full((len(languages), BUCKETS), 0.5)
-    for k, b, n in chosen.mapInArrow(run, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n")).toLocalIterator():  # BUCKETS a language at most
+    for k, b, n in chosen.mapInArrow(T.released(run), "k long, b long, n long").groupBy("k", "b").agg(F.sum("n")).toLocalIterator():  # BUCKETS a language at most
         counts[k, b] += n
     return TextModel(languages, np.log(counts / counts.sum(1, keepdims=True)))
 
@@ -133,7 +133,7 @@ def _likelihoods(rows: DataFrame, model: TextModel, text_col: str, is_html: bool
             more = [pa.array(ll, pa.list_(pa.float64())), pa.array(p, pa.list_(pa.float64())), pa.array(np.concatenate(grams))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*kept, "_ll", "_p", "_grams"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(T.released(run), schema)
 
 
 _OPEN = re.compile(r"<!--|<(script|style)\b", re.I)

@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
                 key = batch.column(0).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([key, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], [id_col, "piece", "start", "ids"])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, ids binary")
+    return source.mapInArrow(T.released(run), f"`{id_col}` {kind}, piece int, start long, ids binary")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -160,7 +160,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, partitions: int | None = None)
                 yield from pa.Table.from_arrays([*own.columns, *map(pa.array, more)], [*own.column_names, "part", "bin", "offset", "bound", "made", "open"]).to_batches(max_chunksize=20_000)
 
         schema = ", ".join([*carried, "length long, part int, bin long, offset long, bound long, made long, open boolean"])
-        packed = cut(dealt.repartition(few, "key").drop("key").mapInArrow(run, schema))
+        packed = cut(dealt.repartition(few, "key").drop("key").mapInArrow(T.released(run), schema))
         settled = packed.filter(~F.col("open")).select(
             *names.values(), (F.lit(turn << 58) + F.col("part").cast("long") * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset",
             F.col("bound").alias("lower_bound"), F.col("made").alias("bins"),

@@ -95,7 +95,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 own = [batch.column(k).slice(i, j - i) for k in range(1 + len(carry))]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.array(found[c].astype(np.int64)) for c in _COUNTS]], [id_col, *carry, *_COUNTS])
 
-    return source.mapInArrow(run, kinds + ", ".join(f"{c} long" for c in _COUNTS))
+    return source.mapInArrow(T.released(run), kinds + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def base_failed() -> Column:

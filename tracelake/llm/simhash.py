@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 out += [fingerprint(raw[a:b], shingle) for a, b in zip(rows, rows[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, dtype=np.uint64).view(np.int64))], [id_col, "fp"])
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return source.mapInArrow(T.released(run), f"`{id_col}` {kind}, fp long")
 
 
 def grid_points(fp: str = "fp") -> list:
@@ -142,7 +142,7 @@ def links(nodes: DataFrame, most: int = 2) -> DataFrame:
             yield linked(held[0], held[1])
 
     met = points.repartition("point").sortWithinPartitions("point", "fp")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(T.released(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,6 +191,15 @@ def sampled_fingerprints(shingles: np.ndarray) -> list[int]:
 #: Rows, about, whose shingles tell which are common; common shingles held at most; rows of a sample with a common one.
 #: These order the shingles and so decide only how many pairs are compared, not which are found.
 ORDER_ROWS, COMMON, COMMON_FROM = 20_000, 50_000, 4
+#: Members of a set for each of which its prefix is longer by one: near copies then share as many more, texts that have
+#: just a passage in common do not.
+SPARE = 20
+#: Bits of a set's parities.
+PARITIES = 1024
+#: Pairs whose sets are in memory at a time.
+COMPARED = 500
+#: Texts to compare whose keys may be broadcast; more are joined by shuffling.
+BROADCAST_TEXTS = 100_000
 #: Pairs for each row of a shared shingle up to which all are compared at once, without rounds of central texts first.
 PAIRS_A_ROW = 4
 
@@ -208,63 +217,93 @@ def common_shingles(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
                 values, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count)], ["h", "n"])
 
-    top = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    top = some.mapInArrow(T.released(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "h").limit(COMMON).collect()
     h = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.array([r[1] for r in top], dtype=np.int64)[order]
 
 
-def prefix_of(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The rarest shingles of a sorted set, rarest first (hashes settle ties): so many that any set at least as similar
-    as ``similarity`` has one of them in its own prefix."""
+def prefix_of(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a sorted set, rarest first (hashes settle ties): so many that two sets at least as similar as
+    ``similarity`` have one in common, and one more for every SPARE members of the smaller one; and how many of them are not
+    among the common ones."""
     n = len(shingles)
     if not n:
-        return shingles
+        return shingles, 0
     at = np.minimum(np.searchsorted(common[0], shingles), max(0, len(common[0]) - 1))
     count = np.where(common[0][at] == shingles, common[1][at], 0) if len(common[0]) else np.zeros(n, np.int64)
-    return shingles[np.lexsort((shingles, count))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+    size = n - int(np.ceil(similarity * n - 1e-9)) + 1 + n // SPARE
+    return shingles[np.lexsort((shingles, count))][:size], min(size, int((count == 0).sum()))
 
 
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.xxhash64(F.coalesce("root", "text_key")))
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """PARITIES bits: each shingle falls on one and turns it over. Two sets differ in at least as many members as these
+    bits differ."""
+    place = (T.mix(shingles ^ _SALTS[0]) >> np.uint64(40)).astype(np.int64) % PARITIES
+    return np.packbits(np.bincount(place, minlength=PARITIES).astype(np.uint8) & 1, bitorder="little").view("<i8")
 
 
-def shared_shingles(rows: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(text_key, n, place, shingle) of the prefix shingles that texts of different classes have."""
-    one = rows.select("id", "text_key", "prefix").join(texts.select("text_key", F.col("id").alias("low")), "text_key").filter(F.col("id").eqNullSafe(F.col("low")))
-    # a hash stands for the text while most shingles go; texts of equal hashes would both come back
-    slim = cut(_rooted(one, roots).select(F.xxhash64("text_key").alias("no"), "root", "prefix"))
-    mixed = slim.select("root", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("shingle")
-    kept = slim.select("no", F.posexplode("prefix").alias("place", "shingle")).join(cut(mixed), "shingle").distinct()
-    return kept.join(texts.select(F.xxhash64("text_key").alias("no"), "text_key", "n"), "no").select("text_key", "n", "place", "shingle")
+def _classes(roots: DataFrame) -> DataFrame:
+    """(no, root): the class of each text that is not its root, by hashes."""
+    return roots.select(F.xxhash64("node").alias("no"), F.xxhash64("root").alias("root"))
 
 
-def crossing(live: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
+def _rooted(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes, "no", "left").withColumn("root", F.coalesce("root", "no"))
+
+
+def enough(live: DataFrame, similarity: float) -> DataFrame:
+    """``live`` without the texts that have too few shared shingles for a near copy of any length. A text has as many rows
+    as its prefix is long."""
+    least = F.floor(F.ceil(F.col("n") * similarity - 1e-9) / SPARE) + 1
+    return live.withColumn("_shared", F.count("*").over(Window.partitionBy("no"))).filter(F.col("_shared") >= least).drop("_shared")
+
+
+def shared_shingles(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(no, n, place, shingle) of the prefix shingles that texts of different classes have. no, a hash, stands for the text
+    (texts of equal hashes both come back later). The rows of a common shingle stay where they are, so none meet in a task."""
+    classes = _classes(roots)
+    if classes.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        classes = F.broadcast(classes)
+    found = _rooted(rows.filter("size(prefix) > 0").select(F.xxhash64("text_key").alias("no"), "n", "rare", "prefix"), classes)
+    posts = found.select("no", "root", "n", "rare", F.posexplode("prefix").alias("place", "shingle"))
+    several = lambda df: df.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("shingle")
+    seldom = posts.filter("place < rare").drop("rare").repartition("shingle")
+    common = posts.filter("place >= rare").drop("rare")
+    # there are at most COMMON common shingles
+    kept = seldom.join(several(seldom).hint("merge"), "shingle").unionByName(common.join(F.broadcast(several(common)), "shingle"))
+    return enough(kept, similarity).select("no", "n", "place", "shingle")
+
+
+def crossing(live: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, int, int]:
     """``live`` where a shingle still has texts of different classes, with root; its rows; its pairs across classes."""
-    each = _rooted(live.select("text_key", "n", "place", "shingle"), roots)
+    each = _rooted(live.select("no", "n", "place", "shingle"), _classes(roots))
     groups = each.groupBy("shingle", "root").count().groupBy("shingle").agg(F.sum("count").alias("size"), F.sum(F.col("count") * F.col("count")).alias("inner"))
     groups = groups.withColumn("across", (F.col("size") * F.col("size") - F.col("inner")) / 2).filter("across > 0")
-    now = cut(each.join(groups.select("shingle", "size", "across"), "shingle"))
+    now = cut(enough(each.join(groups.select("shingle", "size", "across"), "shingle"), similarity))
     n = now.select(F.count("*"), F.coalesce(F.sum(F.col("across") / F.col("size")), F.lit(0.0))).first()
     return now, n[0], int(round(n[1]))
 
 
 def central_pairs(live: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each text with the most central text of each of its shared shingles, where their classes differ."""
-    score = live.groupBy("text_key").agg(F.sum("size").alias("score"))
-    scored = live.join(score, "text_key")
-    best = scored.groupBy("shingle").agg(F.max(F.struct("score", "text_key", "n", "root")).alias("c"))
+    """(x, y): each text with the most central text of each of its shared shingles, where their classes differ."""
+    score = live.groupBy("no").agg(F.sum("size").alias("score"))
+    scored = live.join(score, "no")
+    best = scored.groupBy("shingle").agg(F.max(F.struct("score", "no", "n", "root")).alias("c"))
     met = live.join(best, "shingle").filter("root <> c.root and least(n, c.n) >= {t}D * greatest(n, c.n) - 1e-9D".format(t=similarity))
-    return met.select(F.least("text_key", "c.text_key").alias("a"), F.greatest("text_key", "c.text_key").alias("b")).distinct()
+    return met.select(F.least("no", "c.no").alias("x"), F.greatest("no", "c.no").alias("y")).distinct()
 
 
-def allowed_pairs(live: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts of different classes that their lengths and the places of a shared shingle allow to be
-    near copies: it can be their first one in common only if enough others follow it in both."""
-    x, y = live.alias("x"), live.alias("y")
+def allowed_pairs(live: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): all pairs of texts of different classes that can be near copies by their lengths, by the places of a shared
+    shingle (it can be their first one in common only if enough others follow it in both) and by their parities."""
+    words = [f"b{k}" for k in range(PARITIES // 64)]
+    both = live.select("no", "n", "place", "shingle", "root").join(bits.select(F.xxhash64("text_key").alias("no"), *[F.col("bits")[k].alias(w) for k, w in enumerate(words)]).dropDuplicates(["no"]), "no")
+    x, y = both.alias("x"), both.alias("y")
     need = f"ceil({similarity / (1 + similarity)!r}D * (x.n + y.n) - 1e-9D)"
-    rule = f"x.text_key < y.text_key and x.root <> y.root and x.place + {need} <= x.n and y.place + {need} <= y.n"
-    return x.join(y, F.expr(f"x.shingle = y.shingle and {rule}")).select(F.col("x.text_key").alias("a"), F.col("y.text_key").alias("b")).distinct()
+    apart = " + ".join(f"bit_count(x.{w} ^ y.{w})" for w in words)
+    rule = f"x.no < y.no and x.root <> y.root and x.place + {need} <= x.n and y.place + {need} <= y.n and {apart} <= {(1 - similarity) / (1 + similarity)!r}D * (x.n + y.n) + 1e-9D"
+    return x.join(y, F.expr(f"x.shingle = y.shingle and {rule}")).select(F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
 
 
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,23 +322,33 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     common = common_shingles(base, shingle)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()  # a task gives the shingles of equal texts once
         for batch in batches:
             buf, off = T.column(batch, "text")
-            whole, parts, size, same, prefix = [], [], [], [], []
+            keys = batch.column(1).to_pylist()
+            whole, parts, size, same, prefix, rare, bits = [], [], [], [], [], [], []
             for i, j in T.slices(off):
                 rows = off[i : j + 1] - off[i]
                 raw, at = buf[off[i] : off[j]].tobytes(), rows.tolist()
                 whole += [fingerprint(raw[a:b], shingle) for a, b in zip(at, at[1:])]
-                for s in shingle_sets(buf[off[i] : off[j]], rows, shingle):
+                for key, s in zip(keys[i:j], shingle_sets(buf[off[i] : off[j]], rows, shingle)):
                     parts.append(sampled_fingerprints(s))
                     size.append(len(s))
                     same.append(int(np.bitwise_xor.reduce(T.mix(s))) if len(s) else 0)
-                    prefix.append(prefix_of(s, similarity, common).view(np.int64))
-            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
+                    first, k = prefix_of(s if key not in seen else s[:0], similarity, common)
+                    seen.add(key)
+                    prefix.append(first.view(np.int64))
+                    rare.append(k)
+                    bits.append(parities(s))
+            first = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * (PARITIES // 64), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *bits])))
             fps = pa.array(np.array(parts, dtype=np.uint64).view(np.int64).reshape(-1, SAMPLES).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(whole, np.uint64).view(np.int64)), fps, pa.array(size, pa.int64()), pa.array(np.array(same, np.uint64).view(np.int64)), rare], ["id", "text_key", "fp", "fps", "n", "whole", "prefix"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(whole, np.uint64).view(np.int64)), fps, pa.array(size, pa.int64()), pa.array(np.array(same, np.uint64).view(np.int64)), first, pa.array(rare, pa.int32()), flat],
+                ["id", "text_key", "fp", "fps", "n", "whole", "prefix", "rare", "bits"],
+            )
 
-    rows = cut(base.mapInArrow(sketch, "id long, text_key string, fp long, fps array<long>, n long, whole long, prefix array<long>"))
+    rows = cut(base.mapInArrow(T.released(sketch), "id long, text_key string, fp long, fps array<long>, n long, whole long, prefix array<long>, rare int, bits array<long>"))
     texts = rows.groupBy("text_key").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("whole").alias("whole"))
     texts = cut(texts)
     member = texts.select("text_key", F.posexplode("fps").alias("sample", "fp"))
@@ -321,30 +370,37 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     )
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_sets(*T.column(batch, c), shingle) for c in ("left", "right")]
-            close = []
-            for x, y in zip(*sets):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                close.append(both >= similarity * (len(x) + len(y) - both))
-            mask = pa.array(close, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(mask)
+            for k in range(0, batch.num_rows, COMPARED):
+                part = batch.slice(k, COMPARED)
+                close = []
+                for x, y in zip(*[shingle_sets(*T.column(part, c), shingle) for c in ("left", "right")]):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    close.append(both >= similarity * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        needed = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(texts.select("text_key", "id"), "text_key")
+        needed = cut(pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct().join(texts.select("text_key", "id"), "text_key"))
+        if needed.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+            needed = F.broadcast(needed)
         body = base.withColumnRenamed("id", "own").join(needed, "text_key").filter(F.col("own").eqNullSafe(F.col("id"))).select("text_key", "text")
         left = body.select(F.col("text_key").alias("a"), F.col("text").alias("left"))
         right = body.select(F.col("text_key").alias("b"), F.col("text").alias("right"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a string, b string")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(T.released(compare), "a string, b string")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        key = texts.select(F.xxhash64("text_key").alias("no"), "text_key")
+        x, y = (key.select(F.col("no").alias(c), F.col("text_key").alias(f"{c}_key")) for c in ("x", "y"))
+        return pairs.join(x, "x").join(y, "y").select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"))
 
     roots = cut(components(verified(pairs)))
-    live = cut(shared_shingles(rows, texts, roots))
+    live = cut(shared_shingles(rows, roots, similarity))
     least_pairs = None
     while True:
-        live, n_rows, n_pairs = crossing(live, roots)
+        live, n_rows, n_pairs = crossing(live, roots, similarity)
         last = n_pairs <= PAIRS_A_ROW * n_rows or (least_pairs is not None and n_pairs > 0.75 * least_pairs)
         if n_pairs:
-            edges = verified(allowed_pairs(live, similarity) if last else central_pairs(live, similarity))
+            edges = verified(named(allowed_pairs(live, rows, similarity) if last else central_pairs(live, similarity)))
             roots = cut(components(edges.union(roots.select("node", "root"))))
         if last:
             break

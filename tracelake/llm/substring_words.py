@@ -162,4 +162,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [id_col, "text", "kept", "n_words", "n_removed", *carry]
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     joined = source.join(spans, ["at", "twin"], "left").select("doc_id", "text", "spans", *extra)
-    return joined.mapInArrow(apply, f"`{id_col}` long, text string, kept string, n_words long, n_removed long{kinds}")
+    return joined.mapInArrow(T.released(apply), f"`{id_col}` long, text string, kept string, n_words long, n_removed long{kinds}")
