@@ -314,8 +314,9 @@ def test_byte_repeats(docs, rows, none):
     assert substring_bytes.remove_repeats(none).count() == 0
 
 
-def test_word_repeats(docs, rows, none):
-    got = counted(substring_words.remove_repeats(docs), "doc_id", "kept", "n_words", "n_removed")
+@pytest.mark.parametrize("verify", [False, True])
+def test_word_repeats(docs, rows, none, verify):
+    got = counted(substring_words.remove_repeats(docs, verify=verify, seed=3 * verify), "doc_id", "kept", "n_words", "n_removed")
     want = Counter((i, b" ".join(w for w, g in zip(u, gone) if not g).decode(), len(u), sum(gone)) for i, u, gone in brute_repeats(rows, words_of))
     assert got == want and sum(r[3] for r in want) > 500
     assert substring_words.remove_repeats(none).count() == 0

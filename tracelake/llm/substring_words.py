@@ -137,10 +137,14 @@ def repeated(key: np.ndarray, doc: np.ndarray, count: np.ndarray, lead: np.ndarr
     return np.array(which, dtype=np.int64), where, where + WINDOW
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
-    """(id_col, text, kept, n_words, n_removed, *carry) of every row; kept is the other words, joined by one space."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), verify: bool = False, seed: int = 0) -> DataFrame:
+    """(id_col, text, kept, n_words, n_removed, *carry) of every row; kept is the other words, joined by one space.
+
+    verify: compare the words of whole regions, too, which moves the contents of all repeats; else those are settled by
+    64-bit hashes of their contents at equal anchors. seed changes all hashes.
+    """
     source = with_twins(docs, id_col, text_col, carry)
-    spans = repeated_spans(source, partial(regions, seed=seed), cut_out, part, repeated, verify=True)
+    spans = repeated_spans(source, partial(regions, seed=seed), cut_out, part, repeated, verify=verify)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
