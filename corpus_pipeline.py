@@ -63,7 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substring_words.remove_repeats(docs, carry=("lang", "source", "n_chars"))
+    found = substring_words.remove_repeats(docs, carry=("lang", "source", "n_chars"), verify=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     out = found.filter((F.col("n_removed") == 0) | (F.col("kept") != "")).select("doc_id", text.alias("text"), "lang", "source", F.col("n_chars"), "n_removed")
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
