@@ -43,7 +43,7 @@ def log_pattern_pipeline(before: DataFrame, after: DataFrame, **options) -> Data
     return compared.filter("change <> 'stable'").crossJoin(F.broadcast(logs.alert_level(compared).select("alert_level")))
 
 
-def change_pipeline(spans: DataFrame, changes: DataFrame, as_of: str, hours: float, minutes: float = 30, exact: bool = False) -> DataFrame:
+def change_pipeline(spans: DataFrame, changes: DataFrame, as_of: str, hours: float, minutes: float = 30, exact: bool = False, bucket_hours: int = 1, min_samples: int = 10) -> DataFrame:
     """The last change before each service's first significant shift of its 95th percentile."""
-    shifts = fleet.trend_changes(spans, as_of, hours, by_service=True, exact=exact).filter("change_class = 'SIGNIFICANT'")
+    shifts = fleet.trend_changes(spans, as_of, hours, bucket_hours=bucket_hours, min_samples=min_samples, by_service=True, exact=exact).filter("change_class = 'SIGNIFICANT'")
     return correlate.change_correlation(shifts.groupBy("service_name").agg(F.min("bucket").alias("anomaly_start")), changes, minutes)

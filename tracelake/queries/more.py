@@ -55,7 +55,7 @@ def _kinds(spark: SparkSession, d: str) -> DataFrame:
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'signup'")
     changes = e.select(F.concat(F.lit("svc-"), F.col("user_id") % 10).alias("service_name"), "ts", F.col("event_id").alias("change_id"), F.lit("services.Deploy").alias("method"))
-    return pipelines.change_pipeline(A.spans_from_events(spark, d), changes, END, 24 * 31, 180, exact=True)
+    return pipelines.change_pipeline(A.spans_from_events(spark, d), changes, END, 24 * 31, 1440, exact=True, bucket_hours=24, min_samples=3)
 
 
 def _talk_patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -149,8 +149,8 @@ QUERIES = {
     "change_pipeline": (
         _changes,
         Q.with_events(
-            "g AS (SELECT service AS service_name, date_trunc('hour', start_time) AS bucket, round(quantile_disc(ms, 0.95), 2) AS v FROM s WHERE start_time >= TIMESTAMP '2023-12-31' GROUP BY 1, 2 HAVING count(*) >= 10), h AS (SELECT *, lag(v) OVER (PARTITION BY service_name ORDER BY bucket) AS o FROM g), st AS (SELECT service_name, min(bucket) AS anomaly_start FROM h WHERE abs((v - o) / o * 100) >= 20 GROUP BY 1), "
-            "ch AS (SELECT 'svc-' || (user_id % 10) AS service_name, CAST(ts AS TIMESTAMP) AS ts, event_id AS change_id FROM events WHERE event_type = 'signup') SELECT service_name, anomaly_start, count(*) AS changes, arg_max(change_id, (ts, change_id)) AS change_id, 'services.Deploy' AS method, max(ts) AS changed_at FROM st JOIN ch USING (service_name) WHERE ts BETWEEN anomaly_start - INTERVAL 180 MINUTE AND anomaly_start GROUP BY 1, 2"
+            "g AS (SELECT service AS service_name, date_trunc('day', start_time) AS bucket, round(quantile_disc(ms, 0.95), 2) AS v FROM s WHERE start_time >= TIMESTAMP '2023-12-31' GROUP BY 1, 2 HAVING count(*) >= 3), h AS (SELECT *, lag(v) OVER (PARTITION BY service_name ORDER BY bucket) AS o FROM g), st AS (SELECT service_name, min(bucket) AS anomaly_start FROM h WHERE abs((v - o) / o * 100) >= 20 GROUP BY 1), "
+            "ch AS (SELECT 'svc-' || (user_id % 10) AS service_name, CAST(ts AS TIMESTAMP) AS ts, event_id AS change_id FROM events WHERE event_type = 'signup') SELECT service_name, anomaly_start, count(*) AS changes, arg_max(change_id, (ts, change_id)) AS change_id, 'services.Deploy' AS method, max(ts) AS changed_at FROM st JOIN ch USING (service_name) WHERE ts BETWEEN anomaly_start - INTERVAL 1440 MINUTE AND anomaly_start GROUP BY 1, 2"
         ),
     ),
 }
