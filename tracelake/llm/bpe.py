@@ -4,8 +4,8 @@ The tokenizers library encodes over Arrow batches. Each byte is written as one p
 vocabulary of byte strings becomes one of character strings; decoding reverses that table and joins bytes
 before it reads them as UTF-8, so a character that two tokens share comes out whole.
 
-Null and empty texts have no tokens and decode to no bytes. Repeated rows each give a row. Columns other
-than ``id_col`` and ``text_col`` are not looked at and may have any names.
+Null and empty texts have no tokens and decode to no bytes. Repeated rows each give a row. Very long texts are cut only
+where no token can cross. An empty table gives an empty result. Columns other than ``id_col`` and ``text_col`` are not looked at and may have any names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ bins. Partitions with a gap keep their full bins, send the pieces of the others
 rerun best-fit decreasing there; the rerun is taken where it saves bins, else the old bins stay. What is
 exchanged are (id, piece, start, length) rows, never ids or texts.
 
-Null and empty texts have one piece with the closing id alone. Repeated rows are packed each. Empty input
-gives an empty result. Columns other than the two named ones are not looked at.
+Null and empty texts have one piece with the closing id alone. A very long text has many pieces, all but the first full.
+Of equally long pieces the earlier one of a partition is placed first, of equally full bins any takes it: which sequence
+a piece is in may vary, the number of sequences does not. Repeated rows are packed each. Empty input gives an empty
+result. Columns other than the two named ones are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ the ordered list as one Spark conditional expression; what no rule covers is kep
 
 Null and empty texts have no words and fail the base test. Repeated rows each give a row. A document with
 several labels has its lowest; null labels are ignored; without labels of both kinds the list is empty and the
-base test alone decides. Columns other than the named ones are not looked at.
+base test alone decides. Of tests with equal gain the first feature's lowest threshold is taken, of equally good
+prunings the shorter rule. Very long texts are read whole. An empty table gives an empty result. Columns other than the
+named ones are not looked at.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ fingerprints are one node.
 
 Null and empty texts have fingerprint zero, which is linked like any other. Repeated rows each give a row and
 share a component. A null id never becomes a component's id unless all its ids are null. Further columns are
-not looked at. Empty input gives an empty result.
+not looked at. A bit in exactly half of a text's hashes is not set. Very long texts are hashed whole. Empty input gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ level whose stretch it holds. Documents that share anchors share long repeats, w
 (``_repeats``); windows whose surroundings differ are compared word by word.
 
 Null and empty texts have no words. Rows with the same id never remove each other's words; each gives a row. Rows
-with a null id are left whole and remove nothing. Columns other than the named ones are not looked at.
+with a null id are left whole and remove nothing. A very long text is looked at alone. An empty table gives an empty
+result. Columns other than the named ones are not looked at.
 """
 
 from __future__ import annotations
