@@ -100,9 +100,9 @@ def slices(off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word ``[^\\x20\\x09-\\x0D]+``; words never cross rows."""
-    space = SPACE[buf]
+def words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word ``[^\\x20\\x09-\\x0D]+``, or of what other ``gap`` bytes part; words never cross rows."""
+    space = gap[buf]
     before = np.ones(len(buf) + 1, dtype=bool)
     before[1:] = space
     before[off[:-1]] = True

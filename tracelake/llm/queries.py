@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, ogg, oracle, packing, quality, simhash, substring_bytes, substring_words, token_counts
+from . import bpe, filter_audit, langid, lexical, lm, ogg, oracle, packing, quality, quality_gam, simhash, substring_bytes, substring_words, token_counts
+from ._store import cut
 
 
 def vocabulary(name: str) -> str:
@@ -77,6 +78,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.failure_counts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return filter_audit.audit(counts, list(filter_audit.FILTERS))
+
+
+def op12_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_gam.classify(docs, quality_gam.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = cut(lexical.index(documents(spark, sf_dir)))
+    return lexical.search(blocks, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,9 +111,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_recompression_dedup": op8_recompression_dedup,
         "op9_simhash": op9_simhash,
         "op10_token_counts": op10_token_counts,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_quality_gam": op12_quality_gam,
+        "op13_lexical_search": op13_lexical_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_dedup": oracle.BYTE_REPEATS, "op8_recompression_dedup": oracle.WORD_REPEATS}
+    return {"op5_suffix_dedup": oracle.BYTE_REPEATS, "op8_recompression_dedup": oracle.WORD_REPEATS, "op11_filter_audit": oracle.FILTER_AUDIT, "op13_lexical_search": oracle.LEXICAL_SEARCH}
