@@ -47,49 +47,51 @@ def _terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return T.hashes(low, start, end), row
 
 
+def index_block(ids: pa.Array, buf: np.ndarray, off: np.ndarray) -> pa.RecordBatch | None:
+    """The postings of one block; none where no document has a term."""
+    term, row = _terms(buf, off)
+    if not len(term):
+        return None
+    n = np.bincount(row, minlength=len(off) - 1)
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    ids = ids.fill_null(0).to_numpy()
+    order = np.lexsort((ids, ~known))
+    order = order[n[order] > 0]
+    place = np.zeros(len(n), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    n = n[order]
+    first, code = T.number(term)
+    hashes = term[first]
+    by_hash = np.argsort(hashes)
+    rank = np.empty(len(by_hash), dtype=np.int64)
+    rank[by_hash] = np.arange(len(by_hash))
+    pair, tf = np.unique(rank[code] * len(n) + place[row], return_counts=True)
+    which, doc = np.divmod(pair, len(n))
+    df = np.bincount(which, minlength=len(hashes))
+    begin = np.cumsum(df) - df
+    long = np.flatnonzero(df > SEGMENT)
+    parts = -(-df[long] // SEGMENT)
+    edge = np.repeat(begin[long], parts) + SEGMENT * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    seg_tf, seg_n = np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64)
+    for k, (a, b) in enumerate(zip(edge.tolist(), np.minimum(edge + SEGMENT, np.repeat(begin[long] + df[long], parts)).tolist())):
+        seg_tf[k], seg_n[k] = tf[a:b].max(), n[doc[a:b]].min()
+    columns = [
+        pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([T.pack(id_d=ids[order], known=known[order].astype(np.uint8), n=n.astype(np.uint32))], pa.binary()),
+        pa.array([T.pack(hash_d=hashes[by_hash], df=df.astype(np.uint32))], pa.binary()), pa.array([T.pack(doc_d=doc, tf=tf.astype(np.uint32))], pa.binary()),
+        pa.array([T.pack(tf=seg_tf.astype(np.uint32), n=seg_n.astype(np.uint32))], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["n_docs", "n_terms", "docs", "terms", "postings", "segments"])
+
+
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a block: its documents with a term in order of their ids, and the postings of its terms in order of hashes."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def block(ids: pa.Array, buf: np.ndarray, off: np.ndarray) -> pa.RecordBatch | None:
-        term, row = _terms(buf, off)
-        if not len(term):
-            return None
-        n = np.bincount(row, minlength=len(off) - 1)
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy()
-        order = np.lexsort((ids, ~known))
-        order = order[n[order] > 0]
-        place = np.zeros(len(n), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        n = n[order]
-        first, code = T.number(term)
-        hashes = term[first]
-        by_hash = np.argsort(hashes)
-        rank = np.empty(len(by_hash), dtype=np.int64)
-        rank[by_hash] = np.arange(len(by_hash))
-        pair, tf = np.unique(rank[code] * len(n) + place[row], return_counts=True)
-        which, doc = np.divmod(pair, len(n))
-        df = np.bincount(which, minlength=len(hashes))
-        begin = np.cumsum(df) - df
-        long = np.flatnonzero(df > SEGMENT)
-        parts = -(-df[long] // SEGMENT)
-        edge = np.repeat(begin[long], parts) + SEGMENT * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        seg_tf, seg_n = np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64)
-        for k, (a, b) in enumerate(zip(edge.tolist(), np.minimum(edge + SEGMENT, np.repeat(begin[long] + df[long], parts)).tolist())):
-            seg_tf[k], seg_n[k] = tf[a:b].max(), n[doc[a:b]].min()
-        columns = [
-            pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([T.pack(id_d=ids[order], known=known[order].astype(np.uint8), n=n.astype(np.uint32))], pa.binary()),
-            pa.array([T.pack(hash_d=hashes[by_hash], df=df.astype(np.uint32))], pa.binary()), pa.array([T.pack(doc_d=doc, tf=tf.astype(np.uint32))], pa.binary()),
-            pa.array([T.pack(tf=seg_tf.astype(np.uint32), n=seg_n.astype(np.uint32))], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["n_docs", "n_terms", "docs", "terms", "postings", "segments"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = T.column(batch, "text")
             for i, j in T.slices(off, BLOCK):
-                out = block(batch.column(0).slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                out = index_block(batch.column(0).slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 if out is not None:
                     yield out
 
