@@ -110,10 +110,34 @@ def hidden_dependencies(spans: DataFrame, min_calls: int = 1, exact: bool = Fals
     return out.withColumn("target_details", details).withColumn("documentation_priority", F.when(urgent, "HIGH").when(F.col("call_count") > 1000, "MEDIUM").otherwise("LOW"))
 
 
+def closure(pairs: DataFrame, start: DataFrame, depth: int, forward: bool = True) -> DataFrame:
+    """(origin, service_name, depth): every service that an origin reaches along (or against) the edges within ``depth`` calls,
+    with the least number of calls. Each round goes on from the services met for the first time in the round before, so
+    a service is expanded once an origin, however many paths lead to it."""
+    here, there = ("source", "target") if forward else ("target", "source")
+    step = pairs.select(F.col(here).alias("here"), F.col(there).alias("next")).distinct()
+    level = start.select("origin", F.col("origin").alias("service_name"), F.lit(0).alias("depth"))
+    levels = [level]
+    for k in range(1, depth + 1):
+        met = level.join(step, level["service_name"] == step["here"]).select("origin", F.col("next").alias("service_name")).distinct()
+        known = levels[0]
+        for x in levels[1:]:
+            known = known.unionByName(x)
+        level = cut(met.join(known, ["origin", "service_name"], "left_anti").withColumn("depth", F.lit(k)))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    found = levels[1] if len(levels) > 1 else levels[0].filter("false")
+    for x in levels[2:]:
+        found = found.unionByName(x)
+    return found
+
+
 def blast_radius(spans: DataFrame, depth: int = 3) -> DataFrame:
-    """For each service, how many services reach it within ``depth`` calls, from how far, and over how many direct calls."""
+    """For each service, how many services reach it within ``depth`` calls, how many calls away the farthest of them is, and
+    over how many direct calls."""
     pairs = cut(service_pairs(spans))
     start = pairs.select(F.col("target").alias("origin")).distinct()
-    reached = _reach(pairs, start, depth, forward=False)
-    direct = F.coalesce(F.sum(F.when(F.col("depth") == 1, F.col("calls"))), F.lit(0))
-    return reached.groupBy(F.col("origin").alias("service_name")).agg(F.countDistinct("service_name").alias("affected_services"), F.max("depth").alias("max_depth"), direct.alias("direct_calls")).orderBy(F.desc("affected_services"), "service_name")
+    reached = closure(pairs, start, depth, forward=False).groupBy(F.col("origin").alias("service_name")).agg(F.count("*").alias("affected_services"), F.max("depth").alias("max_depth"))
+    direct = pairs.groupBy(F.col("target").alias("service_name")).agg(F.sum("calls").alias("direct_calls"))
+    return reached.join(direct, "service_name").select("service_name", "affected_services", "max_depth", "direct_calls").orderBy(F.desc("affected_services"), "service_name")

@@ -56,10 +56,6 @@ LOW_RISK = ["scale up", "increase replicas", "add instances", "increase memory",
 HIGH_RISK = ["delete", "remove", "disable", "migration", "schema change", "database migration", "breaking change"]
 
 
-#: Incidents that patterns may be held against.
-MOST_INCIDENTS = 20_000
-
-
 def masked(text: Column, masks: list[tuple[str, str]]) -> Column:
     for pattern, name in masks:
         text = F.regexp_replace(text, pattern, name)
@@ -122,35 +118,67 @@ def extract_log_message(entries: DataFrame) -> DataFrame:
     return entries.withColumn("message", F.coalesce(F.trim("textPayload"), json, _from_proto_payload(F.col("protoPayload")), *other, F.lit("")))
 
 
-def template_patterns(logs: DataFrame, message: str = "message", severity: str = "severity", resource: str | None = None, lead: int = 2, similarity: float = 0.4, min_count: int = 1) -> DataFrame:
+def _shared_key(rows: DataFrame, group: list[str], id_col: str, share: float) -> DataFrame:
+    """(id_col, key): of each row (id_col, group columns, tokens) its ``share`` of tokens that most rows of its group have at
+    the same place, as one text; null where the row has not that many tokens that it shares. <*> is shared with none.
+
+    Rows with one key have at least that share of their tokens in common. Tokens are counted once a group, so no rows are
+    held against each other; a token of a single row is not joined back.
+    """
+    at = rows.select(id_col, *group, F.size("tokens").alias("_size"), F.posexplode("tokens").alias("pos", "token")).filter("token <> '<*>'")
+    known = at.groupBy(*group, "pos", "token").agg(F.count("*").alias("n")).filter("n > 1")
+    best = Window.partitionBy(id_col).orderBy(F.desc("n"), "pos")
+    ranked = at.join(known, [*group, "pos", "token"]).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= F.ceil(F.col("_size") * F.lit(share)))
+    key = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: F.concat_ws(":", x["pos"], x["token"])), "\u0001")
+    return ranked.groupBy(id_col).agg(F.first("_size").alias("_size"), F.count("*").alias("have"), key.alias("key")).select(id_col, F.when(F.col("have") >= F.ceil(F.col("_size") * F.lit(share)), F.col("key")).alias("key"))
+
+
+def _merged(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, parts, shape): the tokens of each group's rows, <*> at places where they differ."""
+    at = rows.select(*group, F.posexplode("tokens").alias("pos", "token")).groupBy(*group, "pos").agg(F.min("token").alias("a"), F.max("token").alias("b"), F.count("*").alias("parts"))
+    one = F.struct("pos", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>").alias("t"))
+    return at.groupBy(*group).agg(F.max("parts").alias("parts"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]).alias("shape"))
+
+
+def message_templates(messages: DataFrame, lead: int = 2, similarity: float = 0.4, across: float = 0.6, many: int = 10) -> DataFrame:
+    """(m, template) of distinct masked messages (m).
+
+    First among messages with as many tokens and the same ``lead`` first ones (those with digits are alike): messages that
+    share the ``similarity`` share of their tokens which is most common there become one template, <*> where they differ.
+    Then templates of one length, whatever they begin with, become one where at least ``many`` of them have the ``across``
+    share of tokens in common: what takes so many values is a variable. A message that shares too little is its own
+    template. Every template thus keeps that share of its tokens, and the order of the messages does not matter.
+    """
+    tokens = F.filter(F.split("m", r"\s+"), lambda t: t != "")
+    head = F.transform(F.slice("tokens", 1, lead), lambda t: F.when(t.rlike(r"\d"), "<*>").otherwise(t))
+    keyed = cut(messages.select("m", tokens.alias("tokens")).withColumn("lead", F.concat_ws("\u0001", F.size("tokens"), head)))
+    found = keyed.join(_shared_key(keyed, ["lead"], "m", similarity), "m", "left")
+    found = found.withColumn("key", F.coalesce("key", F.concat(F.lit("\u0002"), "m")))
+    first = cut(found.join(_merged(found, ["lead", "key"]).drop("parts"), ["lead", "key"], "left").select("m", F.coalesce("shape", "tokens").alias("tokens")))
+    shapes = first.select("tokens").distinct().withColumn("template", F.array_join("tokens", " ")).withColumn("size", F.size("tokens"))
+    common = shapes.join(_shared_key(shapes, ["size"], "template", across).filter("key is not null"), "template")
+    wide = common.join(_merged(common, ["size", "key"]).filter(F.col("parts") >= many), ["size", "key"]).select("template", F.array_join("shape", " ").alias("wider"))
+    named = first.select("m", F.array_join("tokens", " ").alias("template"))
+    return named.join(wide, "template", "left").select("m", F.coalesce("wider", "template").alias("template"))
+
+
+def template_patterns(logs: DataFrame, message: str = "message", severity: str = "severity", resource: str | None = None, min_count: int = 1, **clustering) -> DataFrame:
     """Log templates with counts, times, severities and samples.
 
-    Messages are masked and counted, cut into tokens, and put together by number of tokens and leading tokens (those with
-    digits count as variable). Within such a group a position whose token varies becomes <*>, if enough positions stay
-    the same; else the group's messages stay apart. All steps are groupings, so the order of the messages does not
-    matter; templates may differ in detail from those of an online miner, counts and severities do not.
+    Messages are masked and counted; from then on a row stands for all that look alike. clustering: options of
+    ``message_templates``, which puts them together. Templates may differ in detail from those of an online miner, which
+    depend on the order of the messages; counts and severities do not.
     """
     masked_text = masked(F.col(message), VARIABLE_MASKS)
     tag = F.col(resource) if resource else F.lit(None).cast("string")
     base = logs.select(masked_text.alias("m"), F.col(message).alias("raw"), F.col(severity).alias("severity"), "timestamp", tag.alias("resource"))
-    # from here on a row stands for all messages that look alike
     each = cut(base.groupBy("m", "severity", "resource").agg(F.count("*").alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.min(F.substring("raw", 1, 200)).alias("sample")))
-    per = each.groupBy("m", "severity").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("sample").alias("sample"))
-    tokens = F.filter(F.split("m", r"\s+"), lambda t: t != "")
-    head = F.transform(F.slice(tokens, 1, lead), lambda t: F.when(t.rlike(r"\d"), "<*>").otherwise(t))
-    keyed = per.withColumn("tokens", tokens).withColumn("key", F.concat_ws("\u0001", F.size("tokens"), head))
-    by_position = keyed.select("key", F.posexplode("tokens").alias("pos", "token")).groupBy("key", "pos").agg(F.count_distinct("token").alias("kinds"), F.min("token").alias("token"))
-    shape = by_position.groupBy("key").agg(
-        F.count_if(F.col("kinds") == 1).alias("same"), F.count("*").alias("size"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("kinds") == 1, F.col("token")).otherwise("<*>").alias("t")))), lambda x: x["t"]), " ").alias("shape"),
-    )
-    template = F.when((F.col("same") >= similarity * F.col("size")), F.col("shape")).otherwise(F.array_join("tokens", " "))
-    named = keyed.join(shape, "key", "left").withColumn("template", F.coalesce(template, F.lit("")))
-    named = cut(named.select("m", "template", "severity", "n", "a", "b", "sample"))
+    templates = message_templates(each.select("m").filter("m is not null").distinct(), **clustering)
+    named = each.join(templates, "m", "left").select(F.coalesce("template", F.lit("")).alias("template"), "severity", "resource", "n", "a", "b", "sample")
+    named = cut(named)
     sev = named.groupBy("template", "severity").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
     out = sev.groupBy("template").agg(F.sum("n").alias("count"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("severity_counts"))
-    tags = each.filter("resource is not null").select("m", "resource").distinct().join(named.select("m", "template").distinct(), "m")
-    out = beside(out, ["template"], least_values(named, ["template"], "sample", 5, "sample_messages"), least_values(tags, ["template"], "resource", 5, "resources"))
+    out = beside(out, ["template"], least_values(named, ["template"], "sample", 5, "sample_messages"), least_values(named, ["template"], "resource", 5, "resources"))
     none = F.array().cast("array<string>")
     out = out.withColumns({c: F.coalesce(c, none) for c in ("sample_messages", "resources")})
     return out.filter(F.col("count") >= min_count).select(F.substring(F.md5(F.col("template").cast("binary")), 1, 8).alias("pattern_id"), "*")
@@ -224,20 +252,52 @@ def suggest_remediation(findings: DataFrame, actions: DataFrame, key: str) -> Da
     return each.select(key, rank.alias("rank"), "category", "action", "risk", "effort", ((F.col("risk") == "low") & (F.col("effort") == "low")).alias("quick_win"))
 
 
+def _grams(text: str, sizes: list[int]) -> Column:
+    """All parts of a text of the given lengths."""
+    parts = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    return F.array_distinct(F.flatten(F.array(*parts)))
+
+
+def containments(needles: DataFrame, texts: DataFrame, size: int = 3) -> DataFrame:
+    """(needle_id, text_id) of every needle (needle_id, needle) that stands in a text (text_id, text), compared as given. Empty
+    needles stand in none.
+
+    Texts are indexed by their parts of one to ``size`` characters. A needle is looked up under the one of its parts that the
+    fewest texts have (a shorter needle under itself), and only what is met there is compared.
+    """
+    needles = needles.filter(F.length("needle") > 0)
+    words = cut(needles.select("needle").distinct().withColumn("gram", F.explode(F.when(F.length("needle") < size, F.array("needle")).otherwise(_grams("needle", [size])))))
+    index = texts.select("text_id", F.explode(_grams("text", list(range(1, size + 1)))).alias("gram"))
+    index = cut(index.join(words.select("gram").distinct(), "gram", "left_semi"))
+    known = index.groupBy("gram").agg(F.count("*").alias("n"))
+    # a needle with a part that no text has stands in none
+    rarest = words.join(known, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("needle", F.col("r.gram").alias("gram"))
+    met = rarest.join(index, "gram").join(texts, "text_id").filter(F.contains("text", F.col("needle"))).select("needle", "text_id")
+    return needles.join(met, "needle").select("needle_id", "text_id").distinct()
+
+
 def similar_incidents(patterns: DataFrame, incidents: DataFrame, since: str | None = None, service: str | None = None) -> DataFrame:
     """(pattern, incident) by mutual substring of pattern texts, of services whose name holds ``service``; patterns without
-    any, by a word of theirs in a title or root cause. incidents: incident_id, pattern, title, root_cause, service, date;
-    each is held against every pattern, so there must not be more than MOST_INCIDENTS of them."""
+    any, by a word of theirs in a title or root cause. incidents: incident_id, pattern, title, root_cause, service, date.
+    Empty texts are like nothing. Both sides may be of any size: pairs are found over an index of short parts."""
     inc = incidents if since is None else incidents.filter(F.col("date") >= since)
-    if inc.limit(MOST_INCIDENTS + 1).count() > MOST_INCIDENTS:
-        raise ValueError(f"more than {MOST_INCIDENTS} incidents")
     of_service = F.lit(True) if service is None else F.contains(F.lower("service"), F.lit(service.lower()))
-    text, known = F.lower("template"), F.lower("pattern")
-    p = patterns.select("pattern_id", "template")
-    direct = p.join(F.broadcast(inc.filter(of_service)), F.contains(text, known) | F.contains(known, text)).select("pattern_id", "incident_id", "title", F.lit("pattern").alias("match"))
-    words = p.join(direct.select("pattern_id").distinct(), "pattern_id", "left_anti").select("pattern_id", F.explode(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))).alias("word"))
-    loose = words.join(F.broadcast(inc), F.contains(F.lower("title"), F.col("word")) | F.contains(F.lower("root_cause"), F.col("word"))).select("pattern_id", "incident_id", "title", F.lit("word").alias("match")).distinct()
-    return direct.unionByName(loose)
+    inc = cut(inc)
+    p, known = patterns.select("pattern_id", F.lower("template").alias("t")), inc.filter(of_service).select("incident_id", F.lower("pattern").alias("k"))
+    needle = lambda df, i, c: df.select(F.col(i).alias("needle_id"), F.col(c).alias("needle"))
+    text = lambda df, i, c: df.select(F.col(i).alias("text_id"), F.col(c).alias("text"))
+    inside = containments(needle(known, "incident_id", "k"), text(p, "pattern_id", "t")).select(F.col("text_id").alias("pattern_id"), F.col("needle_id").alias("incident_id"))
+    around = containments(needle(p, "pattern_id", "t"), text(known, "incident_id", "k")).select(F.col("needle_id").alias("pattern_id"), F.col("text_id").alias("incident_id"))
+    direct = cut(inside.unionByName(around).distinct())
+    words = p.join(direct.select("pattern_id").distinct(), "pattern_id", "left_anti").select("pattern_id", F.explode(F.array_distinct(F.filter(F.split("t", r"\s+"), lambda w: w != ""))).alias("word"))
+    said = text(inc, "incident_id", "title").withColumn("text", F.lower("text")).unionByName(text(inc, "incident_id", "root_cause").withColumn("text", F.lower("text"))).filter("text is not null").distinct()
+    # a text of its own id: an incident has two
+    said = cut(said.withColumn("incident_id", F.col("text_id")).withColumn("text_id", F.struct("text_id", F.md5("text"))))
+    each_word = words.select("word").distinct()
+    loose = containments(each_word.select(F.col("word").alias("needle_id"), F.col("word").alias("needle")), said.select("text_id", "text")).join(said.select("text_id", "incident_id"), "text_id").select(F.col("needle_id").alias("word"), "incident_id").distinct()
+    by_word = words.join(loose, "word").select("pattern_id", "incident_id").distinct()
+    every = direct.withColumn("match", F.lit("pattern")).unionByName(by_word.withColumn("match", F.lit("word")))
+    return every.join(inc.select("incident_id", "title"), "incident_id").select("pattern_id", "incident_id", "title", "match")
 
 
 def change_risk(changes: DataFrame, action: str = "action") -> DataFrame:

@@ -63,15 +63,86 @@ def _bucket(ts: str, seconds: int) -> Column:
     return F.expr(f"cast(timestamp_micros(unix_micros(cast({ts} as timestamp)) div {seconds * 1_000_000} * {seconds * 1_000_000}) as timestamp_ntz)")
 
 
+def with_previous(points: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts",), chunk_seconds: int = 86_400) -> DataFrame:
+    """Points with the time (old_ts) and value (old_value) of the point before in their series.
+
+    A series is cut into chunks of time, each ordered by itself, so a series with most of the points is spread over tasks; the
+    last point of a chunk is handed on to the next one of its series.
+    """
+    cols = list(points.columns)
+    cut_up = points.withColumn("_chunk", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (chunk_seconds * 1_000_000))).withColumn("_handed", F.lit(False))
+    last = cut_up.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(*[c for c in cols if c not in keys]), F.struct(*order)).alias("_p"))
+    after = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    handed = last.withColumn("_chunk", after).filter("_chunk is not null").select(*[F.col(c) if c in keys else F.col(f"_p.{c}").alias(c) for c in cols], "_chunk", F.lit(True).alias("_handed"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_handed"), *order)
+    out = cut_up.unionByName(handed).withColumn("old_ts", F.lag("ts").over(w)).withColumn("old_value", F.lag("value").over(w))
+    return out.filter(~F.col("_handed")).drop("_chunk", "_handed")
+
+
+def _grown() -> Column:
+    """How much a counter grew since the point before; a fall is a restart and counts from zero."""
+    return F.when(F.col("old_value").isNull(), 0.0).when(F.col("value") < F.col("old_value"), F.col("value")).otherwise(F.col("value") - F.col("old_value"))
+
+
 def counter_rate(points: DataFrame, keys: list[str], step_seconds: int = 3600, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Increase and per-second rate of counters in each step; a fall is a restart and counts from zero."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    old = F.lag("value").over(w)
-    grown = F.when(old.isNull(), 0.0).when(F.col("value") < old, F.col("value")).otherwise(F.col("value") - old)
-    g = points.withColumn("grown", grown).groupBy(*keys, _bucket("ts", step_seconds).alias("step")).agg(F.sum("grown").alias("increase"))
+    g = with_previous(points, keys, order).withColumn("grown", _grown()).groupBy(*keys, _bucket("ts", step_seconds).alias("step")).agg(F.sum("grown").alias("increase"))
     return g.withColumn("rate", F.round(F.col("increase") / step_seconds, 8))
 
 
+def _cell(ts: str, seconds: int) -> Column:
+    """Number of the first grid point at or after a time."""
+    return F.ceil(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
+
+
+def _grid(cell: Column, seconds: int) -> Column:
+    return F.timestamp_seconds(cell * seconds).cast("timestamp_ntz")
+
+
+def _cells_of(window_seconds: int, step_seconds: int) -> int:
+    if step_seconds <= 0 or window_seconds <= 0 or window_seconds % step_seconds:
+        raise ValueError("the window must be a multiple of the step")
+    return window_seconds // step_seconds
+
+
+def range_rates(points: DataFrame, keys: list[str], step_seconds: int, window_seconds: int, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """(keys, at, increase, rate): at every step the growth of counters between the points of the last ``window_seconds`` (its
+    later end included, its earlier one not), per second of the window. Restarts count from zero. A window with one point of a series has no row.
+
+    The growth from one point to the next counts in each window that holds both. It is summed by the grid cells of the two
+    points first, so at most a few rows of a cell go to the windows they lie in, however many points there are.
+    """
+    n = _cells_of(window_seconds, step_seconds)
+    steps = with_previous(points, keys, order, max(86_400, window_seconds)).filter("old_ts is not null")
+    sums = steps.groupBy(*keys, _cell("old_ts", step_seconds).alias("_a"), _cell("ts", step_seconds).alias("_b")).agg(F.sum(_grown()).alias("grown"))
+    inside = sums.filter(F.col("_b") <= F.col("_a") + (n - 1)).withColumn("_at", F.explode(F.sequence("_b", F.col("_a") + (n - 1))))
+    g = inside.groupBy(*keys, "_at").agg(F.sum("grown").alias("increase"))
+    return g.select(*keys, _grid(F.col("_at"), step_seconds).alias("at"), "increase", F.round(F.col("increase") / window_seconds, 8).alias("rate"))
+
+
+def range_gauges(points: DataFrame, keys: list[str], step_seconds: int, window_seconds: int) -> DataFrame:
+    """(keys, at, avg, min, max, last, n): at every step what gauges did in the last ``window_seconds``."""
+    n = _cells_of(window_seconds, step_seconds)
+    cells = points.groupBy(*keys, _cell("ts", step_seconds).alias("_cell")).agg(F.sum("value").alias("s"), F.count("value").alias("c"), F.min("value").alias("a"), F.max("value").alias("b"), F.max(F.struct("ts", "value")).alias("l"))
+    g = cells.withColumn("_at", F.explode(F.sequence("_cell", F.col("_cell") + (n - 1)))).groupBy(*keys, "_at").agg(
+        F.sum("s").alias("s"), F.sum("c").alias("n"), F.min("a").alias("min"), F.max("b").alias("max"), F.max("l").alias("l")
+    )
+    return g.select(*keys, _grid(F.col("_at"), step_seconds).alias("at"), F.round(F.try_divide(F.col("s"), F.col("n")), 8).alias("avg"), "min", "max", F.col("l.value").alias("last"), "n")
+
+
+def sum_by(rates: DataFrame, by: list[str], value: str = "rate") -> DataFrame:
+    """(by, at, value, series): the values of all series with the same labels, summed at every step."""
+    return rates.groupBy(*by, "at").agg(F.round(F.sum(value), 8).alias(value), F.count(value).alias("series"))
+
+
+def range_quantiles(buckets: DataFrame, keys: list[str], by: list[str], q: float, step_seconds: int, window_seconds: int, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """(by, at, quantile): at every step the quantile of a histogram whose buckets are counters. buckets: (keys, le, ts, value), the
+    value counting what was at or under le; rates are taken per series and then summed by label."""
+    rates = range_rates(buckets, [*keys, "le"], step_seconds, window_seconds, order)
+    counts = rates.groupBy(*by, "at", "le").agg(F.sum("increase").alias("count"))
+    return histogram_quantile(counts, [*by, "at"], q)
+
+
 def histogram_buckets(points: DataFrame, keys: list[str], bounds: list[float]) -> DataFrame:
     """Cumulative counts of values at or under each bound, the last without bound."""
     g = points.groupBy(*keys).agg(*[F.count_if(F.col("value") <= b).alias(f"b{k}") for k, b in enumerate(bounds)], F.count("*").alias("inf"))

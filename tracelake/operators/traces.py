@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.lineage import cut
 from ..functions.quantiles import percentiles, quantile
 from .tree import depths, slim
 
@@ -118,11 +119,17 @@ def latency_anomalies(spans: DataFrame, sigma: float = 2.0, min_ms: float = 50)
     return out.select("trace_id", "span_id", "name", F.round("ms", 3).alias("duration_ms"), F.round("z", 2).alias("z_score"), F.when(F.col("z") > 0, "slow").otherwise("fast").alias("anomaly_type"))
 
 
+def of_pairs(spans: DataFrame, pairs: DataFrame, sides: tuple[str, ...] = ("baseline", "target")) -> DataFrame:
+    """The spans of the traces that stand in pairs, on either side or on one."""
+    ids = pairs.select(F.explode(F.array(*[f"{s}_trace_id" for s in sides])).alias("trace_id")).distinct()
+    return spans.join(ids, "trace_id", "left_semi")
+
+
 def compare_span_timings(spans: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per pair of traces and span name: both means, the change, and slower, faster, same, new or missing."""
-    df = spans.select("trace_id", "name", C.ms().alias("ms"))
+    per = of_pairs(spans.select("trace_id", "name", C.ms().alias("ms")), pairs).groupBy("trace_id", "name").agg(F.avg("ms").alias("ms"))
     both = pairs.select("baseline_trace_id", "target_trace_id", F.explode(F.array(F.struct(F.col("baseline_trace_id").alias("t"), F.lit(0).alias("side")), F.struct(F.col("target_trace_id").alias("t"), F.lit(1).alias("side")))).alias("x")).select("baseline_trace_id", "target_trace_id", F.col("x.t").alias("trace_id"), "x.side")
-    g = both.join(df, "trace_id").groupBy("baseline_trace_id", "target_trace_id", "name").agg(F.avg(F.when(F.col("side") == 0, F.col("ms"))).alias("b"), F.avg(F.when(F.col("side") == 1, F.col("ms"))).alias("t"))
+    g = both.join(per, "trace_id").groupBy("baseline_trace_id", "target_trace_id", "name").agg(F.max(F.when(F.col("side") == 0, F.col("ms"))).alias("b"), F.max(F.when(F.col("side") == 1, F.col("ms"))).alias("t"))
     diff = F.col("t") - F.col("b")
     pct = F.coalesce(F.try_divide(diff, F.col("b")) * 100, F.lit(0.0))
     kind = F.when(F.col("b").isNull(), "new").when(F.col("t").isNull(), "missing").when((pct > 10) | (diff > 50), "slower").when((pct < -10) | (diff < -50), "faster").otherwise("same")
@@ -157,6 +164,7 @@ def serial_chains(spans: DataFrame, max_gap_ms: float = 10, min_length: int = 3,
 
 def structural_differences(spans: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per pair of traces: span names only one of them has, shared names, and the change in spans and depth."""
+    spans = cut(of_pairs(spans.select("trace_id", "span_id", "parent_span_id", "name"), pairs))
     deep = depths(spans).groupBy("trace_id").agg(F.max("depth").alias("depth"))
     t = spans.groupBy("trace_id").agg(F.collect_set("name").alias("names"), F.count("*").alias("n")).join(deep, "trace_id", "left")
     b, c = (t.select(F.col("trace_id").alias(f"{k}_trace_id"), F.col("names").alias(f"{k}_names"), F.col("n").alias(f"{k}_n"), F.col("depth").alias(f"{k}_depth")) for k in ("baseline", "target"))

@@ -1,8 +1,18 @@
-"""Walks over span trees: all traces at once, one join a level."""
+"""Analyses of span trees: all traces at once, by pointer doubling.
+
+A span looks up its parent, then its parent's parent, then four spans up, and so on: a chain of a thousand spans takes ten
+rounds, and a span that has met its root takes part in no further one. What is asked along the way (a depth, a weight, a sum)
+is put together from the two halves of each jump.
+
+Within a trace an id stands for one span: of spans that share an id for one without a parent, else the one with the least
+parent id. Spans without an id have no children; those alike in every column are one. Spans whose ancestors run in a circle
+are part of no tree. Each trace is decided by its own spans alone.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.lineage import cut
 
-#: Level from which a walk looks for repeated span ids, without which it cannot run in a circle, and joins only the spans
-#: of traces that are so deep.
-LOOK_FROM = 8
+#: What the names of spans without an id begin with while trees are walked.
+_NAMELESS = "\u0000"
 #: A child that ends this many milliseconds before its parent blocks it by half.
 EARLY_END_MS = 5
 
@@ -23,50 +32,76 @@ def slim(spans: DataFrame) -> DataFrame:
     )
 
 
-def roots_and_orphans(spans: DataFrame) -> DataFrame:
-    """Spans without a parent, or whose parent is not in their trace."""
-    ids = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known")).distinct()
-    return spans.join(ids, ["trace_id", "parent_span_id"], "left").filter(F.col("parent_span_id").isNull() | F.col("known").isNull()).drop("known")
+def _id(column: str) -> Column:
+    """An id as the spans have it."""
+    return F.when(~F.startswith(F.col(column), F.lit(_NAMELESS)), F.col(column))
+
+
+@dataclass(frozen=True)
+class Lineage:
+    """spans: (trace_id, span_id, root_id, depth, own and carried columns) of every span that has a root; spans without an id
+    have a name here (``_id`` takes it away).
+    jumps: of every round the spans that have not met their root yet, with the ancestor 2 ** round levels up."""
+
+    spans: DataFrame
+    jumps: list[DataFrame]
 
+    def ancestors(self, of: DataFrame) -> DataFrame:
+        """(trace_id, node, span_id): every node (trace_id, node) with each of its ancestors, and with itself."""
+        met = of.select("trace_id", "node", F.col("node").alias("span_id"))
+        for jump in reversed(self.jumps):
+            up = jump.select("trace_id", "span_id", "above")
+            met = cut(met.unionByName(met.join(up, ["trace_id", "span_id"]).select("trace_id", "node", F.col("above").alias("span_id"))))
+        return met
 
-def walk(spans: DataFrame, start: DataFrame, carry: Callable[[str, str], list[Column]], first: list[Column]) -> DataFrame:
-    """Rows for every span that the start spans reach, with depth and carried columns, however deep.
 
-    first: the carried columns of a start span; carry(up, down): those of a child, from its parent's row (alias up) and its
-    own (alias down). The spans are worked out once; each level is written out, so the plan does not grow with the depth.
-    A tree cannot run in a circle. Where a trace repeats a span id, spans that a level has reached are not reached again.
+def lineage(
+    spans: DataFrame, own: list[str] | None = None, first: dict[str, Column] | None = None, link: Callable[[str, str], dict[str, Column]] | None = None, join: Callable[[str, str], dict[str, Column]] | None = None
+) -> Lineage:
+    """Every span with its root (a span without a parent in its trace), its depth, and what its line of ancestors gives.
+
+    own: columns that a span keeps. first: the carried columns of a root; link(up, down): those of a jump from a span (alias
+    down) to its parent (alias up); join(up, down): those of two jumps in a row, down being the lower one. join must not
+    care which of several jumps are put together first.
     """
-    cols = ["trace_id", "span_id"]
-    spans = cut(spans.filter("parent_span_id is not null"))
-    level = cut(start.select(*cols, F.lit(0).alias("depth"), *first))
-    levels, repeats = [level], None
-    while not level.isEmpty():
-        if repeats is None and len(levels) > LOOK_FROM:
-            repeats = not spans.groupBy(*cols).count().filter("count > 1").union(spans.join(start.select(*cols), cols).select(*cols, F.lit(2))).isEmpty()
-            if repeats:  # from the start again
-                level, levels = levels[0], levels[:1]
-            else:
-                spans = cut(spans.join(level.select("trace_id").distinct(), "trace_id", "left_semi"))
-        up, down = level.alias("up"), spans.alias("down")
-        on = (F.col("up.trace_id") == F.col("down.trace_id")) & (F.col("up.span_id") == F.col("down.parent_span_id"))
-        met = up.join(down, on).select("down.trace_id", "down.span_id", (F.col("up.depth") + 1).alias("depth"), *carry("up", "down"))
-        if repeats:
-            reached = levels[0].select(*cols)
-            for x in levels[1:]:
-                reached = reached.union(x.select(*cols))
-            met = met.join(reached.distinct(), cols, "left_anti")
-        level = cut(met)
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:-1]:
-        out = out.unionByName(x)
-    return out
+    own, first, link, join = own or [], first or {}, link or (lambda up, down: {}), join or (lambda up, down: {})
+    facts = F.min(F.struct(F.col("parent_span_id").isNotNull().alias("has_parent"), "parent_span_id", *own)).alias("f")
+    named = F.coalesce("span_id", F.concat(F.lit(_NAMELESS), F.hex(F.xxhash64("parent_span_id", *own)))).alias("span_id")
+    nodes = spans.filter("trace_id is not null").select("trace_id", named, "parent_span_id", *own).groupBy("trace_id", "span_id").agg(facts).select("trace_id", "span_id", "f.parent_span_id", *[f"f.{c}" for c in own])
+    on = (F.col("up.trace_id") == F.col("down.trace_id")) & (F.col("up.span_id") == F.col("down.parent_span_id"))
+    top = F.col("up.span_id").isNull()
+    linked, of_root = link("up.", "down."), {c: x for c, x in first.items()}
+    begun = nodes.alias("down").join(nodes.alias("up"), on, "left").select(
+        "down.trace_id", "down.span_id", F.col("up.span_id").alias("above"), F.when(top, F.col("down.span_id")).alias("root_id"), F.when(top, 0).otherwise(1).alias("depth"),
+        *[F.col(f"down.{c}").alias(c) for c in own], *[F.when(top, of_root[c]).otherwise(linked[c]).alias(c) for c in of_root],
+    )
+    table = cut(begun)
+    done, jumps = [], []
+    while True:
+        met, left = table.agg(F.count_if(F.col("above").isNull()), F.count("above")).first()
+        done.append(table.filter("above is null"))
+        if not left or jumps and not met:  # what is left after a round without a root runs in circles
+            break
+        live = table.filter("above is not null")
+        jumps.append(live)
+        every = live
+        for x in done:
+            every = every.unionByName(x)
+        on = (F.col("up.trace_id") == F.col("down.trace_id")) & (F.col("up.span_id") == F.col("down.above"))
+        joined = join("up.", "down.")
+        table = cut(live.alias("down").join(every.alias("up"), on).select(
+            "down.trace_id", "down.span_id", "up.above", "up.root_id", (F.col("up.depth") + F.col("down.depth")).alias("depth"), *[F.col(f"down.{c}").alias(c) for c in own], *[joined[c].alias(c) for c in of_root],
+        ))
+    found = done[0]
+    for x in done[1:]:
+        found = found.unionByName(x)
+    return Lineage(found.drop("above"), jumps)
 
 
 def depths(spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, depth), roots and orphans at depth 0."""
-    narrow = cut(spans.select("trace_id", "span_id", "parent_span_id"))
-    return walk(narrow, roots_and_orphans(narrow), lambda up, down: [], [])
+    own = [c for c in ("name", "start_time") if c in spans.columns]
+    return lineage(spans, own).spans.select("trace_id", _id("span_id").alias("span_id"), "depth")
 
 
 def call_graph(spans: DataFrame) -> DataFrame:
@@ -85,15 +120,15 @@ def _self_by_sum(df: DataFrame) -> DataFrame:
 def critical_path_longest_child(spans: DataFrame) -> DataFrame:
     """From each trace's longest root on, always the longest child: one row for each step, with its self time (duration
     less its children's) and its share of the path."""
+    own = ["name", "service_name", "ms", "self_ms", "is_error"]
     df = _self_by_sum(cut(slim(spans)))
-    best = Window.partitionBy("trace_id", "parent_span_id").orderBy(F.desc("ms"), "start_ms", "span_id")
-    chosen = cut(df.withColumn("rank", F.row_number().over(best)).filter("rank = 1"))
-    roots = chosen.filter("parent_span_id is null")
-    step = lambda p: F.struct(*[F.col(f"{p}{c}") for c in ("name", "service_name", "ms", "self_ms", "is_error")])
-    found = walk(chosen.filter("parent_span_id is not null"), roots, lambda up, down: [step(f"{down}.").alias("step")], [step("").alias("step")])
+    longest = F.min(F.struct(F.col("ms").isNull().alias("unknown"), (-F.col("ms")).alias("less"), "start_ms", "span_id", *own)).alias("c")
+    chosen = df.groupBy("trace_id", "parent_span_id").agg(longest).select("trace_id", "parent_span_id", "c.span_id", *[f"c.{c}" for c in own])
+    # chosen children hang from chosen spans up to the root, or from one that was not chosen
+    found = lineage(chosen, own, {"from_root": F.col("down.parent_span_id").isNull()}, lambda up, down: {"from_root": F.lit(None).cast("boolean")}, lambda up, down: {"from_root": F.col(f"{up}from_root")})
     whole = Window.partitionBy("trace_id")
-    out = found.select("trace_id", "span_id", "depth", "step.*").withColumn("path_self_ms", F.sum("self_ms").over(whole)).withColumn("top", F.max("self_ms").over(whole))
-    return out.select("trace_id", "span_id", "depth", "name", "service_name", F.col("ms").alias("duration_ms"), F.col("self_ms").alias("self_time_ms"), F.round(F.try_divide(F.col("self_ms"), F.col("path_self_ms")) * 100, 1).alias("self_time_pct"), (F.col("self_ms") == F.col("top")).alias("is_bottleneck"), "is_error")
+    out = found.spans.filter("from_root").withColumn("path_self_ms", F.sum("self_ms").over(whole)).withColumn("top", F.max("self_ms").over(whole))
+    return out.select("trace_id", _id("span_id").alias("span_id"), "depth", "name", "service_name", F.col("ms").alias("duration_ms"), F.col("self_ms").alias("self_time_ms"), F.round(F.try_divide(F.col("self_ms"), F.col("path_self_ms")) * 100, 1).alias("self_time_pct"), (F.col("self_ms") == F.col("top")).alias("is_bottleneck"), "is_error")
 
 
 def self_times(spans: DataFrame) -> DataFrame:
@@ -110,25 +145,28 @@ def self_times(spans: DataFrame) -> DataFrame:
 
 def critical_path_blocking(spans: DataFrame) -> DataFrame:
     """Per root or orphan, the chain of descendants with the most blocking time: self times, halved for each step down to a
-    child that ends over 5 ms before its parent; each step with its share of that. Ties go to the shorter path, then the earlier start, then the id."""
-    df = cut(self_times(spans))
-    node = lambda p, weight: F.struct(F.col(f"{p}span_id").alias("span_id"), F.col(f"{p}name").alias("name"), F.col(f"{p}self_ms").alias("self_ms"), weight.alias("weight"))
-
-    def carry(up: str, down: str) -> list[Column]:
-        weight = F.col(f"{up}.weight") * F.when(F.col(f"{up}.end_ms") - F.col(f"{down}.end_ms") > EARLY_END_MS, 0.5).otherwise(1.0)
-        return [
-            F.col(f"{up}.root_id").alias("root_id"), F.col(f"{up}.root_ms").alias("root_ms"), F.col(f"{down}.end_ms").alias("end_ms"), F.col(f"{down}.start_ms").alias("start_ms"), weight.alias("weight"),
-            (F.col(f"{up}.blocking") + weight * F.col(f"{down}.self_ms")).alias("blocking"), F.concat(F.col(f"{up}.path"), F.array(node(f"{down}.", weight))).alias("path"),
-        ]
-
-    first = [F.col("span_id").alias("root_id"), F.col("ms").alias("root_ms"), F.col("end_ms"), F.col("start_ms"), F.lit(1.0).alias("weight"), F.col("self_ms").alias("blocking"), F.array(node("", F.lit(1.0))).alias("path")]
-    reached = walk(df, roots_and_orphans(df), carry, first)
-    best = reached.groupBy("trace_id", "root_id").agg(F.min(F.struct((-F.col("blocking")).alias("cost"), "depth", "start_ms", "span_id", "path", "root_ms", "blocking")).alias("b"))
+    child that ends over 5 ms before its parent; each step with its share of that. Blocking times that agree to a billionth are
+    ties: they go to the shorter path, then the earlier start, then the id."""
+    own = ["name", "start_ms", "end_ms", "ms", "self_ms"]
+
+    def link(up: str, down: str) -> dict[str, Column]:
+        weight = F.when(F.col(f"{up}end_ms") - F.col(f"{down}end_ms") > EARLY_END_MS, 0.5).otherwise(1.0)
+        return {"weight": weight, "blocking": weight * F.col(f"{down}self_ms"), "root_ms": F.lit(None).cast("double")}
+
+    def join(up: str, down: str) -> dict[str, Column]:
+        blocking = F.col(f"{up}blocking") + F.col(f"{up}weight") * F.col(f"{down}blocking")
+        return {"weight": F.col(f"{up}weight") * F.col(f"{down}weight"), "blocking": blocking, "root_ms": F.col(f"{up}root_ms")}
+
+    tree = lineage(self_times(spans), own, {"weight": F.lit(1.0), "blocking": F.col("down.self_ms"), "root_ms": F.col("down.ms")}, link, join)
+    cost = F.struct((-F.round("blocking", 9)).alias("cost"), "depth", "start_ms", "span_id", "root_ms", "blocking")
+    best = cut(tree.spans.groupBy("trace_id", "root_id").agg(F.min(cost).alias("b")))
+    on_path = tree.ancestors(best.select("trace_id", F.col("b.span_id").alias("node"))).select("trace_id", "span_id").distinct()
+    nodes = tree.spans.join(on_path, ["trace_id", "span_id"]).groupBy("trace_id", "root_id").agg(F.array_sort(F.collect_list(F.struct("depth", "span_id", "name", "self_ms", "weight"))).alias("path"))
     ratio = F.coalesce(F.try_divide(F.col("b.root_ms"), F.col("b.blocking")), F.lit(1.0))
     share = lambda p: F.round(F.try_divide(p["self_ms"] * p["weight"], F.col("b.blocking")) * 100, 2)
-    steps = F.transform("b.path", lambda p: F.struct(p["span_id"].alias("span_id"), p["name"].alias("name"), p["self_ms"].alias("self_ms"), share(p).alias("contribution_pct")))
-    return best.select(
-        "trace_id", F.col("root_id").alias("root_span_id"), steps.alias("critical_path"), F.round("b.blocking", 8).alias("total_critical_ms"), F.round("b.root_ms", 8).alias("trace_duration_ms"),
+    steps = F.transform("path", lambda p: F.struct(F.when(~F.startswith(p["span_id"], F.lit(_NAMELESS)), p["span_id"]).alias("span_id"), p["name"].alias("name"), p["self_ms"].alias("self_ms"), share(p).alias("contribution_pct")))
+    return best.join(nodes, ["trace_id", "root_id"]).select(
+        "trace_id", _id("root_id").alias("root_span_id"), steps.alias("critical_path"), F.round("b.blocking", 8).alias("total_critical_ms"), F.round("b.root_ms", 8).alias("trace_duration_ms"),
         F.round(ratio, 2).alias("parallelism_ratio"), F.when(ratio > 1, F.round((1 - 1 / ratio) * 100, 2)).otherwise(0.0).alias("parallelism_pct"),
     )
 
@@ -156,30 +194,48 @@ def optimization_recommendations(spans: DataFrame) -> DataFrame:
     return df.select("trace_id", F.explode(rules).alias("r")).select("trace_id", "r.type", "r.priority", "r.target")
 
 
+def _without_covered(chains: DataFrame) -> DataFrame:
+    """Chains (trace_id, span_id, chain_length, names: a sorted set) but for those whose names are all in a longer chain of the
+    trace (of equal length: one with a smaller id).
+
+    Of chains with the same names one is left first. Then a chain is held only against those that have its rarest name.
+    """
+    by_names = chains.groupBy("trace_id", "names").agg(F.min(F.struct((-F.col("chain_length")).alias("less"), "span_id", "chain")).alias("m"))
+    best = cut(by_names.select("trace_id", "names", "m.span_id", (-F.col("m.less")).alias("chain_length"), "m.chain"))
+    several = best.groupBy("trace_id").agg(F.count("*").alias("n")).filter("n > 1").select("trace_id")
+    each = cut(best.join(several, "trace_id", "left_semi").select("trace_id", "span_id", "chain_length", "names", F.explode("names").alias("name")))
+    known = each.groupBy("trace_id", "name").agg(F.count("*").alias("n"))
+    rarest = each.join(known, ["trace_id", "name"]).groupBy("trace_id", "span_id", "chain_length", "names").agg(F.min(F.struct("n", "name")).alias("r")).filter("r.n > 1")
+    a, b = rarest.select("*", F.col("r.name").alias("name")).alias("a"), each.alias("b")
+    longer = (F.col("b.chain_length") > F.col("a.chain_length")) | ((F.col("b.chain_length") == F.col("a.chain_length")) & (F.col("b.span_id") < F.col("a.span_id")))
+    inside = (F.size("b.names") > F.size("a.names")) & (F.size(F.array_except("a.names", "b.names")) == 0)
+    covered = a.join(b, (F.col("a.trace_id") == F.col("b.trace_id")) & (F.col("a.name") == F.col("b.name")) & longer & inside, "left_semi").select("trace_id", "span_id")
+    return best.join(covered, ["trace_id", "span_id"], "left_anti")
+
+
 def cascading_timeout(spans: DataFrame, threshold_ms: float = 1000) -> DataFrame:
     """Chains of two or more timeout spans up an ancestor line (others on the way are skipped), per trace, without chains
-    whose names a longer chain has too."""
-    from .traces import is_timeout
+    whose names a longer chain has too.
 
-    df = cut(spans.select("trace_id", "span_id", "parent_span_id", "name", C.ms().alias("ms"), (is_timeout() | (C.ms() >= threshold_ms)).alias("hit")))
-    link = lambda p: F.struct(F.col(f"{p}name").alias("name"), F.col(f"{p}ms").alias("ms"))
-
-    def carry(up: str, down: str) -> list[Column]:
-        own = F.when(F.col(f"{down}.hit"), F.array(link(f"{down}."))).otherwise(F.array().cast("array<struct<name:string,ms:double>>"))
-        return [F.col(f"{down}.hit").alias("hit"), F.concat(own, F.col(f"{up}.chain")).alias("chain")]
+    Only timeouts without one below them can end such a chain, since the chain of one above is part of theirs. Of those that
+    hang from the same timeout under the same name one is followed.
+    """
+    from .traces import is_timeout
 
-    first = [F.col("hit"), F.when(F.col("hit"), F.array(link(""))).otherwise(F.array().cast("array<struct<name:string,ms:double>>")).alias("chain")]
-    found = walk(df, roots_and_orphans(df), carry, first).filter(F.col("hit") & (F.size("chain") >= 2))
-    chains = found.select(
-        "trace_id", "span_id", F.size("chain").alias("chain_length"), F.col("chain")[0]["name"].alias("origin_span"), F.transform("chain", lambda c: c["name"]).alias("affected_spans"),
-        F.aggregate("chain", F.lit(0.0), lambda a, c: a + c["ms"]).alias("total_timeout_ms"),
-    )
-    names = F.array_sort(F.array_distinct("affected_spans"))
-    chains = cut(chains.withColumn("names", names))
-    a, b = chains.alias("a"), chains.alias("b")
-    longer = (F.col("b.chain_length") > F.col("a.chain_length")) | ((F.col("b.chain_length") == F.col("a.chain_length")) & (F.col("b.span_id") < F.col("a.span_id")))
-    covered = (F.col("a.trace_id") == F.col("b.trace_id")) & longer & (F.size(F.array_except("a.names", "b.names")) == 0)
-    return a.join(b, covered, "left_anti").select("trace_id", "chain_length", "origin_span", "affected_spans", "total_timeout_ms")
+    df = spans.select("trace_id", "span_id", "parent_span_id", "name", C.ms().alias("ms"), (is_timeout() | (C.ms() >= threshold_ms)).alias("hit"))
+    nearest = {"near": F.lit(None).cast("string")}
+    above = lineage(df, ["name", "ms", "hit"], nearest, lambda up, down: {"near": F.when(F.col(f"{up}hit"), F.col(f"{up}span_id"))}, lambda up, down: {"near": F.coalesce(F.col(f"{down}near"), F.col(f"{up}near"))})
+    hits = cut(above.spans.filter("hit").select("trace_id", "span_id", F.col("near").alias("parent_span_id"), "name", "ms"))
+    inner = hits.filter("parent_span_id is not null").select("trace_id", F.col("parent_span_id").alias("span_id")).distinct()
+    last = hits.filter("parent_span_id is not null").join(inner, ["trace_id", "span_id"], "left_anti").groupBy("trace_id", "parent_span_id", "name").agg(F.min("span_id").alias("node"))
+    tree = lineage(hits, ["name", "ms"])
+    lines = tree.ancestors(last).join(tree.spans, ["trace_id", "span_id"])
+    chain = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("up"), "name", "ms"))), lambda c: F.struct(c["name"].alias("name"), c["ms"].alias("ms")))
+    chains = lines.groupBy("trace_id", F.col("node").alias("span_id")).agg(chain.alias("chain"))
+    chains = chains.select("trace_id", "span_id", F.size("chain").cast("int").alias("chain_length"), "chain", F.array_sort(F.array_distinct(F.transform("chain", lambda c: c["name"]))).alias("names"))
+    return _without_covered(chains).select(
+        "trace_id", "chain_length", F.col("chain")[0]["name"].alias("origin_span"), F.transform("chain", lambda c: c["name"]).alias("affected_spans"), F.aggregate("chain", F.lit(0.0), lambda a, c: a + c["ms"]).alias("total_timeout_ms")
+    )
 
 
 def causal_analysis(spans: DataFrame, pairs: DataFrame, limit: int = 10) -> DataFrame:

@@ -188,8 +188,8 @@ QUERIES = {
     "blast_radius": (
         _orders(lambda s: N.blast_radius(s, 2)),
         Q.with_orders(
-            f"{_PAIRS}, a AS (SELECT target AS origin, source AS v, calls, 1 AS d FROM p), b AS (SELECT a.origin, p.source AS v, p.calls, 2 AS d FROM a JOIN p ON p.target = a.v WHERE p.source <> a.origin AND p.source <> a.v), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) "
-            "SELECT origin AS service_name, count(DISTINCT v) AS affected_services, max(d) AS max_depth, CAST(sum(calls) FILTER (d = 1) AS BIGINT) AS direct_calls FROM u GROUP BY 1"
+            f"{_PAIRS}, a AS (SELECT target AS origin, source AS v, calls, 1 AS d FROM p), b AS (SELECT a.origin, p.source AS v, p.calls, 2 AS d FROM a JOIN p ON p.target = a.v WHERE p.source <> a.origin AND p.source <> a.v), u AS (SELECT origin, v, min(d) AS d, sum(calls) FILTER (d = 1) AS calls FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2) "
+            "SELECT origin AS service_name, count(*) AS affected_services, max(d) AS max_depth, CAST(sum(calls) AS BIGINT) AS direct_calls FROM u GROUP BY 1"
         ),
     ),
 }

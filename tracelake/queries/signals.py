@@ -128,15 +128,33 @@ _TEMPLATES = (
 )
 
 
-def _template_sql(where: str, n: str) -> str:
+def _shared_sql(rows: str, group: str, id_col: str, share: float, out: str) -> str:
+    """The stages of _shared_key as tables with suffix ``out``."""
+    return (
+        f"at{out} AS (SELECT {id_col} AS i, {group} AS g, len(tk) AS size, unnest(tk) AS token, generate_subscripts(tk, 1) AS pos FROM {rows}), "
+        f"kn{out} AS (SELECT g, pos, token, count(*) AS n FROM at{out} WHERE token <> '<*>' GROUP BY 1, 2, 3 HAVING count(*) > 1), "
+        f"rk{out} AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, pos) AS k FROM at{out} JOIN kn{out} USING (g, pos, token)), "
+        f"key{out} AS (SELECT i, string_agg(pos || ':' || token, chr(1) ORDER BY pos) AS key FROM rk{out} WHERE k <= ceil(size * {share}::DOUBLE) GROUP BY i HAVING count(*) >= ceil(any_value(size) * {share}::DOUBLE))"
+    )
+
+
+def _merged_sql(rows: str, group: str, out: str) -> str:
+    return (
+        f"mt{out} AS (SELECT {group}, pos, CASE WHEN min(token) = max(token) THEN min(token) ELSE '<*>' END AS t, count(*) AS parts FROM (SELECT {group}, unnest(tk) AS token, generate_subscripts(tk, 1) AS pos FROM {rows}) GROUP BY {group}, pos), "
+        f"mg{out} AS (SELECT {group}, list(t ORDER BY pos) AS shape, max(parts) AS parts FROM mt{out} GROUP BY {group})"
+    )
+
+
+def _template_sql(where: str, n: str, source: str = "m0") -> str:
     """The stages of template_patterns, as tables with suffix n."""
     return (
-        f"d{n} AS (SELECT m, list_filter(regexp_split_to_array(m, '\\s+'), lambda t: t <> '') AS tk FROM (SELECT DISTINCT m FROM m0 WHERE {where})), "
-        f"k{n} AS (SELECT m, tk, len(tk) || chr(1) || array_to_string(list_transform(tk[1:2], lambda t: CASE WHEN regexp_matches(t, '\\d') THEN '<*>' ELSE t END), chr(1)) AS key FROM d{n}), "
-        f"u{n} AS (SELECT key, unnest(tk) AS token, generate_subscripts(tk, 1) AS pos FROM k{n}), p{n} AS (SELECT key, pos, count(DISTINCT token) AS kinds, min(token) AS token FROM u{n} GROUP BY 1, 2), "
-        f"s{n} AS (SELECT key, count(*) FILTER (kinds = 1) AS same, count(*) AS size, array_to_string(list(CASE WHEN kinds = 1 THEN token ELSE '<*>' END ORDER BY pos), ' ') AS shape FROM p{n} GROUP BY 1), "
-        f"n{n} AS (SELECT m, coalesce(CASE WHEN same >= 0.4 * size THEN shape ELSE array_to_string(tk, ' ') END, '') AS template FROM k{n} LEFT JOIN s{n} USING (key)), "
-        f"t{n} AS (SELECT substr(md5(template), 1, 8) AS pattern_id, template, count(*) AS count, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'INFO') AS infos FROM m0 JOIN n{n} USING (m) WHERE {where} GROUP BY 1, 2)"
+        f"d{n} AS (SELECT m, list_filter(regexp_split_to_array(m, '\\s+'), lambda t: t <> '') AS tk FROM (SELECT DISTINCT m FROM {source} WHERE {where})), "
+        f"l{n} AS (SELECT m, tk, len(tk) || chr(1) || array_to_string(list_transform(tk[1:2], lambda t: CASE WHEN regexp_matches(t, '\\d') THEN '<*>' ELSE t END), chr(1)) AS lead FROM d{n}), "
+        f"{_shared_sql(f'l{n}', 'lead', 'm', 0.4, f'1{n}')}, f{n} AS (SELECT m, tk, lead, coalesce(key, chr(2) || m) AS key FROM l{n} LEFT JOIN key1{n} ON i = m), {_merged_sql(f'f{n}', 'lead, key', f'1{n}')}, "
+        f"o{n} AS (SELECT m, array_to_string(coalesce(shape, tk), ' ') AS template, coalesce(shape, tk) AS tk FROM f{n} LEFT JOIN mg1{n} USING (lead, key)), h{n} AS (SELECT DISTINCT template, tk, len(tk) AS size FROM o{n}), "
+        f"{_shared_sql(f'h{n}', 'size', 'template', 0.6, f'2{n}')}, c{n} AS (SELECT template, tk, size, key FROM h{n} JOIN key2{n} ON i = template), {_merged_sql(f'c{n}', 'size, key', f'2{n}')}, "
+        f"w{n} AS (SELECT template, array_to_string(shape, ' ') AS wider FROM c{n} JOIN mg2{n} USING (size, key) WHERE parts >= 10), n{n} AS (SELECT m, coalesce(wider, template) AS template FROM o{n} LEFT JOIN w{n} USING (template)), "
+        f"t{n} AS (SELECT substr(md5(template), 1, 8) AS pattern_id, template, count(*) AS count, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'INFO') AS infos FROM {source} JOIN n{n} USING (m) WHERE {where} GROUP BY 1, 2)"
     )
 
 
@@ -182,6 +200,10 @@ QUERIES = {
         _logs(lambda l: R.error_events(l, END, 24 * 60 * 31)),
         Q.with_logs("SELECT timestamp AS event_time, body AS message, service, CAST(NULL AS VARCHAR) AS version FROM logs WHERE severity = 'ERROR' AND timestamp >= TIMESTAMP '2023-12-31'"),
     ),
+    "read_error_events_at": (
+        _logs(lambda l: R.error_events(l, "2024-01-10 00:00:00", 24 * 60)),
+        Q.with_logs("SELECT timestamp AS event_time, body AS message, service, CAST(NULL AS VARCHAR) AS version FROM logs WHERE severity = 'ERROR' AND timestamp BETWEEN TIMESTAMP '2024-01-09' AND TIMESTAMP '2024-01-10'"),
+    ),
     "log_signature_patterns": (
         _logs(lambda l: L.log_signature_patterns(l, _body())),
         Q.with_logs(f"SELECT {_mask_sql('body', L.SIGNATURE_MASKS)} AS pattern_signature, count(*) AS occurrence_count, min(body) AS sample_log, array_to_string(list_sort(list(DISTINCT severity)), ',') AS severities, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM logs GROUP BY 1 ORDER BY occurrence_count DESC, pattern_signature LIMIT 100"),

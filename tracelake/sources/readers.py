@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import severity_rank
+from ..functions.columns import severity_rank, time_window
 from ..schema import LOG_ENTRY_SCHEMA, SERIES_SCHEMA, SPAN_SCHEMA, TRACE_DOCUMENT_SCHEMA
 
 
@@ -78,10 +78,9 @@ def normalize_log_entries(entries: DataFrame, longest: int = 2000) -> DataFrame:
 
 
 def error_events(logs: DataFrame, as_of: str, minutes: float) -> DataFrame:
-    """Error logs of the last minutes with service and version."""
-    since = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(minutes * 60).cast("decimal(18,6)"))
+    """Logs of severity ERROR or above of the last minutes up to ``as_of``, with service and version."""
     at = F.col("resource.attributes")
-    df = logs.filter((F.col("severity_text") == "ERROR") & (F.col("timestamp") >= since))
+    df = time_window(logs, minutes / 60, as_of, "timestamp").filter(severity_rank(F.col("severity_text")) >= severity_rank(F.lit("ERROR")))
     return df.select(F.col("timestamp").alias("event_time"), F.col("body.string_value").alias("message"), at["service.name"].alias("service"), at["service.version"].alias("version"))
 
 
