@@ -214,12 +214,12 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, id_col
     """The model from at most ``limit`` labelled rows that are not held out."""
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("_label"))
     chosen = marked.orderBy(F.xxhash64(id_col), id_col).limit(limit)
-    sample = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col).orderBy(F.xxhash64(id_col), id_col, F.md5("_text")).limit(limit)
+    sample = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _featured(
         sample.select(id_col, F.col("_label").cast("int").alias("_label"), "_text"), [id_col, "_label"], f"`{id_col}` {kind}, _label int, x array<double>",
         lambda x: ([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))], ["x"]),
-    ).orderBy(F.xxhash64(id_col), id_col, "x").toPandas()
+    ).orderBy(F.xxhash64(id_col), id_col, "x").limit(limit).toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
     return fit(x, (rows["_label"].to_numpy() == 1).astype(np.float64))
 
