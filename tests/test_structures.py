@@ -1,12 +1,14 @@
 """Pointer doubling, covered chains, templates, substring indexes, range vectors and closures against plain Python."""
 
 import datetime as dt
+import math
 import random
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.functions import quantiles
 from tracelake.operators import graph, logs, metrics, tree
 from tracelake.schema import SPAN_SCHEMA
 from tracelake.sources import readers
@@ -246,3 +248,33 @@ def test_closure_of_a_dense_graph(spark):
             seen |= level
             want.update({(origin, y, k): 1 for y in level})
     assert Counter(map(tuple, graph.closure(pairs, start, 3).collect())) == want
+
+
+# percentiles
+
+
+def test_percentiles_of_large_groups_are_exact(spark):
+    r = random.Random(11)
+    rows = [("big", r.choice([r.gauss(0, 1), round(r.gauss(0, 1), 1)])) for _ in range(70_000)] + [("ties", float(k % 3)) for k in range(30_000)]
+    rows += [("small", float(k)) for k in range(17)] + [("one", 4.0), (None, 1.0), (None, 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    shares = (0.0, 0.01, 0.5, 0.9, 0.95, 0.999, 1.0)
+    got = quantiles.percentiles(df, ["k"], "v", {f"f{p}": p for p in shares}, {f"c{p}": p for p in shares}, {f"d{p}": p for p in shares}).collect()
+    assert {x["k"] for x in got} == {"big", "ties", "small", "one", None}
+    for x in got:
+        v = sorted(b for a, b in rows if a == x["k"] and b is not None)
+        n = len(v)
+        for p in shares:
+            at = p * (n - 1)
+            assert x[f"f{p}"] == v[min(int(n * p), n - 1)] and x[f"d{p}"] == v[max(math.ceil(n * p), 1) - 1]
+            assert x[f"c{p}"] == pytest.approx(v[math.floor(at)] + (v[math.ceil(at)] - v[math.floor(at)]) * (at - math.floor(at)))
+    whole = quantiles.percentiles(df, [], "v", discrete={"p": 0.5}).first()["p"]
+    assert whole == sorted(b for _, b in rows if b is not None)[math.ceil((len(rows) - 1) / 2) - 1]
+
+
+def test_sketches_and_exact_percentiles_agree_within_the_bound(spark):
+    df = spark.range(50_000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 50_000).cast("double").alias("v"))
+    picks = {"p50": ("v", 0.5), "p95": ("v", 0.95)}
+    a, b = ({x["k"]: x for x in quantiles.summarise(df, ["k"], [F.count("*").alias("n")], picks, exact=e).collect()} for e in (False, True))
+    for k in a:
+        assert a[k]["n"] == b[k]["n"] and all(abs(a[k][p] - b[k][p]) <= 50_000 * 2 / quantiles.ACCURACY for p in picks)

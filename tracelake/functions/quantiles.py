@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import beside
 from .lineage import cut
 
 
-def quantile(col: Column, p: float, exact: bool = False, accuracy: int = 10_000) -> Column:
-    """Discrete percentile. The approximate one keeps a bounded sketch a group; exact raises the sketch's accuracy to one
-    part in two thousand million, which answers with the true order statistic but may keep every value of a group."""
-    return F.percentile_approx(col, p, 2_000_000_000 if exact else accuracy)
+#: Ranks, as a share of a group's rows, by which a sketch of this accuracy may be off, and rows up to which a group's values
+#: are all counted.
+ACCURACY, SMALL = 10_000, 20_000
+
+
+def quantile(col: Column, p: float, accuracy: int = ACCURACY) -> Column:
+    """Discrete percentile from a sketch of bounded size: off by one row in ``accuracy`` at most."""
+    return F.percentile_approx(col, p, accuracy)
 
 
 def running_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -34,20 +39,52 @@ def running_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return own.join(starts, on).select(*[own[k] for k in keys], own[value], "_n", (F.col("_before") + F.col("_inside")).alias("_upto"), "_all")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, floors: dict[str, float] | None = None, continuous: dict[str, float] | None = None) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], value: str, floors: dict[str, float] | None = None, continuous: dict[str, float] | None = None, discrete: dict[str, float] | None = None) -> DataFrame:
     """Exact percentiles of each group. floors: the (floor(n * p) + 1)-th smallest value, the way sorted[int(n * p)] picks it;
-    continuous: interpolated between the two values next to p * (n - 1)."""
-    ranked = running_counts(df.select(*keys, value), keys, value)
-    pick = lambda index: F.min(F.when(F.col("_upto") > index, F.col(value)))
-    picks, out = [], []
-    for name, p in (floors or {}).items():
-        picks.append(pick(F.least(F.floor(F.col("_all") * F.lit(p)), F.col("_all") - 1)).alias(name))
-        out.append(F.col(name))
-    for name, p in (continuous or {}).items():
-        at = (F.col("_all") - 1) * F.lit(p)
-        picks += [pick(F.floor(at)).alias(f"_low_{name}"), pick(F.ceil(at)).alias(f"_high_{name}"), F.max(at - F.floor(at)).alias(f"_part_{name}")]
-        out.append((F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * F.col(f"_part_{name}")).alias(name))
-    return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
+    continuous: interpolated between the two values next to p * (n - 1); discrete: the least value that a share p is not above.
+
+    A sketch brackets each pick first. Then values below a bracket are only counted, those above it dropped, and those inside
+    counted by value, so what is shuffled and put in order is a small part of a large group: about a thousandth of
+    its rows for each pick. Small groups are counted by value as a whole.
+    """
+    points = [(n, p) for kind in (floors, continuous, discrete) for n, p in (kind or {}).items()]
+    margin = 4 / ACCURACY
+    edges = [min(1.0, max(0.0, p + d)) for _, p in points for d in (-margin, margin)]
+    rows = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(value).alias("_v")).filter("_v is not null")
+    ids = [f"_k{i}" for i in range(len(keys))]
+    marks = rows.groupBy(*ids).agg(F.count("*").alias("_all"), F.percentile_approx("_v", edges, ACCURACY).alias("_e"))
+    marks = marks.select(*[F.col(c).alias(f"_m{c}") for c in ids], "_all", F.when(F.col("_all") > SMALL, F.col("_e")).alias("_e"))
+    on = F.lit(True)
+    for c in ids:
+        on = on & F.col(c).eqNullSafe(F.col(f"_m{c}"))
+    joined = rows.join(marks, on) if ids else rows.crossJoin(F.broadcast(marks))
+    inside = lambda k: F.when(F.col("_e").isNull() | F.col("_v").between(F.col("_e")[2 * k], F.col("_e")[2 * k + 1]), F.struct(F.lit(k).alias("k"), F.col("_v").alias("v"))).when(F.col("_v") < F.col("_e")[2 * k], F.struct(F.lit(k).alias("k"), F.lit(None).cast(df.schema[value].dataType).alias("v")))
+    counted = joined.select(*ids, "_all", F.explode(F.array_compact(F.array(*[inside(k) for k in range(len(points))]))).alias("p")).groupBy(*ids, "_all", "p.k", "p.v").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*ids, "k").orderBy(F.asc_nulls_first("v"))
+    upto = counted.withColumn("_upto", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pick = lambda k, index: F.min(F.when((F.col("k") == k) & (F.col("_upto") > index), F.col("v")))
+    picks, out, n = [], [], F.col("_all")
+    for k, (name, p) in enumerate(points):
+        if name in (continuous or {}):
+            at = (n - 1) * F.lit(p)
+            picks += [pick(k, F.floor(at)).alias(f"_low{k}"), pick(k, F.ceil(at)).alias(f"_high{k}"), F.max(at - F.floor(at)).alias(f"_part{k}")]
+            out.append((F.col(f"_low{k}") + (F.col(f"_high{k}") - F.col(f"_low{k}")) * F.col(f"_part{k}")).alias(name))
+        else:
+            index = F.least(F.floor(n * F.lit(p)), n - 1) if name in (floors or {}) else F.greatest(F.ceil(n * F.lit(p)) - 1, F.lit(0))
+            picks.append(pick(k, index).alias(f"_pick{k}"))
+            out.append(F.col(f"_pick{k}").alias(name))
+    return upto.groupBy(*ids).agg(*picks).select(*[F.col(c).alias(k) for c, k in zip(ids, keys)], *out)
+
+
+def summarise(df: DataFrame, keys: list[str], facts: list[Column], picks: dict[str, tuple[str, float]], exact: bool = False, digits: int = 2) -> DataFrame:
+    """Groups with facts and discrete percentiles. picks: name -> (column, share). One aggregation with sketches, or exact
+    percentiles put beside the facts; either way no group's values are gathered."""
+    if not exact:
+        return df.groupBy(*keys).agg(*facts, *[F.round(quantile(F.col(c), p), digits).alias(n) for n, (c, p) in picks.items()])
+    columns = list(dict.fromkeys(c for c, _ in picks.values()))
+    found = [percentiles(df, keys, c, discrete={n: p for n, (d, p) in picks.items() if d == c}) for c in columns]
+    rounded = [t.select(*keys, *[F.round(n, digits).alias(n) for n in t.columns if n not in keys]) for t in found]
+    return beside(df.groupBy(*keys).agg(*facts), keys, *rounded)
 
 
 def floor_index(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.quantiles import quantile
+from ..functions.quantiles import summarise
 
 #: Log severities that count as trouble.
 TROUBLE = ["ERROR", "ERROR2", "ERROR3", "ERROR4", "FATAL", "WARN", "WARNING", "CRITICAL"]
@@ -81,7 +81,8 @@ def metric_kinds_during_trace(spans: DataFrame, points: DataFrame, point_service
     old = F.lag("value").over(Window.partitionBy("service_name", "metric_type", *series).orderBy("ts"))
     slim = slim.withColumn("grown", F.when(old.isNull(), 0.0).when(F.col("value") < old, F.col("value")).otherwise(F.col("value") - old))
     j = range_join(slim, "ts", ranges, "from", "to", ["service_name"], max(1, int(2 * buffer_seconds)))
-    g = j.groupBy("trace_id", "service_name", "metric_type", "kind").agg(F.count("*").alias("points"), quantile(F.col("value"), 0.95, exact).alias("p95"), F.avg("value").alias("mean"), F.sum("grown").alias("grown"), F.max(_seconds(F.col("to")) - _seconds(F.col("from"))).alias("seconds"))
+    facts = [F.count("*").alias("points"), F.avg("value").alias("mean"), F.sum("grown").alias("grown"), F.max(_seconds(F.col("to")) - _seconds(F.col("from"))).alias("seconds")]
+    g = summarise(j, ["trace_id", "service_name", "metric_type", "kind"], facts, {"p95": ("value", 0.95)}, exact, digits=6)
     value = F.when(F.col("kind") == "histogram", F.col("p95")).when(F.col("kind") == "counter", F.col("grown") / F.col("seconds")).otherwise(F.col("mean"))
     return g.select("trace_id", "service_name", "metric_type", "kind", "points", F.round(value, 6).alias("value"))
 

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.groups import beside, distinct_count, samples
-from ..functions.quantiles import percentiles, quantile, running_counts
+from ..functions.lineage import cut
+from ..functions.quantiles import percentiles, quantile, running_counts, summarise
 
 #: Upper bounds of the latency histogram, in milliseconds.
 LATENCY_BOUNDS = [10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
 
 
-def _latency(exact: bool) -> list[Column]:
-    return [F.round(quantile(C.ms(), p, exact), 2).alias(n) for p, n in ((0.5, "p50_ms"), (0.95, "p95_ms"), (0.99, "p99_ms"))]
+#: Percentiles of the column ms that most aggregates give.
+LATENCY = {"p50_ms": ("ms", 0.5), "p95_ms": ("ms", 0.95), "p99_ms": ("ms", 0.99)}
 
 
 def _counts() -> list[Column]:
@@ -25,14 +26,16 @@ def aggregate_metrics(spans: DataFrame, as_of: str, hours: float = 24, group_by:
     """Requests, errors and latency of root spans by service_name, operation_name or status_code; worst first."""
     keys = {"service_name": C.service(), "operation_name": F.col("name"), "status_code": C.status_code()}
     df = C.min_duration_filter(C.operation_filter(C.service_filter(C.root_spans(C.time_window(spans, hours, as_of)), service), operation), min_duration_ms)
-    out = df.groupBy(keys[group_by].alias(group_by)).agg(*_counts(), *_latency(exact), F.round(F.avg(C.ms()), 2).alias("avg_ms"), F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen"))
+    df = df.select(keys[group_by].alias(group_by), "start_time", "status", C.ms().alias("ms"))
+    out = summarise(df, [group_by], [*_counts(), F.round(F.avg("ms"), 2).alias("avg_ms"), F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen")], LATENCY, exact)
     return out.orderBy(F.desc("error_rate_pct"), F.desc("p99_ms"), group_by).limit(limit)
 
 
 def service_stats_all_spans(spans: DataFrame, start: str, end: str, exact: bool = False) -> DataFrame:
     """All spans with a service that start in [start, end], by service; busiest first."""
     df = spans.filter(F.col("start_time").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")) & C.service().isNotNull())
-    out = df.groupBy(C.service().alias("service_name")).agg(F.count("*").alias("span_count"), F.round(F.avg(C.ms()), 2).alias("avg_ms"), *_latency(exact), F.count_if(C.is_error()).alias("error_count"))
+    df = df.select(C.service().alias("service_name"), C.ms().alias("ms"), C.is_error().alias("bad"))
+    out = summarise(df, ["service_name"], [F.count("*").alias("span_count"), F.round(F.avg("ms"), 2).alias("avg_ms"), F.count_if("bad").alias("error_count")], LATENCY, exact)
     return out.orderBy(F.desc("span_count"), "service_name")
 
 
@@ -62,7 +65,7 @@ def exemplars(spans: DataFrame, as_of: str, strategy: str = "outliers", hours: f
     if strategy == "errors":
         return df.filter("is_error").orderBy(F.desc("start_time"), "trace_id").limit(limit).select("trace_id", "service_name", "name", "duration_ms", F.lit("error_trace").alias("selection_reason"))
     p = 0.95 if strategy == "outliers" else 0.5
-    mark = df.agg(quantile(F.col("duration_ms"), p, exact).alias("mark"))
+    mark = percentiles(df, [], "duration_ms", discrete={"mark": p}) if exact else df.agg(quantile(F.col("duration_ms"), p).alias("mark"))
     df = df.crossJoin(F.broadcast(mark))
     if strategy == "outliers":
         above = F.round((F.col("duration_ms") - F.col("mark")) / F.col("mark") * 100, 2).alias("pct_above_p95")
@@ -75,7 +78,8 @@ def compare_time_periods(spans: DataFrame, as_of: str, baseline: tuple[float, fl
     """Root spans of two windows (hours before as_of, from and until) by service and period, with the change from
     baseline to anomaly on the anomaly row."""
     parts = [C.time_window(C.root_spans(spans), p[0], as_of, until_hours=p[1]).withColumn("period", F.lit(n)).withColumn("step", F.lit(k)) for k, (n, p) in enumerate((("baseline", baseline), ("anomaly", anomaly)))]
-    out = parts[0].unionByName(parts[1]).groupBy(C.service().alias("service_name"), "period", "step").agg(*_counts(), F.round(quantile(C.ms(), 0.95, exact), 2).alias("p95_ms"))
+    both = parts[0].unionByName(parts[1]).select(C.service().alias("service_name"), "period", "step", "status", C.ms().alias("ms"))
+    out = summarise(both, ["service_name", "period", "step"], _counts(), {"p95_ms": ("ms", 0.95)}, exact)
     w = Window.partitionBy("service_name").orderBy("step")
     old, rate = F.lag("p95_ms").over(w), F.lag("error_rate_pct").over(w)
     return out.select(
@@ -88,12 +92,15 @@ def trend_changes(spans: DataFrame, as_of: str, hours: float, metric: str = "p95
     """Buckets of root spans with at least min_samples, their three-bucket moving average and the change since the last one.
 
     One bucket is one row, so the ordered window holds hours divided by bucket_hours rows, not spans."""
-    values = {"p95": quantile(C.ms(), 0.95, exact), "p99": quantile(C.ms(), 0.99, exact), "error_rate": F.count_if(C.is_error()) / F.count("*") * 100, "throughput": F.count("*").cast("double")}
+    tails = {"p95": {"value": ("ms", 0.95)}, "p99": {"value": ("ms", 0.99)}}
+    rates = {"error_rate": F.count_if("bad") / F.count("*") * 100, "throughput": F.count("*").cast("double")}
     keys = ["service_name"] if by_service else []
     df = C.time_window(C.root_spans(spans), hours, as_of).withColumn("service_name", C.service())
     size = bucket_hours * 3_600_000_000
     bucket = F.expr(f"cast(timestamp_micros(unix_micros(cast(start_time as timestamp)) div {size} * {size}) as timestamp_ntz)")
-    out = df.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("sample_count"), F.round(values[metric], 2).alias("value")).filter(F.col("sample_count") >= min_samples)
+    df = df.select(*keys, bucket.alias("bucket"), C.ms().alias("ms"), C.is_error().alias("bad"))
+    facts = [F.count("*").alias("sample_count"), *([F.round(rates[metric], 2).alias("value")] if metric in rates else [])]
+    out = summarise(df, [*keys, "bucket"], facts, tails.get(metric, {}), exact).filter(F.col("sample_count") >= min_samples)
     w = Window.partitionBy(*keys).orderBy("bucket")
     old = F.lag("value").over(w)
     change = F.try_divide(F.col("value") - old, old) * 100
@@ -109,7 +116,7 @@ def span_events(spans: DataFrame, event_name: str | None = None, service: str |
     df = C.service_filter(spans, service).select("trace_id", "span_id", C.service().alias("service_name"), "name", F.explode("events").alias("e"))
     df = df if event_name is None else df.filter(F.col("e.name") == event_name)
     labels = [F.col("e.attributes")[f"exception.{k}"].alias(f"exception_{k}") for k in ("type", "message", "stacktrace")]
-    return df.select("trace_id", "span_id", "service_name", F.col("name").alias("span_name"), F.col("e.name").alias("event_name"), F.col("e.time").alias("event_time"), *labels).orderBy(F.desc("event_time"), "span_id").limit(limit)
+    return df.select("trace_id", "span_id", "service_name", F.col("name").alias("span_name"), F.col("e.name").alias("event_name"), F.col("e.time").alias("event_time"), *labels).orderBy(F.desc("event_time"), "span_id", "event_name", *[f"exception_{k}" for k in ("type", "message", "stacktrace")]).limit(limit)
 
 
 def exception_patterns(spans: DataFrame, group_by: str = "exception_type", limit: int = 50) -> DataFrame:
@@ -126,7 +133,7 @@ def span_links(spans: DataFrame, limit: int = 100) -> DataFrame:
     df = spans.select("trace_id", "span_id", C.service().alias("service_name"), "name", F.explode("links").alias("l"))
     label = lambda k: F.coalesce(F.col("l.attributes")[k], F.col("l.attributes")[f"link.{k}"])
     out = df.select("trace_id", "span_id", "service_name", F.col("name").alias("span_name"), F.col("l.trace_id").alias("linked_trace_id"), F.col("l.span_id").alias("linked_span_id"), label("type").alias("link_type"), label("reason").alias("link_reason"), F.to_json("l.attributes").alias("link_attributes"))
-    return out.orderBy("trace_id", "span_id").limit(limit)
+    return out.orderBy("trace_id", "span_id", "linked_trace_id", "linked_span_id", "link_attributes").limit(limit)
 
 
 def link_patterns(spans: DataFrame) -> DataFrame:
@@ -148,9 +155,9 @@ def instrumentation_libraries(spans: DataFrame) -> DataFrame:
 def http_attributes(spans: DataFrame, min_count: int = 10, exact: bool = False) -> DataFrame:
     """Server spans by method, target and status."""
     size = lambda k: F.round(F.avg(C.attr(k).try_cast("double")), 2)
-    out = C.kind_filter(spans, C.SERVER).groupBy(C.attr("http.method").alias("http_method"), C.attr("http.target").alias("http_target"), C.attr("http.status_code").alias("http_status")).agg(
-        F.count("*").alias("request_count"), *_latency(exact), size("http.request_content_length").alias("avg_request_size"), size("http.response_content_length").alias("avg_response_size")
-    )
+    keys = {"http_method": "http.method", "http_target": "http.target", "http_status": "http.status_code"}
+    df = C.kind_filter(spans, C.SERVER).select(*[C.attr(a).alias(k) for k, a in keys.items()], "attributes", C.ms().alias("ms"))
+    out = summarise(df, list(keys), [F.count("*").alias("request_count"), size("http.request_content_length").alias("avg_request_size"), size("http.response_content_length").alias("avg_response_size")], LATENCY, exact)
     return out.filter(F.col("request_count") >= min_count).orderBy(F.desc("request_count"), "http_method", "http_target", "http_status")
 
 
@@ -160,7 +167,7 @@ def database_operations(spans: DataFrame, db_system: str | None = None, exact: b
     df = df if db_system is None else df.filter(C.attr("db.system") == db_system)
     df = df.select(C.attr("db.system").alias("db_system"), C.attr("db.name").alias("db_name"), C.attr("db.operation").alias("db_operation"), C.attr("db.statement").alias("statement"), C.ms().alias("ms"))
     keys = ["db_system", "db_name", "db_operation"]
-    out = df.groupBy(*keys).agg(F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_ms"), F.min("statement").alias("any_statement"))
+    out = summarise(df, keys, [F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_ms"), F.min("statement").alias("any_statement")], {"p95_ms": ("ms", 0.95)}, exact)
     out = beside(out, keys, samples(df, keys, "statement", "sample_statements", 3), otherwise={"sample_statements": ""})
     return out.orderBy(F.desc("call_count"), "db_system", "db_name", "db_operation")
 
@@ -173,19 +180,16 @@ def service_level_stats(spans: DataFrame) -> DataFrame:
 
 def bottleneck_services(spans: DataFrame, min_traces: int = 10, limit: int = 20, exact: bool = False) -> DataFrame:
     """Which operations take the largest share of their traces, over traces with at least two spans."""
+    keys = ["service_name", "operation_name"]
     df = spans.select("trace_id", "span_id", "parent_span_id", C.service().alias("service_name"), F.col("name").alias("operation_name"), C.ms().alias("ms"), C.is_error().alias("is_error"))
     totals = df.groupBy("trace_id").agg(F.sum(F.when(F.col("parent_span_id").isNull(), F.col("ms"))).alias("trace_ms"), F.count("*").alias("n")).filter("n >= 2")
     parents = df.filter("parent_span_id is not null").select("trace_id", F.col("parent_span_id").alias("span_id"), F.lit(1).alias("has_child")).distinct()
-    flagged = df.join(totals.select("trace_id", "trace_ms"), "trace_id").join(parents, ["trace_id", "span_id"], "left").withColumn("share", F.try_divide(F.col("ms"), F.col("trace_ms")) * 100)
-    keys = ["service_name", "operation_name"]
+    flagged = df.join(totals.select("trace_id", "trace_ms"), "trace_id").join(parents, ["trace_id", "span_id"], "left")
+    flagged = cut(flagged.select(*keys, "trace_id", "ms", "is_error", "has_child", F.try_divide(F.col("ms"), F.col("trace_ms")).alias("share")).withColumn("share", F.col("share") * 100))
+    facts = [F.round(F.avg("share"), 2).alias("avg_contribution_pct"), F.round(F.avg("ms"), 2).alias("avg_ms"), F.count_if(F.col("has_child").isNull()).alias("leaf_count"), F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct")]
+    out = summarise(flagged, keys, facts, {"p95_contribution_pct": ("share", 0.95), "p95_ms": ("ms", 0.95)}, exact)
     # traces are counted apart: next to a distinct count every percentile would keep a sketch for each trace
-    in_traces = distinct_count(df.join(totals.select("trace_id"), "trace_id", "left_semi"), keys, "trace_id", "trace_count")
-    out = flagged.groupBy(*keys).agg(
-        F.round(F.avg("share"), 2).alias("avg_contribution_pct"), F.round(quantile(F.col("share"), 0.95, exact), 2).alias("p95_contribution_pct"),
-        F.round(F.avg("ms"), 2).alias("avg_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_ms"), F.count_if(F.col("has_child").isNull()).alias("leaf_count"),
-        F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct"),
-    )
-    out = beside(out, keys, in_traces)
+    out = beside(out, keys, distinct_count(flagged, keys, "trace_id", "trace_count"))
     score = 0.4 * F.col("avg_contribution_pct") + 0.3 * F.col("p95_contribution_pct") / 100 + 0.3 * F.col("trace_count") / min_traces
     return out.filter(F.col("trace_count") >= min_traces).withColumn("bottleneck_score", F.round(score, 2)).orderBy(F.desc("bottleneck_score"), "service_name", "operation_name").limit(limit)
 
@@ -195,18 +199,19 @@ def critical_path_contribution(spans: DataFrame, service: str, operation: str |
     mine = C.operation_filter(C.service_filter(spans, service), operation).select("trace_id", C.service().alias("service_name"), F.col("name").alias("operation_name"), C.ms().alias("ms"), C.is_error().alias("is_error"))
     totals = C.root_spans(spans).groupBy("trace_id").agg(F.max(C.ms()).alias("trace_ms"))
     df = mine.join(totals, "trace_id").withColumn("share", F.try_divide(F.col("ms"), F.col("trace_ms")) * 100)
-    out = df.groupBy("service_name", "operation_name").agg(
-        F.count("*").alias("span_count"), F.round(F.avg("ms"), 2).alias("avg_ms"), *[F.round(quantile(F.col("ms"), p, exact), 2).alias(f"p{int(p * 100)}_ms") for p in (0.5, 0.95, 0.99)],
-        F.round(F.avg("share"), 2).alias("avg_contribution_pct"), *[F.round(quantile(F.col("share"), p, exact), 2).alias(f"p{int(p * 100)}_contribution_pct") for p in (0.5, 0.95)],
-        F.round(F.avg("trace_ms"), 2).alias("avg_trace_ms"), F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct"),
-    )
+    facts = [
+        F.count("*").alias("span_count"), F.round(F.avg("ms"), 2).alias("avg_ms"), F.round(F.avg("share"), 2).alias("avg_contribution_pct"), F.round(F.avg("trace_ms"), 2).alias("avg_trace_ms"),
+        F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct"),
+    ]
+    out = summarise(df, ["service_name", "operation_name"], facts, LATENCY | {"p50_contribution_pct": ("share", 0.5), "p95_contribution_pct": ("share", 0.95)}, exact)
     return out.withColumn("weighted_impact", F.round(F.col("avg_ms") * F.col("avg_contribution_pct") / 100, 2)).orderBy(F.desc("weighted_impact"), "operation_name")
 
 
 def latency_histogram(spans: DataFrame, exact: bool = False) -> DataFrame:
     """Cumulative counts of spans at or under each latency bound, by service."""
-    bounds = [F.count_if(C.ms() <= b).alias(f"le_{b}") for b in LATENCY_BOUNDS]
-    return spans.groupBy(C.service().alias("service_name")).agg(*bounds, F.count("*").alias("le_inf"), *_latency(exact)).orderBy("service_name")
+    bounds = [F.count_if(F.col("ms") <= b).alias(f"le_{b}") for b in LATENCY_BOUNDS]
+    df = spans.select(C.service().alias("service_name"), C.ms().alias("ms"))
+    return summarise(df, ["service_name"], [*bounds, F.count("*").alias("le_inf")], LATENCY, exact).orderBy("service_name")
 
 
 def latency_exemplars_by_percentile(spans: DataFrame, threshold: float = 95, limit: int = 20, exact: bool = False) -> DataFrame:
@@ -216,7 +221,7 @@ def latency_exemplars_by_percentile(spans: DataFrame, threshold: float = 95, lim
     df = C.kind_filter(C.root_spans(spans), C.SERVER).select("trace_id", C.service().alias("service_name"), C.ms().alias("ms"))
     counts = running_counts(df, ["service_name"], "ms")
     ranked = counts.select("service_name", "ms", F.coalesce(F.try_divide(F.col("_upto") - F.col("_n"), F.col("_all") - 1), F.lit(0.0)).alias("rank")).filter(F.col("rank") * 100 >= threshold)
-    marks = df.groupBy("service_name").agg(F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("service_p95_ms"), F.round(quantile(F.col("ms"), 0.99, exact), 2).alias("service_p99_ms"))
+    marks = summarise(df, ["service_name"], [F.count("*").alias("_rows")], {"service_p95_ms": ("ms", 0.95), "service_p99_ms": ("ms", 0.99)}, exact).drop("_rows")
     label = F.lit("+Inf")
     for b in reversed(LATENCY_BOUNDS):
         label = F.when(F.col("ms") <= b, f"<={b}ms").otherwise(label)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.groups import beside, distinct_count, samples
 from ..functions.lineage import cut
-from ..functions.quantiles import quantile
+from ..functions.quantiles import summarise
+
+
+def _call_facts() -> list[Column]:
+    return [F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_latency_ms"), F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct")]
 
 
 def dependency_edges(spans: DataFrame, min_calls: int = 1, include_external: bool = True, exact: bool = False) -> DataFrame:
@@ -18,10 +22,7 @@ def dependency_edges(spans: DataFrame, min_calls: int = 1, include_external: boo
     if not include_external:
         calls = calls.filter(~F.col("call_type").isin("DATABASE", "HTTP"))
     keys = ["source_service", "target_service", "call_type"]
-    edges = calls.groupBy(*keys).agg(
-        F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_latency_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_latency_ms"),
-        F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct"),
-    ).filter(F.col("call_count") >= min_calls)
+    edges = summarise(calls, keys, _call_facts(), {"p95_latency_ms": ("ms", 0.95)}, exact).filter(F.col("call_count") >= min_calls)
     edges = beside(edges, keys, distinct_count(calls, keys, "trace_id", "trace_count"), samples(calls, keys, "name", "sample_operations"), otherwise={"trace_count": 0, "sample_operations": ""})
     weight = F.round(F.col("call_count") / F.sum("call_count").over(Window.partitionBy("source_service")) * 100, 2)
     rate, share = F.col("error_rate_pct"), F.col("dependency_weight_pct")
@@ -99,10 +100,7 @@ def hidden_dependencies(spans: DataFrame, min_calls: int = 1, exact: bool = Fals
     )
     kind = F.col("dependency_type")
     keys = ["source_service", "target_identifier", "dependency_type", "db_system", "db_name", "http_host", "queue_name"]
-    out = df.groupBy(*keys).agg(
-        F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_latency_ms"), F.round(quantile(F.col("ms"), 0.95, exact), 2).alias("p95_latency_ms"),
-        F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct"),
-    ).filter(F.col("call_count") >= min_calls)
+    out = summarise(df, keys, _call_facts(), {"p95_latency_ms": ("ms", 0.95)}, exact).filter(F.col("call_count") >= min_calls)
     names = df.groupBy(*keys, "name").agg(F.count("*").alias("n"))
     out = beside(out, keys, distinct_count(names, keys, "name", "unique_operations"), samples(names, keys, "name", "sample_operations"), otherwise={"unique_operations": 0, "sample_operations": ""})
     details = F.when(kind == "DATABASE", F.concat("db_system", F.lit("/"), F.coalesce("db_name", F.lit("unknown")))).when(kind.like("%EXTERNAL"), F.col("http_host")).when(kind == "MESSAGE_QUEUE", F.col("queue_name")).otherwise(F.col("target_identifier"))
