@@ -255,12 +255,13 @@ def test_closure_of_a_dense_graph(spark):
 
 def test_percentiles_of_large_groups_are_exact(spark):
     r = random.Random(11)
-    rows = [("big", r.choice([r.gauss(0, 1), round(r.gauss(0, 1), 1)])) for _ in range(70_000)] + [("ties", float(k % 3)) for k in range(30_000)]
+    rows = [("big", r.choice([r.gauss(0, 1), round(r.gauss(0, 1), 1)])) for _ in range(120_000)] + [("ties", float(k % 3)) for k in range(120_001)] + [("middle", r.random()) for _ in range(9_999)]
     rows += [("small", float(k)) for k in range(17)] + [("one", 4.0), (None, 1.0), (None, 2.0), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(6)
-    shares = (0.0, 0.01, 0.5, 0.9, 0.95, 0.999, 1.0)
+    shares = (0.0, 0.01, 0.5, 0.9, 0.95, 0.99, 0.999, 1.0)
+    median = {x["k"]: (x["f"], x["c"]) for x in quantiles.percentiles(df.filter("k <> 'big' and k <> 'ties'"), ["k"], "v", {"f": 0.95}, {"c": 0.5}).collect()}
     got = quantiles.percentiles(df, ["k"], "v", {f"f{p}": p for p in shares}, {f"c{p}": p for p in shares}, {f"d{p}": p for p in shares}).collect()
-    assert {x["k"] for x in got} == {"big", "ties", "small", "one", None}
+    assert {x["k"] for x in got} == {"big", "ties", "middle", "small", "one", None}
     for x in got:
         v = sorted(b for a, b in rows if a == x["k"] and b is not None)
         n = len(v)
@@ -268,6 +269,7 @@ def test_percentiles_of_large_groups_are_exact(spark):
             at = p * (n - 1)
             assert x[f"f{p}"] == v[min(int(n * p), n - 1)] and x[f"d{p}"] == v[max(math.ceil(n * p), 1) - 1]
             assert x[f"c{p}"] == pytest.approx(v[math.floor(at)] + (v[math.ceil(at)] - v[math.floor(at)]) * (at - math.floor(at)))
+    assert all(median[x["k"]] == (x["f0.95"], pytest.approx(x["c0.5"])) for x in got if x["k"] in ("middle", "small", "one"))
     whole = quantiles.percentiles(df, [], "v", discrete={"p": 0.5}).first()["p"]
     assert whole == sorted(b for _, b in rows if b is not None)[math.ceil((len(rows) - 1) / 2) - 1]
 

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import beside
+from .groups import small
 from .lineage import cut
 
 
-#: Ranks, as a share of a group's rows, by which a sketch of this accuracy may be off, and rows up to which a group's values
-#: are all counted.
-ACCURACY, SMALL = 10_000, 20_000
+#: Of a sketched percentile: one row in so many is the most its rank is off.
+ACCURACY = 10_000
+#: The same of the sketches that exact percentiles start from. Up to SMALL rows that is less than a row, so these are exact.
+FINE, SMALL = 200_000, 100_000
+#: Share of a group's rows by which a bracket goes beyond a pick on either side: more than a sketch and rounding are off.
+MARGIN = 5 / FINE
+#: So little beyond a share of three digits a small group's next place begins, where the share meets a place exactly.
+NEXT = 1 / (2_000 * SMALL)
 
 
 def quantile(col: Column, p: float, accuracy: int = ACCURACY) -> Column:
@@ -39,52 +48,99 @@ def running_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return own.join(starts, on).select(*[own[k] for k in keys], own[value], "_n", (F.col("_before") + F.col("_inside")).alias("_upto"), "_all")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, floors: dict[str, float] | None = None, continuous: dict[str, float] | None = None, discrete: dict[str, float] | None = None) -> DataFrame:
-    """Exact percentiles of each group. floors: the (floor(n * p) + 1)-th smallest value, the way sorted[int(n * p)] picks it;
-    continuous: interpolated between the two values next to p * (n - 1); discrete: the least value that a share p is not above.
+@dataclass(frozen=True)
+class _Pick:
+    """A percentile by name: of a column, of a kind (floor, continuous or discrete), at a share."""
+
+    name: str
+    column: str
+    kind: str
+    share: float
+
+    def asked(self) -> list[float]:
+        """Shares to ask a sketch for: the edges of the bracket, and in between what tells the pick of a small group."""
+        p = self.share
+        low, high = {"discrete": (p, p), "floor": (p + NEXT, p + NEXT), "continuous": (p, p + NEXT)}[self.kind]
+        return [min(1.0, max(0.0, x)) for x in (p - MARGIN, low, high, p + MARGIN)]
+
+    def told(self) -> bool:
+        """Whether an exact sketch tells the pick: places of other shares depend on the size of the group."""
+        return self.share == 0.5 if self.kind == "continuous" else self.kind == "discrete" or round(self.share, 3) == self.share
+
+    def indexes(self, n: Column) -> list[Column]:
+        """Places (from 0) of the values that the pick is made of, in a group of n."""
+        at = (n - 1) * F.lit(self.share)
+        if self.kind == "continuous":
+            return [F.floor(at), F.ceil(at)]
+        return [F.least(F.floor(n * F.lit(self.share)), n - 1) if self.kind == "floor" else F.greatest(F.ceil(n * F.lit(self.share)) - 1, F.lit(0))]
+
+
+def _exact(df: DataFrame, keys: list[str], facts: list[Column], picks: list[_Pick]) -> DataFrame:
+    """Groups with facts and exact percentiles.
 
-    A sketch brackets each pick first. Then values below a bracket are only counted, those above it dropped, and those inside
-    counted by value, so what is shuffled and put in order is a small part of a large group: about a thousandth of
-    its rows for each pick. Small groups are counted by value as a whole.
+    The pass that takes the facts also sketches each column. A sketch tells most picks of a small group exactly; else it
+    brackets the pick, and in a second pass values below the bracket are only counted, those above it dropped, and those
+    inside counted by value: about a ten-thousandth of a large group's rows for each pick is put in order. Of small groups
+    whose picks lie between places that depend on their size all values are counted. Where all is told by the sketches there is no second pass.
     """
-    points = [(n, p) for kind in (floors, continuous, discrete) for n, p in (kind or {}).items()]
-    margin = 4 / ACCURACY
-    edges = [min(1.0, max(0.0, p + d)) for _, p in points for d in (-margin, margin)]
-    rows = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col(value).alias("_v")).filter("_v is not null")
+    columns = list(dict.fromkeys(p.column for p in picks))
+    wanted = {c: [e for p in picks if p.column == c for e in p.asked()] for c in columns}
+    at = {p: 4 * [q for q in picks if q.column == p.column].index(p) for p in picks}
+    seen = [F.struct(F.count(c).alias("n"), F.percentile_approx(c, wanted[c], FINE).alias("e")).alias(f"_of{columns.index(c)}") for c in columns]
+    whole = cut(df.groupBy(*keys).agg(*facts, *seen))
+    of = lambda p, part: F.col(f"_of{columns.index(p.column)}.{part}")
+    is_open = lambda p: (of(p, "n") > SMALL) | F.lit(not p.told())
+    marks = whole.filter(reduce(or_, [is_open(p) & (of(p, "n") > 0) for p in picks])).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[f"_of{i}" for i in range(len(columns))])
+    kind_of = {p: df.schema[p.column].dataType for p in picks}
+    names = [c for c in whole.columns if not c.startswith("_of")]
+    told = {p: (of(p, "e")[at[p] + 1] + of(p, "e")[at[p] + 2]) / 2 if p.kind == "continuous" else of(p, "e")[at[p] + 1].cast(kind_of[p]) for p in picks}
+    if marks.isEmpty():
+        return whole.select(*names, *[told[p].alias(p.name) for p in picks])
+    on = [df[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    joined = df.select(*keys, *[c for c in columns if c not in keys]).join(small(marks), reduce(and_, on)) if keys else df.select(*columns).crossJoin(F.broadcast(marks))
+
+    def place(k: int, p: _Pick) -> Column:
+        v, low, high = F.col(p.column).cast("double"), of(p, "e")[at[p]], of(p, "e")[at[p] + 3]
+        value = F.when((of(p, "n") <= SMALL) | (v >= low), v)  # null: below the bracket
+        return F.when(is_open(p) & v.isNotNull() & ((of(p, "n") <= SMALL) | (v <= high)), F.struct(F.lit(k).alias("k"), value.alias("v")))
+
+    counted = joined.select(*[f"_k{i}" for i in range(len(keys))], *[f"_of{i}" for i in range(len(columns))], F.explode(F.array_compact(F.array(*[place(k, p) for k, p in enumerate(picks)]))).alias("p"))
     ids = [f"_k{i}" for i in range(len(keys))]
-    marks = rows.groupBy(*ids).agg(F.count("*").alias("_all"), F.percentile_approx("_v", edges, ACCURACY).alias("_e"))
-    marks = marks.select(*[F.col(c).alias(f"_m{c}") for c in ids], "_all", F.when(F.col("_all") > SMALL, F.col("_e")).alias("_e"))
-    on = F.lit(True)
-    for c in ids:
-        on = on & F.col(c).eqNullSafe(F.col(f"_m{c}"))
-    joined = rows.join(marks, on) if ids else rows.crossJoin(F.broadcast(marks))
-    inside = lambda k: F.when(F.col("_e").isNull() | F.col("_v").between(F.col("_e")[2 * k], F.col("_e")[2 * k + 1]), F.struct(F.lit(k).alias("k"), F.col("_v").alias("v"))).when(F.col("_v") < F.col("_e")[2 * k], F.struct(F.lit(k).alias("k"), F.lit(None).cast(df.schema[value].dataType).alias("v")))
-    counted = joined.select(*ids, "_all", F.explode(F.array_compact(F.array(*[inside(k) for k in range(len(points))]))).alias("p")).groupBy(*ids, "_all", "p.k", "p.v").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*ids, "k").orderBy(F.asc_nulls_first("v"))
-    upto = counted.withColumn("_upto", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    pick = lambda k, index: F.min(F.when((F.col("k") == k) & (F.col("_upto") > index), F.col("v")))
-    picks, out, n = [], [], F.col("_all")
-    for k, (name, p) in enumerate(points):
-        if name in (continuous or {}):
-            at = (n - 1) * F.lit(p)
-            picks += [pick(k, F.floor(at)).alias(f"_low{k}"), pick(k, F.ceil(at)).alias(f"_high{k}"), F.max(at - F.floor(at)).alias(f"_part{k}")]
-            out.append((F.col(f"_low{k}") + (F.col(f"_high{k}") - F.col(f"_low{k}")) * F.col(f"_part{k}")).alias(name))
-        else:
-            index = F.least(F.floor(n * F.lit(p)), n - 1) if name in (floors or {}) else F.greatest(F.ceil(n * F.lit(p)) - 1, F.lit(0))
-            picks.append(pick(k, index).alias(f"_pick{k}"))
-            out.append(F.col(f"_pick{k}").alias(name))
-    return upto.groupBy(*ids).agg(*picks).select(*[F.col(c).alias(k) for c, k in zip(ids, keys)], *out)
+    rows = reduce(lambda x, kp: F.when(F.col("p.k") == kp[0], of(kp[1], "n")).otherwise(x), enumerate(picks), F.lit(0))
+    counted = counted.select(*ids, "p.k", "p.v", rows.alias("_rows")).groupBy(*ids, "k", "v", "_rows").agg(F.count("*").alias("_n"))
+    upto = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*ids, "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)))
+    found = []
+    for k, p in enumerate(picks):
+        found += [F.min(F.when((F.col("k") == k) & (F.col("_upto") > index), F.col("v"))).alias(f"_p{k}_{i}") for i, index in enumerate(p.indexes(F.col("_rows")))]
+    found = upto.groupBy(*ids).agg(*found) if ids else upto.agg(*found)
+    on = [whole[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    both = whole.join(found, reduce(and_, on), "left") if keys else whole.crossJoin(F.broadcast(found))
+    out = []
+    for k, p in enumerate(picks):
+        low, high, part = F.col(f"_p{k}_0"), F.col(f"_p{k}_1") if p.kind == "continuous" else None, (of(p, "n") - 1) * F.lit(p.share)
+        counted_pick = low + (high - low) * (part - F.floor(part)) if p.kind == "continuous" else low.cast(kind_of[p])
+        out.append(F.coalesce(counted_pick, F.when(~is_open(p), told[p])).alias(p.name))
+    return both.select(*names, *out)
+
+
+def percentiles(
+    df: DataFrame, keys: list[str], value: str, floors: dict[str, float] | None = None, continuous: dict[str, float] | None = None, discrete: dict[str, float] | None = None, facts: list[Column] | None = None
+) -> DataFrame:
+    """Exact percentiles of each group that has a value, after ``facts`` of those values. floors: the (floor(n * p) + 1)-th
+    smallest value, the way sorted[int(n * p)] picks it; continuous: interpolated between the two values next to p * (n - 1);
+    discrete: the least value that a share p is not above. ``df`` may be read twice."""
+    picks = [_Pick(n, value, kind, p) for kind, points in (("floor", floors), ("continuous", continuous), ("discrete", discrete)) for n, p in (points or {}).items()]
+    df = df.filter(F.col(value).isNotNull())
+    return _exact(df if facts else df.select(*dict.fromkeys([*keys, value])), keys, facts or [], picks)
 
 
 def summarise(df: DataFrame, keys: list[str], facts: list[Column], picks: dict[str, tuple[str, float]], exact: bool = False, digits: int = 2) -> DataFrame:
     """Groups with facts and discrete percentiles. picks: name -> (column, share). One aggregation with sketches, or exact
-    percentiles put beside the facts; either way no group's values are gathered."""
-    if not exact:
+    percentiles beside the facts, for which ``df`` may be read twice; either way no group's values are gathered."""
+    if not exact or not picks:
         return df.groupBy(*keys).agg(*facts, *[F.round(quantile(F.col(c), p), digits).alias(n) for n, (c, p) in picks.items()])
-    columns = list(dict.fromkeys(c for c, _ in picks.values()))
-    found = [percentiles(df, keys, c, discrete={n: p for n, (d, p) in picks.items() if d == c}) for c in columns]
-    rounded = [t.select(*keys, *[F.round(n, digits).alias(n) for n in t.columns if n not in keys]) for t in found]
-    return beside(df.groupBy(*keys).agg(*facts), keys, *rounded)
+    out = _exact(df, keys, facts, [_Pick(n, c, "discrete", p) for n, (c, p) in picks.items()])
+    return out.withColumns({n: F.round(n, digits) for n in picks})
 
 
 def floor_index(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:

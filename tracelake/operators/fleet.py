@@ -41,14 +41,14 @@ def service_stats_all_spans(spans: DataFrame, start: str, end: str, exact: bool
 
 def baseline_traces_near_p50(spans: DataFrame, service: str, limit: int = 10) -> DataFrame:
     """Root spans of a service whose duration is nearest to its continuous median."""
-    df = C.service_filter(C.root_spans(spans), service).select("trace_id", "span_id", C.ms().alias("duration_ms"))
+    df = cut(C.service_filter(C.root_spans(spans), service).select("trace_id", "span_id", C.ms().alias("duration_ms")))
     middle = percentiles(df, [], "duration_ms", continuous={"p50": 0.5})
     return df.crossJoin(F.broadcast(middle)).select("trace_id", "duration_ms", F.abs(F.col("duration_ms") - F.col("p50")).alias("distance")).orderBy("distance", "trace_id").limit(limit).select("trace_id", "duration_ms")
 
 
 def anomaly_traces_p99_or_error(spans: DataFrame, service: str, limit: int = 10) -> DataFrame:
     """Root spans of a service at or over its continuous 99th percentile, or with an error; slowest first."""
-    df = C.service_filter(C.root_spans(spans), service).select("trace_id", C.ms().alias("duration_ms"), C.is_error().alias("is_error"))
+    df = cut(C.service_filter(C.root_spans(spans), service).select("trace_id", C.ms().alias("duration_ms"), C.is_error().alias("is_error")))
     top = percentiles(df, [], "duration_ms", continuous={"p99": 0.99})
     return df.crossJoin(F.broadcast(top)).filter((F.col("duration_ms") >= F.col("p99")) | F.col("is_error")).orderBy(F.desc("duration_ms"), "trace_id").limit(limit).select("trace_id", "duration_ms", "is_error")
 
@@ -56,22 +56,30 @@ def anomaly_traces_p99_or_error(spans: DataFrame, service: str, limit: int = 10)
 def exemplars(spans: DataFrame, as_of: str, strategy: str = "outliers", hours: float = 24, service: str | None = None, limit: int = 10, exact: bool = False) -> DataFrame:
     """Example traces: outliers (at or over p95), errors (newest), baseline (within 10 % of p50, no error), or comparison
     (half baseline, half outliers)."""
-    if strategy == "comparison":
-        half = max(1, limit // 2)
-        parts = [exemplars(spans, as_of, s, hours, service, half, exact).select("trace_id", "duration_ms", F.lit(s).alias("selection_reason")) for s in ("baseline", "outliers")]
-        return parts[0].unionByName(parts[1]).orderBy("selection_reason", "duration_ms", "trace_id")
     df = C.service_filter(C.root_spans(C.time_window(spans, hours, as_of)), service)
     df = df.select("trace_id", "start_time", C.service().alias("service_name"), "name", F.round(C.ms(), 2).alias("duration_ms"), C.is_error().alias("is_error"))
     if strategy == "errors":
         return df.filter("is_error").orderBy(F.desc("start_time"), "trace_id").limit(limit).select("trace_id", "service_name", "name", "duration_ms", F.lit("error_trace").alias("selection_reason"))
-    p = 0.95 if strategy == "outliers" else 0.5
-    mark = percentiles(df, [], "duration_ms", discrete={"mark": p}) if exact else df.agg(quantile(F.col("duration_ms"), p).alias("mark"))
-    df = df.crossJoin(F.broadcast(mark))
-    if strategy == "outliers":
-        above = F.round((F.col("duration_ms") - F.col("mark")) / F.col("mark") * 100, 2).alias("pct_above_p95")
-        return df.filter("duration_ms >= mark").orderBy(F.desc("duration_ms"), "trace_id").limit(limit).select("trace_id", "service_name", "name", "duration_ms", above)
-    distance = F.abs(F.col("duration_ms") - F.col("mark"))
-    return df.filter(~F.col("is_error") & (distance < 0.1 * F.col("mark"))).orderBy(distance, "trace_id").limit(limit).select("trace_id", "service_name", "name", "duration_ms")
+    marks = {"outliers": 0.95, "baseline": 0.5}
+    if exact:
+        df = cut(df)
+        level = percentiles(df, [], "duration_ms", discrete=marks)
+    else:
+        level = df.agg(*[quantile(F.col("duration_ms"), p).alias(n) for n, p in marks.items()])
+    df = df.crossJoin(F.broadcast(level))
+
+    def chosen(kind: str, n: int) -> DataFrame:
+        mark = F.col(kind)
+        if kind == "outliers":
+            above = F.round((F.col("duration_ms") - mark) / mark * 100, 2).alias("pct_above_p95")
+            return df.filter(F.col("duration_ms") >= mark).orderBy(F.desc("duration_ms"), "trace_id").limit(n).select("trace_id", "service_name", "name", "duration_ms", above)
+        distance = F.abs(F.col("duration_ms") - mark)
+        return df.filter(~F.col("is_error") & (distance < 0.1 * mark)).orderBy(distance, "trace_id").limit(n).select("trace_id", "service_name", "name", "duration_ms")
+
+    if strategy != "comparison":
+        return chosen(strategy, limit)
+    parts = [chosen(k, max(1, limit // 2)).select("trace_id", "duration_ms", F.lit(k).alias("selection_reason")) for k in ("baseline", "outliers")]
+    return parts[0].unionByName(parts[1]).orderBy("selection_reason", "duration_ms", "trace_id")
 
 
 def compare_time_periods(spans: DataFrame, as_of: str, baseline: tuple[float, float], anomaly: tuple[float, float], exact: bool = False) -> DataFrame:
@@ -166,6 +174,7 @@ def database_operations(spans: DataFrame, db_system: str | None = None, exact: b
     df = C.kind_filter(spans, C.CLIENT)
     df = df if db_system is None else df.filter(C.attr("db.system") == db_system)
     df = df.select(C.attr("db.system").alias("db_system"), C.attr("db.name").alias("db_name"), C.attr("db.operation").alias("db_operation"), C.attr("db.statement").alias("statement"), C.ms().alias("ms"))
+    df = cut(df)
     keys = ["db_system", "db_name", "db_operation"]
     out = summarise(df, keys, [F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_ms"), F.min("statement").alias("any_statement")], {"p95_ms": ("ms", 0.95)}, exact)
     out = beside(out, keys, samples(df, keys, "statement", "sample_statements", 3), otherwise={"sample_statements": ""})
@@ -218,7 +227,7 @@ def latency_exemplars_by_percentile(spans: DataFrame, threshold: float = 95, lim
     """The slowest server root spans at or over a percentile rank of their service.
 
     The rank is taken over the distinct durations of a service with their counts, not over its spans one by one."""
-    df = C.kind_filter(C.root_spans(spans), C.SERVER).select("trace_id", C.service().alias("service_name"), C.ms().alias("ms"))
+    df = cut(C.kind_filter(C.root_spans(spans), C.SERVER).select("trace_id", C.service().alias("service_name"), C.ms().alias("ms")))
     counts = running_counts(df, ["service_name"], "ms")
     ranked = counts.select("service_name", "ms", F.coalesce(F.try_divide(F.col("_upto") - F.col("_n"), F.col("_all") - 1), F.lit(0.0)).alias("rank")).filter(F.col("rank") * 100 >= threshold)
     marks = summarise(df, ["service_name"], [F.count("*").alias("_rows")], {"service_p95_ms": ("ms", 0.95), "service_p99_ms": ("ms", 0.99)}, exact).drop("_rows")

@@ -22,6 +22,7 @@ def dependency_edges(spans: DataFrame, min_calls: int = 1, include_external: boo
     if not include_external:
         calls = calls.filter(~F.col("call_type").isin("DATABASE", "HTTP"))
     keys = ["source_service", "target_service", "call_type"]
+    calls = cut(calls)  # latencies, distinct traces and names are three views of the same few columns
     edges = summarise(calls, keys, _call_facts(), {"p95_latency_ms": ("ms", 0.95)}, exact).filter(F.col("call_count") >= min_calls)
     edges = beside(edges, keys, distinct_count(calls, keys, "trace_id", "trace_count"), samples(calls, keys, "name", "sample_operations"), otherwise={"trace_count": 0, "sample_operations": ""})
     weight = F.round(F.col("call_count") / F.sum("call_count").over(Window.partitionBy("source_service")) * 100, 2)
@@ -100,6 +101,7 @@ def hidden_dependencies(spans: DataFrame, min_calls: int = 1, exact: bool = Fals
     )
     kind = F.col("dependency_type")
     keys = ["source_service", "target_identifier", "dependency_type", "db_system", "db_name", "http_host", "queue_name"]
+    df = cut(df)
     out = summarise(df, keys, _call_facts(), {"p95_latency_ms": ("ms", 0.95)}, exact).filter(F.col("call_count") >= min_calls)
     names = df.groupBy(*keys, "name").agg(F.count("*").alias("n"))
     out = beside(out, keys, distinct_count(names, keys, "name", "unique_operations"), samples(names, keys, "name", "sample_operations"), otherwise={"unique_operations": 0, "sample_operations": ""})

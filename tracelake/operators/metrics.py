@@ -12,9 +12,9 @@ from ..functions.quantiles import percentiles
 
 def series_stats(points: DataFrame, keys: list[str]) -> DataFrame:
     """Count, range, mean, median, deviation and floor-index percentiles of each series."""
-    stats = points.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 4).alias("stdev"))
-    picks = percentiles(points, keys, "value", {"p90": 0.9, "p95": 0.95, "p99": 0.99}, {"median": 0.5})
-    return stats.join(picks.withColumn("median", F.round("median", 8)), keys)
+    facts = [F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 4).alias("stdev")]
+    out = percentiles(points.select(*keys, "value"), keys, "value", {"p90": 0.9, "p95": 0.95, "p99": 0.99}, {"median": 0.5}, facts=facts)
+    return out.withColumn("median", F.round("median", 8))
 
 
 def metric_anomalies(points: DataFrame, keys: list[str], sigma: float = 3.0) -> DataFrame:

@@ -102,12 +102,12 @@ def latency_statistics(spans: DataFrame, by: str = "name") -> DataFrame:
         df = spans.groupBy("trace_id").agg((F.max(C.epoch_ms(F.col("end_time"))) - F.min(C.epoch_ms(F.col("start_time")))).alias("ms")).withColumn("key", F.lit("trace"))
     else:
         df = spans.select(F.col("name").alias("key"), C.ms().alias("ms"))
-    stats = df.groupBy("key").agg(
+    facts = [
         F.count("ms").alias("n"), F.round(F.min("ms"), 3).alias("min_ms"), F.round(F.max("ms"), 3).alias("max_ms"), F.round(F.avg("ms"), 3).alias("mean_ms"),
         F.round(F.coalesce(F.stddev_samp("ms"), F.lit(0.0)), 3).alias("stdev_ms"), F.round(F.coalesce(F.var_samp("ms"), F.lit(0.0)), 3).alias("variance"),
-    )
-    picks = percentiles(df, ["key"], "ms", {"p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99}, {"median_ms": 0.5})
-    return stats.join(picks, "key").select("key", "n", "min_ms", "max_ms", "mean_ms", *[F.round(c, 3).alias(c) for c in ("median_ms", "p90_ms", "p95_ms", "p99_ms")], "stdev_ms", "variance")
+    ]
+    out = percentiles(df, ["key"], "ms", {"p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99}, {"median_ms": 0.5}, facts=facts)
+    return out.select("key", "n", "min_ms", "max_ms", "mean_ms", *[F.round(c, 3).alias(c) for c in ("median_ms", "p90_ms", "p95_ms", "p99_ms")], "stdev_ms", "variance")
 
 
 def latency_anomalies(spans: DataFrame, sigma: float = 2.0, min_ms: float = 50) -> DataFrame:
@@ -252,9 +252,9 @@ def select_traces(spans: DataFrame, ids: DataFrame) -> DataFrame:
 def example_traces(spans: DataFrame) -> DataFrame:
     """Per service: its most anomalous root span, and as baseline the median of the same operation's traces under 0.8 of
     it, else the error-free one nearest to the median."""
-    df = C.root_spans(spans).select("trace_id", C.service().alias("service_name"), "name", C.ms().alias("ms"), C.is_error().alias("is_error"))
-    stats = df.groupBy("service_name").agg(F.count("*").alias("n"), F.avg("ms").alias("mean"), F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("sd"))
-    stats = stats.join(percentiles(df, ["service_name"], "ms", continuous={"p50": 0.5}), "service_name")
+    df = cut(C.root_spans(spans).select("trace_id", C.service().alias("service_name"), "name", C.ms().alias("ms"), C.is_error().alias("is_error")))
+    facts = [F.count("*").alias("n"), F.avg("ms").alias("mean"), F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("sd")]
+    stats = percentiles(df, ["service_name"], "ms", continuous={"p50": 0.5}, facts=facts)
     z = F.when(F.col("sd") > 0, F.greatest(F.lit(0.0), (F.col("ms") - F.col("mean")) / F.col("sd"))).when(F.col("ms") > F.col("mean"), 3.0).otherwise(0.0)
     scored = df.join(stats, "service_name").withColumn("score", z + F.when(F.col("is_error"), 5).otherwise(0) + F.when(F.col("ms") > 3 * F.col("mean"), 2).otherwise(0))
     worst = scored.groupBy("service_name").agg(F.min(F.struct((-F.col("score")).alias("x"), "trace_id", "name", "ms", "score")).alias("a"), F.min(F.when(~F.col("is_error"), F.struct(F.abs(F.col("ms") - F.col("p50")).alias("x"), "trace_id", "ms"))).alias("near"), F.first("n").alias("n"))
