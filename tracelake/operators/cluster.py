@@ -24,9 +24,17 @@ def _latest(points: DataFrame, keys: list[str]) -> DataFrame:
 NODE_LIMITS = {"cpu": (0.85, 0.95), "memory": (0.85, 0.95), "disk": (0.85, 0.95), "pid": (0.80, 0.90)}
 
 
+def _with_disk_share(latest: DataFrame) -> DataFrame:
+    """Latest values of nodes, with the metric disk where disk_used and disk_total tell it."""
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    disk = latest.filter(F.col("metric").isin("disk_used", "disk_total")).groupBy("node").agg(F.try_divide(of("disk_used"), of("disk_total")).alias("value")).filter("value is not null")
+    return latest.unionByName(disk.select("node", F.lit("disk").alias("metric"), "value")).filter(F.col("metric").isin(*NODE_LIMITS))
+
+
 def node_conditions(points: DataFrame) -> DataFrame:
-    """Nodes whose latest utilisation is too high. points: node, metric (cpu, memory, disk, pid), ts, value."""
-    last = _latest(points.filter(F.col("metric").isin(*NODE_LIMITS)), ["node", "metric"])
+    """Nodes whose latest utilisation is too high. points: node, metric, ts, value; metrics are the shares cpu, memory, pid and
+    disk, the last of them ready-made or as disk_used and disk_total."""
+    last = _with_disk_share(_latest(points.filter(F.col("metric").isin(*NODE_LIMITS, "disk_used", "disk_total")), ["node", "metric"]))
     warn, crit = F.lit(None).cast("double"), F.lit(None).cast("double")
     for m, (w, c) in NODE_LIMITS.items():
         warn, crit = F.when(F.col("metric") == m, w).otherwise(warn), F.when(F.col("metric") == m, c).otherwise(crit)
@@ -68,6 +76,15 @@ def memory_risks(points: DataFrame) -> DataFrame:
     return g.filter("max_utilization > 0.85").withColumn("severity", F.when(F.col("max_utilization") > 0.95, "HIGH").otherwise("MEDIUM"))
 
 
+def oom_report(logs: DataFrame, text: Column, points: DataFrame, keyword: str = "OOMKilled") -> DataFrame:
+    """One row: kills, the containers they hit, containers with little memory left, and how bad that is together: CRITICAL with
+    a kill, else WARNING with a container at risk, else NORMAL."""
+    kills = oom_events(logs, text, keyword).agg(F.coalesce(F.sum("events"), F.lit(0)).alias("oom_events"), F.count("*").alias("killed_containers"))
+    risks = memory_risks(points).agg(F.count("*").alias("containers_at_risk"), F.count_if(F.col("severity") == "HIGH").alias("high_risk_containers"))
+    severity = F.when(F.col("oom_events") > 0, "CRITICAL").when(F.col("containers_at_risk") > 0, "WARNING").otherwise("NORMAL")
+    return kills.crossJoin(F.broadcast(risks)).withColumn("severity", severity)
+
+
 def workload_health(points: DataFrame) -> DataFrame:
     """Workloads (pods without their last two name parts) by their worst pod. points: namespace, pod, metric (cpu, memory,
     restarts), value."""

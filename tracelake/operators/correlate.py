@@ -88,11 +88,17 @@ def metric_kinds_during_trace(spans: DataFrame, points: DataFrame, point_service
 
 
 def cross_signal_timeline(spans: DataFrame, logs: DataFrame, log_service: Column, buffer_seconds: float = 5, per_trace: int = 50) -> DataFrame:
-    """Per trace, in one order of time: its spans, its logs, and troubled logs of its services around it."""
-    own = spans.select("trace_id", F.lit("SPAN").alias("event_type"), F.col("start_time").alias("event_time"), C.service().alias("service_name"), F.col("span_id").alias("event_id"), F.col("name").alias("description"), F.round(C.ms(), 3).alias("duration_ms"), F.lit(None).cast("string").alias("severity"))
-    slim = logs.select("insert_id", "timestamp", F.col("severity_text").alias("severity"), log_service.alias("service_name"), F.col("trace_id").alias("log_trace"), F.col("body.string_value").alias("description"))
+    """Per trace, in one order of time: its spans, its logs, and troubled logs of its services around it. Logs have
+    "[severity] body" as their name and the severity as their status."""
+    labels = {"http_method": "http.method", "http_url": "http.url", "http_status": "http.status_code", "db_system": "db.system", "db_statement": "db.statement"}
+    own = spans.select(
+        "trace_id", F.lit("SPAN").alias("event_type"), F.col("start_time").alias("event_time"), "end_time", F.col("span_id").alias("event_id"), "span_id", "parent_span_id", F.col("name").alias("event_name"), C.service().alias("service_name"),
+        C.status_name().alias("status"), F.round(C.ms(), 2).alias("duration_ms"), C.kind_name().alias("span_kind"), *[C.attr(k).alias(n) for n, k in labels.items()],
+    )
+    name = F.concat(F.lit("["), F.coalesce("severity_text", F.lit("")), F.lit("] "), F.coalesce("body.string_value", F.lit("")))
+    slim = logs.select("insert_id", "timestamp", F.col("severity_text").alias("severity"), log_service.alias("service_name"), F.col("trace_id").alias("log_trace"), "span_id", name.alias("event_name"))
     ids = spans.select("trace_id").distinct()
-    shape = lambda df, kind: df.select("trace_id", F.lit(kind).alias("event_type"), F.col("timestamp").alias("event_time"), "service_name", F.col("insert_id").alias("event_id"), "description", "severity")
+    shape = lambda df, kind: df.select("trace_id", F.lit(kind).alias("event_type"), F.col("timestamp").alias("event_time"), F.col("insert_id").alias("event_id"), "span_id", "event_name", "service_name", F.col("severity").alias("status"), F.lit("LOG").alias("span_kind"))
     direct = shape(slim.join(ids, F.col("log_trace") == F.col("trace_id")), "LOG_DIRECT")
     whole = spans.groupBy("trace_id").agg(F.min("start_time").alias("a"), F.max("end_time").alias("b"))
     parts = spans.select("trace_id", C.service().alias("service_name")).distinct().join(whole, "trace_id")

@@ -114,14 +114,44 @@ def latency_anomalies(spans: DataFrame, sigma: float = 2.0, min_ms: float = 50)
     """Spans over min_ms whose duration is over sigma sample deviations from their name's mean."""
     df = spans.select("trace_id", "span_id", "name", C.ms().alias("ms"))
     stats = df.groupBy("name").agg(F.avg("ms").alias("mean"), F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("sd"))
-    z = F.when(F.col("sd") > 0, (F.col("ms") - F.col("mean")) / F.col("sd")).when(F.col("ms") > F.col("mean"), 100.0).when(F.col("ms") < F.col("mean"), -100.0).otherwise(0.0)
-    out = df.join(stats, "name").withColumn("z", z).filter((F.abs("z") > sigma) & (F.col("ms") > min_ms))
+    out = df.join(stats, "name").withColumn("z", _z_score(F.col("ms"), F.col("mean"), F.col("sd"))).filter((F.abs("z") > sigma) & (F.col("ms") > min_ms))
     return out.select("trace_id", "span_id", "name", F.round("ms", 3).alias("duration_ms"), F.round("z", 2).alias("z_score"), F.when(F.col("z") > 0, "slow").otherwise("fast").alias("anomaly_type"))
 
 
+def _z_score(value: Column, mean: Column, sd: Column) -> Column:
+    """Deviations from a mean; 100 or -100 where the others do not vary at all."""
+    return F.when(sd > 0, (value - mean) / sd).when(value > mean, 100.0).when(value < mean, -100.0).otherwise(0.0)
+
+
+def anomalies_against_baselines(spans: DataFrame, sets: DataFrame, sigma: float = 2.0, min_ms: float = 50) -> DataFrame:
+    """Each target trace against its own set of baseline traces, of which it is no part. sets: (target_trace_id,
+    baseline_trace_id), a row for each baseline trace of a target.
+
+    One row for the target as a whole (level trace), anomalous or not, and one for each of its spans over min_ms (level span)
+    that is over sigma sample deviations from the mean of its name in the baseline. A baseline that does not vary makes any
+    difference a deviation of 100. A target without a baseline has no rows.
+    """
+    sets = cut(sets.filter("target_trace_id <> baseline_trace_id").distinct())
+    df = cut(of_pairs(spans.select("trace_id", "span_id", "name", C.ms().alias("ms"), C.epoch_ms(F.col("start_time")).alias("a"), C.epoch_ms(F.col("end_time")).alias("b")), sets))
+    whole = df.groupBy("trace_id").agg((F.max("b") - F.min("a")).alias("ms"))
+    stats = lambda rows, *keys: rows.groupBy("target_trace_id", *keys).agg(F.avg("ms").alias("mean"), F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("sd"))
+    of_baseline = lambda rows: sets.join(rows.withColumnRenamed("trace_id", "baseline_trace_id"), "baseline_trace_id")
+    targets = sets.select("target_trace_id").distinct()
+    of_target = lambda rows: targets.join(rows.withColumnRenamed("trace_id", "target_trace_id"), "target_trace_id")
+    traces = of_target(whole).join(stats(of_baseline(whole)), "target_trace_id").select("target_trace_id", F.lit("trace").alias("level"), F.lit(None).cast("string").alias("span_id"), F.lit(None).cast("string").alias("name"), "ms", "mean", "sd")
+    each = of_target(df.select("trace_id", "span_id", "name", "ms")).join(stats(of_baseline(df.select("trace_id", "name", "ms")), "name"), ["target_trace_id", "name"])
+    both = traces.unionByName(each.select("target_trace_id", F.lit("span").alias("level"), "span_id", "name", "ms", "mean", "sd")).withColumn("z", _z_score(F.col("ms"), F.col("mean"), F.col("sd")))
+    anomalous = F.abs("z") > sigma
+    out = both.withColumn("is_anomaly", anomalous).filter((F.col("level") == "trace") | (anomalous & (F.col("ms") > min_ms)))
+    return out.select(
+        "target_trace_id", "level", "span_id", "name", F.round("ms", 3).alias("duration_ms"), F.round("mean", 3).alias("baseline_mean_ms"), F.round("sd", 3).alias("baseline_stdev_ms"), F.round("z", 2).alias("z_score"), "is_anomaly",
+        F.when(F.col("is_anomaly"), F.when(F.col("z") > 0, "slow").otherwise("fast")).alias("anomaly_type"),
+    )
+
+
 def of_pairs(spans: DataFrame, pairs: DataFrame, sides: tuple[str, ...] = ("baseline", "target")) -> DataFrame:
     """The spans of the traces that stand in pairs, on either side or on one."""
-    ids = pairs.select(F.explode(F.array(*[f"{s}_trace_id" for s in sides])).alias("trace_id")).distinct()
+    ids = pairs.select(F.explode(F.array(*[F.col(f"{s}_trace_id") for s in sides])).alias("trace_id")).distinct()
     return spans.join(ids, "trace_id", "left_semi")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.lineage import cut
 from ..operators import correlate, fleet, graph, logs, traces, tree
 
 
@@ -16,25 +19,38 @@ def aggregate_pipeline(spans: DataFrame, as_of: str, hours: float, max_error_pct
     return metrics.select("service_name", "request_count", "error_rate_pct", "p95_ms", "p99_ms").join(found.select("service_name", "anomaly_trace_id", "anomaly_ms", "baseline_trace_id", "baseline_ms"), "service_name")
 
 
-def triage_pipeline(spans: DataFrame, pairs: DataFrame) -> DataFrame:
+def triage_pipeline(spans: DataFrame, pairs: DataFrame, logs_of: DataFrame | None = None, log_service: Column | None = None, window_seconds: float = 30) -> DataFrame:
     """What sets the target of each (baseline, target) pair apart, as one long table of findings: timings, structure,
-    errors and patterns."""
+    errors, patterns, and with ``logs_of`` the target's own logs and the troubled ones around it. Only spans of the targets
+    are looked through, but latencies are held against all spans."""
     keys = ["baseline_trace_id", "target_trace_id"]
+    targets = cut(traces.of_pairs(spans.drop("events", "links"), pairs, ("target",)))
     timing = traces.compare_span_timings(spans, pairs).filter("change in ('slower', 'missing', 'new')").select(*keys, F.concat(F.lit("timing_"), "change").alias("finding"), F.col("name").alias("subject"))
     shape = traces.structural_differences(spans, pairs).filter("structure_changed").select(*keys, F.lit("structure").alias("finding"), F.concat_ws("|", "missing_names", "new_names").alias("subject"))
-    of_target = lambda df, finding, subject: pairs.join(df, F.col("target_trace_id") == F.col("trace_id")).select(*keys, F.lit(finding).alias("finding"), subject.cast("string").alias("subject"))
-    errors = of_target(traces.extract_errors(spans), "error", F.col("span_id"))
-    anomalies = of_target(traces.latency_anomalies(spans), "latency_anomaly", F.col("span_id"))
-    patterns = of_target(traces.all_patterns(spans, with_healthy=False), "pattern", F.col("health"))
-    return timing.unionByName(shape).unionByName(errors).unionByName(anomalies).unionByName(patterns)
+    of_target = lambda df, finding, subject: pairs.join(df, F.col("target_trace_id") == F.col("trace_id")).select(*keys, finding.alias("finding"), subject.cast("string").alias("subject"))
+    found = [
+        timing, shape, of_target(traces.extract_errors(targets), F.lit("error"), F.col("span_id")), of_target(traces.latency_anomalies(spans), F.lit("latency_anomaly"), F.col("span_id")),
+        of_target(traces.all_patterns(targets, with_healthy=False), F.lit("pattern"), F.col("health")),
+    ]
+    if logs_of is not None:
+        near = correlate.logs_for_traces_direct_and_nearby(targets, logs_of, log_service, window_seconds)
+        found.append(of_target(near, F.concat(F.lit("log_"), "correlation"), F.col("insert_id")))
+    return reduce(DataFrame.unionByName, found)
 
 
-def deep_dive_pipeline(spans: DataFrame, pairs: DataFrame, depth: int = 1) -> DataFrame:
-    """The root causes of each pair with the services that a failure of theirs reaches."""
+def deep_dive_pipeline(spans: DataFrame, pairs: DataFrame, depth: int = 1, changes: DataFrame | None = None, minutes: float = 30) -> DataFrame:
+    """The root causes of each pair with the services that a failure of theirs reaches, and with ``changes`` the last change of
+    the service in the minutes before the span began."""
     causes = tree.causal_analysis(spans, pairs).filter("is_root_cause")
-    services = spans.select(F.col("trace_id").alias("target_trace_id"), "span_id", C.service().alias("service_name"))
+    services = spans.select(F.col("trace_id").alias("target_trace_id"), "span_id", C.service().alias("service_name"), "start_time")
     radius = graph.blast_radius(spans, depth)
-    return causes.join(services, ["target_trace_id", "span_id"]).join(radius, "service_name", "left").select("baseline_trace_id", "target_trace_id", "span_id", "service_name", "diff_ms", "score", "affected_services")
+    out = causes.join(services, ["target_trace_id", "span_id"]).join(radius, "service_name", "left").select("baseline_trace_id", "target_trace_id", "span_id", "service_name", "start_time", "diff_ms", "score", "affected_services")
+    if changes is None:
+        return out.drop("start_time")
+    out = cut(out)
+    starts = out.select("service_name", F.col("start_time").alias("anomaly_start")).distinct()
+    last = correlate.change_correlation(starts, changes, minutes).select("service_name", F.col("anomaly_start").alias("start_time"), "changes", "change_id", "method", "changed_at")
+    return out.join(last, ["service_name", "start_time"], "left").drop("start_time")
 
 
 def log_pattern_pipeline(before: DataFrame, after: DataFrame, **options) -> DataFrame:

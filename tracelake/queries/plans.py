@@ -40,6 +40,18 @@ def _log_periods(spark: SparkSession, d: str) -> DataFrame:
     return P.log_pattern_pipeline(logs.filter(F.col("timestamp") < edge), logs.filter(F.col("timestamp") >= edge), resource="resource_id")
 
 
+def order_logs(spark: SparkSession, d: str) -> DataFrame:
+    """A log of each order's service up to fifty seconds after its root span's start; every other one names its trace."""
+    o, k = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k % 50).cast("decimal(18,6)"))
+    return o.select(F.concat(F.lit("n"), k).alias("insert_id"), at.alias("timestamp"), F.when(F.col("o_orderstatus") == "F", "ERROR").otherwise("INFO").alias("severity_text"), F.concat(F.lit("svc-"), F.col("o_custkey") % 13).alias("service"), F.when(k % 2 == 0, F.concat(F.lit("t"), k)).alias("trace_id"))
+
+
+def order_changes(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 10 = 0")
+    return o.select(F.concat(F.lit("svc-"), F.col("o_custkey") % 10).alias("service_name"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderkey").alias("change_id"), F.lit("services.Deploy").alias("method"))
+
+
 _METRICS = FLEET["aggregate_metrics"][1]
 _EXAMPLES = TRACES["example_traces"][1]
 _MASKED = "body"
@@ -60,6 +72,22 @@ QUERIES = {
         f"UNION ALL SELECT baseline_trace_id, target_trace_id, 'latency_anomaly', span_id FROM pr JOIN ({TRACES['latency_anomalies'][1]}) ON trace_id = target_trace_id "
         f"UNION ALL SELECT baseline_trace_id, target_trace_id, 'pattern', health FROM pr JOIN ({TRACES['all_patterns'][1].replace(chr(39) + 'order' + chr(39), chr(39) + 'connection' + chr(39))}) ON trace_id = target_trace_id",
     ),
+    "triage_pipeline_with_logs": (
+        lambda spark, d: P.triage_pipeline(A.spans_from_orders(spark, d), customer_pairs(spark, d), order_logs(spark, d), F.col("service")).filter("finding like 'log_%'"),
+        Q.with_orders(
+            "pr AS (SELECT 't' || b AS baseline_trace_id, 't' || o_orderkey AS target_trace_id FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL), "
+            "lg AS (SELECT 'n' || o_orderkey AS insert_id, CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(o_orderkey % 50 AS BIGINT)) AS ts, CASE o_orderstatus WHEN 'F' THEN 'ERROR' ELSE 'INFO' END AS severity, 'svc-' || (o_custkey % 13) AS service, CASE WHEN o_orderkey % 2 = 0 THEN 't' || o_orderkey END AS lt FROM orders), "
+            "rt AS (SELECT * FROM s WHERE parent_span_id IS NULL AND trace_id IN (SELECT target_trace_id FROM pr)), nr AS (SELECT rt.trace_id, insert_id, row_number() OVER (PARTITION BY rt.trace_id ORDER BY ts, insert_id) AS k FROM rt JOIN lg ON lg.service = rt.service AND ts BETWEEN start_time - INTERVAL 30 SECOND AND end_time + INTERVAL 30 SECOND WHERE severity = 'ERROR' AND (lt IS NULL OR lt <> rt.trace_id)) "
+            "SELECT baseline_trace_id, target_trace_id, 'log_direct' AS finding, insert_id AS subject FROM pr JOIN lg ON lt = target_trace_id UNION ALL SELECT baseline_trace_id, target_trace_id, 'log_nearby', insert_id FROM pr JOIN nr ON trace_id = target_trace_id WHERE k <= 20"
+        ),
+    ),
+    "deep_dive_pipeline_with_changes": (
+        lambda spark, d: P.deep_dive_pipeline(A.spans_from_orders(spark, d), customer_pairs(spark, d), 2, order_changes(spark, d), 2 * 1440),
+        f"WITH c AS ({TRACES['causal_analysis'][1]}), x AS ({Q.with_orders('SELECT trace_id, span_id, service, start_time FROM s')}), b AS ({FLEET['blast_radius'][1]}), ch AS (SELECT 'svc-' || (o_custkey % 10) AS service, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderkey FROM orders WHERE o_orderkey % 10 = 0), "
+        "st AS (SELECT DISTINCT service, start_time FROM c JOIN x ON x.trace_id = target_trace_id AND x.span_id = c.span_id WHERE is_root_cause), "
+        "l AS (SELECT st.service, start_time, count(*) AS changes, max({'ts': ts, 'k': o_orderkey}) AS m FROM st JOIN ch ON ch.service = st.service AND ts BETWEEN start_time - INTERVAL 2 DAY AND start_time GROUP BY 1, 2) "
+        "SELECT baseline_trace_id, target_trace_id, c.span_id, x.service AS service_name, diff_ms, score, affected_services, changes, m.k AS change_id, CASE WHEN m IS NOT NULL THEN 'services.Deploy' END AS method, m.ts AS changed_at FROM c JOIN x ON x.trace_id = target_trace_id AND x.span_id = c.span_id LEFT JOIN b ON b.service_name = x.service LEFT JOIN l ON l.service = x.service AND l.start_time = x.start_time WHERE is_root_cause",
+    ),
     "deep_dive_pipeline": (
         lambda spark, d: P.deep_dive_pipeline(A.spans_from_orders(spark, d), customer_pairs(spark, d), 2),
         f"SELECT baseline_trace_id, target_trace_id, c.span_id, service AS service_name, diff_ms, score, affected_services FROM ({TRACES['causal_analysis'][1]}) c JOIN ({Q.with_orders('SELECT trace_id, span_id, service FROM s')}) x ON x.trace_id = c.target_trace_id AND x.span_id = c.span_id LEFT JOIN ({FLEET['blast_radius'][1]}) b ON b.service_name = service WHERE is_root_cause",

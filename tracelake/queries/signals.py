@@ -97,6 +97,13 @@ def _node_points(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.concat(F.lit("node-"), F.col("user_id") % 50).alias("node"), metric.alias("metric"), "ts", (F.least(F.col("value"), F.lit(100.0)) / 100).alias("value"))
 
 
+def _disk_points(spark: SparkSession, d: str) -> DataFrame:
+    """Used and total bytes of nodes' disks, as two series."""
+    e = spark.read.parquet(f"{d}/events.parquet").filter("event_type in ('click', 'view')")
+    used = F.col("event_type") == "click"
+    return e.select(F.concat(F.lit("node-"), F.col("user_id") % 50).alias("node"), F.when(used, "disk_used").otherwise("disk_total").alias("metric"), F.struct("ts", F.col("value").alias("raw")).alias("ts"), F.when(used, F.least("value", F.lit(100.0))).otherwise(100 + F.col("value") / 50).alias("value"))
+
+
 def _pod_points(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     metric = F.when(F.col("event_type") == "click", "cpu").when(F.col("event_type") == "view", "memory").when(F.col("event_type") == "error", "restarts")
@@ -306,8 +313,9 @@ QUERIES = {
         _both(lambda s, l: X.cross_signal_timeline(s, l, _svc(), 1800)),
         Q.with_events_and_logs(
             "n AS (SELECT s.trace_id, l.*, row_number() OVER (PARTITION BY s.trace_id ORDER BY l.timestamp, l.insert_id) AS k, s.start_time FROM s JOIN (SELECT insert_id, timestamp, severity, service, trace_id AS lt, body FROM logs) l ON l.service = s.service AND l.timestamp BETWEEN s.start_time - INTERVAL 30 MINUTE AND s.end_time + INTERVAL 30 MINUTE WHERE l.severity IN ('ERROR', 'WARN') AND (l.lt IS NULL OR l.lt <> s.trace_id)), "
-            "u AS (SELECT trace_id, 'SPAN' AS event_type, start_time AS event_time, service AS service_name, span_id AS event_id, name AS description, round(ms, 3) AS duration_ms, CAST(NULL AS VARCHAR) AS severity, start_time AS a FROM s UNION ALL SELECT s.trace_id, 'LOG_DIRECT', l.timestamp, l.service, insert_id, body, NULL, severity, s.start_time FROM s JOIN logs l ON l.trace_id = s.trace_id UNION ALL SELECT trace_id, 'LOG_TEMPORAL', timestamp, service, insert_id, body, NULL, severity, start_time FROM n WHERE k <= 50) "
-            "SELECT * EXCLUDE (a), round(epoch_us(event_time)::DOUBLE / 1000 - epoch_us(a)::DOUBLE / 1000, 3) AS relative_time_ms FROM u"
+            "u AS (SELECT trace_id, 'SPAN' AS event_type, start_time AS event_time, end_time, span_id AS event_id, span_id, parent_span_id, name AS event_name, service AS service_name, CASE code WHEN 2 THEN 'ERROR' ELSE 'OK' END AS status, round(ms, 2) AS duration_ms, 'SERVER' AS span_kind, start_time AS a FROM s "
+            "UNION ALL SELECT s.trace_id, 'LOG_DIRECT', l.timestamp, NULL, insert_id, NULL, NULL, '[' || severity || '] ' || body, l.service, severity, NULL, 'LOG', s.start_time FROM s JOIN logs l ON l.trace_id = s.trace_id UNION ALL SELECT trace_id, 'LOG_TEMPORAL', timestamp, NULL, insert_id, NULL, NULL, '[' || severity || '] ' || body, service, severity, NULL, 'LOG', start_time FROM n WHERE k <= 50) "
+            "SELECT * EXCLUDE (a), CAST(NULL AS VARCHAR) AS http_method, CAST(NULL AS VARCHAR) AS http_url, CAST(NULL AS VARCHAR) AS http_status, CAST(NULL AS VARCHAR) AS db_system, CAST(NULL AS VARCHAR) AS db_statement, round(epoch_us(event_time)::DOUBLE / 1000 - epoch_us(a)::DOUBLE / 1000, 3) AS relative_time_ms FROM u"
         ),
     ),
     "signal_correlation_strength": (
@@ -327,6 +335,11 @@ QUERIES = {
     ),
     "node_conditions": (lambda spark, d: K.node_conditions(_node_points(spark, d)), f"WITH {_NODEC} SELECT * FROM nc"),
     "node_summary": (lambda spark, d: K.node_summary(_node_points(spark, d)), f"WITH {_NODEC}, t AS (SELECT (SELECT count(DISTINCT node) FROM np) AS nodes, (SELECT count(DISTINCT node) FROM nc) AS affected) SELECT *, CASE WHEN affected / nodes > 0.5 THEN 'CRITICAL' WHEN affected > 0 THEN 'WARNING' ELSE 'HEALTHY' END AS status FROM t"),
+    "node_conditions_of_disks": (
+        lambda spark, d: K.node_conditions(_disk_points(spark, d)),
+        "WITH p AS (SELECT 'node-' || (user_id % 50) AS node, event_type, ts, value FROM events), l AS (SELECT node, arg_max(least(value, 100.0), (ts, value)) FILTER (event_type = 'click') AS used, arg_max(100 + value / 50, (ts, value)) FILTER (event_type = 'view') AS total FROM p GROUP BY 1) "
+        "SELECT node, 'disk' AS metric, used / total AS value, 'DISK_PRESSURE' AS condition, CASE WHEN used / total >= 0.95 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM l WHERE used / total > 0.85",
+    ),
     "pod_restarts": (
         lambda spark, d: K.pod_restarts(_pod_points(spark, d).filter("metric = 'restarts'"), 50),
         f"WITH {_POD}, r AS (SELECT namespace, pod, arg_max(value, ts) - arg_min(value, ts) AS restarts FROM pp WHERE metric = 'restarts' GROUP BY 1, 2, container) SELECT namespace, pod, restarts, CASE WHEN restarts > 50 THEN 'CRITICAL' WHEN restarts > 10 THEN 'WARNING' ELSE 'INFO' END AS severity FROM r WHERE restarts > 0 ORDER BY restarts DESC, namespace, pod LIMIT 50",
@@ -343,6 +356,10 @@ QUERIES = {
         lambda spark, d: K.memory_risks(_pod_points(spark, d).filter("metric = 'memory'")),
         f"WITH {_POD} SELECT namespace, pod, container, max(value) AS max_utilization, CASE WHEN max(value) > 0.95 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM pp WHERE metric = 'memory' GROUP BY 1, 2, 3 HAVING max(value) > 0.85",
     ),
+    "oom_report": (
+        lambda spark, d: K.oom_report(A.logs_from_events(spark, d), _body(), _pod_points(spark, d).filter("metric = 'memory'"), "event error"),
+        Q.with_logs(f"{_POD}, r AS (SELECT max(value) AS v FROM pp WHERE metric = 'memory' GROUP BY namespace, pod, container) SELECT (SELECT count(*) FROM logs WHERE contains(body, 'event error')) AS oom_events, (SELECT count(*) FROM (SELECT DISTINCT user_id % 10, event_id % 7, user_id % 2 FROM logs WHERE contains(body, 'event error'))) AS killed_containers, (SELECT count(*) FROM r WHERE v > 0.85) AS containers_at_risk, (SELECT count(*) FROM r WHERE v > 0.95) AS high_risk_containers, CASE WHEN (SELECT count(*) FROM logs WHERE contains(body, 'event error')) > 0 THEN 'CRITICAL' WHEN (SELECT count(*) FROM r WHERE v > 0.85) > 0 THEN 'WARNING' ELSE 'NORMAL' END AS severity"),
+    ),
     "workload_health": (
         lambda spark, d: K.workload_health(_pod_points(spark, d)),
         f"WITH {_POD}, a AS (SELECT namespace, workload, pod, max(value) FILTER (metric = 'cpu') AS cpu, max(value) FILTER (metric = 'memory') AS memory, coalesce(max(value) FILTER (metric = 'restarts'), 0.0) AS restarts FROM pp GROUP BY 1, 2, 3), b AS (SELECT namespace, workload, count(*) AS pods, max(cpu) AS max_cpu, max(memory) AS max_memory, sum(restarts) AS restarts FROM a GROUP BY 1, 2) SELECT *, CASE WHEN restarts > 5 OR coalesce(max_memory, 0) > 0.95 THEN 'CRITICAL' WHEN restarts > 0 OR coalesce(max_memory, 0) > 0.85 OR coalesce(max_cpu, 0) > 0.9 THEN 'WARNING' ELSE 'HEALTHY' END AS status FROM b",

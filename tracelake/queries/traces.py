@@ -21,6 +21,13 @@ def customer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.filter("before is not null").select(F.concat(F.lit("t"), "before").alias("baseline_trace_id"), F.concat(F.lit("t"), "o_orderkey").alias("target_trace_id"))
 
 
+def customer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the three orders of its customer before it."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.array(*[F.lag("o_orderkey", k).over(w) for k in (1, 2, 3)]).alias("before")).select("o_orderkey", F.explode("before").alias("b"))
+    return o.filter("b is not null").select(F.concat(F.lit("t"), "o_orderkey").alias("target_trace_id"), F.concat(F.lit("t"), "b").alias("baseline_trace_id"))
+
+
 def _pairs(f):
     return lambda spark, d: f(spans_from_orders(spark, d), customer_pairs(spark, d))
 
@@ -104,7 +111,10 @@ QUERIES = {
     ),
     "validate_trace_quality": (
         _orders(O.validate_trace_quality),
-        Q.with_orders("SELECT c.trace_id, c.span_id, 'clock_skew' AS issue FROM s c JOIN s p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE c.start_time < p.start_time OR c.end_time > p.end_time"),
+        # microseconds from the root's start; a child hangs from the root or from the item before it, and starts after it
+        "WITH i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn, CAST(l_quantity * 1000000 AS BIGINT) // 1000 AS us FROM lineitem), "
+        "k AS (SELECT *, 20000 * rn + us AS ends, lag(20000 * rn + us) OVER (PARTITION BY l_orderkey ORDER BY rn) AS before FROM i) "
+        "SELECT 't' || l_orderkey AS trace_id, 'l' || l_orderkey || '-' || rn AS span_id, 'clock_skew' AS issue FROM k JOIN orders ON l_orderkey = o_orderkey WHERE ends > CASE WHEN rn % 3 = 1 THEN CAST(round(o_totalprice * 1000) AS BIGINT) // 1000 ELSE before END",
     ),
     "validate_trace": (
         _orders(lambda s: O.validate_trace(s, max_spans=12, max_ms=300)),
@@ -124,6 +134,17 @@ QUERIES = {
         _orders(O.latency_anomalies),
         Q.with_orders("g AS (SELECT name, avg(ms) AS m, coalesce(stddev_samp(ms), 0.0) AS sd FROM s GROUP BY 1), j AS (SELECT *, (ms - m) / sd AS z FROM s JOIN g USING (name) WHERE sd > 0) SELECT trace_id, span_id, name, round(ms, 3) AS duration_ms, round(z, 2) AS z_score, CASE WHEN z > 0 THEN 'slow' ELSE 'fast' END AS anomaly_type FROM j WHERE abs(z) > 2 AND ms > 50"),
     ),
+    "anomalies_against_baselines": (
+        lambda spark, d: O.anomalies_against_baselines(spans_from_orders(spark, d), customer_sets(spark, d), 1.5, 20),
+        Q.with_orders(
+            f"sets AS (SELECT * FROM (SELECT 't' || o_orderkey AS target_trace_id, unnest([lag(o_orderkey, 1) OVER w, lag(o_orderkey, 2) OVER w, lag(o_orderkey, 3) OVER w]) AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE b IS NOT NULL), "
+            f"wh AS (SELECT trace_id, {_TRACE_MS} AS ms FROM s GROUP BY 1), "
+            "r AS (SELECT target_trace_id, 'trace' AS level, CAST(NULL AS VARCHAR) AS span_id, CAST(NULL AS VARCHAR) AS name, wh.ms, m, sd FROM wh JOIN (SELECT target_trace_id, avg(ms) AS m, coalesce(stddev_samp(ms), 0.0) AS sd FROM sets JOIN wh ON trace_id = 't' || b GROUP BY 1) ON trace_id = target_trace_id "
+            "UNION ALL SELECT target_trace_id, 'span', s.span_id, s.name, s.ms, m, sd FROM s JOIN (SELECT target_trace_id, name, avg(ms) AS m, coalesce(stddev_samp(ms), 0.0) AS sd FROM sets JOIN s ON trace_id = 't' || b GROUP BY 1, 2) g ON trace_id = target_trace_id AND s.name = g.name), "
+            "z AS (SELECT *, CASE WHEN sd > 0 THEN (ms - m) / sd WHEN ms > m THEN 100.0::DOUBLE WHEN ms < m THEN -100.0::DOUBLE ELSE 0.0::DOUBLE END AS z FROM r) "
+            "SELECT target_trace_id, level, span_id, name, round(ms, 3) AS duration_ms, round(m, 3) AS baseline_mean_ms, round(sd, 3) AS baseline_stdev_ms, round(z, 2) AS z_score, abs(z) > 1.5 AS is_anomaly, CASE WHEN abs(z) > 1.5 THEN CASE WHEN z > 0 THEN 'slow' ELSE 'fast' END END AS anomaly_type FROM z WHERE level = 'trace' OR abs(z) > 1.5 AND ms > 20"
+        ),
+    ),
     "critical_path_longest_child": (_orders(T.critical_path_longest_child), Q.with_orders(f"{_LONGEST} SELECT * FROM cp").replace("WITH ", "WITH RECURSIVE ", 1)),
     "critical_path_blocking": (
         _orders(_blocking),
