@@ -9,10 +9,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracelake.queries import documents, faults, fleet, more, plans, ranges, signals, traces
+from tracelake.queries import documents, faults, fleet, more, plans, ranges, rollups, signals, traces
 
 SF = "/root/testdata/sf0.001"
-ALL = fleet.QUERIES | traces.QUERIES | signals.QUERIES | documents.QUERIES | plans.QUERIES | faults.QUERIES | more.QUERIES | ranges.QUERIES
+ALL = fleet.QUERIES | traces.QUERIES | signals.QUERIES | documents.QUERIES | plans.QUERIES | faults.QUERIES | more.QUERIES | ranges.QUERIES | rollups.QUERIES
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 
 

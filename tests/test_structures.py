@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import quantiles
-from tracelake.operators import graph, logs, metrics, tree
+from tracelake.operators import cluster, correlate, graph, logs, metrics, rollup, traces, tree
 from tracelake.schema import SPAN_SCHEMA
 from tracelake.sources import readers
 
@@ -280,3 +280,79 @@ def test_sketches_and_exact_percentiles_agree_within_the_bound(spark):
     a, b = ({x["k"]: x for x in quantiles.summarise(df, ["k"], [F.count("*").alias("n")], picks, exact=e).collect()} for e in (False, True))
     for k in a:
         assert a[k]["n"] == b[k]["n"] and all(abs(a[k][p] - b[k][p]) <= 50_000 * 2 / quantiles.ACCURACY for p in picks)
+
+
+# ranges, rollups, layout, baselines
+
+
+def test_ranges_of_any_length_go_to_two_buckets(spark):
+    r = random.Random(12)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    points = [(r.choice("ab"), at(r.uniform(0, 1e6)), k) for k in range(400)]
+    ranges = [("a", at(x), at(x + r.choice([0, 1, 50, 3_000, 400_000, 2_000_000])), k) for k, x in enumerate(r.uniform(-1e5, 1e6) for _ in range(200))] + [("a", at(5), at(1), 900), ("a", None, at(1), 901)]
+    p, q = spark.createDataFrame(points, "k string, ts timestamp_ntz, p int"), spark.createDataFrame(ranges, "k string, x timestamp_ntz, y timestamp_ntz, r int")
+    joined = correlate.range_join(p, "ts", q, "x", "y", ["k"], 10)
+    got = Counter((x["p"], x["r"]) for x in joined.collect())
+    assert got == Counter((i, j) for k, t, i in points for m, x, y, j in ranges if k == m and x is not None and x <= t <= y)
+    assert correlate.range_join(p, "ts", q.limit(0), "x", "y", ["k"], 10).count() == 0
+
+
+def test_percentiles_from_merged_buckets_are_within_the_bound(spark):
+    n = 60_000
+    ms = (F.pmod(F.col("id") * 7919, F.lit(n))).cast("double")
+    df = spark.range(n).select(
+        F.concat(F.lit("t"), F.col("id") % 1000).alias("trace_id"), F.lit(None).cast("string").alias("parent_span_id"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") % 48).cast("int"))).alias("start_time"),
+        (ms * 1_000_000).cast("long").alias("duration_nano"), F.struct(F.when(F.col("id") % 4 == 0, 2).otherwise(1).alias("code")).alias("status"), F.struct(F.create_map(F.lit("service.name"), F.lit("a")).alias("attributes")).alias("resource"),
+    )
+    parts = rollup.rollup(df)
+    assert parts.count() == 48
+    row = rollup.metrics(parts, "2024-01-03 00:00:00", 48).first()
+    assert (row["request_count"], row["error_count"], row["error_rate_pct"], row["max_ms"]) == (n, n // 4, 25.0, n - 1.0)
+    for name, p in (("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)):
+        assert abs(row[name] - p * n) <= rollup.RANK_ERROR * n
+    assert abs(row["traces_estimate"] - 1000) < 100
+    day = rollup.metrics(parts, "2024-01-02 00:00:00", 12).first()
+    assert day["request_count"] == n // 4
+    trend = rollup.trend_changes(parts, "2024-01-03 00:00:00", 48, "p95", bucket_hours=6).collect()
+    assert len(trend) == 8 and all(abs(x["value"] - 0.95 * n) <= 2 * rollup.RANK_ERROR * n + 100 for x in trend)
+    both = {x["period"]: x for x in rollup.compare_periods(parts, "2024-01-03 00:00:00", (48, 24), (24, 0)).collect()}
+    assert both["baseline"]["p95_delta_ms"] is None and both["anomaly"]["error_rate_delta"] == 0
+    with pytest.raises(ValueError):
+        rollup.metrics(parts, "2024-01-03 00:30:00", 48)
+    with pytest.raises(ValueError):
+        rollup.trend_changes(parts, "2024-01-03 00:00:00", 48, rollup_hours=4, bucket_hours=6)
+
+
+def test_written_spans_are_pruned_by_day_and_joined_without_an_exchange(spark, make):
+    spark.sql("DROP TABLE IF EXISTS laid_out_spans")
+    rows = [span(f"t{k % 40}", f"s{k}", None, "n", 86_400_000 * (k % 3), 86_400_000 * (k % 3) + 5) for k in range(400)]
+    readers.write_spans(make(*rows), "laid_out_spans", 4)
+    table = spark.table("laid_out_spans")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(table.groupBy("trace_id").count())
+    a, b = table.select("trace_id", "span_id"), table.select("trace_id", F.col("span_id").alias("other"))
+    assert "Exchange" not in plan(a.hint("merge").join(b, "trace_id"))
+    day = readers.spans_between(spark, "laid_out_spans", "2024-01-02 00:00:00", "2024-01-02 12:00:00")
+    assert "PartitionFilters: [isnotnull(start_date" in plan(day) and "2024-01-02" in plan(day)
+    assert sorted(x["span_id"] for x in day.collect()) == sorted(f"s{k}" for k in range(400) if k % 3 == 1)
+    assert sorted(tuple(x) for x in table.drop("start_date").select("trace_id", "span_id").collect()) == sorted((x[0], x[1]) for x in rows)
+    spark.sql("DROP TABLE laid_out_spans")
+
+
+def test_a_target_is_no_part_of_its_baseline(spark, make):
+    rows = [span(f"b{k}", f"b{k}r", None, "call", 0, 100 + k % 2) for k in range(4)] + [span("t", "tr", None, "call", 0, 400), span("t", "tc", "tr", "new", 0, 90)]
+    rows += [span("u", "ur", None, "call", 0, 100), span("v", "vr", None, "same", 0, 60), span("w", "wr", None, "same", 0, 70)]
+    sets = spark.createDataFrame([("t", f"b{k}") for k in range(4)] + [("t", "t"), ("t", "b0"), ("u", "b0"), ("w", "v"), ("x", "b0")], "target_trace_id string, baseline_trace_id string")
+    got = {(x["target_trace_id"], x["level"], x["name"]): x for x in traces.anomalies_against_baselines(make(*rows), sets).collect()}
+    assert set(got) == {("t", "trace", None), ("t", "span", "call"), ("u", "trace", None), ("w", "trace", None), ("w", "span", "same")}
+    assert got["t", "trace", None]["is_anomaly"] and got["t", "trace", None]["z_score"] == pytest.approx((400 - 100.5) / (1 / 3) ** 0.5, abs=0.01)
+    assert not got["u", "trace", None]["is_anomaly"] and got["w", "trace", None]["z_score"] == 100.0 and got["w", "span", "same"]["anomaly_type"] == "slow"
+
+
+def test_disks_by_used_and_total_and_one_verdict_on_memory(spark):
+    points = spark.createDataFrame([("n", "disk_used", T0, 50.0), ("n", "disk_used", T0 + dt.timedelta(hours=1), 96.0), ("n", "disk_total", T0, 100.0), ("m", "disk_used", T0, 9.0), ("m", "cpu", T0, 0.9), ("k", "disk_total", T0, 0.0), ("k", "disk_used", T0, 1.0)], "node string, metric string, ts timestamp_ntz, value double")
+    assert {(x["node"], x["condition"], x["severity"]) for x in cluster.node_conditions(points).collect()} == {("n", "DISK_PRESSURE", "CRITICAL"), ("m", "CPU_PRESSURE", "WARNING")}
+    logs_of = spark.createDataFrame([(T0, "pod was OOMKilled", ({"pod_name": "p"},))], "timestamp timestamp_ntz, body string, resource struct<attributes:map<string,string>>")
+    pods = spark.createDataFrame([("a", "p", "c", 0.9)], "namespace string, pod string, container string, value double")
+    report = lambda logs, points: cluster.oom_report(logs, F.col("body"), points).first()["severity"]
+    assert (report(logs_of, pods), report(logs_of.limit(0), pods), report(logs_of.limit(0), pods.limit(0))) == ("CRITICAL", "WARNING", "NORMAL")

@@ -17,12 +17,20 @@ def _seconds(col: Column) -> Column:
 
 
 def range_join(points: DataFrame, point_ts: str, ranges: DataFrame, start: str, end: str, keys: list[str], bucket_seconds: int) -> DataFrame:
-    """points ⋈ ranges on keys with start <= point_ts <= end. Each range goes to every bucket it touches, each point to its
-    own; choose buckets about as long as the ranges. Start, end and point_ts are timestamp columns."""
-    first, last = (F.floor(_seconds(F.col(c)) / bucket_seconds) for c in (start, end))
-    spread = ranges.filter(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(first, last)))
-    dealt = points.withColumn("_bucket", F.floor(_seconds(F.col(point_ts)) / bucket_seconds))
-    return dealt.join(spread, [*keys, "_bucket"]).filter((F.col(point_ts) >= F.col(start)) & (F.col(point_ts) <= F.col(end))).drop("_bucket")
+    """points ⋈ ranges on keys with start <= point_ts <= end, as a hash join. Start, end and point_ts are timestamp columns.
+
+    A range goes to buckets about as long as itself (bucket_seconds, doubled until they are), so to two of them at most, however
+    long it is. A point goes to its bucket of each length that ranges have: one where they are alike, a few dozen if some
+    last milliseconds and others years. A range whose end is before its start, or unknown, meets nothing.
+    """
+    long = _seconds(F.col(end)) - _seconds(F.col(start))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(long, F.lit(1e-6)) / bucket_seconds))).cast("int")
+    known = ranges.filter(F.col(start) <= F.col(end)).withColumn("_level", level)
+    levels = sorted(r[0] for r in known.select("_level").distinct().collect())
+    bucket = lambda c: F.floor(_seconds(F.col(c)) / (bucket_seconds * F.pow(F.lit(2.0), F.col("_level"))))
+    spread = known.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    dealt = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_bucket", bucket(point_ts))
+    return dealt.join(spread, [*keys, "_level", "_bucket"]).filter((F.col(point_ts) >= F.col(start)) & (F.col(point_ts) <= F.col(end))).drop("_level", "_bucket")
 
 
 def _shift(col: Column, seconds: float) -> Column:

@@ -152,15 +152,15 @@ def _merged_sql(rows: str, group: str, out: str) -> str:
     )
 
 
-def _template_sql(where: str, n: str, source: str = "m0") -> str:
+def _template_sql(where: str, n: str, source: str = "m0", lead: int = 2, many: int = 10) -> str:
     """The stages of template_patterns, as tables with suffix n."""
     return (
         f"d{n} AS (SELECT m, list_filter(regexp_split_to_array(m, '\\s+'), lambda t: t <> '') AS tk FROM (SELECT DISTINCT m FROM {source} WHERE {where})), "
-        f"l{n} AS (SELECT m, tk, len(tk) || chr(1) || array_to_string(list_transform(tk[1:2], lambda t: CASE WHEN regexp_matches(t, '\\d') THEN '<*>' ELSE t END), chr(1)) AS lead FROM d{n}), "
+        f"l{n} AS (SELECT m, tk, len(tk) || chr(1) || array_to_string(list_transform(tk[1:{lead}], lambda t: CASE WHEN regexp_matches(t, '\\d') THEN '<*>' ELSE t END), chr(1)) AS lead FROM d{n}), "
         f"{_shared_sql(f'l{n}', 'lead', 'm', 0.4, f'1{n}')}, f{n} AS (SELECT m, tk, lead, coalesce(key, chr(2) || m) AS key FROM l{n} LEFT JOIN key1{n} ON i = m), {_merged_sql(f'f{n}', 'lead, key', f'1{n}')}, "
         f"o{n} AS (SELECT m, array_to_string(coalesce(shape, tk), ' ') AS template, coalesce(shape, tk) AS tk FROM f{n} LEFT JOIN mg1{n} USING (lead, key)), h{n} AS (SELECT DISTINCT template, tk, len(tk) AS size FROM o{n}), "
         f"{_shared_sql(f'h{n}', 'size', 'template', 0.6, f'2{n}')}, c{n} AS (SELECT template, tk, size, key FROM h{n} JOIN key2{n} ON i = template), {_merged_sql(f'c{n}', 'size, key', f'2{n}')}, "
-        f"w{n} AS (SELECT template, array_to_string(shape, ' ') AS wider FROM c{n} JOIN mg2{n} USING (size, key) WHERE parts >= 10), n{n} AS (SELECT m, coalesce(wider, template) AS template FROM o{n} LEFT JOIN w{n} USING (template)), "
+        f"w{n} AS (SELECT template, array_to_string(shape, ' ') AS wider FROM c{n} JOIN mg2{n} USING (size, key) WHERE parts >= {many}), n{n} AS (SELECT m, coalesce(wider, template) AS template FROM o{n} LEFT JOIN w{n} USING (template)), "
         f"t{n} AS (SELECT substr(md5(template), 1, 8) AS pattern_id, template, count(*) AS count, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'INFO') AS infos FROM {source} JOIN n{n} USING (m) WHERE {where} GROUP BY 1, 2)"
     )
 

@@ -120,5 +120,25 @@ def alerts_with_policy(alerts: DataFrame, policies: DataFrame, state: str | None
     return df.join(flat, "policy_name", "left").orderBy(F.desc("open_time"))
 
 
-def write_result(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
-    df.write.mode(mode).format(kind).save(path)
+def write_result(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
+    writer = df.write.mode(mode).format(kind)
+    (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+
+
+#: The column that span tables are partitioned by: the day on which a span starts.
+SPAN_DATE = "start_date"
+
+
+def write_spans(spans: DataFrame, table: str, buckets: int = 64, mode: str = "errorifexists") -> None:
+    """Spans as a catalogue table by day of their start, in buckets of their trace's id. Joins and groupings by trace id then
+    need no exchange, and a time window reads its days alone. Spans are dealt to their bucket's task first, so a day has one
+    file a bucket. Choose buckets so that one of a day holds some hundred megabytes."""
+    dealt = spans.withColumn(SPAN_DATE, F.to_date("start_time")).repartition(buckets, "trace_id")
+    dealt.write.mode(mode).format("parquet").partitionBy(SPAN_DATE).bucketBy(buckets, "trace_id").sortBy("trace_id").saveAsTable(table)
+
+
+def spans_between(spark: SparkSession, table: str, start: str, end: str) -> DataFrame:
+    """Spans of a table that ``write_spans`` wrote which start in [start, end); other days are not read."""
+    a, b = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+    df = spark.table(table).filter((F.col(SPAN_DATE) >= F.to_date(a)) & (F.col(SPAN_DATE) <= F.to_date(b)))
+    return df.filter((F.col("start_time") >= a) & (F.col("start_time") < b)).drop(SPAN_DATE)
