@@ -356,3 +356,34 @@ def test_disks_by_used_and_total_and_one_verdict_on_memory(spark):
     pods = spark.createDataFrame([("a", "p", "c", 0.9)], "namespace string, pod string, container string, value double")
     report = lambda logs, points: cluster.oom_report(logs, F.col("body"), points).first()["severity"]
     assert (report(logs_of, pods), report(logs_of.limit(0), pods), report(logs_of.limit(0), pods.limit(0))) == ("CRITICAL", "WARNING", "NORMAL")
+
+
+def test_edges_inside_strongly_connected_components(spark):
+    r = random.Random(14)
+    for n, m in ((12, 20), (30, 40), (8, 30), (40, 30)):
+        edges = {(f"v{r.randrange(n):02}", f"v{r.randrange(n):02}") for _ in range(m)}
+        edges = {(a, b) for a, b in edges if a != b}
+        out = defaultdict(set)
+        for a, b in edges:
+            out[a].add(b)
+
+        def reach(a):
+            seen, todo = set(), [a]
+            while todo:
+                for y in out[todo.pop()] - seen:
+                    seen.add(y)
+                    todo.append(y)
+            return seen
+
+        got = [tuple(x) for x in graph._inside_components(spark.createDataFrame(sorted(edges), "source string, target string")).collect()]
+        assert sorted(got) == sorted((a, b) for a, b in edges if a in reach(b))
+
+
+def test_places_of_equal_values_are_told_by_the_tie(spark):
+    r = random.Random(15)
+    rows = [(r.choice(["a", None]), r.randrange(6), f"{k:03}") for k in range(200)] + [("a", None, "x")]
+    got = {(x["k"], x["t"]): (x["_place"], x["_all"]) for x in quantiles.ranked(spark.createDataFrame(rows, "k string, v int, t string"), ["k"], "v", "t").collect()}
+    for key in ("a", None):
+        own = sorted((v, t) for k, v, t in rows if k == key and v is not None)
+        assert [got[key, t] for _, t in own] == [(i + 1, len(own)) for i in range(len(own))]
+    assert len(got) == 200

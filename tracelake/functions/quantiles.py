@@ -48,6 +48,17 @@ def running_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return own.join(starts, on).select(*[own[k] for k in keys], own[value], "_n", (F.col("_before") + F.col("_inside")).alias("_upto"), "_all")
 
 
+def ranked(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
+    """Rows that have the value with their place (_place, from 1) in their group by it, equal ones by ``tie``, and the group's
+    rows (_all). Only rows with the same value are ordered in one task."""
+    counts = running_counts(df, keys, value).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_value"), (F.col("_upto") - F.col("_n")).alias("_before"), "_all")
+    on = df[value] == F.col("_value")
+    for i, k in enumerate(keys):
+        on = on & df[k].eqNullSafe(F.col(f"_k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, value).orderBy(tie))
+    return df.join(counts, on).withColumn("_place", F.col("_before") + inside).drop(*[f"_k{i}" for i in range(len(keys))], "_value", "_before")
+
+
 @dataclass(frozen=True)
 class _Pick:
     """A percentile by name: of a column, of a kind (floor, continuous or discrete), at a share."""

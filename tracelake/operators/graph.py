@@ -11,6 +11,10 @@ from ..functions.lineage import cut
 from ..functions.quantiles import summarise
 
 
+#: Pairs of services up to which cycles are looked for in all of them: finding components first takes a dozen jobs.
+FEW_EDGES = 20_000
+
+
 def _call_facts() -> list[Column]:
     return [F.count("*").alias("call_count"), F.round(F.avg("ms"), 2).alias("avg_latency_ms"), F.round(F.count_if("is_error") / F.count("*") * 100, 2).alias("error_rate_pct")]
 
@@ -80,9 +84,51 @@ def upstream_downstream(spans: DataFrame, service: str, depth: int = 3) -> DataF
     return parts[0].unionByName(parts[1]).orderBy("direction", "depth", F.desc("calls"), "path")
 
 
+def _inside_components(pairs: DataFrame) -> DataFrame:
+    """The edges that lie on a cycle: those whose ends are in one strongly connected component.
+
+    Edges of services that nothing calls or that call nothing are trimmed until none is left. Of the rest each service gets
+    the greatest name that reaches it as its colour; from the service of that name, what reaches it back within its colour is
+    its component. Components are taken out, and the rest is gone through again.
+    """
+    left, kept = pairs, []
+    while True:
+        n = left.count()
+        while n:  # trim
+            left = cut(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+            n, before = left.count(), n
+            if n == before:
+                break
+        if not n:
+            break
+        colours, changed = cut(left.select(F.col("source").alias("v")).union(left.select("target")).distinct().withColumn("c", F.col("v"))), True
+        while changed:
+            passed = left.join(colours, left["source"] == colours["v"]).groupBy(F.col("target").alias("t")).agg(F.max("c").alias("up"))
+            new = cut(colours.join(passed, colours["v"] == passed["t"], "left").select("v", F.greatest("c", "up").alias("c"), (F.coalesce("up", "c") > F.col("c")).alias("moved")))
+            changed, colours = not new.filter("moved").isEmpty(), new.select("v", "c")
+        name = lambda x: colours.select(F.col("v").alias(x), F.col("c").alias(f"c_{x}"))
+        same = cut(left.join(name("source"), "source").join(name("target"), "target").filter("c_source = c_target").select("source", "target", F.col("c_source").alias("c")))
+        member = colours.filter("v = c")
+        level = member
+        while not level.isEmpty():  # against the edges, from the service that gave the colour its name
+            back = same.join(level.select(F.col("v").alias("target"), F.lit(True).alias("hit")), "target").select(F.col("source").alias("v"), "c").distinct()
+            level = cut(back.join(member, "v", "left_anti"))
+            member = cut(member.unionByName(level))
+        own = lambda x: member.select(F.col("v").alias(x), F.col("c").alias(f"c_{x}"))
+        kept.append(same.join(own("source"), "source").join(own("target"), "target").select("source", "target"))
+        gone = member.select("v")
+        left = cut(left.join(gone, left["source"] == gone["v"], "left_anti").join(gone, left["target"] == gone["v"], "left_anti"))
+    found = pairs.filter("false").select("source", "target")
+    for x in kept:
+        found = found.unionByName(x)
+    return cut(found)
+
+
 def circular_dependencies(spans: DataFrame, max_length: int = 4) -> DataFrame:
-    """Each directed cycle of two to max_length services once, written from its smallest service on."""
+    """Each directed cycle of two to max_length services once, written from its smallest service on. Of a graph with more than
+    FEW_EDGES pairs of services only edges inside a strongly connected component are joined."""
     pairs = cut(service_pairs(spans).select("source", "target"))
+    pairs = pairs if pairs.count() <= FEW_EDGES else _inside_components(pairs)
     level = pairs.filter("target > source").select(F.col("source").alias("first"), F.col("target").alias("last"), F.array("source", "target").alias("path"))
     out = None
     for n in range(2, max_length + 1):

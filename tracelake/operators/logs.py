@@ -152,9 +152,9 @@ def message_templates(messages: DataFrame, lead: int = 2, similarity: float = 0.
     tokens = F.filter(F.split("m", r"\s+"), lambda t: t != "")
     head = F.transform(F.slice("tokens", 1, lead), lambda t: F.when(t.rlike(r"\d"), "<*>").otherwise(t))
     keyed = cut(messages.select("m", tokens.alias("tokens")).withColumn("lead", F.concat_ws("\u0001", F.size("tokens"), head)))
-    found = keyed.join(_shared_key(keyed, ["lead"], "m", similarity), "m", "left")
-    found = found.withColumn("key", F.coalesce("key", F.concat(F.lit("\u0002"), "m")))
-    first = cut(found.join(_merged(found, ["lead", "key"]).drop("parts"), ["lead", "key"], "left").select("m", F.coalesce("shape", "tokens").alias("tokens")))
+    found = cut(keyed.join(_shared_key(keyed, ["lead"], "m", similarity), "m", "left"))
+    shapes = _merged(found.filter("key is not null"), ["lead", "key"]).drop("parts")
+    first = cut(found.join(shapes, ["lead", "key"], "left").select("m", F.coalesce("shape", "tokens").alias("tokens")))
     shapes = first.select("tokens").distinct().withColumn("template", F.array_join("tokens", " ")).withColumn("size", F.size("tokens"))
     common = shapes.join(_shared_key(shapes, ["size"], "template", across).filter("key is not null"), "template")
     wide = common.join(_merged(common, ["size", "key"]).filter(F.col("parts") >= many), ["size", "key"]).select("template", F.array_join("shape", " ").alias("wider"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.lineage import cut
-from ..functions.quantiles import percentiles, quantile
+from ..functions.quantiles import percentiles, quantile, ranked
 from .tree import depths, slim
 
 # Words in span names and labels that speak of retries, timeouts and connection pools.
@@ -257,11 +257,10 @@ def trace_patterns(spans: DataFrame, top: int = 5) -> DataFrame:
 
 
 def trace_trend(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group of root spans, whether the later half (by start) is over 15 % slower or faster than the earlier one."""
-    df = C.root_spans(spans).select(*keys, "start_time", "trace_id", C.ms().alias("ms"))
-    w = Window.partitionBy(*keys).orderBy("start_time", "trace_id")
-    half = F.floor(F.count("*").over(Window.partitionBy(*keys)) / 2)
-    df = df.withColumn("early", F.row_number().over(w) <= half)
+    """Per group of root spans, whether the later half (by start) is over 15 % slower or faster than the earlier one. Spans
+    without a start are left out."""
+    df = cut(C.root_spans(spans).select(*keys, "start_time", "trace_id", C.ms().alias("ms")))
+    df = ranked(df, keys, "start_time", "trace_id").withColumn("early", F.col("_place") <= F.floor(F.col("_all") / 2))
     g = df.groupBy(*keys).agg(F.count("*").alias("traces"), F.avg(F.when(F.col("early"), F.col("ms"))).alias("a"), F.avg(F.when(~F.col("early"), F.col("ms"))).alias("b"))
     change = F.try_divide(F.col("b") - F.col("a"), F.col("a")) * 100
     return g.filter("traces >= 3").select(*keys, "traces", F.round(change, 2).alias("change_pct"), F.when(change > 15, "degrading").when(change < -15, "improving").otherwise("stable").alias("trend"))
@@ -289,8 +288,8 @@ def example_traces(spans: DataFrame) -> DataFrame:
     scored = df.join(stats, "service_name").withColumn("score", z + F.when(F.col("is_error"), 5).otherwise(0) + F.when(F.col("ms") > 3 * F.col("mean"), 2).otherwise(0))
     worst = scored.groupBy("service_name").agg(F.min(F.struct((-F.col("score")).alias("x"), "trace_id", "name", "ms", "score")).alias("a"), F.min(F.when(~F.col("is_error"), F.struct(F.abs(F.col("ms") - F.col("p50")).alias("x"), "trace_id", "ms"))).alias("near"), F.first("n").alias("n"))
     same = df.join(worst.select("service_name", F.col("a.name").alias("name"), F.col("a.ms").alias("top_ms")), ["service_name", "name"]).filter(F.col("ms") < 0.8 * F.col("top_ms"))
-    w = Window.partitionBy("service_name").orderBy("ms", "trace_id")
-    middle = same.withColumn("k", F.row_number().over(w) - 1).withColumn("m", F.count("*").over(Window.partitionBy("service_name"))).filter(F.col("k") == F.floor(F.col("m") / 2)).select("service_name", F.col("trace_id").alias("mid_id"), F.col("ms").alias("mid_ms"))
+    same = cut(same.select("service_name", "trace_id", "ms"))
+    middle = ranked(same, ["service_name"], "ms", "trace_id").filter(F.col("_place") - 1 == F.floor(F.col("_all") / 2)).select("service_name", F.col("trace_id").alias("mid_id"), F.col("ms").alias("mid_ms"))
     return worst.join(middle, "service_name", "left").select(
         "service_name", F.col("n").alias("traces"), F.col("a.trace_id").alias("anomaly_trace_id"), F.round("a.score", 3).alias("anomaly_score"), F.round("a.ms", 3).alias("anomaly_ms"),
         F.coalesce("mid_id", F.col("near.trace_id")).alias("baseline_trace_id"), F.round(F.coalesce("mid_ms", F.col("near.ms")), 3).alias("baseline_ms"),
