@@ -127,10 +127,12 @@ def _shared_key(rows: DataFrame, group: list[str], id_col: str, share: float) ->
     """
     at = rows.select(id_col, *group, F.size("tokens").alias("_size"), F.posexplode("tokens").alias("pos", "token")).filter("token <> '<*>'")
     known = at.groupBy(*group, "pos", "token").agg(F.count("*").alias("n")).filter("n > 1")
-    best = Window.partitionBy(id_col).orderBy(F.desc("n"), "pos")
-    ranked = at.join(known, [*group, "pos", "token"]).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= F.ceil(F.col("_size") * F.lit(share)))
-    key = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: F.concat_ws(":", x["pos"], x["token"])), "\u0001")
-    return ranked.groupBy(id_col).agg(F.first("_size").alias("_size"), F.count("*").alias("have"), key.alias("key")).select(id_col, F.when(F.col("have") >= F.ceil(F.col("_size") * F.lit(share)), F.col("key")).alias("key"))
+    # a message is a few hundred tokens at most, so its own are gathered in its row
+    each = at.join(known, [*group, "pos", "token"]).groupBy(id_col).agg(F.first("_size").alias("_size"), F.collect_list(F.struct((-F.col("n")).alias("rare"), "pos", "token")).alias("_at"))
+    enough = F.ceil(F.col("_size") * F.lit(share)).cast("int")
+    best = F.array_sort(F.transform(F.slice(F.array_sort("_at"), F.lit(1), enough), lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("token"))))
+    key = F.array_join(F.transform(best, lambda x: F.concat_ws(":", x["pos"], x["token"])), "\u0001")
+    return each.select(id_col, F.when(F.size("_at") >= enough, key).alias("key"))
 
 
 def _merged(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -174,8 +176,7 @@ def template_patterns(logs: DataFrame, message: str = "message", severity: str =
     base = logs.select(masked_text.alias("m"), F.col(message).alias("raw"), F.col(severity).alias("severity"), "timestamp", tag.alias("resource"))
     each = cut(base.groupBy("m", "severity", "resource").agg(F.count("*").alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.min(F.substring("raw", 1, 200)).alias("sample")))
     templates = message_templates(each.select("m").filter("m is not null").distinct(), **clustering)
-    named = each.join(templates, "m", "left").select(F.coalesce("template", F.lit("")).alias("template"), "severity", "resource", "n", "a", "b", "sample")
-    named = cut(named)
+    named = cut(each.join(templates, "m", "left").select(F.coalesce("template", F.lit("")).alias("template"), "severity", "resource", "n", "a", "b", "sample"))
     sev = named.groupBy("template", "severity").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
     out = sev.groupBy("template").agg(F.sum("n").alias("count"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("severity_counts"))
     out = beside(out, ["template"], least_values(named, ["template"], "sample", 5, "sample_messages"), least_values(named, ["template"], "resource", 5, "resources"))
