@@ -76,3 +76,25 @@ def test_repeated_rows_leave_one(spark, folder):
     docs = spark.read.parquet(f"{top}/documents.parquet").filter("doc_id < 3")
     out = pipeline.near_duplicates(spark, docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long"))), top)
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2]
+
+
+def test_stages_look_at_no_other_columns_and_read_long_texts(spark, folder):
+    top, kinds, passage = folder
+    r = random.Random(12)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(60_000))
+    more = spark.createDataFrame([(900, f"{long} {passage}", None, None, 1), (901, f"{long[:400_000]}", "en", "s1", 2), (None, long[1000:3000], "en", None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{top}/documents.parquet").unionByName(more)
+    clash = {c: F.lit("x") for c in ("_id", "_key", "_first", "text_key", "n_words", "kept", "language", "rejected", "_text", "id", "host")}
+    rows = lambda df: sorted(map(str, df.select(*pipeline.COLUMNS).collect()))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs.withColumns(clash), top)
+        assert out.columns == pipeline.COLUMNS
+        kept = {x["doc_id"]: x["text"] for x in out.collect()}
+        if name == "substring dedup":
+            assert passage not in kept[900] and kept[900].startswith(long[:100])
+        if name in ("quality rules", "SimHash near-dedup"):
+            assert kept[900].endswith(passage) and None in kept
+        if name == "language ID":
+            assert rows(out) == rows(stage(spark, docs, top))
+    packed = pipeline.pack(spark, docs.withColumns(clash), top)
+    assert {x["doc_id"] for x in packed.select("doc_id").distinct().collect()} == {*kinds, 900, 901, None}
