@@ -70,10 +70,10 @@ def lineage(
     nodes = spans.filter("trace_id is not null").select("trace_id", named, "parent_span_id", *own).groupBy("trace_id", "span_id").agg(facts).select("trace_id", "span_id", "f.parent_span_id", *[f"f.{c}" for c in own])
     on = (F.col("up.trace_id") == F.col("down.trace_id")) & (F.col("up.span_id") == F.col("down.parent_span_id"))
     top = F.col("up.span_id").isNull()
-    linked, of_root = link("up.", "down."), {c: x for c, x in first.items()}
+    linked = link("up.", "down.")
     begun = nodes.alias("down").join(nodes.alias("up"), on, "left").select(
         "down.trace_id", "down.span_id", F.col("up.span_id").alias("above"), F.when(top, F.col("down.span_id")).alias("root_id"), F.when(top, 0).otherwise(1).alias("depth"),
-        *[F.col(f"down.{c}").alias(c) for c in own], *[F.when(top, of_root[c]).otherwise(linked[c]).alias(c) for c in of_root],
+        *[F.col(f"down.{c}").alias(c) for c in own], *[F.when(top, x).otherwise(linked[c]).alias(c) for c, x in first.items()],
     )
     table = cut(begun)
     done, jumps = [], []
@@ -90,7 +90,7 @@ def lineage(
         on = (F.col("up.trace_id") == F.col("down.trace_id")) & (F.col("up.span_id") == F.col("down.above"))
         joined = join("up.", "down.")
         table = cut(live.alias("down").join(every.alias("up"), on).select(
-            "down.trace_id", "down.span_id", "up.above", "up.root_id", (F.col("up.depth") + F.col("down.depth")).alias("depth"), *[F.col(f"down.{c}").alias(c) for c in own], *[joined[c].alias(c) for c in of_root],
+            "down.trace_id", "down.span_id", "up.above", "up.root_id", (F.col("up.depth") + F.col("down.depth")).alias("depth"), *[F.col(f"down.{c}").alias(c) for c in own], *[joined[c].alias(c) for c in first],
         ))
     found = done[0]
     for x in done[1:]:
