@@ -106,6 +106,42 @@ def test_a_collision_of_contents_is_noticed(spark):
         _repeats.repeated_spans(source, weak, *args, verify=True).collect()
 
 
+@pytest.mark.parametrize("module", [substring_bytes, substring_words])
+@pytest.mark.parametrize("verify", [False, True])
+def test_windows_of_a_hot_anchor_spread_over_shards(spark, module, verify):
+    """A passage that all texts share leaves open windows at its ends in each of them. They are dealt by what they hold: no
+    shard gets more than its share, and the same repeats are found as when an anchor's windows stay together."""
+    r = random.Random(15)
+    passage, tails = word_list(r, 70), [word_list(r, 60) for _ in range(40)]
+    rows = [(k, " ".join([*word_list(r, 60), *passage, *(tails[k % 40] if k % 3 else word_list(r, 60))])) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16, "doc_id")
+    source = _repeats.with_twins(docs, "doc_id", "text")
+    args = (source, module.regions, module.cut_out, module.part, module.repeated, verify)
+
+    def windows(hot):
+        held = Counter()
+        for row in _repeats.opened(*args, hot=hot).select("shard", "blob").collect():
+            held[row["shard"]] += int(T.unpack(row["blob"]).get("count", np.zeros(1)).sum())
+        return held
+
+    def found(hot):
+        out = set()
+        for row in _repeats.repeated_spans(*args, hot=hot).collect():
+            a, b = _repeats.merged(np.array(row["spans"]))
+            out |= {(row["at"], x, y) for x, y in zip(a.tolist(), b.tolist())}
+        return out
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        together, spread = windows(1 << 40), windows(50)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    share = sum(spread.values()) / 32
+    assert max(spread.values()) < 1.5 * share and max(together.values()) > 3 * share
+    assert found(50) == found(1 << 40) and len(found(50)) >= 1999
+
+
 def test_wrong_window_hashes_are_verified(monkeypatch):
     """Prefix hashes that are all equal make every suffix look alike; bytes decide."""
     contents, size = b"", []

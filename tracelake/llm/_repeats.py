@@ -16,9 +16,11 @@ Neighbouring windows with the same anchor occurrence form a region. Then:
    with an error: then two contents have the same hash.
 
 Hot passages are combined in the task that reads them before anything is shuffled, so a shard gets one record
-for each task and region, and one content for each task and open window. Only where a hot passage ends does a shard get
-a record (some 15 bytes) of every document that has it. The texts are shuffled once; cutting the spans out uses the
-same shuffle.
+for each task and region, and one content for each task and open window. Where a hot passage ends, its anchor has open
+windows in every document that has the passage: the windows of an anchor with more than ``HOT`` of them are dealt one by
+one, by the hash of what they hold, so that they spread over all shards and only equal ones meet. The small record (some
+25 bytes) of the region there still goes to the anchor's shard from each of these documents. The texts are shuffled once;
+cutting the spans out uses the same shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ from . import _text as T
 from ._store import shards
 
 WINDOW = 50
+#: Open windows (with ``verify``, regions to be verified as well) from which on those of one anchor are dealt by content.
+HOT = 1 << 13
 _SHARD = "shard int, blob binary"
 _FOUND = "at long, twin long, key long, span long"
 _SETTLED = "at long, twin long, span long"
@@ -139,9 +144,11 @@ def _shared(doc: np.ndarray, among: np.ndarray, *keys: np.ndarray) -> np.ndarray
 
 #: Marks of a lead: the region is to be equal to that of a smaller document, or is the one that others are to equal.
 _MEMBER, _HEAD = 1 << 15, 1 << 14
+#: Mark of a lead: the region's anchor has more than HOT open windows.
+_MANY = 1 << 13
 
 
-def _meet(table: pa.Table, verify: bool) -> pa.Table:
+def _meet(table: pa.Table, verify: bool, hot: int) -> pa.Table:
     """One shard: spans of whole repeats (key null), and the open windows of least documents (key: their anchor). To verify,
     whole repeats and the regions that they repeat are asked for as well."""
     parts = [T.unpack(b.as_py()) for b in table.column("blob")]
@@ -156,17 +163,21 @@ def _meet(table: pa.Table, verify: bool) -> pa.Table:
         group = _runs(anchor, content)
         whole = doc > doc[np.flatnonzero(np.diff(group, prepend=-1))][group]
         key = anchor.astype(np.int64) | (int(table.column("shard")[0].as_py()) << 32)
-        if verify:
-            c = np.flatnonzero(np.bincount(group, whole)[group] > 0)
-            out.append(_found(doc[c], twin[c], _spans(first[c], ((lead[c] | np.where(whole[c], _MEMBER, _HEAD)) << 16) | count[c]), key[c]))
-        else:
-            out.append(_found(doc[whole], twin[whole], _spans(first[whole], first[whole] + count[whole] + WINDOW - 1)))
+        checked = (np.bincount(group, whole)[group] > 0) & verify
         by_left = _shared(doc, ~whole & (lead >= half), left, anchor)
         by_right = _shared(doc, ~whole & (lead - count < half - 1), right, anchor)
         turn = np.clip(lead - half + 1, 0, count)  # windows before this one are left
         low, high = np.where(by_left, 0, turn), np.where(by_right, count, turn)
-        o = np.flatnonzero((by_left | by_right) & (low < high))
-        span = _spans(first[o] + low[o], ((lead[o] - low[o]) << 16) | (high[o] - low[o]))
+        some = (by_left | by_right) & (low < high)
+        place = _runs(anchor)
+        many = np.where((np.bincount(place, np.where(some, high - low, 0)) + np.bincount(place, checked))[place] > hot, _MANY, 0)
+        if verify:
+            c = np.flatnonzero(checked)
+            out.append(_found(doc[c], twin[c], _spans(first[c], ((lead[c] | many[c] | np.where(whole[c], _MEMBER, _HEAD)) << 16) | count[c]), key[c]))
+        else:
+            out.append(_found(doc[whole], twin[whole], _spans(first[whole], first[whole] + count[whole] + WINDOW - 1)))
+        o = np.flatnonzero(some)
+        span = _spans(first[o] + low[o], ((lead[o] - low[o] | many[o]) << 16) | (high[o] - low[o]))
         out.append(_found(doc[o], twin[o], span, key[o]))
     return pa.concat_tables(out)
 
@@ -208,15 +219,10 @@ def _compare(table: pa.Table, repeated: Callable) -> pa.Table:
     return pa.table({"at": pa.array(doc), "twin": pa.array(twin), "span": pa.array(span)})
 
 
-def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part: Callable, repeated: Callable, verify: bool = False) -> DataFrame:
-    """(at, twin, spans) of the rows of ``source`` (by with_twins) that have repeats.
-
-    cut_out(text bytes, first, windows) gives the contents of regions, part(content, first, windows) a content's part for
-    some of its windows; repeated(key, doc, count, lead, contents, sizes) gives the regions' numbers and, in units from
-    each region's first, the spans that repeat.
-    """
+def opened(source: DataFrame, regions: Regions, cut_out: Callable, part: Callable, repeated: Callable, verify: bool = False, hot: int = HOT) -> DataFrame:
+    """What has to be compared over all tasks, and what tasks have settled, as packed records for shards."""
     n = shards(source.sparkSession, source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    found = _send(source, regions, n).groupBy("shard").applyInArrow(lambda t: _meet(t, verify), _FOUND)
+    found = _send(source, regions, n).groupBy("shard").applyInArrow(lambda t: _meet(t, verify, hot), _FOUND)
     asked = found.groupBy("at", "twin").agg(F.collect_list(F.struct("key", "span")).alias("asked"))
     def dealt(shard: np.ndarray, body: list[bytes] | None = None, **arrays: np.ndarray) -> pa.RecordBatch:
         batch = _deal(shard, **arrays)
@@ -232,10 +238,13 @@ def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part:
         doc, twin, span = _joined(doc, twin, start, end)
         return dealt((T.mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int64), doc_d=doc, twin=twin, span_d=span)
 
-    def onward(key: np.ndarray, doc: np.ndarray, twin: np.ndarray, first: np.ndarray, count: np.ndarray, lead: np.ndarray, kind: np.ndarray, body: list[bytes]) -> pa.RecordBatch:
+    def onward(key: np.ndarray, doc: np.ndarray, twin: np.ndarray, first: np.ndarray, count: np.ndarray, lead: np.ndarray, kind: np.ndarray, many: np.ndarray, body: list[bytes]) -> pa.RecordBatch:
         size = np.fromiter(map(len, body), np.int64, len(body))
+        where = key.astype(np.uint64)
+        for k in np.flatnonzero(many).tolist():
+            where[k] ^= np.uint64(xxhash.xxh3_64_intdigest(body[k]))
         numbers = {"count": count.astype(np.uint16), "lead": lead.astype(np.uint8), "kind": kind.astype(np.uint16), "size": size.astype(np.uint32)}
-        return dealt((T.mix(key.astype(np.uint64)) % np.uint64(n)).astype(np.int64), body, key=key, doc_d=doc, twin=twin, first_d=first, **numbers)
+        return dealt((T.mix(where) % np.uint64(n)).astype(np.int64), body, key=key, doc_d=doc, twin=twin, first_d=first, **numbers)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,34 +265,44 @@ def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part:
             for r in np.unique(row).tolist():
                 a, b = edge[r], edge[r + 1]
                 body += cut_out(buf[off[r] : off[r + 1]], first[a:b], count[a:b])
-            kind, lead = lead & (_MEMBER | _HEAD), lead & ~(_MEMBER | _HEAD)
+            kind, many, lead = lead & (_MEMBER | _HEAD), lead & _MANY, lead & (_MANY - 1)
             c = np.flatnonzero(kind)
             if len(c):
                 again = _again(key[c], ids[row[c]], lead[c], [body[k] for k in c.tolist()])
                 w, c = c[again], c[~again]
                 yield settled(ids[row[w]], twins[row[w]], first[w], first[w] + count[w] + WINDOW - 1)
-                yield onward(key[c], ids[row[c]], twins[row[c]], first[c], count[c], lead[c], kind[c], [body[k] for k in c.tolist()])
+                yield onward(key[c], ids[row[c]], twins[row[c]], first[c], count[c], lead[c], kind[c], many[c], [body[k] for k in c.tolist()])
                 o = np.flatnonzero(kind == 0)
-                row, key, first, lead, count, body = row[o], key[o], first[o], lead[o], count[o], [body[k] for k in o.tolist()]
+                row, key, first, lead, count, many, body = row[o], key[o], first[o], lead[o], count[o], many[o], [body[k] for k in o.tolist()]
                 if not len(o):
                     continue
             size = np.fromiter(map(len, body), np.int64, len(body))
             which, a, b = repeated(key, ids[row], count, lead, b"".join(body), size)
             yield settled(ids[row[which]], twins[row[which]], first[which] + a, first[which] + b)
-            # the other windows go on, as runs
+            # the other windows go on: as runs, or one by one where their anchor has many
             left = np.ones(int(count.sum()), dtype=bool)
             left[(np.cumsum(count) - count)[which] + a] = False
             region = np.repeat(np.arange(len(row)), count)
             step = np.arange(len(region)) - np.repeat(np.cumsum(count) - count, count)
             live = np.flatnonzero(left)
-            head = np.flatnonzero(np.concatenate(([True], (np.diff(live) != 1) | (np.diff(region[live]) != 0)))) if len(live) else live
-            many, region, step = np.diff(np.append(head, len(live))), region[live[head]], step[live[head]]
-            body = [body[k] if n == m else part(body[k], s, n) for k, s, n, m in zip(region.tolist(), step.tolist(), many.tolist(), count[region].tolist())]
-            yield onward(key[region], ids[row[region]], twins[row[region]], first[region] + step, many, lead[region] - step, np.zeros(len(region), np.int64), body)
+            head = np.flatnonzero(np.concatenate(([True], (np.diff(live) != 1) | (np.diff(region[live]) != 0) | (many[region[live[1:]]] > 0)))) if len(live) else live
+            run, region, step = np.diff(np.append(head, len(live))), region[live[head]], step[live[head]]
+            body = [body[k] if r == m else part(body[k], s, r) for k, s, r, m in zip(region.tolist(), step.tolist(), run.tolist(), count[region].tolist())]
+            yield onward(key[region], ids[row[region]], twins[row[region]], first[region] + step, run, lead[region] - step, np.zeros(len(region), np.int64), many[region], body)
 
     # all of source's columns, and no filter: cutting out takes the same shuffle
     met = source.join(asked, ["at", "twin"]).select(*source.columns, "asked")
-    spans = met.mapInArrow(T.released(fetch), _BODIES).groupBy("shard").applyInArrow(lambda t: _compare(t, repeated), _SETTLED)
+    return met.mapInArrow(T.released(fetch), _BODIES)
+
+
+def repeated_spans(source: DataFrame, regions: Regions, cut_out: Callable, part: Callable, repeated: Callable, verify: bool = False, hot: int = HOT) -> DataFrame:
+    """(at, twin, spans) of the rows of ``source`` (by with_twins) that have repeats.
+
+    cut_out(text bytes, first, windows) gives the contents of regions, part(content, first, windows) a content's part for
+    some of its windows; repeated(key, doc, count, lead, contents, sizes) gives the regions' numbers and, in units from
+    each region's first, the spans that repeat. hot changes where work is done, not what is found.
+    """
+    spans = opened(source, regions, cut_out, part, repeated, verify, hot).groupBy("shard").applyInArrow(lambda t: _compare(t, repeated), _SETTLED)
     return spans.groupBy("at", "twin").agg(F.collect_list("span").alias("spans"))
 
 
