@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +197,8 @@ def _compare(table: pa.Table, repeated: Callable) -> pa.Table:
     parts = [T.unpack(b.as_py()) for b in table.column("blob")]
     done = [p for p in parts if "span_d" in p]
     doc, twin, span = ([p[k] for p in done] for k in ("doc_d", "twin", "span_d"))
-    parts = [(p, x.as_py()) for p, x in zip(parts, table.column("body")) if "key" in p]
+    spread = zstandard.ZstdDecompressor()
+    parts = [(p, spread.decompress(x.as_py())) for p, x in zip(parts, table.column("body")) if "key" in p]
     if parts:
         key, d, t, first, count, lead = (np.concatenate([p[k] for p, _ in parts]) for k in ("key", "doc_d", "twin", "first_d", "count", "lead"))
         size, kind = (np.concatenate([p[k] for p, _ in parts]).astype(np.int64) for k in ("size", "kind"))
@@ -231,7 +233,8 @@ def opened(source: DataFrame, regions: Regions, cut_out: Callable, part: Callabl
         else:
             order = np.argsort(shard, kind="stable")
             edge = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order)).tolist()
-            bodies = pa.array([b"".join([body[k] for k in order[a:b].tolist()]) for a, b in zip(edge, edge[1:])], pa.binary())
+            squeeze = zstandard.ZstdCompressor(level=1)
+            bodies = pa.array([squeeze.compress(b"".join([body[k] for k in order[a:b].tolist()])) for a, b in zip(edge, edge[1:])], pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns, bodies], ["shard", "blob", "body"])
 
     def settled(doc: np.ndarray, twin: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
