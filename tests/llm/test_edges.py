@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from tracelake.llm import _repeats, bpe, langid, lm, ogg, packing, quality, simhash, substring_bytes, substring_words, token_counts  # noqa: E402
+from tracelake.llm import _graph, _repeats, bpe, langid, lm, ogg, packing, quality, simhash, substring_bytes, substring_words, token_counts  # noqa: E402
 from tracelake.llm import _text as T  # noqa: E402
 
 
@@ -289,6 +289,22 @@ def test_a_damaged_file_is_told_and_harms_no_other(spark):
     assert all(got[k]["feature"] is None for k in (2, 3, 4, 5, 6, 7))
 
 
+def test_media_columns_named_like_results_give_way(spark):
+    rows = [(1, "p", "f", ogg.write(ogg.payload_of(b"abc"), b"n"))] * 2
+    out = ogg.from_media(spark.createDataFrame(rows, "k long, Payload string, feature string, media binary"))
+    assert out.columns == ["k", "media", "payload", "duration_ms", "feature", "error"]
+    assert [bytes(r["payload"]) for r in out.select("payload").collect()] == [ogg.payload_of(b"abc")] * 2
+    whole = spark.createDataFrame([(1, ogg.write(ogg.payload_of(b"x"), b"n"))], "k long, payload binary")
+    assert bytes(ogg.from_media(whole, "payload").first()["payload"]) == ogg.payload_of(b"x")
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in _graph.components(edges).collect()} == {(k, 0) for k in range(1, 41)}
+    with pytest.raises(RuntimeError, match="not settled"):
+        _graph.components(edges, rounds=1)
+
+
 def test_features_by_plain_loops():
     r = random.Random(1)
     for n in (0, 1, 64, 5_000, 40_000):

@@ -24,15 +24,17 @@ def _small(edges: DataFrame) -> DataFrame:
     return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), but for the roots: root is the least node of its component.
-    Edges from a node to itself and repeated edges change nothing."""
+    Edges from a node to itself and repeated edges change nothing. A forest that is not flat after ``rounds`` is an error."""
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         edges = cut(_small(_large(edges)))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -6,7 +6,8 @@ streams apart, puts packets together from lacing values and reads times off gran
 
 The payload of a text is its UTF-8 bytes and zero bytes up to a positive multiple of 64; null and empty
 texts give 64 zero bytes. Equal payloads give equal files. A very long text is a file of many pages. A damaged file
-has a null payload and says what is wrong in ``error``; the other rows are not affected. An empty table gives one.
+has a null payload and says what is wrong in ``error``; the other rows are not affected. Repeated rows each give a row. An
+empty table gives one. Input columns named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -146,10 +147,12 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def from_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """``stored`` with payload (read back), duration_ms, feature and error. A null file gives nulls, a damaged one nulls and
-    the error."""
+    """``stored`` with payload (read back), duration_ms, feature and error, in place of its columns of these names. A null
+    file gives nulls, a damaged one nulls and the error."""
     more = [StructField("payload", BinaryType()), StructField("duration_ms", LongType()), StructField("feature", StringType()), StructField("error", StringType())]
-    schema = StructType([*stored.schema, *more])
+    taken = {f.name for f in more}
+    kept = [k for k, c in enumerate(stored.columns) if c.lower() not in taken]
+    schema = StructType([*[stored.schema[k] for k in kept], *more])
     at = stored.columns.index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +163,7 @@ def from_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
                 for column, value in zip((payload, ms, feature, error), row):
                     column.append(value)
             more = [pa.array(payload, pa.binary()), pa.array(ms, pa.int64()), pa.array(feature, pa.string()), pa.array(error, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "payload", "duration_ms", "feature", "error"])
+            names = [*[batch.schema.names[k] for k in kept], "payload", "duration_ms", "feature", "error"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *more], names)
 
     return stored.mapInArrow(run, schema)
