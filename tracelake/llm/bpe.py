@@ -79,10 +79,15 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded`` (binary) to rows with ids as ``encode_decode`` writes them; null ids decode to no bytes."""
 
-    @F.pandas_udf("binary")
-    def back(ids):
+    @F.arrow_udf("binary")
+    def back(ids: pa.Array) -> pa.Array:
         codec = Codec.get(ranks_path, pattern)
-        return ids.map(lambda x: codec.decode(np.frombuffer(x or b"", "<u4")))
+        body = b"".join(x.as_py() for x in ids)
+        end = np.cumsum(codec.size[np.frombuffer(body, "<u4")])
+        # tokens of the batch decoded at once; a row ends where its last token does
+        last = np.cumsum([len(x.as_buffer()) // 4 for x in ids], dtype=np.int64)
+        edge = np.concatenate(([0], end))[np.concatenate(([0], last))]
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(codec.decode(np.frombuffer(body, "<u4")))])
 
     return encoded.withColumn("decoded", back(F.coalesce(F.col(ids_col), F.lit(b""))))
 

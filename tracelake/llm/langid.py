@@ -38,6 +38,10 @@ SMOOTHING = 5.0
 OVERLAP, MOST = 3.0, 600.0
 #: Hosts up to which their table is broadcast (some hundred bytes each); beyond, it is joined by shuffling.
 BROADCAST_HOSTS = 10_000
+#: Languages whose tables one pass over the texts takes with it (128 KB each); more languages take more passes.
+LANGUAGES_A_PASS = 128
+#: Bytes up to which the table of declarations (languages by languages) is broadcast; beyond, it is joined by shuffling.
+BROADCAST_SAYS = 16 << 20
 #: Names of what is found; input columns of these names give way.
 RESULTS = ("language", "confidence", "text_language", "rejected")
 #: Posterior from which a language counts as certain; prior of a text in none of the languages.
@@ -83,15 +87,17 @@ def primary(label: Column) -> Column:
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> TextModel:
     """The trigram model of all labels, from about TEXTS_A_LANGUAGE texts of each (those whose hashed id is small);
-    labels with fewer texts give all they have. It takes 128 KB a language."""
+    labels with fewer texts give all they have. It takes 128 KB a language on the driver, LANGUAGES_A_PASS times that in a
+    task: labels are to be languages, of which there are some thousands at most, not free text."""
     labelled = docs.select(primary(F.col(lang_col)).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("lang is not null")
     sizes = labelled.groupBy("lang").count().collect()
     languages = tuple(sorted(r[0] for r in sizes))
     if not languages:
         return TextModel((), np.zeros((0, BUCKETS)))
     number = {x: k for k, x in enumerate(languages)}
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(TEXTS_A_LANGUAGE / max(1, r[1])))])
-    chosen = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")]).select("lang", "text")
+    table = pa.table({"lang": pa.array([r[0] for r in sizes], pa.string()), "share": pa.array([TEXTS_A_LANGUAGE / r[1] for r in sizes], pa.float64())})
+    shares = F.broadcast(docs.sparkSession.createDataFrame(table))  # one row a language
+    chosen = labelled.join(shares, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * F.col("share")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,32 +114,47 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     return TextModel(languages, np.log(counts / counts.sum(1, keepdims=True)))
 
 
-def _likelihoods(rows: DataFrame, model: TextModel, text_col: str, is_html: bool) -> DataFrame:
-    """rows with _ll (log likelihoods of the languages and of none, with its prior), _p (the languages' posteriors, which
-    leave out the share of none) and _grams in place of ``text_col``."""
-    kept = [c for c in rows.columns if c != text_col]
-    source = rows.select(*kept, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", _ll array<double>, _p array<double>, _grams long"
+def _pass(part: TextModel, kept: list[str], first: bool, last: bool, is_html: bool):
+    """One pass over batches of (kept, _text, _ll of the languages before): adds the part's languages to _ll; the last pass
+    adds 'none of these' and puts _ll, _p and _grams in place of _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if is_html:
-                shown = pa.array([visible_text(x or "") for x in batch.column(len(kept)).to_pylist()], pa.string())
-                buf, off = T.column(pa.RecordBatch.from_arrays([shown], ["_text"]), "_text")
-            else:
-                buf, off = T.column(batch, "_text")
+            text = batch.column(len(kept))
+            if is_html and first:
+                text = pa.array([visible_text(x or "") for x in text.to_pylist()], pa.string())
+            buf, off = T.column(pa.RecordBatch.from_arrays([text], ["_text"]), "_text")
+            before = None if first else batch.column(len(kept) + 1).flatten().to_numpy().reshape(batch.num_rows, -1)
             ll, p, grams = [], [], [np.zeros(0, np.int64)]
             for i, j in T.slices(off):
-                a, n = model.likelihoods(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                a, n = part.likelihoods(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                a = a if first else np.concatenate([before[i:j], a], 1)
+                if not last:
+                    ll += a[:, :-1].tolist()
+                    continue
                 a[:, -1] += math.log(NONE_PRIOR)
                 e = np.exp(a - a.max(1, keepdims=True))
                 ll += a.tolist()
                 p += (e / e.sum(1, keepdims=True))[:, :-1].tolist()
                 grams.append(n)
-            more = [pa.array(ll, pa.list_(pa.float64())), pa.array(p, pa.list_(pa.float64())), pa.array(np.concatenate(grams))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*kept, "_ll", "_p", "_grams"])
+            more = [pa.array(ll, pa.list_(pa.float64()))]
+            more = [*more, pa.array(p, pa.list_(pa.float64())), pa.array(np.concatenate(grams))] if last else [text, *more]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *more], [*kept, *(("_ll", "_p", "_grams") if last else ("_text", "_ll"))])
+
+    return run
 
-    return source.mapInArrow(T.released(run), schema)
+
+def _likelihoods(rows: DataFrame, model: TextModel, text_col: str, is_html: bool) -> DataFrame:
+    """rows with _ll (log likelihoods of the languages and of none, with its prior), _p (the languages' posteriors, which
+    leave out the share of none) and _grams in place of ``text_col``."""
+    kept = [c for c in rows.columns if c != text_col]
+    out = rows.select(*kept, F.col(text_col).cast("string").alias("_text"))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    for k in range(0, len(model.languages), LANGUAGES_A_PASS):
+        part = TextModel(model.languages[k : k + LANGUAGES_A_PASS], model.log_p[k : k + LANGUAGES_A_PASS])
+        last = k + LANGUAGES_A_PASS >= len(model.languages)
+        out = out.mapInArrow(T.released(_pass(part, kept, k == 0, last, is_html)), schema + (", _ll array<double>, _p array<double>, _grams long" if last else ", _text string, _ll array<double>"))
+    return out
 
 
 _OPEN = re.compile(r"<!--|<(script|style)\b", re.I)
@@ -206,8 +227,9 @@ def identify(rows: DataFrame, model: TextModel, text_col: str, declared: Column,
         joined = found.join(hosts, names).withColumn("_prior", F.expr(own))
     else:
         joined = found.withColumn("_prior", parent)
-    says = F.create_map(*[x for d, v in declares.items() for x in (F.lit(d), F.array(*[F.lit(y) for y in v]))]) if declares else F.lit(None)
-    joined = joined.withColumn("_says", says[F.col("_said")] if declares else F.array(*[F.lit(0.0)] * (k + 1)))
+    table = pa.table({"_said": pa.array(declares, pa.string()), "_says": pa.array(declares.values(), pa.list_(pa.float64()))})
+    says = rows.sparkSession.createDataFrame(table)
+    joined = joined.join(F.broadcast(says) if 8 * len(declares) * (k + 1) <= BROADCAST_SAYS else says, "_said")
     fused = f"transform(_ll, (x, i) -> x + _says[i] + if(i < {k}, ln(greatest(_prior[i], 1e-9D)), 0D))"
     # transform over one value gives it a name, so that it is worked out once
     best = f"transform(array(array_max(slice(s, 1, {k}))), m -> struct(array_position(s, m) as at, 1D / aggregate(s, 0D, (a, x) -> a + exp(x - m)) as confidence))[0]"
