@@ -69,3 +69,16 @@ def test_nearby_logs_of_roots_without_a_trace(spark):
     pad = datetime.timedelta(seconds=2)
     met = [(r[1], r[0]) for a, b, of in [(r["start_time"], r["end_time"], r["service"]) for r in s.collect()] for r in rows if r[3] == of and r[2] == "ERROR" and r[4] is None and a - pad <= r[1] <= b + pad]
     assert sorted(r["insert_id"] for r in got) == sorted(i for _, i in sorted(met)[:20])
+
+
+def test_timeline_of_a_crowd_moves_no_pairs(spark):
+    spans, rows, s, l = _crowd(spark)
+    got, moved = shuffled(spark, lambda: X.cross_signal_timeline(s, l, F.col("service"), 3600))
+    whole = {}
+    for trace, _, _, a, b, service in spans:
+        lo, hi, services = whole.get(trace, (a, b, set()))
+        whole[trace] = (min(lo, a), max(hi, b), services | {service})
+    ranges = [(trace, None, None, a, b, service) for trace, (a, b, services) in whole.items() for service in services]
+    assert sorted((r["trace_id"], r["event_id"]) for r in got if r["event_type"] == "LOG_TEMPORAL") == _first(ranges, rows, 50, 3600)
+    assert all(r["relative_time_ms"] == round((r["event_time"] - whole[r["trace_id"]][0]).total_seconds() * 1000, 3) for r in got)
+    assert moved < 20 * (len(spans) + len(rows)), moved
