@@ -28,3 +28,10 @@ def both(spark, top, name, keep):
 def test_ratios_between_two_roundings(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, {"orders": "o_orderkey = 64290", "lineitem": "l_orderkey = 64290"})
     assert got and got == want
+
+
+def test_the_stream_counts_every_event(spark, tmp_path):
+    got, want = both(spark, tmp_path, "stream_log_patterns", {"events": "event_id < 3000"})
+    assert got == want
+    rows = entry.queries()["stream_log_patterns"](spark, str(tmp_path)).agg({"occurrence_count": "sum"}).first()[0]
+    assert rows == spark.read.parquet(f"{tmp_path}/events.parquet").count()
