@@ -82,3 +82,26 @@ def test_timeline_of_a_crowd_moves_no_pairs(spark):
     assert sorted((r["trace_id"], r["event_id"]) for r in got if r["event_type"] == "LOG_TEMPORAL") == _first(ranges, rows, 50, 3600)
     assert all(r["relative_time_ms"] == round((r["event_time"] - whole[r["trace_id"]][0]).total_seconds() * 1000, 3) for r in got)
     assert moved < 20 * (len(spans) + len(rows)), moved
+
+
+def test_templates_do_not_move_a_message_with_each_of_its_tokens(spark):
+    import random
+
+    from tracelake.operators import logs as L
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("bcdfghjklmnpqrstvwxyz") for _ in range(10))
+    common = [word() for _ in range(400)]
+    messages = [" ".join(["run", "of", *[w if r.random() < 0.8 else word() for w in common]]) for _ in range(120)]
+    df = spark.createDataFrame([(m, "INFO", datetime.datetime(2024, 1, 1)) for m in messages], "message string, severity string, timestamp timestamp_ntz")
+    gateway = spark.sparkContext._gateway
+
+    def moved():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = moved()
+    got = L.template_patterns(df).collect()
+    size = sum(n for k, n in moved().items() if k not in before)
+    assert sum(x["count"] for x in got) == len(messages)
+    assert size < 20 * sum(map(len, messages)), size / sum(map(len, messages))
