@@ -105,3 +105,65 @@ def test_templates_do_not_move_a_message_with_each_of_its_tokens(spark):
     size = sum(n for k, n in moved().items() if k not in before)
     assert sum(x["count"] for x in got) == len(messages)
     assert size < 20 * sum(map(len, messages)), size / sum(map(len, messages))
+
+
+def _points(spark, traces=300, points=1200):
+    """Error traces and points of two services in two hours, most points around every trace; some traces are long, some points lack a
+    value or are not a number, and one is very large."""
+    t0 = datetime.datetime(2024, 1, 1)
+    at = lambda s: t0 + datetime.timedelta(seconds=s)
+    spans = [(f"t{i}", f"s{i}", at(i * 7 % 3600), at(i * 7 % 3600 + (9000 if i % 50 == 0 else 1)), "ab"[i % 2]) for i in range(traces)]
+    rows = [(("x_latency", "x_total", "x", None)[i % 4], "ab"[i // 4 % 2], at(i * 5 % 7200 + i / 1e6), None if i % 37 == 0 else float("nan") if i == 700 else 1e18 if i == 750 else (i * 7919 % 1000) / 8) for i in range(points)]
+    s = spark.createDataFrame(spans, "trace_id string, span_id string, start_time timestamp_ntz, end_time timestamp_ntz, service string").withColumn("resource", F.struct(F.create_map(F.lit("service.name"), "service").alias("attributes")))
+    p = spark.createDataFrame(rows, "metric_type string, service string, ts timestamp_ntz, value double")
+    return spans, rows, s, p
+
+
+def _kinds_of(spans, rows, seconds):
+    """metric_kinds_during_trace and metrics_during_trace by brute force."""
+    import math
+
+    pad, grown, last = datetime.timedelta(seconds=seconds), {}, {}
+    for k in sorted(range(len(rows)), key=lambda k: rows[k][2]):
+        m, of, _, v = rows[k]
+        old = last.get((m, of))
+        grown[k] = 0.0 if old is None else None if v is None else v if v < old and not math.isnan(v) else v - old
+        last[m, of] = v
+    kinds, plain = {}, {}
+    for trace, _, a, b, service in spans:
+        for m in ("x_latency", "x_total", "x", None):
+            met = [k for k, (x, of, ts, _) in enumerate(rows) if x == m and of == service and a - pad <= ts <= b + pad]
+            if not met:
+                continue
+            values = sorted((rows[k][3] for k in met if rows[k][3] is not None), key=lambda v: (math.isnan(v), v))
+            grew, n, mean = [grown[k] for k in met if grown[k] is not None], len(values), sum(values) / len(values) if values else None
+            kind = "histogram" if m == "x_latency" else "counter" if m == "x_total" else "gauge"
+            value = mean if kind == "gauge" else (values[max(math.ceil(n * 0.95) - 1, 0)] if values else None) if kind == "histogram" else sum(grew) / ((b - a).total_seconds() + 2 * seconds) if grew else None
+            kinds[trace, m] = (kind, len(met), value)
+            plain[trace, m] = (len(met), mean, values[0] if values else None, values[-1] if values else None)
+    return kinds, plain
+
+
+def _close(a, b):
+    return a == b or a is not None and b is not None and (a != a and b != b or abs(a - b) <= 1e-4 + 1e-12 * abs(b))
+
+
+def test_metrics_around_a_crowd_are_not_all_paired(spark, monkeypatch):
+    spans, rows, s, p = _points(spark)
+    for seconds in (0, 30, 3600):
+        kinds, plain = _kinds_of(spans, rows, seconds)
+        for held, asked in ((X.HELD, X.ASKED), (40, 30)) if seconds == 3600 else ((X.HELD, X.ASKED),):
+            monkeypatch.setattr(X, "HELD", held)
+            monkeypatch.setattr(X, "ASKED", asked)
+            got, moved = shuffled(spark, lambda: X.metric_kinds_during_trace(s, p, F.col("service"), seconds, exact=True))
+            assert {(r["trace_id"], r["metric_type"]) for r in got} == set(kinds) and len(got) == len(kinds)
+            for r in got:
+                kind, n, value = kinds[r["trace_id"], r["metric_type"]]
+                assert (r["kind"], r["points"]) == (kind, n) and _close(r["value"], value), (r, value)
+            if held == X.HELD > 40:
+                assert moved < 20 * (len(spans) + len(rows) + len(got)), moved
+        got = X.metrics_during_trace(s, p, F.col("service"), seconds).collect()
+        assert len(got) == len(plain)
+        for r in got:
+            n, *facts = plain[r["trace_id"], r["metric_type"]]
+            assert r["points"] == n and all(map(_close, (r["avg_value"], r["min_value"], r["max_value"]), facts)), (r, facts)
