@@ -167,3 +167,14 @@ def test_metrics_around_a_crowd_are_not_all_paired(spark, monkeypatch):
         for r in got:
             n, *facts = plain[r["trace_id"], r["metric_type"]]
             assert r["points"] == n and all(map(_close, (r["avg_value"], r["min_value"], r["max_value"]), facts)), (r, facts)
+
+
+def test_low_trees_are_moved_once(spark):
+    from tracelake.operators import tree as T
+
+    n = 3000
+    rows = spark.range(n * 5).select(F.concat(F.lit("t"), F.expr("id div 5")).alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.when(F.col("id") % 5 > 0, (F.col("id") - 1).cast("string")).alias("parent_span_id"))
+    s = rows.select("*", F.lit("n").alias("name"), F.expr("timestamp_ntz'2024-01-01'").alias("start_time"), F.expr("timestamp_ntz'2024-01-01 00:00:01'").alias("end_time"), F.lit(5_000_000).cast("long").alias("duration_nano"), F.struct(F.lit(1).alias("code")).alias("status"), F.struct(F.create_map(F.lit("service.name"), F.lit("a")).alias("attributes")).alias("resource"))
+    got, moved = shuffled(spark, lambda: T.critical_path_longest_child(s))
+    assert len(got) == 5 * n and {(r["depth"], r["self_time_ms"]) for r in got} == {(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0), (4, 5.0)}
+    assert moved < 3 * 5 * n, moved
