@@ -178,3 +178,51 @@ def test_low_trees_are_moved_once(spark):
     got, moved = shuffled(spark, lambda: T.critical_path_longest_child(s))
     assert len(got) == 5 * n and {(r["depth"], r["self_time_ms"]) for r in got} == {(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0), (4, 5.0)}
     assert moved < 3 * 5 * n, moved
+
+
+def _pairs_of_traces(spark, traces=60):
+    """Random traces, also deep ones, with ids of several spans, without ids and with circles, each compared with the one before."""
+    import random
+
+    r, rows = random.Random(9), []
+    t0 = datetime.datetime(2024, 1, 1)
+    for t in range(traces):
+        n = r.randint(1, 20)
+        for k in range(n):
+            parent = None if not k else f"s{k - 1}" if t % 10 == 3 else f"s{r.randrange(min(k, 4))}" if r.random() < 0.95 else "gone"
+            start, long = r.randint(0, 200), r.randint(-3, 300)
+            sid = None if t % 10 == 4 and k % 5 == 4 else "s1" if t % 10 == 5 and k == 7 else f"s{k}"
+            parent = f"s{n - 1}" if t % 10 == 6 and k == 2 else parent
+            end = None if t % 10 == 7 and k == 3 else t0 + datetime.timedelta(milliseconds=start + long)
+            rows.append((f"t{t}", sid, parent, f"n{r.randrange(5)}", t0 + datetime.timedelta(milliseconds=start), end, None if end is None else long * 1_000_000, f"v{k % 3}"))
+    s = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, name string, start_time timestamp_ntz, end_time timestamp_ntz, duration_nano long, service string").select(
+        "*", F.struct(F.lit(1).alias("code")).alias("status"), F.create_map().cast("map<string,string>").alias("attributes"), F.struct(F.create_map(F.lit("service.name"), "service").alias("attributes")).alias("resource"), F.array().alias("events"), F.array().alias("links"),
+    )
+    pairs = spark.createDataFrame([(f"t{t - 1}", f"t{t}") for t in range(1, traces)] + [(f"t{t}", "t1") for t in range(2, 9)], "baseline_trace_id string, target_trace_id string")
+    return s, pairs
+
+
+def test_causes_by_windows_equal_those_by_joins(spark):
+    from tracelake.operators import tree as T
+
+    s, pairs = _pairs_of_traces(spark)
+    near, others = T._slowed_spans(s, pairs)
+    left = {r[0] for r in others.collect()}
+    joined = T._slowed_by_joins(s, pairs)
+    shape = lambda df: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select("baseline_trace_id", "target_trace_id", "baseline_ms", "span_id", "name", "service_name", "start_time", "ms", "depth", "self_ms").collect()), key=str)
+    assert shape(near) == [r for r in shape(joined) if r[1] not in left] and len(shape(near)) > 100
+    assert {"t3", "t13"} <= left and len(left) < 40
+    whole = T.causal_analysis(s, pairs, limit=10**6)
+    assert whole.count() == len(shape(joined))
+
+
+def test_causes_move_spans_once(spark):
+    from tracelake.operators import tree as T
+
+    n = 3000
+    rows = spark.range(n * 5).select(F.concat(F.lit("t"), F.expr("id div 5")).alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.when(F.col("id") % 5 > 0, (F.col("id") - 1 - (F.col("id") % 5 == 4).cast("int")).cast("string")).alias("parent_span_id"), F.concat(F.lit("n"), F.col("id") % 5).alias("name"), (F.col("id") * 10_000_000).alias("duration_nano"))
+    s = rows.select("*", F.expr("timestamp_ntz'2024-01-01'").alias("start_time"), F.expr("timestamp_ntz'2024-01-01 00:00:01'").alias("end_time"), F.struct(F.lit(1).alias("code")).alias("status"), F.struct(F.create_map(F.lit("service.name"), F.lit("a")).alias("attributes")).alias("resource"), F.create_map().cast("map<string,string>").alias("attributes"), F.array().alias("events"), F.array().alias("links"))
+    pairs = spark.range(1, n).select(F.concat(F.lit("t"), F.col("id") - 1).alias("baseline_trace_id"), F.concat(F.lit("t"), "id").alias("target_trace_id"))
+    got, moved = shuffled(spark, lambda: T.causal_analysis(s, pairs.repartition(4), 2))
+    assert len(got) == 2 * (n - 1)
+    assert moved < 6 * 5 * n, moved / (5 * n)
