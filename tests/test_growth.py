@@ -226,3 +226,13 @@ def test_causes_move_spans_once(spark):
     got, moved = shuffled(spark, lambda: T.causal_analysis(s, pairs.repartition(4), 2))
     assert len(got) == 2 * (n - 1)
     assert moved < 6 * 5 * n, moved / (5 * n)
+
+
+def test_chains_of_timeouts_move_spans_once(spark):
+    from tracelake.operators import tree as T
+
+    n = 2000
+    s = spark.range(n * 4).select(F.concat(F.lit("t"), F.expr("id div 4")).alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.when(F.col("id") % 4 > 0, (F.col("id") - 1).cast("string")).alias("parent_span_id"), F.concat(F.lit("n"), F.col("id") % 4).alias("name"), F.lit(2_000_000_000).cast("long").alias("duration_nano"), F.create_map().cast("map<string,string>").alias("attributes"))
+    got, moved = shuffled(spark, lambda: T.cascading_timeout(s))
+    assert len(got) == n and all(r["chain_length"] == 4 and r["affected_spans"] == ["n3", "n2", "n1", "n0"] for r in got)
+    assert moved < 3 * 4 * n, moved / (4 * n)
