@@ -236,3 +236,47 @@ def test_chains_of_timeouts_move_spans_once(spark):
     got, moved = shuffled(spark, lambda: T.cascading_timeout(s))
     assert len(got) == n and all(r["chain_length"] == 4 and r["affected_spans"] == ["n3", "n2", "n1", "n0"] for r in got)
     assert moved < 3 * 4 * n, moved / (4 * n)
+
+
+def _bytes_moved(spark, df):
+    gateway = spark.sparkContext._gateway
+
+    def moved():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = moved()
+    rows = df().collect()
+    return rows, sum(n for k, n in moved().items() if k not in before)
+
+
+def test_triage_of_many_pairs_moves_no_labels(spark, monkeypatch):
+    from tracelake.operators import traces as O
+    from tracelake.plans import pipelines as P
+
+    s, pairs = _pairs_of_traces(spark, 40)
+    long = F.concat_ws("", *[F.md5(F.concat_ws("-", "trace_id", "span_id", "name", "start_time", F.lit(k))) for k in range(40)])
+    s = s.withColumn("attributes", F.create_map(F.lit("http.status_code"), F.lit("500"), F.lit("note"), long))
+    size = s.count() * 40 * 32
+    want = sorted(map(tuple, P.triage_pipeline(s, pairs).collect()), key=str)
+    monkeypatch.setattr(O, "FEW", 10, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, moved = _bytes_moved(spark, lambda: P.triage_pipeline(s, pairs))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, got), key=str) == want and {r[2] for r in want} >= {"error", "structure", "timing_slower"}
+    assert moved < size / 2, (moved, size)
+
+
+def test_shapes_are_those_of_each_trace(spark):
+    from tracelake.operators import tree as T
+
+    s, _ = _pairs_of_traces(spark, 40)
+    deep = {r[0]: r[1] for r in T.depths(s).groupBy("trace_id").agg(F.max("depth")).collect()}
+    names, n = {}, {}
+    for r in s.select("trace_id", "name").collect():
+        names.setdefault(r[0], set()).add(r[1])
+        n[r[0]] = n.get(r[0], 0) + 1
+    got = T.shapes(s).collect()
+    assert {r["trace_id"]: (set(r["names"]), r["n"], r["depth"]) for r in got} == {t: (names[t], n[t], deep.get(t)) for t in names} and len(got) == len(names)
