@@ -280,3 +280,16 @@ def test_shapes_are_those_of_each_trace(spark):
         n[r[0]] = n.get(r[0], 0) + 1
     got = T.shapes(s).collect()
     assert {r["trace_id"]: (set(r["names"]), r["n"], r["depth"]) for r in got} == {t: (names[t], n[t], deep.get(t)) for t in names} and len(got) == len(names)
+
+
+def test_documents_are_written_compressed(spark):
+    from pathlib import Path
+
+    from tracelake.queries import documents as D
+
+    rows = spark.range(2000).select(F.concat(F.lit("t"), "id").alias("trace_id"), F.array_repeat(F.struct(F.lit("GET /orders").alias("name"), F.lit("2024-01-01T00:00:00.000000Z").alias("start_time")), 20).alias("spans"))
+    path = D._as_files(rows)
+    size = sum(len(r[0]) for r in rows.select(F.to_json(F.struct("*"))).collect())
+    assert sum(f.stat().st_size for f in Path(path).glob("part-*")) < size / 3
+    back = spark.read.schema(rows.schema).json(path)
+    assert back.exceptAll(rows).isEmpty() and back.count() == 2000

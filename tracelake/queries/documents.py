@@ -26,9 +26,9 @@ def trace_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _as_files(documents: DataFrame) -> str:
-    """The documents as JSON files in the shared folder: their path."""
+    """The documents as compressed JSON files in the shared folder: their path."""
     path = f"{shared_folder(documents.sparkSession)}/documents-{uuid.uuid4().hex}"
-    documents.write.json(path)
+    documents.write.json(path, compression="gzip")
     return path
 
 
