@@ -293,3 +293,35 @@ def test_documents_are_written_compressed(spark):
     assert sum(f.stat().st_size for f in Path(path).glob("part-*")) < size / 3
     back = spark.read.schema(rows.schema).json(path)
     assert back.exceptAll(rows).isEmpty() and back.count() == 2000
+
+
+def _tasks(spark, df):
+    """(rows, most tasks of a stage) of a DataFrame that is run here."""
+    gateway = spark.sparkContext._gateway
+
+    def tasks():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.numCompleteTasks() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = tasks()
+    rows = df().collect()
+    return rows, max(n for k, n in tasks().items() if k not in before)
+
+
+def _low_traces(spark, n):
+    """n traces of a root with a chain of four spans below it."""
+    rows = spark.range(n * 5).select(F.concat(F.lit("t"), F.expr("id div 5")).alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.when(F.col("id") % 5 > 0, (F.col("id") - 1).cast("string")).alias("parent_span_id"), F.concat(F.lit("n"), F.col("id") % 5).alias("name"), (F.col("id") % 5).alias("k"))
+    return rows.select("*", F.expr("timestamp_ntz'2024-01-01'").alias("start_time"), F.expr("timestamp_ntz'2024-01-01 00:00:01'").alias("end_time"), (F.lit(5_000_000) + F.col("k")).alias("duration_nano"), F.struct(F.lit(1).alias("code")).alias("status"), F.struct(F.create_map(F.lit("service.name"), F.lit("a")).alias("attributes")).alias("resource")).drop("k")
+
+
+def test_timings_are_dealt_by_their_number(spark, monkeypatch):
+    from tracelake.functions import groups
+    from tracelake.operators import traces as O
+
+    n = 4000
+    s = _low_traces(spark, n)
+    pairs = spark.range(1, n).select(F.concat(F.lit("t"), F.col("id") - 1).alias("baseline_trace_id"), F.concat(F.lit("t"), "id").alias("target_trace_id"))
+    monkeypatch.setattr(groups, "ROWS_A_TASK", 500, raising=False)
+    got, most = _tasks(spark, lambda: O.compare_span_timings(s, pairs).groupBy("change").count())
+    assert {r["change"]: r["count"] for r in got} == {"same": 5 * (n - 1)}
+    assert most >= 5 * n / 500, most
