@@ -309,8 +309,8 @@ def _tasks(spark, df):
 
 
 def _low_traces(spark, n):
-    """n traces of a root with a chain of four spans below it."""
-    rows = spark.range(n * 5).select(F.concat(F.lit("t"), F.expr("id div 5")).alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.when(F.col("id") % 5 > 0, (F.col("id") - 1).cast("string")).alias("parent_span_id"), F.concat(F.lit("n"), F.col("id") % 5).alias("name"), (F.col("id") % 5).alias("k"))
+    """n traces of a root, two spans in a chain below it, and two below those."""
+    rows = spark.range(n * 5).select(F.concat(F.lit("t"), F.expr("id div 5")).alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.when(F.col("id") % 5 > 0, (F.col("id") - 1 - (F.col("id") % 5 == 4).cast("int")).cast("string")).alias("parent_span_id"), F.concat(F.lit("n"), F.col("id") % 5).alias("name"), (F.col("id") % 5).alias("k"))
     return rows.select("*", F.expr("timestamp_ntz'2024-01-01'").alias("start_time"), F.expr("timestamp_ntz'2024-01-01 00:00:01'").alias("end_time"), (F.lit(5_000_000) + F.col("k")).alias("duration_nano"), F.struct(F.lit(1).alias("code")).alias("status"), F.struct(F.create_map(F.lit("service.name"), F.lit("a")).alias("attributes")).alias("resource")).drop("k")
 
 
@@ -325,3 +325,25 @@ def test_timings_are_dealt_by_their_number(spark, monkeypatch):
     got, most = _tasks(spark, lambda: O.compare_span_timings(s, pairs).groupBy("change").count())
     assert {r["change"]: r["count"] for r in got} == {"same": 5 * (n - 1)}
     assert most >= 5 * n / 500, most
+
+
+def test_recommendations_move_spans_once(spark):
+    from tracelake.operators import tree as T
+
+    n = 3000
+    got, moved = shuffled(spark, lambda: T.optimization_recommendations(_low_traces(spark, n)))
+    assert len(got) == n and {(r["type"], r["target"]) for r in got} == {("bottleneck", "n4")}
+    assert moved < 2.1 * 5 * n, moved / (5 * n)
+
+
+def test_recommendations_by_windows_equal_those_by_joins(spark):
+    from tracelake.operators import tree as T
+
+    s, _ = _pairs_of_traces(spark)
+    near, high = T._path_facts(s)
+    left = {r[0] for r in high.collect()}
+    shape = lambda df: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select("trace_id", "length", "errors", "bottleneck", "share").collect()), key=str)
+    joined = shape(T._path_facts_by_joins(s))
+    assert shape(near) == [r for r in joined if r[0] not in left] and len(shape(near)) > 30
+    assert {"t3", "t13"} <= left and len(left) < 40
+    assert {(r["trace_id"], r["target"]) for r in T.optimization_recommendations(s).collect() if r["type"] == "bottleneck"} == {(r[0], r[3]) for r in joined if (r[4] or 0) > 0}
