@@ -228,6 +228,34 @@ def test_causes_move_spans_once(spark):
     assert moved < 6 * 5 * n, moved / (5 * n)
 
 
+def test_paths_of_blocking_time_by_windows_equal_those_by_joins(spark):
+    from tracelake.operators import tree as T
+
+    s, _ = _pairs_of_traces(spark)
+    near, high = T._blocking_paths(s)
+    left = {r[0] for r in high.collect()}
+    shape = lambda df: sorted((r["trace_id"], r["root_id"], round(r["root_ms"] or 0, 6), round(r["blocking"], 6), [(p["span_id"], p["name"], round(p["self_ms"], 6), p["weight"]) for p in r["path"]]) for r in df.collect())
+    joined = shape(T._blocking_paths_by_joins(s))
+    assert shape(near) == [r for r in joined if r[0] not in left] and len(shape(near)) > 50
+    assert {"t3", "t13"} <= left and len(left) < 40
+    whole = T.critical_path_blocking(s).collect()
+    assert len(whole) == len(joined) and sum(len(r["critical_path"]) for r in whole) == sum(len(r[-1]) for r in joined)
+
+
+def test_paths_of_blocking_time_move_spans_once(spark):
+    from tracelake.operators import tree as T
+
+    n, k = 3000, F.col("id") % 5
+    at = lambda ms: F.timestamp_micros(ms * 1000).cast("timestamp_ntz")
+    s = spark.range(n * 5).select(
+        F.concat(F.lit("t"), F.expr("id div 5")).alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.when(k > 0, (F.col("id") - 1 - (k == 4).cast("int")).cast("string")).alias("parent_span_id"), F.concat(F.lit("n"), k).alias("name"),
+        at(k * 2).alias("start_time"), at(F.lit(20)).alias("end_time"), ((10 - k) * 2_000_000).alias("duration_nano"), F.struct(F.lit(1).alias("code")).alias("status"), F.struct(F.create_map(F.lit("service.name"), F.lit("a")).alias("attributes")).alias("resource"),
+    )
+    got, moved = shuffled(spark, lambda: T.critical_path_blocking(s))
+    assert len(got) == n and {(">".join(p["name"] for p in r["critical_path"]), r["total_critical_ms"]) for r in got} == {("n0>n1>n2>n3", 20.0)}
+    assert moved < 2 * 5 * n, moved / (5 * n)
+
+
 def test_chains_of_timeouts_move_spans_once(spark):
     from tracelake.operators import tree as T
 
