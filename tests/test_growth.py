@@ -256,6 +256,19 @@ def test_paths_of_blocking_time_move_spans_once(spark):
     assert moved < 2 * 5 * n, moved / (5 * n)
 
 
+def test_shares_of_paths_move_spans_once(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    n = 2000
+    orders = spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit(50.0).alias("o_totalprice"), F.expr("timestamp_ntz'2024-01-01'").alias("o_orderdate"), F.lit("1").alias("o_orderpriority"))
+    items = spark.range(n * 6).select(F.expr("id div 6").alias("l_orderkey"), (F.col("id") % 6 + 1).cast("int").alias("l_linenumber"), (F.col("id") % 20).alias("l_partkey"), (F.col("id") % 9).alias("l_suppkey"), F.lit(10.0).alias("l_quantity"), F.lit(0.0).alias("l_discount"), F.lit("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, moved = shuffled(spark, lambda: entry.queries()["critical_path_contributions"](spark, str(tmp_path)))
+    assert len(got) == 4 * n and {(r["trace_id"].replace("t", "o"), r["span_id"][0]) for r in got if r["span_id"][0] == "o"} == {(f"o{k}", "o") for k in range(n)}
+    assert moved < 4 * 7 * n, moved / (7 * n)
+
+
 def test_chains_of_timeouts_move_spans_once(spark):
     from tracelake.operators import tree as T
 
