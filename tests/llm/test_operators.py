@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 
 from tracelake.llm import _text as T  # noqa: E402
-from tracelake.llm import bpe, langid, lm, ogg, packing, quality, simhash, substring_bytes, substring_words, token_counts  # noqa: E402
+from tracelake.llm import _repeats, bpe, langid, lm, ogg, packing, quality, simhash, substring_bytes, substring_words, token_counts  # noqa: E402
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Further columns: names that the operators use inside.
@@ -328,6 +328,29 @@ def test_word_repeats(docs, rows, none, verify):
     assert substring_words.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("module", [substring_bytes, substring_words])
+def test_copies_are_told_without_their_regions(spark, module):
+    """Of a text that many documents have only the least one's regions are sent, and texts are compressed where they move."""
+    r = random.Random(21)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 9))) for _ in range(150)) for _ in range(12)]
+    texts += [texts[0][: len(texts[0]) // 2], "a few words", ""]
+    rows = [(k * len(texts) + i, x) for k in range(20) for i, x in enumerate(texts)]
+    rows += [(5, texts[7]), (5, texts[7]), (None, texts[3]), (None, texts[3]), (-1, texts[9]), (-1, texts[9][5:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    by_bytes = module is substring_bytes
+    got = Counter((x["doc_id"], bytes(x["kept"]) if by_bytes else x["kept"].encode(), x["n_removed"]) for x in module.remove_repeats(docs).collect())
+    units, gap = ((lambda x: [bytes([b]) for b in x.encode()]), b"") if by_bytes else (words_of, b" ")
+    assert got == Counter((i, gap.join(u for u, g in zip(u, gone) if not g), sum(gone)) for i, u, gone in brute_repeats(rows, units))
+
+    source = _repeats.with_twins(docs, "doc_id", "text")
+    args = (module.regions, module.cut_out, module.part, module.repeated)
+    held = lambda df: sum(len(T.unpack(x["blob"]).get("span_d", ())) for x in df.select("blob").collect())
+    assert held(_repeats.opened(source, *args, again=_repeats.copies(source))) < 30 < 200 < held(_repeats.opened(source, *args))
+    assert _repeats.copies(source).count() == 19 * len(texts) + 2  # and of two texts the first of the twenty
+    assert _repeats.squeezed(source).selectExpr("sum(octet_length(text))").first()[0] < 0.7 * sum(len(x) for _, x in rows)
+    assert _repeats.with_twins(docs, "doc_id", "text").filter("twin <> 0").count() == 7
+
+
 @pytest.mark.parametrize("module", [substring_bytes, substring_words])
 def test_every_window_has_one_region_that_its_content_decides(module):
     r = random.Random(4)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _text as T
-from ._repeats import WINDOW, merged, repeated_spans, with_twins
+from ._repeats import WINDOW, copies, gone, repeated_spans, squeezed, texts, with_twins
 
 #: Rounds of recompression. The stretch of a symbol of the fifth is about 30 words, so windows of 50 hold some.
 LEVELS = 5
@@ -145,26 +145,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     64-bit hashes of their contents at equal anchors. seed changes all hashes.
     """
     source = with_twins(docs, id_col, text_col, carry)
-    spans = repeated_spans(source, partial(regions, seed=seed), cut_out, part, repeated, verify=verify)
+    small = squeezed(source)
+    spans = repeated_spans(source, partial(regions, seed=seed), cut_out, part, repeated, verify=verify, small=small, again=None if verify else copies(source))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = T.column(batch, "text")
-            listed = batch.column(2)
+            listed, whole = batch.column(2), texts(batch)
             kept, total, removed = [], [], []
-            for r in range(batch.num_rows):
-                words = buf[off[r] : off[r + 1]].tobytes().split()
-                x = listed[r].values
-                a, b = merged(x.to_numpy() if x is not None else np.zeros(0, np.int64))
+            for r, raw in enumerate(whole):
+                words = raw.split()
+                a, b = gone(listed[r], len(words))
                 edges = [0, *np.stack((a, b), 1).reshape(-1).tolist(), len(words)]
                 kept.append(b" ".join([w for p, q in zip(edges[::2], edges[1::2]) for w in words[p:q]]).decode())
                 total.append(len(words))
                 removed.append(int((b - a).sum()))
             found = [pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, *batch.columns[3:]], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode() for x in whole], pa.string()), *found, *batch.columns[3:]], names)
 
     extra = [f"c{k}" for k in range(len(carry))]
     names = [id_col, "text", "kept", "n_words", "n_removed", *carry]
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    joined = source.join(spans, ["at", "twin"], "left").select("doc_id", "text", "spans", *extra)
+    joined = small.join(spans, ["at", "twin"], "left").select("doc_id", "text", "spans", *extra)
     return joined.mapInArrow(T.released(apply), f"`{id_col}` long, text string, kept string, n_words long, n_removed long{kinds}")
